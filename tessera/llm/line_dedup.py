@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tessera.llm.common import materialise
-from tessera.llm.linking import near_classes
+from tessera.llm.linking import cross_pairs, near_classes
 
 #: Edits that two lines may differ by; shorter lines match only if they are equal.
 TAU, LEAST_CHARS = 2, 24
@@ -162,7 +162,10 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS, id_c
     def may(x: str, y: str):
         return (F.bit_count(F.col(f"{x}.parities").bitwiseXOR(F.col(f"{y}.parities"))) <= 4 * tau) & (F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= tau)
 
-    components, _ = near_classes(buckets, lambda pairs: agreeing(pairs, texts, tau), may)
+    def check(pairs: DataFrame) -> DataFrame:
+        return agreeing(pairs, texts, tau)
+
+    components, _ = near_classes(buckets, check, lambda found, tested: check(materialise(cross_pairs(buckets, found, tested, may), "pairs")))
     places = lines.select("node", "h1", "h2", F.col("doc_id").alias("class_doc"), F.col("line_no").alias("class_line"))
     joined = places.join(components, "node")
     firsts = joined.groupBy("component").agg(F.min(F.struct("class_doc", "class_line")).alias("f"))

@@ -3,7 +3,7 @@
 A bucket holds the nodes that share a key. First every member is checked against one hub of its bucket, and the
 links found give components. Two members of a bucket that are by then in one component need no check. What is left
 are buckets with several components: there, each member outside the hub's component is checked against the members
-of other components. So every pair that shares a bucket is either checked or known to be connected, and a bucket of
+of other components, as pairs that pass a filter (``cross_pairs``) or in blocks (``hub_groups``). So every pair that shares a bucket is either checked or known to be connected, and a bucket of
 copies costs one check for each member.
 """
 
@@ -71,14 +71,29 @@ def cross_pairs(buckets: DataFrame, components: DataFrame, tested: DataFrame, ma
     return pairs.join(tested, ["a", "b"], "left_anti")
 
 
-def near_classes(buckets: DataFrame, check: Pairs, may: Callable | None = None) -> tuple[DataFrame, DataFrame]:
-    """((node, component), links (a, b)) from ``hub_buckets`` output; ``check`` keeps the linked ones of pairs (a, b).
+def hub_groups(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """(hub, node, component, outside) of the hubs that have members outside their component.
 
-    The links connect every component; they are not all links.
+    Members that share a bucket share its hub, so the pairs of all buckets are among those of the hubs' groups, and
+    there each comes once for a hub instead of once for a bucket.
+    """
+    of = components.select(F.col("node").alias("of"), "component")
+    members = buckets.select("hub", "node").distinct().join(of, F.col("node") == F.col("of"), "left").drop("of")
+    mains = components.select(F.col("node").alias("of"), F.col("component").alias("main"))
+    members = members.join(mains, F.col("hub") == F.col("of"), "left").drop("of")
+    component = F.coalesce("component", "node")
+    members = materialise(members.select("hub", "node", component.alias("component"), (component != F.coalesce("main", "hub")).alias("outside")), "members")
+    return members.join(members.filter("outside").select("hub").distinct(), "hub", "left_semi")
+
+
+def near_classes(buckets: DataFrame, check: Pairs, rest: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """((node, component), links (a, b)) from ``hub_buckets`` output.
+
+    ``check`` keeps the linked ones of pairs (a, b); ``rest(components, tested)`` gives the links that are missing
+    between members of other components. The links connect every component; they are not all links.
     """
     first = buckets.filter("node <> hub")
     first = materialise(first.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = materialise(check(first), "links")
-    more = check(materialise(cross_pairs(buckets, connected_components(links), first, may), "pairs"))
-    links = materialise(links.unionByName(more), "links")
+    links = materialise(links.unionByName(rest(connected_components(links), first)), "links")
     return connected_components(links), links
