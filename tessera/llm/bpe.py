@@ -42,7 +42,7 @@ class MergeAutomaton:
     """Built from (left, right) merges in rank order and a token -> id vocabulary."""
 
     def __init__(self, merges: list[tuple[str, str]], vocab: dict[str, int]):
-        self.vocab = vocab
+        self.vocab = dict(vocab)
         self.longest = max(map(len, vocab), default=1)
         #: gadget[u][v]: rank of the merge that took the v arc from the state behind u.
         self.gadget: dict[int, dict[int, int]] = {}
@@ -51,10 +51,16 @@ class MergeAutomaton:
         #: spine[t]: t and its left parts, each with the rank at which the arc of the next larger one was made.
         self.spine: dict[int, tuple[tuple[int, int], ...]] = {}
         for rank, (left, right) in enumerate(merges):
-            u, v, w = vocab[left], vocab[right], vocab[left + right]
+            u, v, w = (self.vocab.get(x) for x in (left, right, left + right))
+            if u is None or v is None:  # of a token without arcs
+                self.vocab.pop(left + right, None)
+                continue
             for base in (u, v):
                 self.target.setdefault(base, ((base, ENDLESS),))
                 self.spine.setdefault(base, ((base, ENDLESS),))
+            if not self._read(u << 32 | v):  # no state has both steps: the token has no arc
+                self.vocab.pop(left + right)
+                continue
             (_, _), *rest = self.target[v]
             self.target[w] = ((w, ENDLESS), (v, rank), *((t, min(k, rank)) for t, k in rest))
             (_, _), *lower = self.spine[u]
