@@ -7,10 +7,11 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Batches are cut so that one holds about this many characters of text (a longer text is a batch of its own).
-BATCH_CHARS = 4_000_000
+#: Batches are cut so that one holds about this many bytes of text (a longer text is a batch of its own).
+BATCH_CHARS = 2_000_000
 
 #: Entries a per-worker memo may hold before it is emptied.
 MEMO_ENTRIES = 400_000
@@ -39,6 +40,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Like ``materialise``, with the rows laid out by a hash of ``keys``: later joins on them leave the table where it is."""
+    spark = df.sparkSession
+    table_name = f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(n, *keys).option("path", shared_path(spark, name)).option("compression", "zstd").saveAsTable(table_name)
+    return spark.table(table_name)
+
+
 def resource(key: str, build: Callable[[], object]) -> object:
     """Built once per Python worker and kept: compiled automata and tokenizers."""
     if key not in _resources:
@@ -46,48 +56,50 @@ def resource(key: str, build: Callable[[], object]) -> object:
     return _resources[key]
 
 
-def slices(texts: list[str | None], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
-    """Consecutive (start, end) ranges of about ``limit`` characters; each text stays whole."""
+def slices(sizes: list[int], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
+    """Consecutive (start, end) ranges of about ``limit`` in sum; each item stays whole."""
     start = held = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(sizes):
         if held and held + n > limit:
             yield start, i
             start, held = i, 0
         held += n
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
 def map_text(df: DataFrame, make: Callable[[], Callable], schema: str, text_at: int) -> DataFrame:
     """Maps rows to rows in Arrow batches of bounded text.
 
-    ``make()`` runs once per task and returns ``f(columns, texts) -> list of arrays``, where columns are the
-    batch's Arrow columns and texts the (null replaced by empty) strings of column ``text_at``.
+    ``make()`` runs once per task and returns ``f(columns, texts) -> {name: array}``, where columns are the batch's
+    Arrow columns and texts the (null replaced by empty) strings of column ``text_at``.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = [t or "" for t in batch.column(text_at).to_pylist()]
-            for a, b in slices(texts):
-                got = f([c.slice(a, b - a) for c in batch.columns], texts[a:b])
+            sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
+            for a, b in slices(sizes):
+                part = batch.slice(a, b - a)
+                got = f(part.columns, [t or "" for t in part.column(text_at).to_pylist()])
                 yield pa.RecordBatch.from_arrays(list(got.values()), names=list(got))
 
     return df.mapInArrow(run, schema)
 
 
 class Memo(dict):
-    """A bounded memo: computes missing keys by ``f`` and starts anew when it is full."""
+    """A bounded memo: computes missing keys by ``f``. Of two halves the older goes when the newer is full; what is asked for again moves over."""
 
     def __init__(self, f: Callable, entries: int = MEMO_ENTRIES):
         super().__init__()
-        self.f, self.entries = f, entries
+        self.f, self.half, self.older = f, entries // 2, {}
 
     def __missing__(self, key):
-        if len(self) >= self.entries:
+        value = self.older.get(key)
+        if value is None:
+            value = self.f(key)
+        if len(self) >= self.half:
+            self.older = dict(self)
             self.clear()
-        self[key] = value = self.f(key)
+        self[key] = value
         return value

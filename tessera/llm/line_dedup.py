@@ -19,12 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import materialise
+from tessera.llm.common import bucketed, materialise
 from tessera.llm.linking import cross_pairs, near_classes
 
 #: Edits that two lines may differ by; shorter lines match only if they are equal.
 TAU, LEAST_CHARS = 2, 24
 
+#: Unicode's white space without the line feed.
+WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
 
 def segments(n: int, tau: int) -> list[tuple[int, int]]:
     """(start, length) of tau + 1 segments of nearly equal length; the longer ones come last."""
@@ -94,12 +97,15 @@ def within(a: str, b: str, tau: int) -> bool:
 def located_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, line, h1, h2) of every line that is not blank; lines lose the white space around them."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.regexp_replace("line", r"(?U)^\s+|\s+$", "")).filter("line <> ''")
+    lines = lines.withColumn("line", F.btrim("line", F.lit(WHITE))).filter("line <> ''")
     return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
 
 
 def keyed(lines: DataFrame, tau: int, least: int) -> DataFrame:
-    """(key, node, size, parities, indexed) of every line long enough: one row for each probe; own segments are the index."""
+    """(key, tagged) of every line long enough, one row for each probe; own segments are the index.
+
+    ``tagged`` is twice the node, plus one for the index: the rows are many, so they are kept short.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashed, plans = xxhash.xxh3_64_intdigest, {}
@@ -107,8 +113,7 @@ def keyed(lines: DataFrame, tau: int, least: int) -> DataFrame:
             for begin in range(0, batch.num_rows, 2048):
                 part = batch.slice(begin, 2048)
                 key, count, own = [], [], []
-                texts = part.column(1).to_pylist()
-                for t in texts:
+                for t in part.column(1).to_pylist():
                     n = len(t)
                     if n not in plans:
                         plans[n] = [(a, a + size, (length << 8 | i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, length == n and a == segments(n, tau)[i][0]) for length in range(max(n - tau, least), n + 1) for i, a, size in probes(n, length, tau)]
@@ -118,12 +123,21 @@ def keyed(lines: DataFrame, tau: int, least: int) -> DataFrame:
                     count.append(len(plan))
                 if len(plans) > 10_000:
                     plans.clear()
-                node, size = np.asarray(part.column(0)), np.fromiter(map(len, texts), np.int32, len(texts))
-                sums = np.fromiter(map(pair_parities, texts), np.int64, len(texts))
-                got = (np.array(key, dtype=np.uint64).view(np.int64), np.repeat(node, count), np.repeat(size, count), np.repeat(sums, count), np.array(own, dtype=bool))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["key", "node", "size", "parities", "indexed"])
+                tagged = np.repeat(2 * np.asarray(part.column(0)), count) + np.array(own, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(tagged)], names=["key", "tagged"])
+
+    return lines.filter(F.length("line") >= least).select("node", "line").mapInArrow(run, "key long, tagged long")
+
+
+def with_parities(texts: DataFrame) -> DataFrame:
+    """Adds ``parities`` to (node, line)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [pair_parities(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.int64())], names=["node", "line", "parities"])
 
-    return lines.filter(F.length("line") >= least).select("node", "line").mapInArrow(run, "key long, node long, size int, parities long, indexed boolean")
+    return texts.select("node", "line").mapInArrow(run, "node long, line string, parities long")
 
 
 def agreeing(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
@@ -152,12 +166,15 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS, id_c
     here = located_lines(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
     place = F.struct("doc_id", "line_no", "line")
     first = here.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    lines = materialise(first.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*"), "lines")
+    lines = bucketed(first.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*"), "lines", "h1", "h2")
     of_key = W.partitionBy("key")
-    met = keyed(lines, tau, least).withColumn("hub", F.min("node").over(of_key)).withColumn("top", F.max("node").over(of_key)).withColumn("any", F.max("indexed").over(of_key))
-    buckets = materialise(met.filter("hub <> top and any").drop("top", "any", "indexed"), "buckets")
-    wanted = buckets.select("node", "parities").distinct()
-    texts = materialise(lines.select("node", "line").join(wanted, "node"), "texts")
+    met = keyed(lines, tau, least).select("key", F.shiftright("tagged", 1).alias("node"), (F.col("tagged") % 2).alias("indexed"))
+    met = met.withColumn("hub", F.min("node").over(of_key)).withColumn("top", F.max("node").over(of_key)).withColumn("any", F.max("indexed").over(of_key))
+    found = materialise(met.filter("hub <> top and any = 1").select("key", "node", "hub"), "met")
+    # the lines lie by (h1, h2): the few that met go to them, their text is never dealt anew
+    wanted = lines.select("node", "h1", "h2").join(found.select("node").distinct(), "node", "left_semi").select("h1", "h2")
+    texts = materialise(with_parities(lines.join(wanted, ["h1", "h2"], "left_semi")), "texts")
+    buckets = materialise(found.join(texts.select("node", "parities", F.length("line").alias("size")), "node"), "buckets")
 
     def may(x: str, y: str):
         return (F.bit_count(F.col(f"{x}.parities").bitwiseXOR(F.col(f"{y}.parities"))) <= 4 * tau) & (F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= tau)
