@@ -258,7 +258,7 @@ KG = f"""raw AS (
   UNION ALL SELECT 3000000000000 + c_custkey, c_name, 'based_in', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey
   UNION ALL SELECT 4000000000000 + p_partkey, p_name, 'part_of', p_brand FROM part
   UNION ALL SELECT 5000000000000 + p_partkey, p_name, 'has_property', p_type FROM part
-  UNION ALL SELECT 6000000000000 + min(l_orderkey * 10 + l_linenumber), s_name, 'uses_material', p_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY s_name, p_name),
+  UNION ALL SELECT 6000000000000 + min(l_partkey) * 100000 + min(l_suppkey), s_name, 'uses_material', p_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey GROUP BY s_name, p_name),
 keyed AS (SELECT *, {_KEY.format('subject')} AS subject_key, {_KEY.format('object')} AS object_key, {_KEY0.format('subject')} AS sn, {_KEY0.format('object')} AS obn FROM raw),
 triples AS (SELECT ord, subject, relation, object, subject_key, object_key FROM (
   SELECT *, row_number() OVER (PARTITION BY subject_key, relation, object_key ORDER BY ord) AS n FROM keyed
@@ -273,8 +273,9 @@ def raw_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     def told(df: DataFrame, k: int, key, subject: str, relation: str, obj: str, types: tuple[str, str]) -> DataFrame:
         return df.select(offset(k, key), F.col(subject).alias("subject"), F.lit(relation).alias("relation"), F.col(obj).alias("object"), F.lit(types[0]).alias("subject_type"), F.lit(types[1]).alias("object_type"), F.lit("star").alias("source"))
 
-    uses = t["lineitem"].groupBy("l_suppkey", "l_partkey").agg(F.min(F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("first"))
-    uses = uses.join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey")).groupBy("s_name", "p_name").agg(F.min("first").alias("first"))
+    uses = t["lineitem"].select("l_suppkey", "l_partkey").distinct()
+    uses = uses.join(t["supplier"], F.col("l_suppkey") == F.col("s_suppkey")).join(t["part"], F.col("l_partkey") == F.col("p_partkey"))
+    uses = uses.groupBy("s_name", "p_name").agg((F.min("l_partkey") * 100_000 + F.min("l_suppkey")).alias("first"))
     parts = [
         told(t["supplier"].join(t["nation"], F.col("s_nationkey") == F.col("n_nationkey")), 1, F.col("s_suppkey"), "s_name", "Located in", "n_name", ("brand", "city")),
         told(t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey")), 2, F.col("n_nationkey"), "n_name", "belongs-to", "r_name", ("city", "city")),
