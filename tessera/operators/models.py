@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions import vectors as V
 
@@ -115,7 +116,7 @@ class EchoModel:
 
 def completed(rows: DataFrame, prompt_col: str, model: LanguageModel, out_col: str = "reply", system: str = "") -> DataFrame:
     """``rows`` with the model's reply; a failing call gives an empty reply, as the callers degrade."""
-    schema = rows.schema.add(out_col, "string")
+    schema = StructType([*rows.schema.fields, StructField(out_col, StringType())])
     at = rows.columns.index(prompt_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
