@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from tessera.llm.common import MEMO_ENTRIES, Memo, map_text, resource
 
 ENDLESS = 1 << 60
+#: Chunks a worker's memo holds at most.
+CHUNKS = 600_000
 
 
 def byte_symbols() -> list[str]:
@@ -69,7 +71,7 @@ class MergeAutomaton:
         for t in vocab.values():
             self.target.setdefault(t, ((t, ENDLESS),))
             self.spine.setdefault(t, ((t, ENDLESS),))
-        self.table: dict[int, bool] = Memo(self._read, 2 * MEMO_ENTRIES)
+        self.table: dict[int, bool] = Memo(self._read)
         #: Of prefixes read so far: (state, symbol) -> state, and a state's last arc as (token, start).
         self.states: dict[int, int] = {}
         self.arcs: list[tuple[int, int]] = [(0, 0)]
@@ -138,6 +140,21 @@ class MergeAutomaton:
         return tuple(reversed(out))
 
 
+def split_pattern(spec: dict):
+    """findall() of a tokenizer file's pre-token pattern."""
+    split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
+    return regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+
+
+def lowered(text: str) -> str:
+    """Lower case where that is safe before the tokenizer's own normalisation (Latin-1: no marks to compose)."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class BpeCodec:
     """A word-level BPE tokenizer file (lower case, white space dropped, words end in a mark) as an automaton."""
 
@@ -149,32 +166,36 @@ class BpeCodec:
         self.end = model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels = {i: t for t, i in (*model["vocab"].items(), *self.special.items())}
-        split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
-        self.find = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
+        self.find = split_pattern(spec)
         self.at_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else None
         self.hints = {s[:2] for s in self.special}
         self.symbols = byte_symbols()
-        self.words = Memo(self._word)
-        self.chunks = Memo(self._chunk)
+        #: Of chunks without blanks; a pre-token is a chunk too.
+        self.memo = Memo(self._chunk, CHUNKS)
 
     def _word(self, word: str) -> tuple[int, ...]:
         if word.isascii() and word.isalnum():  # these bytes stand for themselves
             return self.automaton.encode(word, self.end)
         return self.automaton.encode("".join(map(self.symbols.__getitem__, word.encode())), self.end)
 
-    def _plain(self, text: str) -> tuple[int, ...]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at a sigma's place
-        return tuple(chain.from_iterable(map(self.words.__getitem__, self.find(text.lower()))))
-
     def _chunk(self, chunk: str) -> tuple[int, ...]:
         """Ids of a text without blanks and line feeds: nothing in an encoding reaches across those."""
+        if chunk.isascii() and chunk.isalpha() and chunk.islower():
+            return self._word(chunk)
         if self.at_special and any(h in chunk for h in self.hints):
-            return tuple(chain.from_iterable((self.special[p],) if p in self.special else self._plain(p) for p in self.at_special(chunk)))
-        return self._plain(chunk)
+            parts = self.at_special(chunk)
+            if len(parts) > 1:
+                return tuple(chain.from_iterable((self.special[p],) if p in self.special else self._chunk(p) for p in parts))
+        text = chunk
+        if not text.isascii():
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() would look at a sigma's place
+        words = self.find(text.lower())
+        if len(words) == 1:
+            return self._word(words[0]) if words[0] == chunk else self.memo[words[0]]
+        return tuple(chain.from_iterable(map(self.memo.__getitem__, words)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))))
+        return list(chain.from_iterable(map(self.memo.__getitem__, lowered(text).replace("\n", " ").split(" "))))
 
     def decode(self, ids: list[int]) -> str:
         """Labels joined by blanks: what a tokenizer file without a decoder prescribes."""

@@ -54,8 +54,8 @@ def op6_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
-    rows = token_store.read_documents(spark, path).withColumn("n_tokens", F.col("n_tokens").cast("long"))
-    return token_store.with_crc32(rows)
+    rows = token_store.with_crc32(token_store.read_tokens(spark, path))
+    return token_store.with_start(rows, path).select("doc_id", "start", F.col("n_tokens").cast("long").alias("n_tokens"), "ids_crc32")
 
 
 def held_out() -> F.Column:

@@ -1,32 +1,39 @@
 """Token ids in Parquet: list columns, selective reads of ids or of metadata alone.
 
-Layout of a store: ``tokens/`` holds rows (part int, row long, doc_id, n_tokens int, ids array<int>) in ascending
-doc_id order, one file per part, parts in that order too and rows numbered in each; ``parts/`` holds (part, start): the ids of all parts before it. Ids and
+Layout of a store: ``tokens/`` holds rows (part int, at long, doc_id, n_tokens int, ids array<int>) in ascending
+doc_id order, one file per part, parts in that order too; ``at`` counts the ids of the part's rows before; ``parts/`` holds (part, start): the ids of all parts before it. Ids and
 counts are delta or dictionary encoded (Parquet format v2), row groups and pages have stated sizes, and Parquet's
 page indexes let a reader skip to the rows of a doc_id and read n_tokens without the ids.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
-from itertools import chain
-
+from struct import pack
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.bpe import read_spec
-from tessera.llm.common import MEMO_ENTRIES, map_text, resource
+from tessera.llm.bpe import byte_symbols, lowered, read_spec, split_pattern
+from tessera.llm.common import map_text, resource
+
+
+#: Chunks a worker's memo holds at most.
+MEMO_ENTRIES = 1_000_000
 
 
 class LibraryEncoder:
     """The tokenizers library behind a bounded memo of blank-free chunks.
 
     The tokenizer drops white space and no token, special tokens included, has any; so an encoding is that of its
-    chunks between blanks and line feeds, and the library sees each chunk once.
+    chunks between blanks and line feeds, and the library sees each chunk once. A chunk of lower-case Latin-1
+    characters is not changed by the normaliser any more: it is split by the tokenizer's own pattern, and the parts
+    go to the library's model. All other chunks, and those that might spell a special token, go through the whole
+    tokenizer.
     """
 
     def __init__(self, spec: str):
@@ -36,21 +43,73 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenize = self.tokenizer.model.tokenize
+        self.find, self.symbols = split_pattern(json.loads(spec)), byte_symbols()
+        self.hints = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        #: Chunks seen lately and those seen before: what comes back moves over, so frequent chunks stay.
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _whole(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):  # else its bytes stand for themselves
+            word = "".join(map(self.symbols.__getitem__, word.encode()))
+        ids = [t.id for t in self.tokenize(word)]
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            if chunk.isalpha() and chunk.islower():
+                return self._word(chunk)
+            fixed = chunk == chunk.lower()
+        else:
+            fixed = max(chunk) < "\u0100" and chunk == chunk.lower()
+        if not fixed or any(h in chunk for h in self.hints):
+            return self._whole(chunk)
+        parts = []
+        for word in self.find(chunk):
+            ids = self.memo.get(word) or self.older.get(word)
+            if ids is None:
+                ids = self._word(word)
+                if word != chunk:
+                    self.memo[word] = ids
+            parts.append(ids)
+        return b"".join(parts)
+
+    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that are not in the memo; they are then."""
+        if len(self.memo) + len(chunks) > MEMO_ENTRIES // 2:
+            self.memo, self.older = {}, self.memo
+        older, known = self.older, {}
+        for c in chunks:
+            got = older.get(c)
+            known[c] = self._chunk(c) if got is None else got
+        self.memo.update(known)
+        return known
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (with the end of the last)."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo = {}
-        memo = self.memo
-        if new := list({c for chunks in split for c in chunks if c not in memo}):
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                memo[c] = np.array(e.ids, dtype="<u4").tobytes()
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        rows = [b"".join(map(memo.__getitem__, chunks)) + end for chunks in split]
-        ends = np.cumsum([0, *map(len, rows)], dtype=np.int64) // 4
-        return np.frombuffer(b"".join(rows), dtype="<u4"), ends
+        rows, unknown = [], set()
+        seen = self.memo.get
+        for t in texts:
+            chunks = lowered(t).replace("\n", " ").split(" ")
+            got = list(map(seen, chunks))
+            holes = [i for i, g in enumerate(got) if g is None]
+            rows.append((got, [(i, chunks[i]) for i in holes]))
+        for _, holes in rows:
+            unknown.update(c for _, c in holes)
+        new = self._learn(unknown)
+        out = []
+        for got, holes in rows:
+            for i, c in holes:
+                got[i] = new[c]
+            got.append(end)
+            out.append(b"".join(got))
+        ends = np.cumsum([0, *map(len, out)], dtype=np.int64) // 4
+        return np.frombuffer(b"".join(out), dtype="<u4"), ends
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = 1, id_col: str = "doc_id", text_col: str = "text", row_group_mb: int = 64, page_kb: int = 256, parts: int | None = None) -> None:
@@ -70,17 +129,17 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     def make():
         encoder = resource(f"library:{hash(spec.value)}", lambda: LibraryEncoder(spec.value))
-        done = 0  # rows of this part so far: batches come in order
+        done = 0  # ids of this part so far: batches come in order
 
         def f(columns, texts):
             nonlocal done
             flat, ends = encoder.encode(texts, end_id)
-            row, done = np.arange(done, done + len(texts)), done + len(texts)
-            return {"part": columns[0], "row": pa.array(row), "doc_id": columns[1], "n_tokens": pa.array(np.diff(ends).astype(np.int32)), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))}
+            at, done = ends[:-1] + done, done + int(ends[-1])
+            return {"part": columns[0], "at": pa.array(at), "doc_id": columns[1], "n_tokens": pa.array(np.diff(ends).astype(np.int32)), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat.astype(np.int32)))}
 
         return f
 
-    out = map_text(rows, make, f"part int, row long, doc_id {kind}, n_tokens int, ids array<int>", 2)
+    out = map_text(rows, make, f"part int, at long, doc_id {kind}, n_tokens int, ids array<int>", 2)
     writer = {"parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "false", "parquet.block.size": row_group_mb << 20, "parquet.page.size": page_kb << 10, "compression": "zstd", "maxRecordsPerFile": 0}
     out.write.options(**writer).parquet(f"{path}/tokens")
     counts = read_tokens(spark, path, "part", "n_tokens").groupBy("part").agg(F.sum(F.col("n_tokens").cast("long")).alias("n"))
@@ -95,11 +154,10 @@ def read_tokens(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     return got.select(*columns) if columns else got
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) of every row: start counts the ids of all rows before it."""
-    rows = read_tokens(spark, path)
-    running = F.coalesce(F.sum(F.col("n_tokens").cast("long")).over(W.partitionBy("part").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(spark.read.parquet(f"{path}/parts"), "part").select("doc_id", (running + F.col("start")).cast("long").alias("start"), "n_tokens", "ids")
+def with_start(rows: DataFrame, path: str) -> DataFrame:
+    """Replaces (part, at) by start, the number of ids of all rows before; call it on rows without ids where that does."""
+    parts = rows.sparkSession.read.parquet(f"{path}/parts").withColumnRenamed("start", "__start")
+    return rows.join(parts, "part").select((F.col("__start") + F.col("at")).alias("start"), *(c for c in rows.columns if c not in ("part", "at")))
 
 
 def with_crc32(rows: DataFrame, ids_col: str = "ids") -> DataFrame:
