@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,12 +51,20 @@ def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
 
 
 def resource(key: str, build: Callable[[], object]) -> object:
-    """Built once per Python worker and kept: compiled automata and tokenizers."""
+    """Built once per Python worker and kept while its tasks ask for it: a worker holds one compiled thing at a time."""
     if key not in _resources:
+        release()
         _resources[key] = build()
     return _resources[key]
 
 
+def release() -> None:
+    """Drops what earlier stages' tasks left in this worker."""
+    if _resources:
+        _resources.clear()
+        gc.collect()
+
+
 def slices(sizes: list[int], limit: int = BATCH_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive (start, end) ranges of about ``limit`` in sum; each item stays whole."""
     start = held = 0

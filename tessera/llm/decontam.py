@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_text
+from tessera.llm.common import map_text, release
 
 #: Edits for each character of an item; items with fewer characters are matched exactly, as whole words.
 BUDGET, LEAST_CHARS = 0.06, 20
@@ -164,6 +164,7 @@ def contaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET, id_c
         more = block is not None  # the last pass needs no text any more
 
         def make(shared=shared, more=more):
+            release()
             matcher = Matcher(shared.value, budget)
 
             def f(columns, texts):

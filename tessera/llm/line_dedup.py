@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessera.llm.common import bucketed, materialise
+from tessera.llm.common import bucketed, materialise, release
 from tessera.llm.linking import cross_pairs, near_classes
 
 #: Edits that two lines may differ by; shorter lines match only if they are equal.
@@ -108,6 +108,7 @@ def keyed(lines: DataFrame, tau: int, least: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         hashed, plans = xxhash.xxh3_64_intdigest, {}
         for batch in batches:
             for begin in range(0, batch.num_rows, 2048):
