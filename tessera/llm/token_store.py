@@ -79,15 +79,13 @@ class LibraryEncoder:
         return b"".join(parts)
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that are not in the memo; they are then."""
+        """Encodes chunks that are not in the memo, which has them all then; it starts anew when it is full."""
         if len(self.memo) + len(chunks) > MEMO_ENTRIES // 2:
             self.memo, self.older = {}, self.memo
-        older, known = self.older, {}
+        memo, older, encode = self.memo, self.older.get, self._chunk
         for c in chunks:
-            got = older.get(c)
-            known[c] = self._chunk(c) if got is None else got
-        self.memo.update(known)
-        return known
+            memo[c] = older(c) or encode(c)
+        return memo
 
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (with the end of the last)."""
@@ -98,14 +96,12 @@ class LibraryEncoder:
             chunks = lowered(t).replace("\n", " ").split(" ")
             got = list(map(seen, chunks))
             holes = [i for i, g in enumerate(got) if g is None]
-            rows.append((got, [(i, chunks[i]) for i in holes]))
-        for _, holes in rows:
-            unknown.update(c for _, c in holes)
-        new = self._learn(unknown)
-        out = []
-        for got, holes in rows:
-            for i, c in holes:
-                got[i] = new[c]
+            unknown.update(map(chunks.__getitem__, holes))
+            rows.append((chunks, got, holes))
+        memo, out = self._learn(unknown), []
+        for chunks, got, holes in rows:
+            for i in holes:
+                got[i] = memo[chunks[i]]
             got.append(end)
             out.append(b"".join(got))
         ends = np.cumsum([0, *map(len, out)], dtype=np.int64) // 4
