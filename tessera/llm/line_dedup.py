@@ -6,11 +6,17 @@ each length down to TAU less, the substrings that can align with a segment of a
 follow from the length difference (multi-match-aware selection). Lines that meet under a key are candidates; the
 parities of their letter pairs (each edit changes at most four) leave out most false ones, and a banded bit-parallel
 edit distance decides. Equal lines are one node from the start.
+
+With a ``share`` the budget grows with the line: ``share`` per cent of the shorter one, TAU at least. Segments would
+need some budget cubed probes then, so lines meet under winnowed grams instead: t edits leave a common run of at least
+(n - t) / (t + 1) characters, and two texts that share a run of k + w - 1 characters choose the same k-gram in it. The
+keys also hold the class of the length and of the place, each with its neighbour, so no pair within the budget is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +30,8 @@ from tessera.llm.linking import cross_pairs, near_classes
 
 #: Edits that two lines may differ by; shorter lines match only if they are equal.
 TAU, LEAST_CHARS = 2, 24
+#: Per cent of a line's characters that ``op2_line_dedup`` lets two lines differ by, as decontamination does.
+SHARE = 6
 
 #: Unicode's white space without the line feed.
 WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -94,6 +102,74 @@ def within(a: str, b: str, tau: int) -> bool:
     return score <= tau
 
 
+def budget(n: int, tau: int, share: int) -> int:
+    """Edits that a line of n characters and a longer one may differ by."""
+    return max(tau, n * share // 100)
+
+
+def length_class(n: int, tau: int, share: int) -> int:
+    """Classes of lengths, each at least as wide as the budget of a line below it."""
+    return length_classes(tau, share, max(n, 1).bit_length())[n]
+
+
+@cache
+def length_classes(tau: int, share: int, bits: int) -> np.ndarray:
+    """The class of every length under 2 ** bits; the classes do not depend on ``bits``."""
+    top = 1 << bits
+    out, start, c = np.zeros(top, np.int32), 0, 0
+    while start < top:
+        end = start + 2 * budget(start, tau, share) + 1
+        out[start:end] = c
+        start, c = end, c + 1
+    return out
+
+
+@cache
+def winnowing(c: int, start: int, tau: int, share: int) -> tuple[int, int, int]:
+    """(k, w, the largest budget) for pairs whose longer line is of class c, ``start`` the least length of the class."""
+    ends = range(start, start + 2 * budget(start, tau, share) + 1)
+    run = min(-(-(n - b) // (b + 1)) for n in ends for b in (budget(n, tau, share),) if n > b)
+    k = max(1, (3 * run + 4) // 5)
+    return k, run - k + 1, budget(ends[-1], tau, share)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+def winnowed(line: str, tau: int, share: int) -> np.ndarray:
+    """The keys under which a line meets every line within its budget."""
+    n, out = len(line), []
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    for c in range(length_class(n, tau, share), length_class(n + budget(n, tau, share), tau, share) + 1):
+        start = int(np.searchsorted(length_classes(tau, share, (2 * n + tau).bit_length()), c))
+        k, w, reach = winnowing(c, start, tau, share)
+        if n < k + w - 1:
+            continue
+        grams = np.zeros(n - k + 1, np.uint64)
+        for i in range(k):
+            grams = grams * np.uint64(0x100000001B3) + codes[i : n - k + 1 + i]
+        grams = mixed(grams)
+        windows = np.lib.stride_tricks.sliding_window_view(grams, w)
+        at = np.unique(windows.argmin(1) + np.arange(len(windows)))
+        wide = 2 * reach + 1
+        low, high = at // wide, (at + reach) // wide
+        both = high > low
+        place = np.concatenate([low, high[both]]).astype(np.uint64)
+        chosen = np.concatenate([grams[at], grams[at[both]]])
+        out.append(mixed(chosen ^ mixed(place << np.uint64(24) | np.uint64(c))))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+
+
+def may_agree(a: str, b: str, tau: int) -> bool:
+    """Whether the letters alone leave room for an edit distance of at most tau."""
+    bags = [np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 63, minlength=64) for t in (a, b)]
+    off = bags[0] - bags[1]
+    return max(int(off[off > 0].sum()), -int(off[off < 0].sum())) <= tau
+
+
 def located_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no, line, h1, h2) of every line that is not blank; lines lose the white space around them."""
     lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
@@ -130,6 +206,26 @@ def keyed(lines: DataFrame, tau: int, least: int) -> DataFrame:
     return lines.filter(F.length("line") >= least).select("node", "line").mapInArrow(run, "key long, tagged long")
 
 
+def winnowed_keys(lines: DataFrame, tau: int, share: int, least: int) -> DataFrame:
+    """Like ``keyed`` for a budget that grows with the line; every row is of the index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 2048):
+                part = batch.slice(begin, 2048)
+                keys = [winnowed(t, tau, share) for t in part.column(1).to_pylist()]
+                tagged = np.repeat(2 * np.asarray(part.column(0)) + 1, [len(k) for k in keys])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(tagged)], names=["key", "tagged"])
+
+    return lines.filter(F.length("line") >= least).select("node", "line").mapInArrow(run, "key long, tagged long")
+
+
+def allowed(x, y, tau: int, share: int):
+    """The budget of two lines with x and y characters."""
+    return F.greatest(F.lit(tau), F.floor(F.least(x, y) * share / 100).cast("int"))
+
+
 def with_parities(texts: DataFrame) -> DataFrame:
     """Adds ``parities`` to (node, line)."""
 
@@ -141,25 +237,26 @@ def with_parities(texts: DataFrame) -> DataFrame:
     return texts.select("node", "line").mapInArrow(run, "node long, line string, parities long")
 
 
-def agreeing(pairs: DataFrame, texts: DataFrame, tau: int) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines are within tau edits."""
+def agreeing(pairs: DataFrame, texts: DataFrame, tau: int, share: int = 0) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines are within their budget of edits."""
     a = texts.select(F.col("node").alias("a"), F.col("line").alias("x"), F.col("parities").alias("p"))
     b = texts.select(F.col("node").alias("b"), F.col("line").alias("y"), F.col("parities").alias("q"))
-    both = pairs.join(a, "a").join(b, "b").filter((F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 4 * tau) & (F.abs(F.length("x") - F.length("y")) <= tau))
+    both = pairs.join(a, "a").join(b, "b").withColumn("most", allowed(F.length("x"), F.length("y"), tau, share))
+    both = both.filter((F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 4 * F.col("most")) & (F.abs(F.length("x") - F.length("y")) <= F.col("most")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [within(x, y, tau) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            keep = [(not share or may_agree(x, y, t)) and within(x, y, t) for x, y, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y", "most").mapInArrow(run, "a long, b long")
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", share: int = 0) -> DataFrame:
     """(doc_id, line_no, class_doc, class_line, kept) of every line that is not blank.
 
-    Two lines are linked if they are equal, or both have ``least`` characters or more and are within ``tau`` edits;
-    classes are the connected sets. class_doc and class_line name the first occurrence of a class by (doc_id,
+    Two lines are linked if they are equal, or both have ``least`` characters or more and are within ``tau`` edits
+    or ``share`` per cent of the shorter one's characters, whichever is more; classes are the connected sets. class_doc and class_line name the first occurrence of a class by (doc_id,
     line_no), kept is true there. Null and empty texts have no lines; lines of documents without an id are left
     out. Rows with one doc_id share their places: a place is kept in each or in none. Repeated rows give repeated
     rows, an empty table an empty result; other columns are not read.
@@ -169,7 +266,7 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS, id_c
     first = here.groupBy("h1", "h2").agg(F.min(place).alias("first"))
     lines = bucketed(first.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*"), "lines", "h1", "h2")
     of_key = W.partitionBy("key")
-    met = keyed(lines, tau, least).select("key", F.shiftright("tagged", 1).alias("node"), (F.col("tagged") % 2).alias("indexed"))
+    met = (winnowed_keys(lines, tau, share, least) if share else keyed(lines, tau, least)).select("key", F.shiftright("tagged", 1).alias("node"), (F.col("tagged") % 2).alias("indexed"))
     met = met.withColumn("hub", F.min("node").over(of_key)).withColumn("top", F.max("node").over(of_key)).withColumn("any", F.max("indexed").over(of_key))
     found = materialise(met.filter("hub <> top and any = 1").select("key", "node", "hub"), "met")
     # the lines lie by (h1, h2): the few that met go to them, their text is never dealt anew
@@ -178,10 +275,11 @@ def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS, id_c
     buckets = materialise(found.join(texts.select("node", "parities", F.length("line").alias("size")), "node"), "buckets")
 
     def may(x: str, y: str):
-        return (F.bit_count(F.col(f"{x}.parities").bitwiseXOR(F.col(f"{y}.parities"))) <= 4 * tau) & (F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= tau)
+        most = allowed(F.col(f"{x}.size"), F.col(f"{y}.size"), tau, share)
+        return (F.bit_count(F.col(f"{x}.parities").bitwiseXOR(F.col(f"{y}.parities"))) <= 4 * most) & (F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= most)
 
     def check(pairs: DataFrame) -> DataFrame:
-        return agreeing(pairs, texts, tau)
+        return agreeing(pairs, texts, tau, share)
 
     components, _ = near_classes(buckets, check, lambda found, tested: check(materialise(cross_pairs(buckets, found, tested, may), "pairs")))
     places = lines.select("node", "h1", "h2", F.col("doc_id").alias("class_doc"), F.col("line_no").alias("class_line"))

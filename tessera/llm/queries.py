@@ -19,7 +19,7 @@ def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_classes(table(spark, sf_dir, "documents"))
+    return line_dedup.line_classes(table(spark, sf_dir, "documents"), share=line_dedup.SHARE)
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
