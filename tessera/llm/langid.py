@@ -19,12 +19,13 @@ from tessera.llm.common import map_text, release
 #: Bounds of what a model is fitted on: rows and characters for each language, languages.
 SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 200, 24_000, 16
 BLOCK = 256
-ALPHABET = 64
+#: Cells of transition tables that a worker holds; the automata beyond look their arcs up by bisection.
+DENSE_CELLS = 32_000_000
 UNDETERMINED = "und"
 
 
-def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
-    """Transitions [state, code] of the suffix automaton of ``codes``; state 0 is the root, -1 no transition."""
+def suffix_arcs(codes: list[int]) -> list[dict[int, int]]:
+    """{code: next state} for each state of the suffix automaton of ``codes``; state 0 is the root."""
     nexts, link, length, last = [{}], [-1], [0], 0
     for c in codes:
         cur = len(nexts)
@@ -49,11 +50,36 @@ def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[cur] = clone
         last = cur
-    table = np.full((len(nexts), width), -1, dtype=np.int32)
-    for s, arcs in enumerate(nexts):
-        for c, to in arcs.items():
-            table[s, c] = to
-    return table
+    return nexts
+
+
+def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
+    """Transitions [state, code] of the suffix automaton of ``codes``; state 0 is the root, -1 no transition."""
+    arcs = Arcs(codes, width)
+    return arcs.table().reshape(-1, width)
+
+
+class Arcs:
+    """The arcs of a suffix automaton, sorted by state x ``width`` + code: small however wide the alphabet is."""
+
+    def __init__(self, codes: list[int], width: int):
+        nexts = suffix_arcs(codes)
+        at = np.array([s * width + c for s, arcs in enumerate(nexts) for c in arcs], dtype=np.int64)
+        to = np.array([t for arcs in nexts for t in arcs.values()], dtype=np.int32)
+        order = np.argsort(at)
+        self.at, self.to, self.width, self.cells = at[order], to[order], width, len(nexts) * width
+
+    def table(self) -> np.ndarray:
+        out = np.full(self.cells, -1, dtype=np.int32)
+        out[self.at] = self.to
+        return out
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        """Like indexing ``table()``."""
+        if not len(self.at):
+            return np.full(at.shape, -1, dtype=np.int32)
+        i = np.minimum(np.searchsorted(self.at, at), len(self.at) - 1)
+        return np.where(self.at[i] == at, self.to[i], np.int32(-1))
 
 
 def letter_table() -> np.ndarray:
@@ -69,20 +95,31 @@ class CrossParser:
         self.letters = letter_table()
         folded = {lang: self.fold(text)[0] for lang, text in samples.items()}
         points, times = np.unique(np.concatenate([np.zeros(0, np.uint32), *folded.values()]), return_counts=True)
-        known = [int(p) for p in points[np.lexsort((points, -times))] if p != 32][: ALPHABET - 3]
-        #: Codes: 0 pads, 1 unknown letter, 2 blank.
-        self.codes = np.ones(0x110000, dtype=np.uint8)
+        known = [int(p) for p in points[np.lexsort((points, -times))] if p != 32]
+        #: Codes of all letters seen: 0 pads, 1 letter of no sample, 2 blank.
+        self.codes = np.ones(0x110000, dtype=np.int32)
         self.codes[32] = 2
         self.codes[known] = np.arange(3, 3 + len(known))
-        tables, self.roots, at = [], [], 0
+        #: Of each language: columns [code] of its own letters (0 for all others) and the arcs over them.
+        self.automata: list[tuple[np.ndarray, Arcs]] = []
+        self.tables: dict[int, np.ndarray] = {}
         for lang in self.langs:
-            t = suffix_automaton(self.codes[folded[lang]].tolist(), ALPHABET)
-            t[:, 1] = -1
-            t[t >= 0] += at
-            self.roots.append(at)
-            tables.append(t)
-            at += len(t)
-        self.table = np.concatenate(tables).ravel() if tables else np.zeros(0, np.int32)
+            own = np.unique(self.codes[folded[lang]])
+            columns = np.zeros(3 + len(known), dtype=np.int32)
+            columns[own] = np.arange(1, 1 + len(own))
+            self.automata.append((columns, Arcs(columns[self.codes[folded[lang]]].tolist(), 1 + len(own))))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": {}}
+
+    def lookup(self, i: int):
+        """Next states of language i by state x width + column: from a table while all tables fit."""
+        arcs = self.automata[i][1]
+        if i not in self.tables:
+            if sum(map(len, self.tables.values())) + arcs.cells > DENSE_CELLS:
+                return arcs.find
+            self.tables[i] = arcs.table()
+        return self.tables[i].__getitem__
 
     def fold(self, text: str) -> tuple[np.ndarray, int]:
         """Code points of lower-cased letters after a blank, runs of all else as one blank; the number of letters."""
@@ -99,35 +136,27 @@ class CrossParser:
         sizes = np.array([len(p) for p, _ in folded], dtype=np.int64)
         blocks = -(-sizes // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
-        grid = np.zeros((len(owner), BLOCK), dtype=np.uint8)
+        grid = np.zeros((len(owner), BLOCK), dtype=np.int32)
         at = 0
         for (p, _), b in zip(folded, blocks):
             grid[at : at + b].ravel()[: len(p)] = self.codes[p]
             at += b
-        grid = np.ascontiguousarray(grid.T).astype(np.int32)
-        roots = np.array(self.roots, dtype=np.int32)[:, None]
+        grid = np.ascontiguousarray(grid.T)
         counts = np.zeros((len(self.langs), len(owner)), dtype=np.int32)
         step = 16_384  # blocks at a time: bounds the working set
         for a in range(0, len(owner), step):
             part = grid[:, a : a + step]
-            state = np.broadcast_to(roots, (len(self.langs), part.shape[1])).copy()
-            count = np.zeros_like(state)
-            fresh = True
-            for row in part:
-                live = row > 0
-                to = self.table[state * ALPHABET + row]
-                stuck = to < 0
-                if fresh:
-                    count += live
-                    fresh = False
-                    to = np.where(stuck, roots, to)
-                else:
-                    again = self.table[roots * ALPHABET + row]
-                    begins = stuck | (state == roots)
-                    count += begins & live
-                    to = np.where(stuck, np.where(again < 0, roots, again), to)
-                state = to
-            counts[:, a : a + step] = count
+            for i, (columns, arcs) in enumerate(self.automata):
+                find, width = self.lookup(i), np.int64(arcs.width)
+                state = np.zeros(part.shape[1], dtype=np.int32)
+                count = np.zeros_like(state)
+                again = find(np.arange(width))[columns]
+                for row in part:
+                    to = find(state * width + columns[row])
+                    stuck = to < 0
+                    count += (stuck | (state == 0)) & (row > 0)
+                    state = np.where(stuck, np.maximum(again[row], 0), to)
+                counts[i, a : a + step] = count
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         np.add.at(out, owner, counts.T)
         return out, sizes, np.array([n for _, n in folded], dtype=np.int64)
