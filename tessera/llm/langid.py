@@ -13,11 +13,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tessera.llm.common import map_text, release
 
-#: Bounds of what a model is fitted on: rows and characters for each language, languages.
-SAMPLE_ROWS, SAMPLE_CHARS, MAX_LANGUAGES = 200, 24_000, 16
+#: Bounds of what a model is fitted on: rows and characters for each language.
+SAMPLE_ROWS, SAMPLE_CHARS = 200, 24_000
 BLOCK = 256
 #: Cells of transition tables that a worker holds; the automata beyond look their arcs up by bisection.
 DENSE_CELLS = 32_000_000
@@ -178,19 +179,24 @@ class CrossParser:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
     """Fits on a bounded sample of rows with a language and a text: the first of each language in hash order of id.
 
+    Every label found is a language. Rows without an id are taken in hash order of their text.
+
     Two scans: one of ids and labels finds the hash below which about ``SAMPLE_ROWS`` rows of a language lie, one
     reads those rows' texts. What the driver gets is bounded by languages x ``SAMPLE_ROWS`` texts of
     ``SAMPLE_CHARS`` characters.
     """
     buckets = 1 << 30
-    at = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(buckets))
+    at = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(buckets))
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    sizes = labelled.groupBy(F.col(lang_col).alias("l")).count().orderBy(F.desc("count"), "l").limit(MAX_LANGUAGES).collect()
-    below = F.lit(None).cast("long")
-    for r in sizes:
-        below = F.when(F.col(lang_col) == r["l"], F.lit(min(buckets, SAMPLE_ROWS * buckets // r["count"] + 1))).otherwise(below)
-    rows = labelled.filter(at < below).select(F.col(lang_col).alias("lang"), at.alias("at"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("sample"))
-    rows = rows.limit(2 * SAMPLE_ROWS * MAX_LANGUAGES).collect() if sizes else []
+    sizes = labelled.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"), F.min(at).alias("least")).collect()
+    below = {r["l"]: max(r["least"] + 1, SAMPLE_ROWS * buckets // r["n"] + 1) for r in sizes}
+    rows = []
+    if sizes:
+        bounds = docs.sparkSession.createDataFrame(list(below.items()), f"__l {dict(docs.dtypes)[lang_col]}, __below long")
+        chosen = labelled.select(F.col(lang_col).alias("lang"), at.alias("at"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("sample"))
+        chosen = chosen.join(F.broadcast(bounds), F.col("lang") == F.col("__l")).filter(F.col("at") < F.col("__below"))
+        place = F.row_number().over(W.partitionBy("lang").orderBy("at", "sample"))
+        rows = chosen.withColumn("place", place).filter(F.col("place") <= 2 * SAMPLE_ROWS).select("lang", "at", "sample").collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["at"], r["sample"])):
         held = samples.setdefault(r["lang"], "")
