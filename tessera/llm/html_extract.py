@@ -4,8 +4,10 @@ A page is cut into text blocks, each with the path of block-level tags from the
 length, the punctuation and the number of blocks are summed: its text ratio is the text for each block, its
 punctuation ratio the marks for each block. Both are spread along the page's order (a Gaussian over neighbouring
 blocks), fused by their product with the share of text outside links, and paths that reach a share of the page's
-spread are content. Tags that never hold an article's text are left out before, and where a page marks its article,
-blocks inside are content unless their path says otherwise.
+spread (the root mean square of its scores) are content, on every page. Tags that never hold an article's text and
+hidden elements are left out before. Marks only weigh: a path inside ``article`` or ``main`` and a heading need a lower
+score, and each element around a path that a class, an id or a role calls chrome takes a factor off its score, so that
+a mark that lies around the whole page decides nothing.
 """
 
 from __future__ import annotations
@@ -40,27 +42,42 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
 #: Spread of the smoothing in blocks, and the share of the page's spread that content paths reach.
 SIGMA, SHARE = 1.0, 0.5
+#: Weights of paths inside an article, of headings and of each chrome mark around a path.
+IN_ARTICLE, HEADING, MARKED = 2.0, 4.0, 0.05
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def chrome(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element's text is around the article rather than of it."""
+def hidden(tag: str, attributes: str) -> bool:
+    """Whether an element's text is never shown or never an article's."""
     if tag in CHROME:
         return True
-    if not attributes or tag in ARTICLE or tag in ("body", "html"):
+    if tag in ("body", "html"):
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
+    return False
+
+
+def marked(tag: str, attributes: str) -> bool:
+    """Whether a class, an id or a role calls an element chrome."""
+    if tag in ARTICLE or tag in ("body", "html"):
+        return False
+    for name, value in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), value.strip("\"'")
         if name == "role" and value.lower() in CHROME_ROLES or name in ("class", "id") and CHROME_WORDS.search(value):
             return True
     return False
 
 
-def blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
-    """(path, text, characters in links, inside an article, chrome) of every text block in page order."""
-    out: list[tuple[str, str, int, bool, bool]] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, chrome, article
+Block = tuple[str, str, int, bool, int, bool]
+
+
+def blocks(page: str) -> list[Block]:
+    """(path, text, characters in links, inside an article, chrome marks around, hidden) of every text block in page order."""
+    out: list[Block] = []
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, article, chrome marks, hidden
     path: list[str] = []
     held: list[str] = []
     state = {"linked": 0, "links": 0}
@@ -68,15 +85,15 @@ def blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
     def flush() -> None:
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            out.append(("/".join(t for t, _, _ in stack if t not in INLINE), text, state["linked"], bool(stack and stack[-1][2]), bool(stack and stack[-1][1])))
+            out.append(("/".join(t for t, *_ in stack if t not in INLINE), text, state["linked"], *(stack[-1][1:] if stack else (False, 0, False))))
         held.clear()
         state["linked"] = 0
 
     def close(i: int) -> None:
         """Closes the stack from element i on."""
-        if any(t not in INLINE for t, _, _ in stack[i:]):
+        if any(t not in INLINE for t, *_ in stack[i:]):
             flush()
-        state["links"] -= sum(t == "a" for t, _, _ in stack[i:])
+        state["links"] -= sum(t == "a" for t, *_ in stack[i:])
         del stack[i:]
 
     at, n = 0, len(page)
@@ -131,25 +148,26 @@ def blocks(page: str) -> list[tuple[str, str, int, bool, bool]]:
                         break
             if tag not in INLINE:
                 flush()
-            above = stack[-1] if stack else ("", False, False)
-            stack.append((tag, above[1] or chrome(tag, attributes, above[2]), above[2] or tag in ARTICLE))
+            _, article, marks, gone = stack[-1] if stack else ("", False, 0, False)
+            stack.append((tag, article or tag in ARTICLE, marks + marked(tag, attributes), gone or hidden(tag, attributes)))
             state["links"] += tag == "a"
     flush()
     return out
 
 
-def scores(found: list[tuple[str, str, int, bool, bool]]) -> np.ndarray:
-    """Fused, smoothed ratio of every block's path."""
-    total: dict[str, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    for path, text, linked, _, _ in found:
-        s = total[path]
+def scores(found: list[Block]) -> np.ndarray:
+    """Fused, smoothed ratio of every block's path; paths under other marks are other paths."""
+    total: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
+    for path, text, linked, article, marks, _ in found:
+        s = total[path, article, marks]
         s[0] += len(text)
         s[1] += len(PUNCTUATION.findall(text))
         s[2] += min(linked, len(text))
         s[3] += 1
-    text = np.array([total[b[0]][0] / total[b[0]][3] for b in found])
-    marks = np.array([total[b[0]][1] / total[b[0]][3] for b in found])
-    free = np.array([1 - total[b[0]][2] / total[b[0]][0] for b in found])
+    sums = [total[b[0], b[3], b[4]] for b in found]
+    text = np.array([s[0] / s[3] for s in sums])
+    marks = np.array([s[1] / s[3] for s in sums])
+    free = np.array([1 - s[2] / s[0] for s in sums])
     reach = math.ceil(3 * SIGMA)
     kernel = np.exp(-np.arange(-reach, reach + 1) ** 2 / (2 * SIGMA**2))
 
@@ -162,22 +180,16 @@ def scores(found: list[tuple[str, str, int, bool, bool]]) -> np.ndarray:
 
 def main_text(page: str) -> str:
     """The article's blocks in page order, joined by one space; empty if there are none."""
-    found = [b for b in blocks(page) if not b[4]]
+    found = [b for b in blocks(page) if not b[5]]
     if not found:
         return ""
-    if any(b[3] for b in found):
-        found = [b for b in found if b[3]]
-        wanted = [True] * len(found)
-        score = scores(found)
-        lists = [b[2] >= 0.8 * len(b[1]) and s < SHARE * score.std() for b, s in zip(found, score)]
-        wanted = [not x for x in lists]
-    else:
-        score = scores(found)
-        best: dict[str, float] = defaultdict(float)
-        for b, s in zip(found, score):
-            best[b[0]] = max(best[b[0]], s)
-        limit = min(SHARE * score.std(), score.max())
-        wanted = [best[b[0]] >= limit and b[2] < 0.5 * len(b[1]) for b in found]
+    score = scores(found) * np.array([MARKED ** b[4] for b in found])
+    limit = SHARE * math.sqrt(float(np.mean(score**2)))
+    best: dict[tuple, float] = defaultdict(float)
+    for b, s in zip(found, score):
+        s *= (IN_ARTICLE if b[3] else 1) * (HEADING if b[0].rpartition("/")[2] in HEADINGS else 1)
+        best[b[0], b[3], b[4]] = max(best[b[0], b[3], b[4]], s)
+    wanted = [0 < best[b[0], b[3], b[4]] >= limit and (b[3] or b[2] < 0.5 * len(b[1])) for b in found]
     return " ".join(b[1] for b, w in zip(found, wanted) if w)
 
 
