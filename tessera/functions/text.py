@@ -78,11 +78,16 @@ def content_hash(c: Column) -> Column:
     return F.sha1(squeezed(F.lower(c)).cast("binary"))
 
 
-def char_windows(c: Column, size: int = 2500, overlap: int = 200, most: int = 4) -> Column:
-    """array<struct<i, window>>: up to ``most`` windows of ``size`` characters, starts ``size - overlap`` apart."""
+def char_windows(c: Column, size: int = 2500, overlap: int = 200, most: int | None = None) -> Column:
+    """array<struct<i, window>>: windows of ``size`` characters, starts ``size - overlap`` apart; the first ``most`` if given.
+
+    Every character is in a window unless ``most`` cuts; null and empty texts have none.
+    """
     step = size - overlap
-    starts = F.filter(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(i * step).alias("at")) for i in range(most))), lambda s: s["at"] < F.length(c))
-    return F.transform(starts, lambda s: F.struct(s["i"].alias("i"), F.substring(c, s["at"] + 1, F.lit(size)).alias("window")))
+    n = F.ceil(F.length(c) / step).cast("int")
+    n = n if most is None else F.when(n > most, F.lit(most)).otherwise(n)
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("i"), F.substring(c, i * step + 1, F.lit(size)).alias("window")))
 
 
 def word_windows(c: Column, size: int = 350, overlap: int = 40, least: int = 30) -> Column:

@@ -91,7 +91,7 @@ def doc_pipeline_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SELECT doc_id, i, sha1(substr(text, i * 2300 + 1, 2500)) AS h FROM documents, range(0, 4) r(i) WHERE i * 2300 < length(text)"""
 )
 def doc_char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select("doc_id", F.inline(X.char_windows(F.col("text"))))
+    rows = documents(spark, sf_dir).select("doc_id", F.inline(X.char_windows(F.col("text"), most=4)))
     return rows.select("doc_id", F.col("i").cast("long").alias("i"), F.sha1(F.col("window").cast("binary")).alias("h"))
 
 
