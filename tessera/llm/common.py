@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Batches are cut so that one holds about this many bytes of text (a longer text is a batch of its own).
 BATCH_CHARS = 2_000_000
@@ -41,13 +44,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
-    """Like ``materialise``, with the rows laid out by a hash of ``keys``: later joins on them leave the table where it is."""
-    spark = df.sparkSession
-    table_name = f"{name}_{uuid.uuid4().hex}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.bucketBy(n, *keys).option("path", shared_path(spark, name)).option("compression", "zstd").saveAsTable(table_name)
-    return spark.table(table_name)
+#: Plan nodes under which a row of a file stays one row.
+PLAIN = re.compile(r"(?:Project|Filter|SubqueryAlias|Relation|LogicalRelation)\b")
+
+
+def located(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__file`` and ``__row``, which tell every row apart, repeated rows too.
+
+    Rows that come straight from files have the file's hash and their number in it, at no cost; all others are
+    written to shared storage with a number. Rows that have both columns keep them.
+    """
+    if {"__file", "__row"} <= set(docs.columns):
+        return docs
+    steps = [re.sub(r"^[\s:+|-]*", "", x) for x in docs._jdf.queryExecution().analyzed().toString().splitlines()]
+    if docs.inputFiles() and all(PLAIN.match(x) for x in steps if x) and sum("Relation" in x.split(" ")[0] for x in steps) == 1:
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+        except AnalysisException:  # a format that does not number its rows
+            pass
+    return materialise(docs.select("*", F.lit(0).cast("long").alias("__file"), F.monotonically_increasing_id().alias("__row")), "rows")
 
 
 def resource(key: str, build: Callable[[], object]) -> object:

@@ -1,7 +1,7 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-Texts are folded (lower case, runs of anything but letters and digits as one blank). A test item of m characters may
-differ by ``k = floor(budget * m)`` edits from a passage of a document; it is split into k + 1 pieces, of which at
+Texts are folded (lower case, runs of anything but letters and digits as one blank, a blank at either end, so that
+an item that stands inside a longer word differs by its borders). A test item of m folded characters may differ by ``k = floor(budget * m)`` edits from a passage of a document; it is split into k + 1 pieces, of which at
 least one is in any such passage unchanged. One automaton of all pieces finds the exact hits; a hit fixes the
 stretch of document in which the item can lie, and Myers' bit-parallel recurrence over that stretch gives the least
 edit distance of the whole item to any substring of it.
@@ -10,6 +10,7 @@ edit distance of the whole item to any substring of it.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -17,10 +18,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_text, release
+from tessera.llm.common import map_text, resource
 
-#: Edits for each character of an item; items with fewer characters are matched exactly, as whole words.
-BUDGET, LEAST_CHARS = 0.06, 20
+#: Edits for each character of an item.
+BUDGET = 0.06
 #: Characters of items that one pass over the documents takes: bounds the automaton that goes to the executors.
 ITEMS_AT_ONCE = 4_000_000
 
@@ -28,13 +29,15 @@ FOLD = re.compile(r"[\W_]+")
 
 
 def fold(text: str) -> str:
-    return FOLD.sub(" ", text.lower()).strip()
+    """Empty for texts without letters and digits."""
+    words = FOLD.sub(" ", text.lower()).strip()
+    return f" {words} " if words else ""
 
 
 def pieces(item: str, budget: float) -> list[tuple[int, str]]:
     """(offset, piece): k + 1 pieces of nearly equal length."""
     m = len(item)
-    n = (int(budget * m) if m >= LEAST_CHARS else 0) + 1
+    n = int(budget * m) + 1
     cuts = [m * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
@@ -75,7 +78,7 @@ class Matcher:
 
     def __init__(self, items: list[tuple[int, str]], budget: float):
         self.items = items
-        self.limits = [int(budget * len(t)) if len(t) >= LEAST_CHARS else 0 for _, t in items]
+        self.limits = [int(budget * len(t)) for _, t in items]
         self.patterns: dict[int, Pattern] = {}
         places: dict[str, list[tuple[int, int]]] = {}
         for n, (_, text) in enumerate(items):
@@ -108,7 +111,7 @@ class Matcher:
             best, end = k + 1, 0
             for a, b in of:
                 exact = text.find(item, a, b)
-                if exact >= 0 and (k or self.whole(text, exact, exact + len(item))):
+                if exact >= 0:
                     best, end = 0, exact + len(item)
                     break
                 if k:
@@ -119,10 +122,6 @@ class Matcher:
                 out.append((self.items[n][0], best, end))
         return sorted(out)
 
-    @staticmethod
-    def whole(text: str, a: int, b: int) -> bool:
-        return (a == 0 or text[a - 1] == " ") and (b == len(text) or text[b] == " ")
-
 
 def item_blocks(items: DataFrame, id_col: str, text_col: str, at_once: int) -> Iterator[list[tuple[int, str]]]:
     """Folded items in blocks of at most ``at_once`` characters (a longer item alone); empty ones are left out."""
@@ -142,36 +141,39 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, at_once: int) -> I
         yield block
 
 
-def contaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", at_once: int = ITEMS_AT_ONCE) -> DataFrame:
-    """(doc_id, hits array<struct<item_id, distance, end>>) for every input row; hits are sorted by item_id.
+def contaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", at_once: int = ITEMS_AT_ONCE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep..., hits array<struct<item_id, distance, end>>) for every input row; hits are sorted by item_id.
 
     ``end`` is where the match ends in the folded document. Null and empty documents have no hits; null, empty and
     id-less items are never found; items that occur twice are found twice. Long documents are searched whole.
-    Repeated rows give repeated rows, an empty table an empty result; other columns are not read. The items are the
+    Repeated rows give repeated rows, an empty table an empty result; columns outside ``keep`` are not read. The items are the
     stated query set: they go to the executors in blocks of ``at_once`` characters, one pass over the documents
     carrying the hits of the blocks before.
     """
     spark = docs.sparkSession
-    kind, item_kind = dict(docs.dtypes)[id_col], dict(items.dtypes)[item_id_col]
+    kinds, item_kind = dict(docs.dtypes), dict(items.dtypes)[item_id_col]
     struct = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32()), ("end", pa.int64())]))
     if item_kind not in ("bigint", "int", "smallint", "tinyint"):
         raise ValueError(f"{item_id_col} must be an integer, not {item_kind}")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.array().cast("array<struct<item_id:bigint,distance:int,end:bigint>>").alias("hits"))
+    hits_type = "array<struct<item_id:bigint,distance:int,end:bigint>>"
+    names = ["__id", "__text", "__hits", *(f"__{i}" for i in range(len(keep)))]
+    rows = docs.select(F.col(id_col), F.col(text_col), F.array().cast(hits_type), *(F.col(f"`{k}`") for k in keep)).toDF(*names)
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, (kinds[id_col], "string", hits_type, *(kinds[k] for k in keep))))
     blocks = item_blocks(items, item_id_col, item_text_col, at_once)
     block = next(blocks, None)
     while block:
-        shared, block = spark.sparkContext.broadcast(block), next(blocks, None)
-        more = block is not None  # the last pass needs no text any more
+        shared, key, block = spark.sparkContext.broadcast(block), f"matcher:{uuid.uuid4().hex}", next(blocks, None)
+        last = block is None  # the last pass hands no text on
 
-        def make(shared=shared, more=more):
-            release()
-            matcher = Matcher(shared.value, budget)
+        def make(shared=shared, key=key, last=last):
+            matcher = resource(key, lambda: Matcher(shared.value, budget))
 
             def f(columns, texts):
                 hits = [[*before, *({"item_id": i, "distance": d, "end": e} for i, d, e in matcher.find(fold(t)))] for before, t in zip(columns[2].to_pylist(), texts)]
-                return {"doc_id": columns[0], **({"text": columns[1]} if more else {}), "hits": pa.array(hits, struct)}
+                return dict(zip(names, (columns[0], pa.nulls(len(texts), pa.string()) if last else columns[1], pa.array(hits, struct), *columns[3:])))
 
             return f
 
-        rows = map_text(rows, make, f"doc_id {kind}, {'text string, ' if more else ''}hits array<struct<item_id:bigint,distance:int,end:bigint>>", 1)
-    return rows.select("doc_id", F.array_sort("hits").alias("hits"))
+        rows = map_text(rows, make, schema, 1)
+    kept = [F.col(n).alias(k) for n, k in zip(names[3:], keep)]
+    return rows.select(F.col("__id").alias("doc_id"), *kept, F.array_sort("__hits").alias("hits"))

@@ -1,42 +1,70 @@
 """Near-duplicate lines by a segment-partition edit join.
 
-Lines within ``TAU`` edits of each other share at least one of TAU + 1 segments, at nearly the same place. Each
-distinct line is indexed by its segments under (length, segment number, content) and probes, for its own length and
-each length down to TAU less, the substrings that can align with a segment of a line of that length; the positions
-follow from the length difference (multi-match-aware selection). Lines that meet under a key are candidates; the
-parities of their letter pairs (each edit changes at most four) leave out most false ones, and a banded bit-parallel
-edit distance decides. Equal lines are one node from the start.
-
-With a ``share`` the budget grows with the line: ``share`` per cent of the shorter one, TAU at least. Segments would
-need some budget cubed probes then, so lines meet under winnowed grams instead: t edits leave a common run of at least
-(n - t) / (t + 1) characters, and two texts that share a run of k + w - 1 characters choose the same k-gram in it. The
-keys also hold the class of the length and of the place, each with its neighbour, so no pair within the budget is lost.
+Two lines may differ by the edits that a :class:`Budget` allows the shorter one, t. The shorter line is split into
+t + 1 segments of nearly equal length, of which one at least is in the longer line unchanged, at most t places away.
+The longer line probes every substring of a segment's length. Segments and substrings are looked up by their
+minimizer: the least hash of the k-grams in them. Equal strings have equal minimizers, and neighbouring substrings
+mostly share theirs, so a line gives one key for each run of substrings with one minimizer instead of t times t
+probes. Each key says whether a segment starts in its run (the index) and carries the classes of the line's length
+and of the place, so that only lines of about one length meet, at about one place.
+
+Keys travel packed by partition; a key that many lines of one batch share leaves the batch once, its lines go on
+spread out. Lines that meet are classed by hubs and blocks (:mod:`tessera.llm.linking`); letter counts leave out most
+false candidates, and a banded bit-parallel edit distance decides. Equal lines are one node from the start: a node is
+the line's 64-bit hash, its classes are told by 128 bits.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from tessera.llm.common import bucketed, materialise, release
-from tessera.llm.linking import cross_pairs, near_classes
-
-#: Edits that two lines may differ by; shorter lines match only if they are equal.
-TAU, LEAST_CHARS = 2, 24
-#: Per cent of a line's characters that ``op2_line_dedup`` lets two lines differ by, as decontamination does.
-SHARE = 6
+from tessera.llm.common import located, materialise, release, slices
+from tessera.llm.linking import block_links, hub_members, near_classes
 
 #: Unicode's white space without the line feed.
 WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+@dataclass(frozen=True)
+class Budget:
+    """Edits that a line of n characters and a longer one may differ by: ``share`` per mille of n + ``slack``, ``tau`` at least, none under ``least``."""
+
+    share: int = 20
+    slack: int = 30
+    tau: int = 0
+    least: int = 0
+
+    def of(self, n):
+        n = np.asarray(n)
+        return np.where(n >= self.least, np.maximum(self.tau, (n + self.slack) * self.share // 1000), 0)
+
+    def column(self, n: Column) -> Column:
+        grown = F.floor((n + F.lit(self.slack)) * F.lit(self.share) / F.lit(1000)).cast("int")
+        return F.when(n >= self.least, F.greatest(F.lit(self.tau), grown)).otherwise(0)
+
+
+#: One edit for each 50 characters, rounded (from 20 characters on).
+BUDGET = Budget()
+
+#: Characters of a minimizer's gram and of a segment that count at most; lengths beyond share the last level.
+GRAM, SEGMENT, LONGEST = 16, 96, 1 << 20
+#: Characters that one step of the key maker takes (they stay in the processor's cache), and those of a line's piece.
+STEP_CHARS, PIECE_CHARS = 65_536, 1 << 20
+#: Key rows that a batch packs at once; lines of one batch under a key from which on it is hot.
+PACKED, HOT = 500_000, 64
+#: Bits of the filter that finds the texts of lines that met: what is broadcast has this size however many there are.
+FILTER_BITS = 1 << 25
+
+
 def segments(n: int, tau: int) -> list[tuple[int, int]]:
     """(start, length) of tau + 1 segments of nearly equal length; the longer ones come last."""
     k = tau + 1
@@ -49,22 +77,303 @@ def segments(n: int, tau: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(n: int, length: int, tau: int) -> list[tuple[int, int, int]]:
-    """(segment number, start, length) of the substrings of a line of n characters to look up among lines of ``length`` <= n."""
-    delta, out = n - length, []
-    for i, (p, size) in enumerate(segments(length, tau)):
-        low = max(p - i, p + delta - (tau - i), 0)
-        high = min(p + i, p + delta + (tau - i), n - size)
-        out += [(i, a, size) for a in range(low, high + 1)]
-    return out
+@dataclass(frozen=True)
+class Level:
+    """Lines of ``low`` to ``high`` - 1 characters: gram length, grams in a window, width of a place class."""
+
+    low: int
+    high: int
+    k: int
+    w: int
+    unit: int
+
+
+@cache
+def levels(budget: Budget) -> list[Level]:
+    """The levels of all lengths at which a line may have an edit."""
+    n = np.arange(LONGEST + 1)
+    most = budget.of(n)
+    run = n // (most + 1)
+    if not most[-1]:
+        return []
+    out, low = [], max(int(np.argmax(most > 0)), 1)
+    while low < LONGEST:
+        high = min(max(low * 3 // 2, low + 1), LONGEST)
+        r = max(1, min(int(run[low:high].min()), SEGMENT))
+        k = max(1, min(GRAM, (3 * r + 4) // 5))
+        out.append(Level(low, high, k, r - k + 1, 16 * (int(most[high - 1]) + 1)))
+        low = high
+    last = out[-1]
+    return [*out[:-1], Level(last.low, 1 << 62, last.k, last.w, 1 << 40)]  # one place for all lines beyond
+
+
+@cache
+def length_starts(budget: Budget) -> np.ndarray:
+    """Where the classes of lengths start: each is wider than the budget of any line below its end. There are 126 at most."""
+    out = [0]
+    while out[-1] < LONGEST and len(out) < 126:
+        out.append(out[-1] + 4 * int(budget.of(out[-1])) + 8)
+    return np.array(out)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
 
+def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k codes, by doubling."""
+    h, size = (codes + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15), 1
+    h ^= h >> np.uint64(29)
+    while size < k:
+        step = min(size, k - size)
+        h = h[:-step] * np.uint64(0xBF58476D1CE4E5B9) + h[step:]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0x94D049BB133111EB)
+        size += step
+    return h
+
+
+def window_least(h: np.ndarray, w: int) -> np.ndarray:
+    size = 1
+    while size < w:
+        step = min(size, w - size)
+        h = np.minimum(h[:-step], h[step:])
+        size += step
+    return h
+
+
+def pieces(line: str, reach: int) -> Iterator[tuple[int, str]]:
+    """(start, part) of a line in parts that overlap by ``reach`` - 1 characters: each window is whole in one."""
+    for a in range(0, max(1, len(line) - reach + 1), PIECE_CHARS):
+        yield a, line[a : a + PIECE_CHARS + reach - 1]
+
+
+def line_keys(lines: list[str], budget: Budget) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key of 48 bits, number of the line, length class with the index mark in bit 7, place class) of all lines' runs."""
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    least = sizes - budget.of(sizes)  # a shorter partner has at least so many characters
+    classes = np.searchsorted(length_starts(budget), sizes, "right") - 1
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8))]
+    for number, level in enumerate(levels(budget)):
+        chosen = np.nonzero((sizes >= level.low) & (least < level.high))[0]
+        parts: list[tuple[int, int, str]] = []
+        held = 0
+        for i in chosen.tolist():
+            for a, part in pieces(lines[i], level.k + level.w - 1):
+                parts.append((i, a, part))
+                held += len(part)
+                if held >= STEP_CHARS:
+                    out.append(runs(parts, sizes, classes, budget, level, number))
+                    parts, held = [], 0
+        if parts:
+            out.append(runs(parts, sizes, classes, budget, level, number))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def runs(parts: list[tuple[int, int, str]], sizes: np.ndarray, classes: np.ndarray, budget: Budget, level: Level, number: int) -> tuple:
+    """The runs of one minimizer in (line, start, text) parts, cut where a class of places ends."""
+    reach = level.k + level.w - 1
+    line = np.array([i for i, _, _ in parts])
+    first = np.array([a for _, a, _ in parts])
+    size = np.array([len(t) for _, _, t in parts])
+    ends = np.cumsum(size)
+    start = ends - size
+    codes = np.frombuffer("".join(t for _, _, t in parts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    h = window_least(gram_hashes(codes, level.k), level.w)
+    new = np.empty(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[start] = True
+    for cut in range(level.unit, int(size.max()) + level.unit, level.unit):  # parts start at whole multiples of PIECE_CHARS
+        at = start + cut - first % level.unit
+        new[at[at <= ends - reach]] = True
+    over = (ends - reach + 1)[:, None] + np.arange(reach - 1)  # windows that would cross into the next part
+    over = over[over < len(h)]
+    new[over] = False
+    at = np.nonzero(new)[0]
+    of = np.searchsorted(start, at, "right") - 1
+    place = first[of] + at - start[of]
+    # segments of lines of this level mark the runs they start in
+    most = np.where(sizes[line] < level.high, budget.of(sizes[line]), -1)
+    k = most + 1
+    j = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+    n, k = np.repeat(sizes[line], k), np.repeat(k, k)
+    begins = j * (n // np.maximum(k, 1)) + np.maximum(0, j - (k - n % np.maximum(k, 1)))
+    here = begins - np.repeat(first, most + 1)
+    inside = (here >= 0) & (here <= np.repeat(size, most + 1) - reach)
+    marks = (np.repeat(start, most + 1) + here)[inside]
+    indexed = np.zeros(len(at), np.uint8)
+    indexed[np.searchsorted(at, marks, "right") - 1] = 128
+    tag = np.minimum(classes[line[of]], 126).astype(np.uint8) | indexed
+    return mixed(h[at] ^ np.uint64(number)) >> np.uint64(16), line[of], tag, (place // level.unit & 255).astype(np.uint8)
+
+
+def packed(key: np.ndarray, node: np.ndarray, tag: np.ndarray, place: np.ndarray) -> bytes:
+    return b"".join(((key & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (key >> np.uint64(32)).astype("<u2").tobytes(), node.astype("<i8").tobytes(), tag.tobytes(), place.tobytes()))
+
+
+def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8))]
+    for b in blobs:
+        n = len(b) // 16
+        low, high = np.frombuffer(b, "<u4", n), np.frombuffer(b, "<u2", n, 4 * n)
+        out.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), np.frombuffer(b, "<i8", n, 6 * n), np.frombuffer(b, np.uint8, n, 14 * n), np.frombuffer(b, np.uint8, n, 15 * n)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def line_node(line: str) -> int:
+    """What Spark's xxhash64 gives for a string."""
+    h = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def lines_of(texts: list[str | None]) -> list[str]:
+    """The distinct lines that are not blank, without the white space around them."""
+    found: dict[str, None] = {}
+    for t in texts:
+        if t:
+            found.update(dict.fromkeys(line.strip(WHITE) for line in t.split("\n")))
+    found.pop("", None)
+    return list(found)
+
+
+def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]]:
+    for batch in batches:
+        for a, b in slices(pc.fill_null(pc.binary_length(batch.column(0)), 0).to_pylist()):
+            yield batch.column(0).slice(a, b - a).to_pylist()
+
+
+#: Stands for the length class of a hot key's one row; classes of lengths are lower.
+HOT_CLASS = 127
+
+
+def packed_keys(texts: DataFrame, budget: Budget, parts: int) -> DataFrame:
+    """(part, hot, blob) of the keys of all lines in ``texts(text)``: packed key rows of a partition, or of hot keys."""
 
-def pair_parities(line: str) -> int:
-    """64 parities of the counts of hashed letter pairs, as a signed number."""
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    at = (codes[:-1] * np.uint32(0x9E3779B1) + codes[1:] * np.uint32(0x85EBCA77)) * np.uint32(0xC2B2AE3D) >> np.uint32(26)
-    odd = np.bincount(at, minlength=64) & 1
-    return int(np.packbits(odd.astype(np.uint8)).view(np.int64)[0])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held: list[tuple] = []
+        spread = 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal spread
+            key, node, tag, place = (np.concatenate(x) for x in zip(*held))
+            held.clear()
+            order = np.argsort(key)
+            key, node, tag, place = key[order], node[order], tag[order], place[order]
+            edge = np.concatenate([[True], key[1:] != key[:-1]])
+            hot = np.repeat(np.diff(np.append(np.nonzero(edge)[0], len(key))) >= HOT, np.diff(np.append(np.nonzero(edge)[0], len(key))))
+            rows = []
+            if hot.any():
+                away = [x[hot] for x in (key, node, tag, place)]
+                for a in range(0, len(away[0]), 4096):
+                    rows.append((spread % parts, True, packed(*(x[a : a + 4096] for x in away))))
+                    spread += 1
+                tag = np.where(hot, np.uint8(HOT_CLASS), tag)
+                keep = ~hot | edge
+                key, node, tag, place = key[keep], node[keep], tag[keep], place[keep]
+            cuts = np.searchsorted(key, np.array([-(-(p << 48) // parts) for p in range(parts + 1)], dtype=np.uint64))
+            rows += [(p, False, packed(*(x[a:b] for x in (key, node, tag, place)))) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "hot", "blob"])
+
+        for some in text_batches(batches):
+            lines = lines_of(some)
+            key, line, tag, place = line_keys(lines, budget)
+            if len(key):
+                held.append((key, np.array([line_node(t) for t in lines], dtype=np.int64)[line], tag, place))
+            if sum(len(h[0]) for h in held) >= PACKED:
+                yield flush()
+        if held:
+            yield flush()
+
+    return texts.mapInArrow(run, "part int, hot boolean, blob binary")
+
+
+def neighbours(key: np.ndarray, tag: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+    """The keys together with a length class and a place class, each its own and the next: neighbours in both share one."""
+    for c in (0, 1):
+        for p in (0, 1):
+            salt = (tag & np.uint8(127)).astype(np.uint64) + np.uint64(c) << np.uint64(8) | ((place + np.uint8(p)) & np.uint8(255)).astype(np.uint64)
+            yield mixed(key ^ mixed(salt + np.uint64(1))).view(np.int64)
+
+
+def shared_keys(packs: DataFrame) -> DataFrame:
+    """(key, node) of the lines that meet another under a key, a length class and a place class, one of them by a segment."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        held: list[bytes] = []
+
+        def rows(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a in range(0, len(key), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(node[a : a + 100_000])], names=["key", "node"])
+
+        for batch in batches:
+            for hot, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                if hot:
+                    key, node, tag, place = unpacked([blob])
+                    for k in neighbours(key, tag, place):
+                        yield from rows(k, node)
+                else:
+                    held.append(blob)
+        key, node, tag, place = unpacked(held)
+        held.clear()
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        same = key[1:] == key[:-1]
+        met = np.zeros(len(key), bool)
+        met[1:] |= same
+        met[:-1] |= same
+        key, node, tag, place = key[met], node[order[met]], tag[order[met]], place[order[met]]
+        with_hot = np.isin(key, key[tag & 127 == HOT_CLASS])
+        real = tag & 127 != HOT_CLASS
+        out_key = [np.zeros(0, np.int64)]
+        out_node = [np.zeros(0, np.int64)]
+        for chosen, certain in ((real & with_hot, True), (real & ~with_hot, False)):
+            k = np.concatenate([*neighbours(key[chosen], tag[chosen], place[chosen])])
+            n = np.tile(node[chosen], 4)
+            if not certain:
+                marked = np.tile(tag[chosen] >> 7, 4)
+                order = np.lexsort((n, k))
+                k, n, marked = k[order], n[order], marked[order]
+                at = np.nonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))[0]
+                if len(at):
+                    times = np.diff(np.append(at, len(k)))
+                    last = np.append(at[1:], len(k)) - 1
+                    keep = np.repeat((n[at] != n[last]) & (np.maximum.reduceat(marked, at) > 0), times)
+                    k, n = k[keep], n[keep]
+            out_key.append(k)
+            out_node.append(n)
+        yield from rows(np.concatenate(out_key), np.concatenate(out_node))
+
+    return packs.mapInArrow(run, "key long, node long")
+
+
+def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, h2, text) of the lines whose hash is in ``nodes(node)``.
+
+    A filter of ``FILTER_BITS`` bits goes to the tasks that read the texts, so that few other lines are shuffled; with
+    very many nodes it lets all lines pass, and the join does the work.
+    """
+    words = nodes.selectExpr(f"shiftright(pmod(node, {FILTER_BITS}L), 6) AS word", "shiftleft(1L, CAST(pmod(node, 64L) AS INT)) AS bits")
+    words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled[np.asarray(words["word"].combine_chunks(), dtype=np.int64)] = np.asarray(words["bits"].combine_chunks(), dtype=np.int64)
+    shared = texts.sparkSession.sparkContext.broadcast(filled.tobytes())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        bits = np.frombuffer(shared.value, np.uint8)
+        for some in text_batches(batches):
+            lines = lines_of(some)
+            found = np.array([line_node(t) for t in lines], dtype=np.int64)
+            at = found.view(np.uint64) % np.uint64(FILTER_BITS)
+            keep = np.nonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)[0]
+            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array([lines[i] for i in keep.tolist()], pa.string())], names=["node", "text"])
+
+    lines = texts.mapInArrow(run, "node long, text string").join(nodes, "node", "left_semi")
+    return lines.groupBy("node").agg(F.min("text").alias("text")).select("node", F.xxhash64(F.lit(1), "text").alias("h2"), "text")
 
 
 def within(a: str, b: str, tau: int) -> bool:
@@ -102,202 +411,102 @@ def within(a: str, b: str, tau: int) -> bool:
     return score <= tau
 
 
-def budget(n: int, tau: int, share: int) -> int:
-    """Edits that a line of n characters and a longer one may differ by."""
-    return max(tau, n * share // 100)
-
-
-def length_class(n: int, tau: int, share: int) -> int:
-    """Classes of lengths, each at least as wide as the budget of a line below it."""
-    return length_classes(tau, share, max(n, 1).bit_length())[n]
-
-
-@cache
-def length_classes(tau: int, share: int, bits: int) -> np.ndarray:
-    """The class of every length under 2 ** bits; the classes do not depend on ``bits``."""
-    top = 1 << bits
-    out, start, c = np.zeros(top, np.int32), 0, 0
-    while start < top:
-        end = start + 2 * budget(start, tau, share) + 1
-        out[start:end] = c
-        start, c = end, c + 1
-    return out
-
-
-@cache
-def winnowing(c: int, start: int, tau: int, share: int) -> tuple[int, int, int]:
-    """(k, w, the largest budget) for pairs whose longer line is of class c, ``start`` the least length of the class."""
-    ends = range(start, start + 2 * budget(start, tau, share) + 1)
-    run = min(-(-(n - b) // (b + 1)) for n in ends for b in (budget(n, tau, share),) if n > b)
-    k = max(1, (3 * run + 4) // 5)
-    return k, run - k + 1, budget(ends[-1], tau, share)
-
-
-def mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
-    return h ^ h >> np.uint64(31)
-
-
-def winnowed(line: str, tau: int, share: int) -> np.ndarray:
-    """The keys under which a line meets every line within its budget."""
-    n, out = len(line), []
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    for c in range(length_class(n, tau, share), length_class(n + budget(n, tau, share), tau, share) + 1):
-        start = int(np.searchsorted(length_classes(tau, share, (2 * n + tau).bit_length()), c))
-        k, w, reach = winnowing(c, start, tau, share)
-        if n < k + w - 1:
-            continue
-        grams = np.zeros(n - k + 1, np.uint64)
-        for i in range(k):
-            grams = grams * np.uint64(0x100000001B3) + codes[i : n - k + 1 + i]
-        grams = mixed(grams)
-        windows = np.lib.stride_tricks.sliding_window_view(grams, w)
-        at = np.unique(windows.argmin(1) + np.arange(len(windows)))
-        wide = 2 * reach + 1
-        low, high = at // wide, (at + reach) // wide
-        both = high > low
-        place = np.concatenate([low, high[both]]).astype(np.uint64)
-        chosen = np.concatenate([grams[at], grams[at[both]]])
-        out.append(mixed(chosen ^ mixed(place << np.uint64(24) | np.uint64(c))))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+def letters(line: str) -> np.ndarray:
+    """How often a line has the letters of each of 64 kinds."""
+    return np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 63, minlength=64).astype(np.int32)
 
 
 def may_agree(a: str, b: str, tau: int) -> bool:
     """Whether the letters alone leave room for an edit distance of at most tau."""
-    bags = [np.bincount(np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 63, minlength=64) for t in (a, b)]
-    off = bags[0] - bags[1]
+    off = letters(a) - letters(b)
     return max(int(off[off > 0].sum()), -int(off[off < 0].sum())) <= tau
 
 
-def located_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of every line that is not blank; lines lose the white space around them."""
-    lines = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
-    lines = lines.withColumn("line", F.btrim("line", F.lit(WHITE))).filter("line <> ''")
-    return lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
-
-
-def keyed(lines: DataFrame, tau: int, least: int) -> DataFrame:
-    """(key, tagged) of every line long enough, one row for each probe; own segments are the index.
-
-    ``tagged`` is twice the node, plus one for the index: the rows are many, so they are kept short.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
-        hashed, plans = xxhash.xxh3_64_intdigest, {}
-        for batch in batches:
-            for begin in range(0, batch.num_rows, 2048):
-                part = batch.slice(begin, 2048)
-                key, count, own = [], [], []
-                for t in part.column(1).to_pylist():
-                    n = len(t)
-                    if n not in plans:
-                        plans[n] = [(a, a + size, (length << 8 | i) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF, length == n and a == segments(n, tau)[i][0]) for length in range(max(n - tau, least), n + 1) for i, a, size in probes(n, length, tau)]
-                    plan = plans[n]
-                    key += [hashed(t[a:e].encode("utf-8", "surrogatepass")) ^ salt for a, e, salt, _ in plan]
-                    own += [o for _, _, _, o in plan]
-                    count.append(len(plan))
-                if len(plans) > 10_000:
-                    plans.clear()
-                tagged = np.repeat(2 * np.asarray(part.column(0)), count) + np.array(own, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(key, dtype=np.uint64).view(np.int64)), pa.array(tagged)], names=["key", "tagged"])
-
-    return lines.filter(F.length("line") >= least).select("node", "line").mapInArrow(run, "key long, tagged long")
-
-
-def winnowed_keys(lines: DataFrame, tau: int, share: int, least: int) -> DataFrame:
-    """Like ``keyed`` for a budget that grows with the line; every row is of the index."""
+def agreeing(pairs: DataFrame, texts: DataFrame, budget: Budget) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines are within their budget of edits."""
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
+    both = pairs.join(a, "a").join(b, "b").withColumn("most", budget.column(F.least(F.length("x"), F.length("y"))))
+    both = both.filter(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release()
         for batch in batches:
-            for begin in range(0, batch.num_rows, 2048):
-                part = batch.slice(begin, 2048)
-                keys = [winnowed(t, tau, share) for t in part.column(1).to_pylist()]
-                tagged = np.repeat(2 * np.asarray(part.column(0)) + 1, [len(k) for k in keys])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(tagged)], names=["key", "tagged"])
-
-    return lines.filter(F.length("line") >= least).select("node", "line").mapInArrow(run, "key long, tagged long")
-
-
-def allowed(x, y, tau: int, share: int):
-    """The budget of two lines with x and y characters."""
-    return F.greatest(F.lit(tau), F.floor(F.least(x, y) * share / 100).cast("int"))
-
-
-def with_parities(texts: DataFrame) -> DataFrame:
-    """Adds ``parities`` to (node, line)."""
+            keep = [may_agree(x, y, t) and within(x, y, t) for x, y, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sums = [pair_parities(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sums, pa.int64())], names=["node", "line", "parities"])
+    return both.select("a", "b", "x", "y", "most").mapInArrow(run, "a long, b long")
 
-    return texts.select("node", "line").mapInArrow(run, "node long, line string, parities long")
 
+def block_checker(budget: Budget):
+    """What ``linking.block_links`` needs to tell lines within their budget."""
 
-def agreeing(pairs: DataFrame, texts: DataFrame, tau: int, share: int = 0) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines are within their budget of edits."""
-    a = texts.select(F.col("node").alias("a"), F.col("line").alias("x"), F.col("parities").alias("p"))
-    b = texts.select(F.col("node").alias("b"), F.col("line").alias("y"), F.col("parities").alias("q"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("most", allowed(F.length("x"), F.length("y"), tau, share))
-    both = both.filter((F.bit_count(F.col("p").bitwiseXOR(F.col("q"))) <= 4 * F.col("most")) & (F.abs(F.length("x") - F.length("y")) <= F.col("most")))
+    def make():
+        def linked(a: list[str], b: list[str], apart) -> Iterator[tuple[int, int]]:
+            size_a, size_b = (np.array([len(t) for t in side]) for side in (a, b))
+            most = budget.of(np.minimum(size_a[:, None], size_b[None, :]))
+            rows, columns = np.nonzero(np.abs(size_a[:, None] - size_b[None, :]) <= most)
+            counts_a, counts_b = (np.stack([letters(t) for t in side]) for side in (a, b))
+            for start in range(0, len(rows), 16_384):
+                i, j = rows[start : start + 16_384], columns[start : start + 16_384]
+                off = counts_a[i] - counts_b[j]
+                near = np.maximum(np.where(off > 0, off, 0).sum(1), -np.where(off < 0, off, 0).sum(1)) <= most[i, j]
+                for x, y in zip(i[near].tolist(), j[near].tolist()):
+                    if apart(x, y) and within(a[x], b[y], int(most[x, y])):
+                        yield x, y
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = [(not share or may_agree(x, y, t)) and within(x, y, t) for x, y, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
-            yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
+        return (lambda text: text), linked
 
-    return both.select("a", "b", "x", "y", "most").mapInArrow(run, "a long, b long")
+    return make
 
 
-def line_classes(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text", share: int = 0) -> DataFrame:
+def located_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, file, row, line_no, h1, h2) of every line that is not blank; lines lose the white space around them."""
+    lines = located(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col("__file").alias("file"), F.col("__row").alias("row"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    lines = lines.withColumn("line", F.btrim("line", F.lit(WHITE))).filter("line <> ''")
+    return lines.select("doc_id", "file", "row", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+
+
+def classed_lines(docs: DataFrame, budget: Budget, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``located_lines`` with ``first``, the place (no_id, doc_id, file, row, line_no) of their class's first line."""
+    spark = docs.sparkSession
+    here = materialise(located_lines(docs, id_col, text_col), "lines")
+    texts = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
+    parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+    packs = packed_keys(texts, budget, parts).repartitionById(parts, "part")
+    buckets = materialise(hub_members(materialise(shared_keys(packs), "met")), "buckets")
+    known = materialise(texts_of(texts, buckets.select("node").distinct()), "texts")
+
+    components, _ = near_classes(buckets, lambda pairs: agreeing(pairs, known, budget), lambda groups: block_links(groups, known, block_checker(budget)))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row", "line_no")
+    firsts = materialise(here.groupBy("h1", "h2").agg(F.min(place).alias("first")), "firsts")
+    moved = components.join(known.select("node", "h2"), "node").join(firsts.withColumnRenamed("h1", "node"), ["node", "h2"])
+    leads = moved.groupBy("component").agg(F.min("first").alias("lead"))
+    moved = moved.join(leads, "component").select(F.col("node").alias("h1"), "h2", "lead")
+    firsts = firsts.join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("lead", "first").alias("first"))
+    return here.join(firsts, ["h1", "h2"]).withColumn("kept", place == F.col("first"))
+
+
+def line_classes(docs: DataFrame, budget: Budget = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no, class_doc, class_line, kept) of every line that is not blank.
 
-    Two lines are linked if they are equal, or both have ``least`` characters or more and are within ``tau`` edits
-    or ``share`` per cent of the shorter one's characters, whichever is more; classes are the connected sets. class_doc and class_line name the first occurrence of a class by (doc_id,
-    line_no), kept is true there. Null and empty texts have no lines; lines of documents without an id are left
-    out. Rows with one doc_id share their places: a place is kept in each or in none. Repeated rows give repeated
-    rows, an empty table an empty result; other columns are not read.
+    Two lines are linked if they are equal or within the ``budget`` of the shorter one; classes are the connected
+    sets. class_doc and class_line name the first occurrence of a class by (doc_id, row, line_no), rows without an id
+    last; kept is true there alone. Null and empty texts have no lines. Rows are told apart by where they are read
+    from, not by their id: repeated rows and rows that share an id are rows of their own, of which the first keeps its
+    line. An empty table gives an empty result; other columns are not read. doc_id must be an integer.
     """
-    here = located_lines(docs.filter(F.col(id_col).isNotNull()), id_col, text_col)
-    place = F.struct("doc_id", "line_no", "line")
-    first = here.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-    lines = bucketed(first.select(F.monotonically_increasing_id().alias("node"), "h1", "h2", "first.*"), "lines", "h1", "h2")
-    of_key = W.partitionBy("key")
-    met = (winnowed_keys(lines, tau, share, least) if share else keyed(lines, tau, least)).select("key", F.shiftright("tagged", 1).alias("node"), (F.col("tagged") % 2).alias("indexed"))
-    met = met.withColumn("hub", F.min("node").over(of_key)).withColumn("top", F.max("node").over(of_key)).withColumn("any", F.max("indexed").over(of_key))
-    found = materialise(met.filter("hub <> top and any = 1").select("key", "node", "hub"), "met")
-    # the lines lie by (h1, h2): the few that met go to them, their text is never dealt anew
-    wanted = lines.select("node", "h1", "h2").join(found.select("node").distinct(), "node", "left_semi").select("h1", "h2")
-    texts = materialise(with_parities(lines.join(wanted, ["h1", "h2"], "left_semi")), "texts")
-    buckets = materialise(found.join(texts.select("node", "parities", F.length("line").alias("size")), "node"), "buckets")
-
-    def may(x: str, y: str):
-        most = allowed(F.col(f"{x}.size"), F.col(f"{y}.size"), tau, share)
-        return (F.bit_count(F.col(f"{x}.parities").bitwiseXOR(F.col(f"{y}.parities"))) <= 4 * most) & (F.abs(F.col(f"{x}.size") - F.col(f"{y}.size")) <= most)
-
-    def check(pairs: DataFrame) -> DataFrame:
-        return agreeing(pairs, texts, tau, share)
-
-    components, _ = near_classes(buckets, check, lambda found, tested: check(materialise(cross_pairs(buckets, found, tested, may), "pairs")))
-    places = lines.select("node", "h1", "h2", F.col("doc_id").alias("class_doc"), F.col("line_no").alias("class_line"))
-    joined = places.join(components, "node")
-    firsts = joined.groupBy("component").agg(F.min(F.struct("class_doc", "class_line")).alias("f"))
-    moved = joined.join(firsts, "component").select("node", "f")
-    places = places.join(moved, "node", "left").select("h1", "h2", F.coalesce("f.class_doc", "class_doc").alias("class_doc"), F.coalesce("f.class_line", "class_line").alias("class_line"))
-    out = here.select("doc_id", "line_no", "h1", "h2").join(places, ["h1", "h2"])
-    return out.select("doc_id", "line_no", "class_doc", "class_line", ((F.col("doc_id") == F.col("class_doc")) & (F.col("line_no") == F.col("class_line"))).alias("kept"))
-
-
-def drop_repeated_lines(docs: DataFrame, tau: int = TAU, least: int = LEAST_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    out = classed_lines(docs, budget, id_col, text_col)
+    return out.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "kept")
+
+
+def drop_repeated_lines(docs: DataFrame, budget: Budget = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every line after the first of its class taken out of the text; all rows and columns stay.
 
-    Blank lines stay. Rows without an id or a text are unchanged.
+    Blank lines stay, and rows without a text are unchanged. Rows count as in :func:`line_classes`.
     """
-    gone = line_classes(docs, tau, least, id_col, text_col).filter(~F.col("kept")).groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line_no").alias("__gone"))
-    rows = docs.join(gone, F.col(id_col).cast("long") == F.col("__of"), "left")
+    rows = located(docs)
+    gone = classed_lines(rows, budget, id_col, text_col).filter(~F.col("kept")).groupBy(F.col("file").alias("__gf"), F.col("row").alias("__gr")).agg(F.collect_set("line_no").alias("__gone"))
+    rows = rows.join(gone, (F.col("__file") == F.col("__gf")) & (F.col("__row") == F.col("__gr")), "left")
     lines = F.filter(F.split(text_col, "\n"), lambda line, i: ~F.array_contains("__gone", i))
     text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
     return rows.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))

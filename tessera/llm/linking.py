@@ -1,24 +1,32 @@
 """Classes of near-duplicates from candidate buckets, without listing the pairs of a bucket.
 
-A bucket holds the nodes that share a key. First every member is checked against one hub of its bucket, and the
-links found give components. Two members of a bucket that are by then in one component need no check. What is left
-are buckets with several components: there, each member outside the hub's component is checked against the members
-of other components, as pairs that pass a filter (``cross_pairs``) or in blocks (``hub_groups``). So every pair that shares a bucket is either checked or known to be connected, and a bucket of
-copies costs one check for each member.
+A bucket holds the nodes that share a key; its hub is its least node. First every member is checked against its hub,
+and the links found give components. Two members of a bucket that are by then in one component need no check. What is
+left are hubs with members outside their component: those are checked against all members of the hub in blocks of
+bounded size, and a block gives one link at most for any two components it joins. So every pair that shares a bucket
+is either checked or known to be connected, and a bucket of copies costs one check for each member.
+
+Keys, hubs and components may be hot: hubs are found by aggregates that combine before the shuffle, hubs' members are
+dealt by (hub, salt), and joins on a key alone are plain sort-merge joins, which Spark splits where a key is skewed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialise
 
 Pairs = Callable[[DataFrame], DataFrame]
 
+#: Shares that a hub's members are dealt into before they meet what is known of the hub.
+SALTS = 32
+#: Sides of a block: members outside the hub's component, and members, that one task checks at once.
+BLOCK_OUTSIDE, BLOCK_MEMBERS = 256, 512
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges(a, b)``: component is the least node it is connected with.
@@ -44,56 +52,101 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
 
 
-def hub_buckets(members: DataFrame) -> DataFrame:
-    """Adds the hub (least node) to ``members(key, node, ...)`` and keeps buckets of two or more nodes."""
-    of_key = W.partitionBy("key")
-    return members.withColumn("hub", F.min("node").over(of_key)).withColumn("top", F.max("node").over(of_key)).filter("hub <> top").drop("top")
+def hub_members(members: DataFrame) -> DataFrame:
+    """(hub, node), distinct, of the buckets in ``members(key, node)`` that hold two or more nodes; a hub is a member of its own."""
+    hubs = members.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").select("key", "hub")
+    return members.select("key", "node").join(hubs, "key").select("hub", "node").distinct()
 
 
-def cross_pairs(buckets: DataFrame, components: DataFrame, tested: DataFrame, may: Callable | None = None) -> DataFrame:
-    """Pairs (a < b) of a bucket in different components that were not tested: members outside the hub's component with all others.
+def salted(n: int = SALTS):
+    return F.pmod(F.xxhash64("node"), F.lit(n)).cast("int").alias("salt")
 
-    ``may(x, y)`` is a condition on two members' columns that pairs must meet anyway.
-    """
-    of = components.select(F.col("node").alias("of"), "component")
-    here = buckets.join(of, F.col("node") == F.col("of"), "left").drop("of").withColumn("component", F.coalesce("component", "node"))
-    hubs = components.select(F.col("node").alias("of"), F.col("component").alias("main"))
-    here = here.join(hubs, F.col("hub") == F.col("of"), "left").drop("of").withColumn("main", F.coalesce("main", "hub"))
-    here = materialise(here, "members")
-    outside = here.filter("component <> main")
-    x, y = outside.alias("x"), here.alias("y")
-    # the least node first; both may lie outside the hub's component, then the pair comes once
-    side = (F.col("y.component") == F.col("y.main")) | (F.col("x.node") < F.col("y.node"))
-    on = (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & side
-    if may is not None:
-        on = on & may("x", "y")
-    pairs = x.join(y, on).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
-
-
-def hub_groups(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """(hub, node, component, outside) of the hubs that have members outside their component.
+
+def each_salt(n: int = SALTS):
+    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
+
+
+def open_groups(buckets: DataFrame, components: DataFrame) -> DataFrame:
+    """(hub, node, component, outside, n_outside, n_members) of the hubs that have members outside their component.
 
     Members that share a bucket share its hub, so the pairs of all buckets are among those of the hubs' groups, and
     there each comes once for a hub instead of once for a bucket.
     """
     of = components.select(F.col("node").alias("of"), "component")
-    members = buckets.select("hub", "node").distinct().join(of, F.col("node") == F.col("of"), "left").drop("of")
-    mains = components.select(F.col("node").alias("of"), F.col("component").alias("main"))
-    members = members.join(mains, F.col("hub") == F.col("of"), "left").drop("of")
-    component = F.coalesce("component", "node")
-    members = materialise(members.select("hub", "node", component.alias("component"), (component != F.coalesce("main", "hub")).alias("outside")), "members")
-    return members.join(members.filter("outside").select("hub").distinct(), "hub", "left_semi")
+    members = buckets.join(of, F.col("node") == F.col("of"), "left").select("hub", "node", F.coalesce("component", "node").alias("component"), salted())
+    hubs = buckets.filter("hub = node").select("hub").join(of, F.col("hub") == F.col("of"), "left").select("hub", F.coalesce("component", "hub").alias("main"))
+    members = materialise(members.join(hubs.select("hub", "main", each_salt()), ["hub", "salt"]).withColumn("outside", F.col("component") != F.col("main")), "members")
+    sizes = members.groupBy("hub").agg(F.sum(F.col("outside").cast("long")).alias("n_outside"), F.count("*").alias("n_members")).filter("n_outside > 0")
+    return members.join(sizes.select("hub", "n_outside", "n_members", each_salt()), ["hub", "salt"]).select("hub", "node", "component", "outside", "n_outside", "n_members")
 
 
-def near_classes(buckets: DataFrame, check: Pairs, rest: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """((node, component), links (a, b)) from ``hub_buckets`` output.
+def block_links(groups: DataFrame, texts: DataFrame, make: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
+    """Links (a, b) that connect components of ``open_groups``: members outside with all members, in blocks.
 
-    ``check`` keeps the linked ones of pairs (a, b); ``rest(components, tested)`` gives the links that are missing
-    between members of other components. The links connect every component; they are not all links.
+    A hub's outside members and its members are dealt into shares of bounded size; each pair of shares is a block.
+    ``make()`` runs once per task and gives ``read(text)``, what is kept of a member, and ``linked(xs, ys, apart)``,
+    which yields linked (i, j) of two lists of those; it asks ``apart(i, j)`` before work that a connection saves.
+    """
+    ceil = lambda x, n: F.ceil(F.col(x) / n).cast("int")
+    sized = groups.withColumn("o", ceil("n_outside", BLOCK_OUTSIDE)).withColumn("m", ceil("n_members", BLOCK_MEMBERS))
+    share = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    outside = sized.filter("outside").select("hub", share("o").alias("x"), every("m").alias("y"), F.lit(0).alias("side"), "node", "component")
+    members = sized.select("hub", every("o").alias("x"), share("m").alias("y"), F.lit(1).alias("side"), "node", "component")
+    rows = outside.unionByName(members).join(texts.select("node", "text"), "node").select("hub", "x", "y", "side", "node", "component", "text")
+    rows = rows.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        read, linked = make()
+        at, sides = None, (([], [], []), ([], [], []))
+
+        def close() -> list[tuple[int, int]]:
+            (nodes_a, groups_a, a), (nodes_b, groups_b, b) = sides
+            return joining(nodes_a, groups_a, nodes_b, groups_b, lambda apart: linked(a, b, apart)) if a and b else []
+
+        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            got: list[tuple[int, int]] = []
+            for hub, x, y, side, node, component, text in zip(*(c.to_pylist() for c in batch.columns)):
+                if at != (hub, x, y):
+                    got += close()
+                    at, sides = (hub, x, y), (([], [], []), ([], [], []))
+                for to, value in zip(sides[side], (node, component, read(text or ""))):
+                    to.append(value)
+            yield batch_of(got)
+        yield batch_of(close())
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def joining(nodes_a: list[int], groups_a: list[int], nodes_b: list[int], groups_b: list[int], linked: Callable) -> list[tuple[int, int]]:
+    """Links between two sides that connect groups which nothing found so far connects; ``linked(apart)`` yields (i, j)."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    def apart(i: int, j: int) -> bool:
+        return root(groups_a[i]) != root(groups_b[j])
+
+    out = []
+    for i, j in linked(apart):
+        if apart(i, j):
+            parent[root(groups_a[i])] = root(groups_b[j])
+            out.append((min(nodes_a[i], nodes_b[j]), max(nodes_a[i], nodes_b[j])))
+    return out
+
+
+def near_classes(buckets: DataFrame, check: Pairs, rest: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """((node, component), links (a, b)) from ``hub_members`` output.
+
+    ``check`` keeps the linked ones of pairs (a, b); ``rest(groups)`` gives the links that are missing between the
+    members of ``open_groups``. The links connect every component; they are not all links.
     """
-    first = buckets.filter("node <> hub")
-    first = materialise(first.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = materialise(check(first), "links")
-    links = materialise(links.unionByName(rest(connected_components(links), first)), "links")
+    links = materialise(check(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "links")
+    links = materialise(links.unionByName(rest(open_groups(buckets, connected_components(links)))), "links")
     return connected_components(links), links

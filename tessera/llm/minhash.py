@@ -20,16 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, map_text, materialise, resource
-from tessera.llm.linking import hub_buckets, hub_groups, near_classes
+from tessera.llm.linking import block_links, hub_members, near_classes
 
 #: Registers, base and rate of the sketch; bands of ROWS registers. A pair at 0.85 misses all 32 bands of 4 with a
 #: probability of 6e-11, one at 0.8 with 5e-8.
 M, BASE, RATE, ROWS = 128, 1.001, 20.0, 4
 #: Estimates this far below the threshold (over 5 standard deviations of 128 registers) are not checked.
 MARGIN = 0.18
-#: Members that are checked against one copy of their hub's text; sides of a block of members checked all at once.
+#: Members that are checked against one copy of their hub's text.
 HUB_SHARE = 256
-BLOCK_OUTSIDE, BLOCK_MEMBERS = 256, 512
 #: Shingles that one step of a block's count takes: bounds its memory.
 BLOCK_SHINGLES = 16_384
 
@@ -169,65 +168,20 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def joining(nodes_a: list[int], groups_a: list[int], sets_a: list[np.ndarray], nodes_b: list[int], groups_b: list[int], sets_b: list[np.ndarray], threshold: int) -> list[tuple[int, int]]:
-    """Links between the two sides that connect groups which nothing found so far connects."""
-    parent: dict[int, int] = {}
+def block_counter(words: int, threshold: int):
+    """What ``linking.block_links`` needs to tell linked sets of shingles."""
 
-    def root(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    both = common_counts(sets_a, sets_b)
-    sizes_a, sizes_b = (np.array([len(s) for s in side], dtype=np.int64) for side in (sets_a, sets_b))
-    linked = (both > 0) & (100 * both >= threshold * (sizes_a[:, None] + sizes_b[None, :] - both))
-    linked &= np.array(groups_a)[:, None] != np.array(groups_b)[None, :]
-    out = []
-    for i, j in zip(*np.nonzero(linked)):
-        x, y = root(groups_a[i]), root(groups_b[j])
-        if x != y:
-            parent[x] = y
-            out.append((min(nodes_a[i], nodes_b[j]), max(nodes_a[i], nodes_b[j])))
-    return out
-
-
-def block_links(groups: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
-    """Links (a, b) that connect components of ``hub_groups``: outside members with all members, in blocks.
-
-    A hub's outside members and its members are dealt into shares of bounded size; each pair of shares is one block,
-    counted on full sets at once. A block gives at most one link for each component in it.
-    """
-    many = groups.groupBy("hub").agg(F.ceil(F.sum(F.col("outside").cast("int")) / BLOCK_OUTSIDE).cast("int").alias("o"), F.ceil(F.count("*") / BLOCK_MEMBERS).cast("int").alias("m"))
-    sized = groups.join(many, "hub")
-    share = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = sized.filter("outside").select("hub", share("o").alias("x"), every("m").alias("y"), F.lit(0).alias("side"), "node", "component")
-    members = sized.select("hub", every("o").alias("x"), share("m").alias("y"), F.lit(1).alias("side"), "node", "component")
-    rows = outside.unionByName(members).join(texts, "node").select("hub", "x", "y", "side", "node", "component", "text")
-    rows = rows.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "side")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make():
         shingler = resource(f"shingler:{words}", lambda: Shingler(words))
-        at, sides = None, (([], [], []), ([], [], []))
-
-        def close() -> list[tuple[int, int]]:
-            return joining(*sides[0], *sides[1], threshold) if sides[0][0] and sides[1][0] else []
 
-        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+        def linked(a: list[np.ndarray], b: list[np.ndarray], apart) -> Iterator[tuple[int, int]]:
+            both = common_counts(a, b)
+            sizes_a, sizes_b = (np.array([len(s) for s in side], dtype=np.int64) for side in (a, b))
+            yield from zip(*np.nonzero((both > 0) & (100 * both >= threshold * (sizes_a[:, None] + sizes_b[None, :] - both))))
 
-        for batch in batches:
-            got: list[tuple[int, int]] = []
-            for hub, x, y, side, node, component, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (hub, x, y):
-                    got += close()
-                    at, sides = (hub, x, y), (([], [], []), ([], [], []))
-                for to, value in zip(sides[side], (node, component, shingler.hashes(text or ""))):
-                    to.append(value)
-            yield batch_of(got)
-        yield batch_of(close())
+        return shingler.hashes, linked
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return make
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,7 +197,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     usable = sketches.filter(F.col("digest").isNotNull() & F.col("doc_id").isNotNull())
     sets = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
     band = [F.struct(F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)).alias("key")) for i in range(M // ROWS)]
-    buckets = materialise(hub_buckets(sets.select("node", F.inline(F.array(*band)))), "buckets")
+    buckets = materialise(hub_members(sets.select("node", F.inline(F.array(*band)))), "buckets")
     wanted = buckets.select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     texts = materialise(texts.join(wanted, "node", "left_semi"), "texts")
@@ -252,7 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     def check(pairs: DataFrame) -> DataFrame:
         return confirmed(materialise(estimated(pairs, sets, least), "likely"), texts, words, threshold)
 
-    components, _ = near_classes(buckets, check, lambda found, _: block_links(hub_groups(buckets, found), texts, words, threshold))
+    components, _ = near_classes(buckets, check, lambda groups: block_links(groups, texts, block_counter(words, threshold)))
     found = sets.select("digest", "node").join(components, "node", "left").select(F.col("digest").alias("of"), F.coalesce("component", "node").alias("component"))
     out = sketches.join(found, F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

@@ -8,7 +8,7 @@ import pytest
 
 from tessera.llm import line_dedup as L
 from tessera.llm import linking, minhash
-from tessera.llm.common import table
+from tessera.llm.common import located, table
 
 SF = "/root/testdata/sf0.01"
 
@@ -52,7 +52,7 @@ def mutated(rng, s, edits, alphabet="abc"):
     return "".join(s)
 
 
-def test_banded_distance_and_probes_against_levenshtein():
+def test_banded_distance_against_levenshtein():
     rng = random.Random(1)
     for _ in range(3000):
         a = "".join(rng.choice("abc") for _ in range(rng.randint(3, 40)))
@@ -60,55 +60,104 @@ def test_banded_distance_and_probes_against_levenshtein():
         tau = rng.choice((1, 2, 3))
         d = levenshtein(a, b)
         assert L.within(a, b, tau) == (d <= tau)
-        if d <= 2 and min(len(a), len(b)) > 1:
-            x, y = (a, b) if len(a) >= len(b) else (b, a)
-            index = {(i, y[p : p + s]) for i, (p, s) in enumerate(L.segments(len(y), 2))}
-            assert any((i, x[p : p + s]) in index for i, p, s in L.probes(len(x), len(y), 2))
-            assert ((L.pair_parities(a) ^ L.pair_parities(b)) & (2**64 - 1)).bit_count() <= 8
+        assert d > tau or L.may_agree(a, b, tau)
 
 
-def brute_lines(rows):
+FLAT = L.Budget(share=0, slack=0, tau=2, least=24)
+
+
+def brute_links(lines, budget):
+    """All linked pairs: every pair whose lengths and letters allow it is measured."""
+    lines = sorted(lines, key=len)
+    sizes = np.array([len(t) for t in lines])
+    counts = np.array([L.letters(t) for t in lines]).reshape(len(lines), 64)
+    links = []
+    for i, a in enumerate(lines):
+        most = int(budget.of(len(a)))
+        end = np.searchsorted(sizes, len(a) + most, "right")
+        off = counts[i + 1 : end] - counts[i]
+        for j in np.nonzero(np.maximum(off.clip(0).sum(1), -off.clip(None, 0).sum(1)) <= most)[0]:
+            if L.within(a, lines[i + 1 + j], most):
+                links.append((a, lines[i + 1 + j]))
+    return links
+
+
+def brute_lines(rows, budget=L.BUDGET):
+    """(doc_id, line_no, class_doc, class_line, kept, number of the row) of (doc_id, text) rows in their order."""
     places = defaultdict(list)
-    for doc, text in rows:
-        if doc is None:
-            continue
-        for n, line in enumerate((text or "").split("\n") if text is not None else []):
+    for r, (doc, text) in enumerate(rows):
+        for n, line in enumerate((text or "").split("\n")):
             if line.strip(L.WHITE):
-                places[line.strip(L.WHITE)].append((doc, n))
-    long = sorted((t for t in places if len(t) >= L.LEAST_CHARS), key=len)
-    links = []
-    for i, a in enumerate(long):
-        for b in long[i + 1 :]:
-            if len(b) - len(a) > L.TAU:
-                break
-            if L.within(a, b, L.TAU):
-                links.append((a, b))
-    root = components(places, links)
-    first = defaultdict(lambda: (1 << 62, 0))
+                places[line.strip(L.WHITE)].append((doc is None, doc or 0, r, n))
+    root = components(places, brute_links(places, budget))
+    first = {}
     for t, where in places.items():
-        first[root[t]] = min(first[root[t]], *where)
-    return sorted((d, n, *first[root[t]], (d, n) == first[root[t]]) for t, where in places.items() for d, n in where)
+        first[root[t]] = min(first.get(root[t], where[0]), *where)
+    name = lambda p: None if p[0] else p[1]
+    return sorted(((name(p), p[3], name(first[root[t]]), first[root[t]][3], p == first[root[t]], p[2]) for t, where in places.items() for p in where), key=repr)
 
 
-def test_lines_against_brute_force_on_a_table(spark):
+@pytest.mark.parametrize("budget", [L.BUDGET, FLAT])
+def test_lines_against_brute_force_on_a_table(spark, budget):
     docs = table(spark, SF, "documents")
-    got = sorted(map(tuple, L.line_classes(docs).collect()))
-    assert got == brute_lines([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()])
+    got = sorted(map(tuple, L.line_classes(docs, budget).collect()), key=repr)
+    want = brute_lines([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()], budget)
+    assert got == sorted((r[:5] for r in want), key=repr)
 
 
-def test_lines_edge_cases(spark):
+@pytest.mark.parametrize("budget", [L.BUDGET, FLAT])
+def test_lines_edge_cases(spark, budget):
     base = "the quick brown fox jumps over the lazy dog number "
     rng = random.Random(3)
-    rows = [(1, None, "x"), (2, "", "x"), (3, "  \n\t\n", "x"), (None, base, "x"), (4, base + "1\nshort\n" + base + "1", "x"), (5, base + "22\nshort", "x"), (6, "short.\n" + base.upper(), "x"), (7, "é" * 30 + "\n" + "é" * 29, "x"), (8, "z" * 100_000, "x")]
+    rows = [(1, None, "x"), (2, "", "x"), (3, "  \n\t\n", "x"), (None, base, "x"), (4, base + "1\nshort\n" + base + "1", "x"), (5, base + "22\nshort", "x"), (6, "short.\n" + base.upper(), "x"), (7, "é" * 30 + "\n" + "é" * 29, "x"), (8, "z" * 100_000, "x"), (9, "z" * 99_990, "x"), (None, base + "new", "x"), (None, base + "1\nno id here", "x")]
     rows += [(10 + i, "\n".join([base + str(i), mutated(rng, base * 2, i % 6, "xyz")]), "x") for i in range(120)]
-    rows += [rows[5], rows[5]]
-    docs = spark.createDataFrame([(a, b, c, 0, 0) for a, b, c in rows], "doc_id long, text string, line string, kept int, component int")
-    got = sorted(map(tuple, L.line_classes(docs).collect()))
-    assert got == brute_lines([r[:2] for r in rows])
-    left = {r["doc_id"]: r["text"] for r in L.drop_repeated_lines(docs).collect()}
-    assert left[1] is None and left[2] == "" and left[4] == base + "1\nshort" and left[5] == ""
-    assert L.drop_repeated_lines(docs).columns == docs.columns
-    assert L.line_classes(docs.limit(0)).count() == 0
+    rows += [rows[5], rows[5], (5, "another text of the same id", "x")]
+    docs = spark.createDataFrame([(a, b, c, 0, 0, "f", 1) for a, b, c in rows], "doc_id long, text string, line string, kept int, component int, file string, row int").coalesce(1)
+    got = sorted(map(tuple, L.line_classes(docs, budget).collect()), key=repr)
+    want = brute_lines([r[:2] for r in rows], budget)
+    assert got == sorted((r[:5] for r in want), key=repr)
+    gone = {(r[5], r[1]) for r in want if not r[4]}
+    left = L.drop_repeated_lines(docs, budget)
+    texts = [(d, t and "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone)) for i, (d, t, _) in enumerate(rows)]
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=repr) == sorted(texts, key=repr)
+    assert left.columns == docs.columns
+    assert L.line_classes(docs.limit(0), budget).count() == 0
+
+
+def test_rows_of_files_are_told_apart(spark, tmp_path):
+    rows = [(1, "a line of text that comes twice"), (1, "a line of text that comes twice"), (None, "a line of text that comes twice")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "rows"))
+    docs = spark.read.parquet(str(tmp_path / "rows"))
+    got = located(docs.filter("text is not null")).select("__file", "__row").distinct().count()
+    assert got == 3 and "_metadata" in located(docs)._jdf.queryExecution().analyzed().toString()
+    twice = docs.unionByName(docs)
+    assert located(twice).select("__file", "__row").distinct().count() == 6
+    left = sorted((r["text"], r["doc_id"]) for r in L.drop_repeated_lines(docs).collect() if r["text"])
+    assert left == [(rows[0][1], 1)]
+
+
+def test_a_hot_segment_of_unrelated_lines(spark, monkeypatch):
+    """One passage in thousands of lines that differ otherwise, and chains of near copies among them."""
+    monkeypatch.setattr(L, "HOT", 8)
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
+    passage = " ".join(word() for _ in range(20))
+    lines = [f"{' '.join(word() for _ in range(6))} {passage} {' '.join(word() for _ in range(rng.randint(6, 9)))}" for _ in range(3000)]
+    for i in range(0, 300, 3):
+        lines[i + 1] = mutated(rng, lines[i], 3, "xyz")
+        lines[i + 2] = mutated(rng, lines[i + 1], 4, "xyz")
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["class_doc"], r["kept"]) for r in L.line_classes(docs).collect()}
+    want = {r[0]: (r[2], r[4]) for r in brute_lines(list(enumerate(lines)))}
+    assert got == want and sum(not k for _, k in got.values()) > 150
+
+
+def test_keys_of_long_lines_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(2)
+    lines = ["".join(rng.choice("abcdef ") for _ in range(n)) for n in (30, 500, 4000)]
+    whole = {*zip(*(x.tolist() for x in L.line_keys(lines, L.BUDGET)))}
+    monkeypatch.setattr(L, "PIECE_CHARS", 16 * 64)
+    assert whole <= {*zip(*(x.tolist() for x in L.line_keys(lines, L.BUDGET)))}
 
 
 def test_components_of_random_graphs(spark):
@@ -167,7 +216,8 @@ def test_blocks_count_and_join_as_sets_do():
     b = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(20)]
     got = minhash.common_counts(a, b)
     assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(a) for j, y in enumerate(b))
-    links = minhash.joining(list(range(30)), list(range(30)), a, list(range(100, 120)), list(range(100, 120)), b, 50)
+    _, linked = minhash.block_counter(3, 50)()
+    links = linking.joining(list(range(30)), list(range(30)), list(range(100, 120)), list(range(100, 120)), lambda apart: linked(a, b, apart))
     full = [(i, 100 + j) for i, x in enumerate(a) for j, y in enumerate(b) if got[i, j] * 100 >= 50 * len(np.union1d(x, y))]
     nodes = {*range(30), *range(100, 120)}
     assert components(nodes, links) == components(nodes, full) and len(links) < len(nodes)

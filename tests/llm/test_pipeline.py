@@ -1,6 +1,7 @@
 """The pipeline's stages against brute force, each on what the one before kept."""
 
 import hashlib
+import random
 
 import public_tokenizers
 from test_linking import brute_documents, brute_lines
@@ -29,14 +30,15 @@ def test_stages_on_a_table(spark):
     assert all({**r, "lang": before[d]["lang"]} == before[d] for d, r in got.items())
 
     before = got
+    order = [r["doc_id"] for r in docs.select("doc_id").collect()]
     docs = materialise(P.STAGES[1][1](spark, docs, SF), "p")
-    kept = {}
-    for d, n, _, _, first in brute_lines([(d, r["text"]) for d, r in before.items()]):
+    gone = {}
+    for d, n, _, _, first, _ in brute_lines([(d, before[d]["text"]) for d in order]):
         if not first:
-            kept.setdefault(d, set()).add(n)
+            gone.setdefault(d, set()).add(n)
     want = {}
     for d, r in before.items():
-        text = "\n".join(x for n, x in enumerate(r["text"].split("\n")) if n not in kept.get(d, ()))
+        text = "\n".join(x for n, x in enumerate(r["text"].split("\n")) if n not in gone.get(d, ()))
         if text.strip(" \n"):
             want[d] = {**r, "text": text, "n_chars": len(text)}
     assert rows_of(docs) == want
@@ -72,5 +74,26 @@ def test_stages_on_odd_rows(spark):
             assert stage.columns == docs.columns, name
         P.STAGES[-1][1](spark, stage, SF).collect()
     left = rows_of(P.STAGES[1][1](spark, P.STAGES[0][1](spark, docs, SF), SF))
-    assert left.keys() == {3, 4, None} and left[4]["text"] == "the cat sat on the mat with the dog"
+    assert left.keys() == {3, 4, None} and left[4]["text"] == "the cat sat on the mat with the dog" and left[None]["text"] == "the other line of it"
     assert langid.UNDETERMINED not in {r["lang"] for r in left.values()}
+
+
+def test_rows_without_an_id_and_rows_that_share_one(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join(rng.choice(("stone", "river", "field", "tree", "cloud", "house", "light", "road")) + str(rng.randrange(60)) for _ in range(n))
+    a, b, c = prose(80), prose(80), prose(80)
+    item = table(spark, SF, "benchmark").first()["text"]
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], columns)
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+    near = a.replace("stone1", "x", 1) + " end"
+    got = texts(P.deduplicate_documents(spark, frame([(1, a), (1, a), (1, b), (2, near), (None, a), (None, c), (None, c), (3, "")]), SF))
+    assert got == sorted([(1, a), (1, b), (None, c), (3, "")], key=repr)
+
+    rows = [(1, a), (1, a + " " + item), (None, item), (None, b), (2, None)]
+    assert texts(P.decontaminate(spark, frame(rows), SF)) == sorted([(1, a), (None, b), (2, None)], key=repr)
+
+    rows = [(1, a + "\n" + b), (1, a + "\n" + b), (1, c), (None, c + "\n" + prose(9)), (None, a)]
+    got = texts(P.deduplicate_lines(spark, frame(rows).coalesce(1), SF))
+    assert got == sorted([(1, a + "\n" + b), (1, c), (None, rows[3][1].split("\n")[1])], key=repr)
