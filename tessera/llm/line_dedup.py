@@ -57,6 +57,8 @@ BUDGET = Budget()
 
 #: Characters of a minimizer's gram and of a segment that count at most; lengths beyond share the last level.
 GRAM, SEGMENT, LONGEST = 16, 96, 1 << 20
+#: Substrings that a run takes at most: what is not known of a place. Places beyond 16 bits are one.
+RUN, LAST_PLACE = 48, (1 << 16) - 1
 #: Characters that one step of the key maker takes (they stay in the processor's cache), and those of a line's piece.
 STEP_CHARS, PIECE_CHARS = 65_536, 1 << 20
 #: Key rows that a batch packs at once; lines of one batch under a key from which on it is hot.
@@ -79,13 +81,12 @@ def segments(n: int, tau: int) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Level:
-    """Lines of ``low`` to ``high`` - 1 characters: gram length, grams in a window, width of a place class."""
+    """Lines of ``low`` to ``high`` - 1 characters: gram length and grams in a window."""
 
     low: int
     high: int
     k: int
     w: int
-    unit: int
 
 
 @cache
@@ -101,19 +102,28 @@ def levels(budget: Budget) -> list[Level]:
         high = min(max(low * 3 // 2, low + 1), LONGEST)
         r = max(1, min(int(run[low:high].min()), SEGMENT))
         k = max(1, min(GRAM, (3 * r + 4) // 5))
-        out.append(Level(low, high, k, r - k + 1, 16 * (int(most[high - 1]) + 1)))
+        out.append(Level(low, high, k, r - k + 1))
         low = high
     last = out[-1]
-    return [*out[:-1], Level(last.low, 1 << 62, last.k, last.w, 1 << 40)]  # one place for all lines beyond
+    return [*out[:-1], Level(last.low, 1 << 62, last.k, last.w)]
+
+
+#: Stands for the length class of a hot key's one row; classes of lengths are lower.
+HOT_CLASS = (1 << 15) - 1
+#: The bit of a tag that marks an index segment; the rest of it is the length class.
+INDEXED = 1 << 15
 
 
 @cache
-def length_starts(budget: Budget) -> np.ndarray:
-    """Where the classes of lengths start: each is wider than the budget of any line below its end. There are 126 at most."""
-    out = [0]
-    while out[-1] < LONGEST and len(out) < 126:
-        out.append(out[-1] + 4 * int(budget.of(out[-1])) + 8)
-    return np.array(out)
+def length_classes(budget: Budget) -> tuple[np.ndarray, np.ndarray]:
+    """Where the classes of lengths start, each wider than the budget of any line below its end, and the widths of their classes of places."""
+    starts = [0]
+    while starts[-1] < LONGEST and len(starts) < HOT_CLASS - 1:
+        starts.append(starts[-1] + int(budget.of(starts[-1])) + 4)
+        while starts[-1] - starts[-2] <= int(budget.of(starts[-1])):
+            starts[-1] += 1
+    widths = [RUN + int(budget.of(end)) + 1 for end in starts[1:]] + [LAST_PLACE + 1] * 2  # all lines beyond are at one place
+    return np.array(starts), np.array(widths)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -151,11 +161,11 @@ def pieces(line: str, reach: int) -> Iterator[tuple[int, str]]:
 
 
 def line_keys(lines: list[str], budget: Budget) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key of 48 bits, number of the line, length class with the index mark in bit 7, place class) of all lines' runs."""
+    """(key of 48 bits, number of the line, length class with the index mark, place) of all lines' runs."""
     sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
     least = sizes - budget.of(sizes)  # a shorter partner has at least so many characters
-    classes = np.searchsorted(length_starts(budget), sizes, "right") - 1
-    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8))]
+    classes = np.searchsorted(length_classes(budget)[0], sizes, "right") - 1
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.uint16))]
     for number, level in enumerate(levels(budget)):
         chosen = np.nonzero((sizes >= level.low) & (least < level.high))[0]
         parts: list[tuple[int, int, str]] = []
@@ -173,7 +183,7 @@ def line_keys(lines: list[str], budget: Budget) -> tuple[np.ndarray, np.ndarray,
 
 
 def runs(parts: list[tuple[int, int, str]], sizes: np.ndarray, classes: np.ndarray, budget: Budget, level: Level, number: int) -> tuple:
-    """The runs of one minimizer in (line, start, text) parts, cut where a class of places ends."""
+    """The runs of one minimizer in (line, start, text) parts, of ``RUN`` substrings at most."""
     reach = level.k + level.w - 1
     line = np.array([i for i, _, _ in parts])
     first = np.array([a for _, a, _ in parts])
@@ -185,14 +195,16 @@ def runs(parts: list[tuple[int, int, str]], sizes: np.ndarray, classes: np.ndarr
     new = np.empty(len(h), bool)
     new[1:] = h[1:] != h[:-1]
     new[start] = True
-    for cut in range(level.unit, int(size.max()) + level.unit, level.unit):  # parts start at whole multiples of PIECE_CHARS
-        at = start + cut - first % level.unit
-        new[at[at <= ends - reach]] = True
     over = (ends - reach + 1)[:, None] + np.arange(reach - 1)  # windows that would cross into the next part
     over = over[over < len(h)]
     new[over] = False
     at = np.nonzero(new)[0]
     of = np.searchsorted(start, at, "right") - 1
+    until = np.minimum(np.append(at[1:], len(h)), ends[of] - reach + 1)
+    if len(long := np.nonzero(until - at > RUN)[0]):
+        new[np.concatenate([np.arange(a + RUN, b, RUN) for a, b in zip(at[long].tolist(), until[long].tolist())])] = True
+        at = np.nonzero(new)[0]
+        of = np.searchsorted(start, at, "right") - 1
     place = first[of] + at - start[of]
     # segments of lines of this level mark the runs they start in
     most = np.where(sizes[line] < level.high, budget.of(sizes[line]), -1)
@@ -203,22 +215,35 @@ def runs(parts: list[tuple[int, int, str]], sizes: np.ndarray, classes: np.ndarr
     here = begins - np.repeat(first, most + 1)
     inside = (here >= 0) & (here <= np.repeat(size, most + 1) - reach)
     marks = (np.repeat(start, most + 1) + here)[inside]
-    indexed = np.zeros(len(at), np.uint8)
-    indexed[np.searchsorted(at, marks, "right") - 1] = 128
-    tag = np.minimum(classes[line[of]], 126).astype(np.uint8) | indexed
-    return mixed(h[at] ^ np.uint64(number)) >> np.uint64(16), line[of], tag, (place // level.unit & 255).astype(np.uint8)
+    tag = classes[line[of]].astype(np.uint16)
+    tag[np.unique(np.searchsorted(at, marks, "right") - 1)] |= np.uint16(INDEXED)
+    return mixed(h[at] ^ np.uint64(number)) >> np.uint64(16), line[of], tag, np.minimum(place, LAST_PLACE).astype(np.uint16)
 
 
-def packed(key: np.ndarray, node: np.ndarray, tag: np.ndarray, place: np.ndarray) -> bytes:
-    return b"".join(((key & np.uint64(0xFFFFFFFF)).astype("<u4").tobytes(), (key >> np.uint64(32)).astype("<u2").tobytes(), node.astype("<i8").tobytes(), tag.tobytes(), place.tobytes()))
+#: Bytes of a packed row: step from the key before, node, tag and place. The first key stands in front.
+ROW = 16
+
+
+def packed(key: np.ndarray, node: np.ndarray, tag: np.ndarray, place: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(part, blob) of sorted keys, where ``cuts`` holds the end of each part; a step over 32 bits starts another blob."""
+    steps = np.diff(key, prepend=key[:1])
+    ends = np.unique(np.concatenate([cuts, np.nonzero(steps >> np.uint64(32))[0], [len(key)]]))
+    starts = np.concatenate([[0], ends[:-1]])
+    parts = np.searchsorted(cuts, starts, "right")
+    steps, node, tag, place = steps.astype("<u4"), node.astype("<i8"), tag.astype("<u2"), place.astype("<u2")
+    for a, b, p in zip(starts.tolist(), ends.tolist(), parts.tolist()):
+        if b > a:
+            yield p, b"".join((int(key[a]).to_bytes(8, "little"), steps[a:b].tobytes(), node[a:b].tobytes(), tag[a:b].tobytes(), place[a:b].tobytes()))
 
 
 def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8))]
-    for b in blobs:
-        n = len(b) // 16
-        low, high = np.frombuffer(b, "<u4", n), np.frombuffer(b, "<u2", n, 4 * n)
-        out.append((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32), np.frombuffer(b, "<i8", n, 6 * n), np.frombuffer(b, np.uint8, n, 14 * n), np.frombuffer(b, np.uint8, n, 15 * n)))
+    out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.uint16))]
+    for blob in blobs:
+        n = len(blob) // ROW
+        steps = np.frombuffer(blob, "<u4", n, 8).astype(np.uint64)
+        steps[0] = int.from_bytes(blob[:8], "little")
+        at = 8 + 4 * n
+        out.append((np.cumsum(steps, dtype=np.uint64), np.frombuffer(blob, "<i8", n, at), np.frombuffer(blob, "<u2", n, at + 8 * n), np.frombuffer(blob, "<u2", n, at + 10 * n)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -244,10 +269,6 @@ def text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[list[str | None]
             yield batch.column(0).slice(a, b - a).to_pylist()
 
 
-#: Stands for the length class of a hot key's one row; classes of lengths are lower.
-HOT_CLASS = 127
-
-
 def packed_keys(texts: DataFrame, budget: Budget, parts: int) -> DataFrame:
     """(part, hot, blob) of the keys of all lines in ``texts(text)``: packed key rows of a partition, or of hot keys."""
 
@@ -268,13 +289,13 @@ def packed_keys(texts: DataFrame, budget: Budget, parts: int) -> DataFrame:
             if hot.any():
                 away = [x[hot] for x in (key, node, tag, place)]
                 for a in range(0, len(away[0]), 4096):
-                    rows.append((spread % parts, True, packed(*(x[a : a + 4096] for x in away))))
+                    rows += [(spread % parts, True, blob) for _, blob in packed(*(x[a : a + 4096] for x in away), np.zeros(0, np.int64))]
                     spread += 1
-                tag = np.where(hot, np.uint8(HOT_CLASS), tag)
+                tag = np.where(hot, np.uint16(HOT_CLASS), tag)
                 keep = ~hot | edge
                 key, node, tag, place = key[keep], node[keep], tag[keep], place[keep]
-            cuts = np.searchsorted(key, np.array([-(-(p << 48) // parts) for p in range(parts + 1)], dtype=np.uint64))
-            rows += [(p, False, packed(*(x[a:b] for x in (key, node, tag, place)))) for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if b > a]
+            cuts = np.searchsorted(key, np.array([-(-(p << 48) // parts) for p in range(1, parts)], dtype=np.uint64))
+            rows += [(p, False, blob) for p, blob in packed(key, node, tag, place, cuts)]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "hot", "blob"])
 
         for some in text_batches(batches):
@@ -290,31 +311,54 @@ def packed_keys(texts: DataFrame, budget: Budget, parts: int) -> DataFrame:
     return texts.mapInArrow(run, "part int, hot boolean, blob binary")
 
 
-def neighbours(key: np.ndarray, tag: np.ndarray, place: np.ndarray) -> Iterator[np.ndarray]:
+def neighbours(key: np.ndarray, tag: np.ndarray, place: np.ndarray, budget: Budget) -> Iterator[np.ndarray]:
     """The keys together with a length class and a place class, each its own and the next: neighbours in both share one."""
-    for c in (0, 1):
-        for p in (0, 1):
-            salt = (tag & np.uint8(127)).astype(np.uint64) + np.uint64(c) << np.uint64(8) | ((place + np.uint8(p)) & np.uint8(255)).astype(np.uint64)
-            yield mixed(key ^ mixed(salt + np.uint64(1))).view(np.int64)
-
-
-def shared_keys(packs: DataFrame) -> DataFrame:
-    """(key, node) of the lines that meet another under a key, a length class and a place class, one of them by a segment."""
+    _, widths = length_classes(budget)
+    own = (tag & np.uint16(INDEXED - 1)).astype(np.int64)
+    for c in (own, own + 1):
+        low = place.astype(np.int64) // widths[c]
+        for p in (low, low + 1):
+            yield mixed(key ^ mixed((c << 20 | p).view(np.uint64) + np.uint64(1))).view(np.int64)
+
+
+def group_hubs(key: np.ndarray, node: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hub, node), distinct, of the groups under a key that hold two nodes or more and an index mark; the hub is the least node."""
+    order = np.lexsort((node, key))
+    key, node, mark = key[order], node[order], mark[order]
+    at = np.nonzero(np.concatenate([np.ones(min(len(key), 1), bool), key[1:] != key[:-1]]))[0]
+    if not len(at):
+        return node, node
+    times = np.diff(np.append(at, len(key)))
+    last = np.append(at[1:], len(key)) - 1
+    keep = np.repeat((node[at] != node[last]) & np.logical_or.reduceat(mark, at), times)
+    hub, node = np.repeat(node[at], times)[keep], node[keep]
+    order = np.lexsort((node, hub))
+    hub, node = hub[order], node[order]
+    new = np.concatenate([np.ones(min(len(hub), 1), bool), (hub[1:] != hub[:-1]) | (node[1:] != node[:-1])])
+    return hub[new], node[new]
+
+
+def meeting_lines(packs: DataFrame, budget: Budget) -> DataFrame:
+    """(hub, node) of the lines that meet under a key, a length class and a place class, one of them by a segment.
+
+    Under hot keys, whose lines are in many partitions, the rows are (key, node) with a null hub.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         held: list[bytes] = []
 
-        def rows(key: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def rows(key: np.ndarray, node: np.ndarray, hubs: bool) -> Iterator[pa.RecordBatch]:
             for a in range(0, len(key), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(node[a : a + 100_000])], names=["key", "node"])
+                own, none = pa.array(key[a : a + 100_000]), pa.nulls(len(key[a : a + 100_000]), pa.int64())
+                yield pa.RecordBatch.from_arrays([none if hubs else own, own if hubs else none, pa.array(node[a : a + 100_000])], names=["key", "hub", "node"])
 
         for batch in batches:
             for hot, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 if hot:
                     key, node, tag, place = unpacked([blob])
-                    for k in neighbours(key, tag, place):
-                        yield from rows(k, node)
+                    for k in neighbours(key, tag, place, budget):
+                        yield from rows(k, node, False)
                 else:
                     held.append(blob)
         key, node, tag, place = unpacked(held)
@@ -326,28 +370,15 @@ def shared_keys(packs: DataFrame) -> DataFrame:
         met[1:] |= same
         met[:-1] |= same
         key, node, tag, place = key[met], node[order[met]], tag[order[met]], place[order[met]]
-        with_hot = np.isin(key, key[tag & 127 == HOT_CLASS])
-        real = tag & 127 != HOT_CLASS
-        out_key = [np.zeros(0, np.int64)]
-        out_node = [np.zeros(0, np.int64)]
-        for chosen, certain in ((real & with_hot, True), (real & ~with_hot, False)):
-            k = np.concatenate([*neighbours(key[chosen], tag[chosen], place[chosen])])
-            n = np.tile(node[chosen], 4)
-            if not certain:
-                marked = np.tile(tag[chosen] >> 7, 4)
-                order = np.lexsort((n, k))
-                k, n, marked = k[order], n[order], marked[order]
-                at = np.nonzero(np.concatenate([np.ones(min(len(k), 1), bool), k[1:] != k[:-1]]))[0]
-                if len(at):
-                    times = np.diff(np.append(at, len(k)))
-                    last = np.append(at[1:], len(k)) - 1
-                    keep = np.repeat((n[at] != n[last]) & (np.maximum.reduceat(marked, at) > 0), times)
-                    k, n = k[keep], n[keep]
-            out_key.append(k)
-            out_node.append(n)
-        yield from rows(np.concatenate(out_key), np.concatenate(out_node))
-
-    return packs.mapInArrow(run, "key long, node long")
+        own = tag & np.uint16(INDEXED - 1)
+        with_hot = np.isin(key, key[own == HOT_CLASS])
+        for k in neighbours(*(x[with_hot & (own != HOT_CLASS)] for x in (key, tag, place)), budget):
+            yield from rows(k, node[with_hot & (own != HOT_CLASS)], False)
+        key, node, tag, place = (x[~with_hot] for x in (key, node, tag, place))
+        if len(key):
+            yield from rows(*group_hubs(np.concatenate([*neighbours(key, tag, place, budget)]), np.tile(node, 4), np.tile(tag >= INDEXED, 4)), True)
+
+    return packs.mapInArrow(run, "key long, hub long, node long")
 
 
 def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -424,10 +455,11 @@ def may_agree(a: str, b: str, tau: int) -> bool:
 
 def agreeing(pairs: DataFrame, texts: DataFrame, budget: Budget) -> DataFrame:
     """The pairs (a, b) of nodes whose lines are within their budget of edits."""
+    sizes = texts.select("node", F.length("text").alias("n"))  # lengths first: most pairs that fail need no text
+    pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(F.abs(F.col("n_a") - F.col("n_b")) <= budget.column(F.least("n_a", "n_b"))).select("a", "b")
     a = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
     b = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
     both = pairs.join(a, "a").join(b, "b").withColumn("most", budget.column(F.least(F.length("x"), F.length("y"))))
-    both = both.filter(F.abs(F.length("x") - F.length("y")) <= F.col("most"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -467,23 +499,28 @@ def located_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def classed_lines(docs: DataFrame, budget: Budget, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``located_lines`` with ``first``, the place (no_id, doc_id, file, row, line_no) of their class's first line."""
+    """The rows of ``located_lines`` with ``class_doc`` and ``class_line``, the place of their class's first line, and whether they are ``kept``."""
     spark = docs.sparkSession
     here = materialise(located_lines(docs, id_col, text_col), "lines")
     texts = docs.select(F.col(text_col).alias("text")).filter(F.col("text").isNotNull())
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
     packs = packed_keys(texts, budget, parts).repartitionById(parts, "part")
-    buckets = materialise(hub_members(materialise(shared_keys(packs), "met")), "buckets")
+    met = materialise(meeting_lines(packs, budget), "met")
+    buckets = materialise(met.filter("hub IS NOT NULL").select("hub", "node").unionByName(hub_members(met.filter("hub IS NULL"))).distinct(), "buckets")
     known = materialise(texts_of(texts, buckets.select("node").distinct()), "texts")
 
     components, _ = near_classes(buckets, lambda pairs: agreeing(pairs, known, budget), lambda groups: block_links(groups, known, block_checker(budget)))
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "file", "row", "line_no")
-    firsts = materialise(here.groupBy("h1", "h2").agg(F.min(place).alias("first")), "firsts")
+    # complements are in reverse order and leave nulls least, so the greatest place is the first and rows without an id come last
+    place = F.struct(*(F.bitwise_not(F.col(c)).alias(c) for c in ("doc_id", "file", "row", "line_no")))
+    firsts = here.groupBy("h1", "h2").agg(F.max(place).alias("first"))
     moved = components.join(known.select("node", "h2"), "node").join(firsts.withColumnRenamed("h1", "node"), ["node", "h2"])
-    leads = moved.groupBy("component").agg(F.min("first").alias("lead"))
+    moved = materialise(moved.select("node", "h2", "component", "first"), "moved")
+    leads = moved.groupBy("component").agg(F.max("first").alias("lead"))
     moved = moved.join(leads, "component").select(F.col("node").alias("h1"), "h2", "lead")
     firsts = firsts.join(moved, ["h1", "h2"], "left").select("h1", "h2", F.coalesce("lead", "first").alias("first"))
-    return here.join(firsts, ["h1", "h2"]).withColumn("kept", place == F.col("first"))
+    out = here.join(firsts, ["h1", "h2"])
+    named = [F.bitwise_not(F.col(f"first.{c}")).alias(n) for c, n in (("doc_id", "class_doc"), ("line_no", "class_line"))]
+    return out.select("doc_id", "file", "row", "line_no", *named, place.eqNullSafe(F.col("first")).alias("kept"))
 
 
 def line_classes(docs: DataFrame, budget: Budget = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -496,7 +533,7 @@ def line_classes(docs: DataFrame, budget: Budget = BUDGET, id_col: str = "doc_id
     line. An empty table gives an empty result; other columns are not read. doc_id must be an integer.
     """
     out = classed_lines(docs, budget, id_col, text_col)
-    return out.select("doc_id", "line_no", F.col("first.doc_id").alias("class_doc"), F.col("first.line_no").alias("class_line"), "kept")
+    return out.select("doc_id", "line_no", "class_doc", "class_line", "kept")
 
 
 def drop_repeated_lines(docs: DataFrame, budget: Budget = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,8 +31,8 @@ def test_grown_budget_against_every_pair(spark, budget):
     assert len(links) > 100
     key, line, tag, place = L.line_keys(lines, budget)
     keys = [{} for _ in lines]
-    for salted in L.neighbours(key, tag, place):
-        for k, i, mark in zip(salted.tolist(), line.tolist(), (tag >> 7).tolist()):
+    for salted in L.neighbours(key, tag, place, budget):
+        for k, i, mark in zip(salted.tolist(), line.tolist(), (tag >> 15).tolist()):
             keys[i][k] = keys[i].get(k, 0) | mark
     at = {t: i for i, t in enumerate(lines)}
     for a, b in links:  # each linked pair meets under a key, one of the two by a segment
