@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import located, materialise, release, slices
-from tessera.llm.linking import block_links, hub_members, near_classes
+from tessera.llm.linking import block_links, hub_members, near_classes, promising
 
 #: Unicode's white space without the line feed.
 WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -453,20 +453,64 @@ def may_agree(a: str, b: str, tau: int) -> bool:
     return max(int(off[off > 0].sum()), -int(off[off < 0].sum())) <= tau
 
 
-def agreeing(pairs: DataFrame, texts: DataFrame, budget: Budget) -> DataFrame:
-    """The pairs (a, b) of nodes whose lines are within their budget of edits."""
-    sizes = texts.select("node", F.length("text").alias("n"))  # lengths first: most pairs that fail need no text
-    pairs = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(F.abs(F.col("n_a") - F.col("n_b")) <= budget.column(F.least("n_a", "n_b"))).select("a", "b")
-    a = texts.select(F.col("node").alias("a"), F.col("text").alias("x"))
-    b = texts.select(F.col("node").alias("b"), F.col("text").alias("y"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("most", budget.column(F.least(F.length("x"), F.length("y"))))
+def agreeing(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, budget: Budget) -> DataFrame:
+    """The pairs (a, b) of nodes whose lines are within their budget of edits; sketches rule out most of the others before any text is dealt."""
+
+    def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, 33).astype(np.int64) for i in (2, 3))
+                most = budget.of(np.minimum(x[:, 0], y[:, 0]))
+                keep = pa.array((np.abs(x[:, 0] - y[:, 0]) <= most) & letters_allow(x[:, 1:], y[:, 1:], most))
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+
+    told = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    pairs = materialise(told.mapInArrow(possible, "a long, b long"), "possible")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    both = both.select("a", "b", "x", "y", budget.column(F.least(F.length("x"), F.length("y"))).alias("most"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = [may_agree(x, y, t) and within(x, y, t) for x, y, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
-    return both.select("a", "b", "x", "y", "most").mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long")
+
+
+def sketched(texts: DataFrame) -> DataFrame:
+    """(node, sketch): a line's length and how often it has the letters of each of 32 kinds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [np.concatenate([[len(t)], letters(t).reshape(2, 32).sum(0)]).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, sketch binary")
+
+
+def letters_allow(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether letter counts leave room for ``most`` edits, pair by pair."""
+    off = a - b
+    return np.maximum(np.where(off > 0, off, 0).sum(1), -np.where(off < 0, off, 0).sum(1)) <= most
+
+
+def block_filter(budget: Budget):
+    """What ``linking.promising`` needs to rule out lines by their sketches."""
+
+    def make():
+        def may_link(a: list[bytes], b: list[bytes]) -> np.ndarray:
+            x, y = (np.frombuffer(b"".join(side), "<u4").reshape(-1, 33).astype(np.int64) for side in (a, b))
+            most = budget.of(np.minimum(x[:, None, 0], y[None, :, 0]))
+            out = np.abs(x[:, None, 0] - y[None, :, 0]) <= most
+            i, j = np.nonzero(out)
+            for start in range(0, len(i), 16_384):
+                p, q = i[start : start + 16_384], j[start : start + 16_384]
+                out[p, q] = letters_allow(x[p, 1:], y[q, 1:], most[p, q])
+            return out
+
+        return may_link
+
+    return make
 
 
 def block_checker(budget: Budget):
@@ -480,8 +524,7 @@ def block_checker(budget: Budget):
             counts_a, counts_b = (np.stack([letters(t) for t in side]) for side in (a, b))
             for start in range(0, len(rows), 16_384):
                 i, j = rows[start : start + 16_384], columns[start : start + 16_384]
-                off = counts_a[i] - counts_b[j]
-                near = np.maximum(np.where(off > 0, off, 0).sum(1), -np.where(off < 0, off, 0).sum(1)) <= most[i, j]
+                near = letters_allow(counts_a[i], counts_b[j], most[i, j])
                 for x, y in zip(i[near].tolist(), j[near].tolist()):
                     if apart(x, y) and within(a[x], b[y], int(most[x, y])):
                         yield x, y
@@ -508,8 +551,9 @@ def classed_lines(docs: DataFrame, budget: Budget, id_col: str, text_col: str) -
     met = materialise(meeting_lines(packs, budget), "met")
     buckets = materialise(met.filter("hub IS NOT NULL").select("hub", "node").unionByName(hub_members(met.filter("hub IS NULL"))).distinct(), "buckets")
     known = materialise(texts_of(texts, buckets.select("node").distinct()), "texts")
+    sketches = materialise(sketched(known), "sketches")
 
-    components, _ = near_classes(buckets, lambda pairs: agreeing(pairs, known, budget), lambda groups: block_links(groups, known, block_checker(budget)))
+    components, _ = near_classes(buckets, lambda pairs: agreeing(pairs, known, sketches, budget), lambda groups: block_links(promising(groups, sketches, block_filter(budget)), known, block_checker(budget)))
     # complements are in reverse order and leave nulls least, so the greatest place is the first and rows without an id come last
     place = F.struct(*(F.bitwise_not(F.col(c)).alias(c) for c in ("doc_id", "file", "row", "line_no")))
     firsts = here.groupBy("h1", "h2").agg(F.max(place).alias("first"))

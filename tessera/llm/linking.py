@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,26 +67,30 @@ def each_salt(n: int = SALTS):
     return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
 
 
+def with_sizes(members: DataFrame, least: int = 1) -> DataFrame:
+    """``members(hub, salt, node, component, outside)`` with the sizes of their hubs' groups, of those with outside members and ``least`` members."""
+    sizes = members.groupBy("hub").agg(F.sum(F.col("outside").cast("long")).alias("n_outside"), F.count("*").alias("n_members")).filter(f"n_outside > 0 AND n_members >= {least}")
+    return members.join(sizes.select("hub", "n_outside", "n_members", each_salt()), ["hub", "salt"])
+
+
 def open_groups(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """(hub, node, component, outside, n_outside, n_members) of the hubs that have members outside their component.
+    """(hub, salt, node, component, outside, n_outside, n_members) of the hubs whose members may hold links not yet found.
 
     Members that share a bucket share its hub, so the pairs of all buckets are among those of the hubs' groups, and
-    there each comes once for a hub instead of once for a bucket.
+    there each comes once for a hub instead of once for a bucket. What is left is between members outside the hub's
+    component and others; the hub itself was checked against all.
     """
     of = components.select(F.col("node").alias("of"), "component")
     members = buckets.join(of, F.col("node") == F.col("of"), "left").select("hub", "node", F.coalesce("component", "node").alias("component"), salted())
     hubs = buckets.filter("hub = node").select("hub").join(of, F.col("hub") == F.col("of"), "left").select("hub", F.coalesce("component", "hub").alias("main"))
-    members = materialise(members.join(hubs.select("hub", "main", each_salt()), ["hub", "salt"]).withColumn("outside", F.col("component") != F.col("main")), "members")
-    sizes = members.groupBy("hub").agg(F.sum(F.col("outside").cast("long")).alias("n_outside"), F.count("*").alias("n_members")).filter("n_outside > 0")
-    return members.join(sizes.select("hub", "n_outside", "n_members", each_salt()), ["hub", "salt"]).select("hub", "node", "component", "outside", "n_outside", "n_members")
+    members = members.join(hubs.select("hub", "main", each_salt()), ["hub", "salt"]).withColumn("outside", F.col("component") != F.col("main"))
+    return with_sizes(materialise(members.drop("main"), "members"), 3)
 
 
-def block_links(groups: DataFrame, texts: DataFrame, make: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
-    """Links (a, b) that connect components of ``open_groups``: members outside with all members, in blocks.
+def dealt_blocks(groups: DataFrame, carried: DataFrame, column: str) -> DataFrame:
+    """(hub, x, y, side, node, component, column): members outside (side 0) against all members (side 1), in blocks.
 
     A hub's outside members and its members are dealt into shares of bounded size; each pair of shares is a block.
-    ``make()`` runs once per task and gives ``read(text)``, what is kept of a member, and ``linked(xs, ys, apart)``,
-    which yields linked (i, j) of two lists of those; it asks ``apart(i, j)`` before work that a connection saves.
     """
     ceil = lambda x, n: F.ceil(F.col(x) / n).cast("int")
     sized = groups.withColumn("o", ceil("n_outside", BLOCK_OUTSIDE)).withColumn("m", ceil("n_members", BLOCK_MEMBERS))
@@ -93,32 +98,67 @@ def block_links(groups: DataFrame, texts: DataFrame, make: Callable[[], tuple[Ca
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     outside = sized.filter("outside").select("hub", share("o").alias("x"), every("m").alias("y"), F.lit(0).alias("side"), "node", "component")
     members = sized.select("hub", every("o").alias("x"), share("m").alias("y"), F.lit(1).alias("side"), "node", "component")
-    rows = outside.unionByName(members).join(texts.select("node", "text"), "node").select("hub", "x", "y", "side", "node", "component", "text")
-    rows = rows.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "side")
+    rows = outside.unionByName(members).join(carried.select("node", column), "node").select("hub", "x", "y", "side", "node", "component", column)
+    return rows.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "side")
+
+
+Side = tuple[list[int], list[int], list]
+
+
+def each_block(batches: Iterator[pa.RecordBatch], read: Callable) -> Iterator[tuple[int, Side, Side]]:
+    """(hub, outside members, members) of every block, each side as nodes, components and what was read of them."""
+    at, sides = None, (([], [], []), ([], [], []))
+    for batch in batches:
+        for hub, x, y, side, node, component, value in zip(*(c.to_pylist() for c in batch.columns)):
+            if at != (hub, x, y):
+                if sides[0][0] and sides[1][0]:
+                    yield at[0], *sides
+                at, sides = (hub, x, y), (([], [], []), ([], [], []))
+            for to, v in zip(sides[side], (node, component, read(value))):
+                to.append(v)
+    if sides[0][0] and sides[1][0]:
+        yield at[0], *sides
+
+
+def promising(groups: DataFrame, sketches: DataFrame, make: Callable[[], Callable]) -> DataFrame:
+    """``groups`` without the members whose sketch rules out a link to any other member of another component.
+
+    ``make()`` runs once per task and gives ``may_link(a, b)``: two lists of sketches to a matrix of booleans.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may_link = make()
+        hubs, nodes = [], []
+        for hub, (nodes_a, groups_a, a), (nodes_b, groups_b, b) in each_block(batches, lambda value: value):
+            open_ = may_link(a, b) & (np.array(groups_a)[:, None] != np.array(groups_b)[None, :]) & (np.array(nodes_b) != hub)[None, :]
+            found = [nodes_a[i] for i in np.nonzero(open_.any(1))[0]] + [nodes_b[j] for j in np.nonzero(open_.any(0))[0]]
+            nodes += found
+            hubs += [hub] * len(found)
+            if len(nodes) >= 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], names=["hub", "node"])
+                hubs, nodes = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], names=["hub", "node"])
+
+    left = dealt_blocks(groups, sketches, "sketch").mapInArrow(run, "hub long, node long").distinct()
+    members = groups.drop("n_outside", "n_members").join(left, ["hub", "node"], "left_semi")
+    return with_sizes(materialise(members, "members"))
+
+
+def block_links(groups: DataFrame, texts: DataFrame, make: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
+    """Links (a, b) that connect components of ``open_groups``: members outside with all members, in blocks.
+
+    ``make()`` runs once per task and gives ``read(text)``, what is kept of a member, and ``linked(xs, ys, apart)``,
+    which yields linked (i, j) of two lists of those; it asks ``apart(i, j)`` before work that a connection saves.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, linked = make()
-        at, sides = None, (([], [], []), ([], [], []))
-
-        def close() -> list[tuple[int, int]]:
-            (nodes_a, groups_a, a), (nodes_b, groups_b, b) = sides
-            return joining(nodes_a, groups_a, nodes_b, groups_b, lambda apart: linked(a, b, apart)) if a and b else []
-
-        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-        for batch in batches:
-            got: list[tuple[int, int]] = []
-            for hub, x, y, side, node, component, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if at != (hub, x, y):
-                    got += close()
-                    at, sides = (hub, x, y), (([], [], []), ([], [], []))
-                for to, value in zip(sides[side], (node, component, read(text or ""))):
-                    to.append(value)
-            yield batch_of(got)
-        yield batch_of(close())
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+        for _, (nodes_a, groups_a, a), (nodes_b, groups_b, b) in each_block(batches, lambda text: read(text or "")):
+            links = joining(nodes_a, groups_a, nodes_b, groups_b, lambda apart: linked(a, b, apart))
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return dealt_blocks(groups, texts, "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def joining(nodes_a: list[int], groups_a: list[int], nodes_b: list[int], groups_b: list[int], linked: Callable) -> list[tuple[int, int]]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Memo, map_text, materialise, resource
-from tessera.llm.linking import block_links, hub_members, near_classes
+from tessera.llm.linking import block_links, hub_members, near_classes, promising
 
 #: Registers, base and rate of the sketch; bands of ROWS registers. A pair at 0.85 misses all 32 bands of 4 with a
 #: probability of 6e-11, one at 0.8 with 5e-8.
@@ -168,6 +168,22 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def block_estimator(least: float):
+    """What ``linking.promising`` needs to rule out sets by their sketches (n as 8 bytes, then the registers)."""
+
+    def make():
+        def may_link(a: list[bytes], b: list[bytes]) -> np.ndarray:
+            (n_a, x), (n_b, y) = ((np.array([int.from_bytes(s[:8], "big") for s in side]), np.frombuffer(b"".join(s[8:] for s in side), dtype=np.uint16).reshape(-1, M)) for side in (a, b))
+            out = np.zeros((len(a), len(b)), dtype=bool)
+            for i in range(len(a)):  # a row of the block at a time bounds its memory
+                out[i] = estimate(np.broadcast_to(x[i], y.shape), y, np.full(len(b), n_a[i]), n_b) >= least
+            return out
+
+        return may_link
+
+    return make
+
+
 def block_counter(words: int, threshold: int):
     """What ``linking.block_links`` needs to tell linked sets of shingles."""
 
@@ -202,11 +218,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
     texts = materialise(texts.join(wanted, "node", "left_semi"), "texts")
     least = threshold / 100 - MARGIN
+    # a long as 8 bytes, most significant first
+    carried = sets.select("node", F.concat(F.to_binary(F.lpad(F.hex("n"), 16, "0"), F.lit("hex")), "sig").alias("sketch"))
 
     def check(pairs: DataFrame) -> DataFrame:
         return confirmed(materialise(estimated(pairs, sets, least), "likely"), texts, words, threshold)
 
-    components, _ = near_classes(buckets, check, lambda groups: block_links(groups, texts, block_counter(words, threshold)))
+    components, _ = near_classes(buckets, check, lambda groups: block_links(promising(groups, carried, block_estimator(least)), texts, block_counter(words, threshold)))
     found = sets.select("digest", "node").join(components, "node", "left").select(F.col("digest").alias("of"), F.coalesce("component", "node").alias("component"))
     out = sketches.join(found, F.col("digest") == F.col("of"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
