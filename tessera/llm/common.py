@@ -92,8 +92,8 @@ def slices(sizes: list[int], limit: int = BATCH_CHARS) -> Iterator[tuple[int, in
         yield start, len(sizes)
 
 
-def map_text(df: DataFrame, make: Callable[[], Callable], schema: str, text_at: int) -> DataFrame:
-    """Maps rows to rows in Arrow batches of bounded text.
+def map_text(df: DataFrame, make: Callable[[], Callable], schema: str, text_at: int, limit: int = BATCH_CHARS) -> DataFrame:
+    """Maps rows to rows in Arrow batches of about ``limit`` bytes of text at most.
 
     ``make()`` runs once per task and returns ``f(columns, texts) -> {name: array}``, where columns are the batch's
     Arrow columns and texts the (null replaced by empty) strings of column ``text_at``.
@@ -103,7 +103,7 @@ def map_text(df: DataFrame, make: Callable[[], Callable], schema: str, text_at:
         f = make()
         for batch in batches:
             sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_pylist()
-            for a, b in slices(sizes):
+            for a, b in slices(sizes, limit):
                 part = batch.slice(a, b - a)
                 got = f(part.columns, [t or "" for t in part.column(text_at).to_pylist()])
                 yield pa.RecordBatch.from_arrays(list(got.values()), names=list(got))

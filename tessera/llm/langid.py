@@ -1,10 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text gives the longest match that starts at a position. A text is
-parsed greedily into longest matches (a character that the language never has is a phrase of its own); the language
-that needs the fewest phrases for each character wins. Texts are folded to lower-case letters with single blanks, so
-that markup and digits carry no weight, and parsed in blocks of ``BLOCK`` characters: phrases end at a block's end
-in every language alike.
+parsed greedily into longest matches (a character that the language never has is a phrase of its own). The number of
+phrases times the logarithm of the sample's size estimates the cross entropy; the language where it is least wins, so
+that a language with a larger sample, whose matches are longer, has no start over another. Texts are folded to
+lower-case letters with single blanks, so that markup and digits carry no weight, and parsed whole: all texts of a
+batch and all languages advance by one character at a time.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from tessera.llm.common import map_text, release
 
-#: Bounds of what a model is fitted on: rows and characters for each language.
-SAMPLE_ROWS, SAMPLE_CHARS = 200, 24_000
-BLOCK = 256
-#: Cells of transition tables that a worker holds; the automata beyond look their arcs up by bisection.
+#: Bounds of what a model is fitted on: rows and characters for each language, and characters of one row.
+SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 200, 24_000, 2_400
+#: Cells of the transition table that a worker holds; larger automata look their arcs up by bisection.
 DENSE_CELLS = 32_000_000
+#: Characters of texts that are parsed side by side, and steps whose letters are laid out at once.
+PARSED_CHARS, STEPS = 16_000_000, 128
 UNDETERMINED = "und"
 
 
@@ -56,19 +58,21 @@ def suffix_arcs(codes: list[int]) -> list[dict[int, int]]:
 
 def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
     """Transitions [state, code] of the suffix automaton of ``codes``; state 0 is the root, -1 no transition."""
-    arcs = Arcs(codes, width)
-    return arcs.table().reshape(-1, width)
+    return Arcs([suffix_arcs(codes)], width).table().reshape(-1, width)
 
 
 class Arcs:
-    """The arcs of a suffix automaton, sorted by state x ``width`` + code: small however wide the alphabet is."""
-
-    def __init__(self, codes: list[int], width: int):
-        nexts = suffix_arcs(codes)
-        at = np.array([s * width + c for s, arcs in enumerate(nexts) for c in arcs], dtype=np.int64)
-        to = np.array([t for arcs in nexts for t in arcs.values()], dtype=np.int32)
+    """The arcs of automata side by side, sorted by state x ``width`` + code: small however wide the alphabet is."""
+
+    def __init__(self, automata: list[list[dict[int, int]]], width: int):
+        self.roots = np.cumsum([0, *map(len, automata)])[:-1].astype(np.int64)
+        at, to = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+        for root, nexts in zip(self.roots.tolist(), automata):
+            at.append(np.array([(root + s) * width + c for s, arcs in enumerate(nexts) for c in arcs], dtype=np.int64))
+            to.append(np.array([root + t for arcs in nexts for t in arcs.values()], dtype=np.int32))
+        at, to = np.concatenate(at), np.concatenate(to)
         order = np.argsort(at)
-        self.at, self.to, self.width, self.cells = at[order], to[order], width, len(nexts) * width
+        self.at, self.to, self.width, self.cells = at[order], to[order], width, sum(map(len, automata)) * width
 
     def table(self) -> np.ndarray:
         out = np.full(self.cells, -1, dtype=np.int32)
@@ -89,38 +93,32 @@ def letter_table() -> np.ndarray:
 
 
 class CrossParser:
-    """Fitted on {language: sample text}."""
+    """Fitted on {language: sample text}; languages whose sample has no letters cannot be told and are left out."""
 
     def __init__(self, samples: dict[str, str]):
-        self.langs = sorted(samples)
         self.letters = letter_table()
-        folded = {lang: self.fold(text)[0] for lang, text in samples.items()}
-        points, times = np.unique(np.concatenate([np.zeros(0, np.uint32), *folded.values()]), return_counts=True)
-        known = [int(p) for p in points[np.lexsort((points, -times))] if p != 32]
+        folded = {lang: points for lang in sorted(samples) if len(points := self.fold(samples[lang])[0])}
+        self.langs = list(folded)
+        #: What a phrase weighs in each language.
+        self.weight = np.log2([1 + len(p) for p in folded.values()])
+        known = [int(p) for p in np.unique(np.concatenate([np.zeros(0, np.uint32), *folded.values()])) if p != 32]
         #: Codes of all letters seen: 0 pads, 1 letter of no sample, 2 blank.
         self.codes = np.ones(0x110000, dtype=np.int32)
         self.codes[32] = 2
         self.codes[known] = np.arange(3, 3 + len(known))
-        #: Of each language: columns [code] of its own letters (0 for all others) and the arcs over them.
-        self.automata: list[tuple[np.ndarray, Arcs]] = []
-        self.tables: dict[int, np.ndarray] = {}
-        for lang in self.langs:
-            own = np.unique(self.codes[folded[lang]])
-            columns = np.zeros(3 + len(known), dtype=np.int32)
-            columns[own] = np.arange(1, 1 + len(own))
-            self.automata.append((columns, Arcs(columns[self.codes[folded[lang]]].tolist(), 1 + len(own))))
+        self.arcs = Arcs([suffix_arcs(self.codes[p].tolist()) for p in folded.values()], 3 + len(known))
+        self.dense: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"tables": {}}
+        return self.__dict__ | {"dense": None}
 
-    def lookup(self, i: int):
-        """Next states of language i by state x width + column: from a table while all tables fit."""
-        arcs = self.automata[i][1]
-        if i not in self.tables:
-            if sum(map(len, self.tables.values())) + arcs.cells > DENSE_CELLS:
-                return arcs.find
-            self.tables[i] = arcs.table()
-        return self.tables[i].__getitem__
+    def lookup(self):
+        """Next states by state x width + code: from a table if it is small enough."""
+        if self.arcs.cells > DENSE_CELLS:
+            return self.arcs.find
+        if self.dense is None:
+            self.dense = self.arcs.table()
+        return self.dense.__getitem__
 
     def fold(self, text: str) -> tuple[np.ndarray, int]:
         """Code points of lower-cased letters after a blank, runs of all else as one blank; the number of letters."""
@@ -135,73 +133,70 @@ class CrossParser:
         """Phrases [text, language], characters parsed and letters of each text."""
         folded = [self.fold(t) for t in texts]
         sizes = np.array([len(p) for p, _ in folded], dtype=np.int64)
-        blocks = -(-sizes // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        grid = np.zeros((len(owner), BLOCK), dtype=np.int32)
-        at = 0
-        for (p, _), b in zip(folded, blocks):
-            grid[at : at + b].ravel()[: len(p)] = self.codes[p]
-            at += b
-        grid = np.ascontiguousarray(grid.T)
-        counts = np.zeros((len(self.langs), len(owner)), dtype=np.int32)
-        step = 16_384  # blocks at a time: bounds the working set
-        for a in range(0, len(owner), step):
-            part = grid[:, a : a + step]
-            for i, (columns, arcs) in enumerate(self.automata):
-                find, width = self.lookup(i), np.int64(arcs.width)
-                state = np.zeros(part.shape[1], dtype=np.int32)
-                count = np.zeros_like(state)
-                again = find(np.arange(width))[columns]
-                for row in part:
-                    to = find(state * width + columns[row])
-                    stuck = to < 0
-                    count += (stuck | (state == 0)) & (row > 0)
-                    state = np.where(stuck, np.maximum(again[row], 0), to)
-                counts[i, a : a + step] = count
+        order = np.argsort(-sizes, kind="stable")  # texts that go on stand in front
+        falling = -sizes[order]
+        find, width = self.lookup(), self.arcs.width
+        roots = self.arcs.roots[:, None]
+        first = find(roots * width + np.arange(width)) if self.langs else np.zeros((0, width), np.int32)
+        again = np.where(first < 0, roots, first).astype(np.int64)  # after a phrase ends before a letter
+        state = np.repeat(roots, len(texts), axis=1)
+        counts = np.zeros(state.shape, dtype=np.int64)
+        for start in range(0, int(sizes.max(initial=0)), STEPS):
+            m = int(np.searchsorted(falling, -start))
+            grid = np.zeros((m, STEPS), dtype=np.int32)
+            for lane, t in enumerate(order[:m].tolist()):
+                part = folded[t][0][start : start + STEPS]
+                grid[lane, : len(part)] = self.codes[part]
+            now, told = state[:, :m], counts[:, :m]
+            for row in np.ascontiguousarray(grid.T):
+                to = find(now * width + row)
+                stuck = to < 0
+                told += (stuck | (now == roots)) & (row > 0)
+                now = np.where(stuck, again[:, row], to).astype(np.int64)
+            state[:, :m] = now
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
-        np.add.at(out, owner, counts.T)
+        out[order] = counts.T
         return out, sizes, np.array([n for _, n in folded], dtype=np.int64)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Language and score: by how much, relative to the second best, the winner needs fewer phrases."""
+        """Language and score: by how much, relative to the second best, the winner's cross entropy is less."""
         if not texts:
             return [], []
-        counts, sizes, letters = self.phrases(texts)
+        counts, _, letters = self.phrases(texts)
         if not self.langs:
             return [UNDETERMINED] * len(texts), [0.0] * len(texts)
-        order = np.argsort(counts, axis=1, kind="stable")
-        best = counts[np.arange(len(texts)), order[:, 0]]
-        second = counts[np.arange(len(texts)), order[:, min(1, len(self.langs) - 1)]]
-        score = np.where(letters > 0, 1 - best / np.maximum(second, 1), 0.0) if len(self.langs) > 1 else (letters > 0).astype(float)
+        cost = counts * self.weight
+        order = np.argsort(cost, axis=1, kind="stable")
+        best = cost[np.arange(len(texts)), order[:, 0]]
+        second = cost[np.arange(len(texts)), order[:, min(1, len(self.langs) - 1)]]
+        score = np.where(letters > 0, 1 - best / np.maximum(second, 1e-9), 0.0) if len(self.langs) > 1 else (letters > 0).astype(float)
         return [self.langs[o] if n else UNDETERMINED for o, n in zip(order[:, 0], letters)], score.tolist()
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
-    """Fits on a bounded sample of rows with a language and a text: the first of each language in hash order of id.
+    """Fits on a bounded sample of rows with a language and a text: the first of each language in hash order of (id, text).
 
-    Every label found is a language. Rows without an id are taken in hash order of their text.
+    Every label found is a language. Rows without an id and rows that share one are sampled like all others.
 
-    Two scans: one of ids and labels finds the hash below which about ``SAMPLE_ROWS`` rows of a language lie, one
-    reads those rows' texts. What the driver gets is bounded by languages x ``SAMPLE_ROWS`` texts of
-    ``SAMPLE_CHARS`` characters.
+    Two scans: one finds the hash below which about ``SAMPLE_ROWS`` rows of a language lie, one reads those rows. What
+    the driver gets is bounded by languages x 2 ``SAMPLE_ROWS`` texts of ``ROW_CHARS`` characters, of which the model
+    takes ``SAMPLE_CHARS`` for each language.
     """
     buckets = 1 << 30
-    at = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.col(text_col))), F.lit(buckets))
+    at = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets))
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = labelled.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"), F.min(at).alias("least")).collect()
     below = {r["l"]: max(r["least"] + 1, SAMPLE_ROWS * buckets // r["n"] + 1) for r in sizes}
     rows = []
     if sizes:
         bounds = docs.sparkSession.createDataFrame(list(below.items()), f"__l {dict(docs.dtypes)[lang_col]}, __below long")
-        chosen = labelled.select(F.col(lang_col).alias("lang"), at.alias("at"), F.substring(F.col(text_col), 1, SAMPLE_CHARS).alias("sample"))
+        chosen = labelled.select(F.col(lang_col).alias("lang"), at.alias("at"), F.substring(F.col(text_col), 1, ROW_CHARS).alias("sample"))
         chosen = chosen.join(F.broadcast(bounds), F.col("lang") == F.col("__l")).filter(F.col("at") < F.col("__below"))
         place = F.row_number().over(W.partitionBy("lang").orderBy("at", "sample"))
         rows = chosen.withColumn("place", place).filter(F.col("place") <= 2 * SAMPLE_ROWS).select("lang", "at", "sample").collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["at"], r["sample"])):
-        held = samples.setdefault(r["lang"], "")
-        if len(held) < SAMPLE_CHARS:  # no text gives more than a tenth
-            samples[r["lang"]] = (held + "\n" + r["sample"][: max(SAMPLE_CHARS // 10, SAMPLE_CHARS // SAMPLE_ROWS)])[:SAMPLE_CHARS]
+        samples[r["lang"]] = (samples.get(r["lang"], "") + "\n" + r["sample"])[:SAMPLE_CHARS]
     return CrossParser(samples)
 
 
@@ -227,4 +222,4 @@ def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_c
     kinds = dict(docs.dtypes)
     schema = ", ".join([f"doc_id {kinds[id_col]}", *(f"`{k}` {kinds[k]}" for k in keep), "lang_pred string, score double"])
     carried = [F.col(f"`{k}`").alias(f"__{i}") for i, k in enumerate(keep)]
-    return map_text(docs.select(id_col, text_col, *carried), make, schema, 1)
+    return map_text(docs.select(id_col, text_col, *carried), make, schema, 1, PARSED_CHARS)

@@ -2,6 +2,7 @@
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -148,9 +149,40 @@ def test_phrases_against_substring_search():
     for t, got, n in zip(texts, counts, letters):
         words = "".join(c if c.isalpha() else " " for c in t)
         flat = " " + " ".join(words.split()) + (" " if words and words[-1] == " " else "") if words.strip() else ""
-        blocks = [flat[i : i + langid.BLOCK] for i in range(0, len(flat), langid.BLOCK)]
         assert n == sum(map(str.isalpha, t))
-        assert got.tolist() == [sum(slow_phrases(b, folded[k]) for b in blocks) for k in ("x", "y")], t
+        assert got.tolist() == [slow_phrases(flat, folded[k]) for k in ("x", "y")], t
+    # the language of least phrases, each weighed by the size of what it was found in
+    weight = {k: math.log2(1 + len(v)) for k, v in folded.items()}
+    langs, scores = parser.predict(texts)
+    for t, lang, score, got, n in zip(texts, langs, scores, counts, letters):
+        cost = sorted((c * weight[k], k) for c, k in zip(got.tolist(), ("x", "y")))
+        assert lang == (cost[0][1] if n else "und")
+        assert abs(score - (1 - cost[0][0] / cost[1][0] if n else 0)) < 1e-9
+
+
+def test_a_small_sample_is_no_disadvantage_and_long_texts_are_whole():
+    rng = random.Random(12)
+    word = {k: ["".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(300)] for k, letters in (("a", "abcdefg"), ("b", "bcdefgh"))}
+    prose = lambda k, n: " ".join(rng.choice(word[k]) for _ in range(n))
+    parser = langid.CrossParser({"a": prose("a", 4000), "b": prose("b", 500)})
+    texts = [prose(k, 60) for k in "ab" * 20]
+    assert sum(x == k for x, k in zip(parser.predict(texts)[0], "ab" * 20)) >= 39
+    long = [prose("a", 3000), "", prose("b", 30), prose("b", 2000)]
+    together, alone = parser.phrases(long)[0], [parser.phrases([t])[0][0] for t in long]
+    assert together.tolist() == [x.tolist() for x in alone]
+
+
+def test_null_and_shared_ids_are_sampled_fairly(spark):
+    rows = [(None, "the cat and the dog sat there", "en")] * 3000 + [(7, f"der hund und die katze {i}", "de") for i in range(300)] + [(i, "le chat et le chien dorment", "fr") for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    assert model.langs == ["de", "en", "fr"]
+    assert all(r["lang_pred"] == r["lang"] for r in langid.identify(docs, model, keep=("lang",)).distinct().collect())
+
+
+def test_labels_without_letters_are_no_languages(spark):
+    docs = spark.createDataFrame([(1, "the cat", "en"), (2, "123", "xx"), (3, "a cat", "en")], "doc_id long, text string, lang string")
+    assert langid.fit(docs).langs == ["en"]
 
 
 def test_language_query_is_accurate_and_honest(spark):
