@@ -16,6 +16,8 @@ import html as entities
 import math
 import re
 from collections import defaultdict
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from tessera.llm.common import map_text
 
 #: HTML's void, raw-text, phrasing and implied-end elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math title object canvas xmp noframes noembed".split())
+RAW = frozenset("script style noscript template textarea iframe svg title xmp noframes noembed".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr label".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
@@ -37,7 +39,8 @@ CHROME_ROLES = frozenset("navigation banner contentinfo complementary search for
 CHROME_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|widget|toolbar|pagination|pager|skip|hidden)(?=$|[\s_-]|\d)", re.I)
 ARTICLE = frozenset(("article", "main"))
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
 #: Spread of the smoothing in blocks, and the share of the page's spread that content paths reach.
@@ -71,86 +74,163 @@ def marked(tag: str, attributes: str) -> bool:
     return False
 
 
-Block = tuple[str, str, int, bool, int, bool]
+class Scanner:
+    """Finds a page's markup from front to back; what was looked for in vain is not looked for again, so the work is linear."""
+
+    def __init__(self, page: str):
+        self.page, self.n = page, len(page)
+        self.dead: set[int] = set()  # quotes from which no tag ends
+        self.seen: dict[str, tuple[int, int]] = {}  # of a mark: the place it was sought from last, and where it is
+        self.ends: dict[str, re.Pattern] = {}
+
+    def find(self, mark: str, at: int) -> int:
+        """Like str.find for places that never fall; the length of the page if there is none."""
+        asked, got = self.seen.get(mark, (0, -1))
+        if not asked <= at <= got:
+            got = self.page.find(mark, at)
+            got = self.n if got < 0 else got
+            self.seen[mark] = at, got
+        return got
+
+    def stop(self, at: int) -> int:
+        """The next end of a tag or quote."""
+        return min(self.find(">", at), self.find('"', at), self.find("'", at))
+
+    def tag_end(self, at: int) -> int:
+        """Where the tag whose attributes begin at ``at`` ends, quotes passed over; -1 if it never does."""
+        opened = []
+        while (q := self.stop(at)) < self.n:
+            c = self.page[q]
+            if c == ">":
+                return q
+            close = -1 if q in self.dead else self.page.find(c, q + 1)
+            opened.append(q)
+            if close < 0:
+                break
+            at = close + 1
+        self.dead.update(opened)
+        return -1
+
+    def raw_end(self, tag: str, at: int) -> int:
+        """Where the text of a raw element ends, its end tag included."""
+        if tag not in self.ends:
+            self.ends[tag] = re.compile(rf"</{re.escape(tag)}\s*>", re.I)
+        end = self.ends[tag].search(self.page, at)
+        return end.end() if end else self.n
+
+    def tokens(self) -> Iterator[tuple[str, str, str]]:
+        """(kind, text or tag, attributes): kinds are text, start and end. Comments and declarations are left out."""
+        page, n, at, begun = self.page, self.n, 0, 0
+        while (lt := page.find("<", at)) >= 0:
+            following, token, end = page[lt + 1 : lt + 2], None, -1
+            if following in ("!", "?"):
+                if page.startswith("<!--", lt):
+                    end = min(n, self.find("-->", lt + 4) + 3)
+                elif page.startswith("<![CDATA[", lt):
+                    end = min(n, self.find("]]>", lt + 9) + 3)
+                else:
+                    end = min(n, self.find(">", lt + 2) + 1)
+            elif following == "/" and (name := NAME.match(page, lt + 2)):
+                gt = self.find(">", name.end())
+                if gt < n:
+                    token, end = ("end", name[0].lower(), ""), gt + 1
+            elif name := NAME.match(page, lt + 1):
+                gt = self.tag_end(name.end())
+                if gt >= 0:
+                    token, end = ("start", name[0].lower(), page[name.end() : gt]), gt + 1
+            if end < 0:  # a mere character
+                at = lt + 1
+                continue
+            if lt > begun:
+                yield "text", page[begun:lt], ""
+            if token:
+                yield token
+                if token[0] == "start" and token[1] in RAW and not token[2].endswith("/"):
+                    end = self.raw_end(token[1], end)
+            at = begun = end
+        if begun < n:
+            yield "text", page[begun:], ""
+
+
+@dataclass(slots=True)
+class Open:
+    """An open element: its path, what is around it, and where the nearest element of a block is on the stack."""
+
+    tag: str
+    path: int
+    article: bool
+    marks: int
+    gone: bool
+    block: int
+
+
+Block = tuple[int, str, int, bool, int, bool, str]
 
 
 def blocks(page: str) -> list[Block]:
-    """(path, text, characters in links, inside an article, chrome marks around, hidden) of every text block in page order."""
+    """(path, text, characters in links, inside an article, chrome marks around, hidden, block tag) of every text block in page order.
+
+    Paths of block tags are numbered: one number for each path from the root.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, article, chrome marks, hidden
-    path: list[str] = []
+    root = Open("", 0, False, 0, False, -1)
+    stack: list[Open] = []
+    paths: dict[tuple[int, str], int] = {}
+    at: dict[str, list[int]] = defaultdict(list)  # of each tag: its places on the stack
     held: list[str] = []
-    state = {"linked": 0, "links": 0}
+    linked = 0
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
-            out.append(("/".join(t for t, *_ in stack if t not in INLINE), text, state["linked"], *(stack[-1][1:] if stack else (False, 0, False))))
+            top = stack[-1] if stack else root
+            out.append((top.path, text, linked, top.article, top.marks, top.gone, stack[top.block].tag if top.block >= 0 else ""))
         held.clear()
-        state["linked"] = 0
+        linked = 0
 
     def close(i: int) -> None:
         """Closes the stack from element i on."""
-        if any(t not in INLINE for t, *_ in stack[i:]):
+        if stack[-1].block >= i:
             flush()
-        state["links"] -= sum(t == "a" for t, *_ in stack[i:])
-        del stack[i:]
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        if not m:
-            text, at = page[at:], n
-        else:
-            text, at = page[at : m.start()], m.end()
-        if text:
-            held.append(text)
-            if state["links"] > 0:
-                state["linked"] += len(text)
-        if not m:
-            break
-        ended, tag = m[1], m[2]
-        if ended:
-            ended = ended.lower()
-            if ended == "br":
+        while len(stack) > i:
+            at[stack.pop().tag].pop()
+
+    def last(tags: Iterable[str]) -> int:
+        return max((at[t][-1] for t in tags if at[t]), default=-1)
+
+    for kind, tag, attributes in Scanner(page).tokens():
+        if kind == "text":
+            held.append(tag)
+            if at["a"]:
+                linked += len(tag)
+        elif kind == "end":
+            if tag == "br":
                 held.append(" ")
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == ended:
-                    close(i)
-                    break
-                if ended in INLINE and stack[i][0] not in INLINE:
-                    break
-        elif tag:
-            tag, attributes = tag.lower(), m[3] or ""
-            if tag in RAW and not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = end.end() if end else n
-                continue
-            if tag in VOID:
-                held.append(" " if tag == "br" else "")
-                if tag == "hr":
-                    flush()
-                continue
-            if tag in CLOSES_P:
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == "p":
-                        close(i)
-                        break
-                    if stack[i][0] not in INLINE:
-                        break
+            i = last((tag,))
+            if i >= 0 and not (tag in INLINE and i < stack[-1].block):
+                close(i)
+        elif tag in RAW and not attributes.endswith("/"):
+            continue
+        elif tag in VOID:
+            held.append(" " if tag == "br" else "")
+            if tag == "hr":
+                flush()
+        else:
+            if tag in CLOSES_P and stack and at["p"] and at["p"][-1] == stack[-1].block:
+                close(at["p"][-1])
             if tag in IMPLIED:
                 gone, stop = IMPLIED[tag]
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in stop:
-                        break
-                    if stack[i][0] in gone:
-                        close(i)
-                        break
-            if tag not in INLINE:
+                i = last(gone)
+                if i >= 0 and i > last(stop):
+                    close(i)
+            around = stack[-1] if stack else root
+            inline = tag in INLINE
+            if not inline:
                 flush()
-            _, article, marks, gone = stack[-1] if stack else ("", False, 0, False)
-            stack.append((tag, article or tag in ARTICLE, marks + marked(tag, attributes), gone or hidden(tag, attributes)))
-            state["links"] += tag == "a"
+            path = around.path if inline else paths.setdefault((around.path, tag), len(paths) + 1)
+            at[tag].append(len(stack))
+            stack.append(Open(tag, path, around.article or tag in ARTICLE, around.marks + marked(tag, attributes), around.gone or hidden(tag, attributes), around.block if inline else len(stack)))
     flush()
     return out
 
@@ -158,7 +238,7 @@ def blocks(page: str) -> list[Block]:
 def scores(found: list[Block]) -> np.ndarray:
     """Fused, smoothed ratio of every block's path; paths under other marks are other paths."""
     total: dict[tuple, list[float]] = defaultdict(lambda: [0.0, 0.0, 0.0, 0.0])
-    for path, text, linked, article, marks, _ in found:
+    for path, text, linked, article, marks, *_ in found:
         s = total[path, article, marks]
         s[0] += len(text)
         s[1] += len(PUNCTUATION.findall(text))
@@ -187,7 +267,7 @@ def main_text(page: str) -> str:
     limit = SHARE * math.sqrt(float(np.mean(score**2)))
     best: dict[tuple, float] = defaultdict(float)
     for b, s in zip(found, score):
-        s *= (IN_ARTICLE if b[3] else 1) * (HEADING if b[0].rpartition("/")[2] in HEADINGS else 1)
+        s *= (IN_ARTICLE if b[3] else 1) * (HEADING if b[6] in HEADINGS else 1)
         best[b[0], b[3], b[4]] = max(best[b[0], b[3], b[4]], s)
     wanted = [0 < best[b[0], b[3], b[4]] >= limit and (b[3] or b[2] < 0.5 * len(b[1])) for b in found]
     return " ".join(b[1] for b, w in zip(found, wanted) if w)

@@ -45,10 +45,12 @@ def candidates(text: str) -> list[tuple[int, int, str, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end(), m[0]) for m in ACCESS.finditer(text) if len(m[0]) >= LEAST_ACCESS]
     found += [(m.start(), 2, m.end(), m[0]) for m in HEX.finditer(text)]
-    base = sorted((a, e) for a, _, e, _ in found)
-    for m in OPAQUE.finditer(text):
+    base, at, reach = sorted((a, e) for a, _, e, _ in found), 0, 0
+    for m in OPAQUE.finditer(text):  # both lists are in order: each base span is passed once
+        while at < len(base) and base[at][0] < m.end():
+            reach, at = max(reach, base[at][1]), at + 1
         t = m[0]
-        if any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and entropy(t) >= OPAQUE_BITS and not any(a < m.end() and m.start() < e for a, e in base):
+        if reach <= m.start() and any(c.isdigit() for c in t) and any(c.isalpha() for c in t) and entropy(t) >= OPAQUE_BITS:
             found.append((m.start(), 3, m.end(), t))
     return sorted(found)
 
@@ -57,9 +59,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     """(doc_id, spans array<struct<kind, start, end, value_hash, n_repos, n_owners, live>>), one row per input row.
 
     Starts and ends are code points, ends exclusive. Null and empty texts have no spans; long texts are scanned
-    whole. A null repository or owner counts as one more. Repeated rows are separate rows that share repository and
+    whole. n_repos and n_owners count the distinct repositories and the distinct owners that hold a value; where a table
+    tells only one of the two, as ``documents`` does by its source, both columns name it and the counts are equal. A
+    null repository or owner counts as one more. Repeated rows are separate rows that share repository and
     owner, so they make no value look copied. An empty table gives an empty result; columns that are not named are
-    not read. Only candidate rows take part in the count: (hash, repository, owner) triples are made distinct
+    not read. Only candidate rows take part in the count: (hash, repository) and (hash, owner) are made distinct
     before they meet, so a value copied into a third of all rows is counted from partial sums.
     """
     kinds = dict(docs.dtypes)
@@ -76,9 +80,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_c
     rows = docs.select(id_col, text_col, F.col(repo_col).cast("string").alias("repo"), F.col(owner_col).cast("string").alias("owner"))
     found = materialise(map_text(rows, make, schema, 1).withColumn("row", F.monotonically_increasing_id()), "secrets")
     one = found.filter(F.size("found") > 0).select("row", "repo", "owner", F.inline("found"))
-    owners = one.select("value_hash", "repo", "owner").distinct()
-    held = owners.groupBy("value_hash", "owner").agg(F.count("*").alias("repos"))
-    frequency = held.groupBy("value_hash").agg(F.sum("repos").alias("n_repos"), F.count("*").alias("n_owners"))
+    held = [one.select("value_hash", F.coalesce(c, F.lit("")).alias(c), F.col(c).isNull().alias("none")).distinct().groupBy("value_hash").agg(F.count("*").alias(n)) for c, n in (("repo", "n_repos"), ("owner", "n_owners"))]
+    frequency = held[0].join(held[1], "value_hash")
     span = F.struct("start", F.when(F.col("kind") == "assign", 0).when(F.col("kind") == "access", 1).when(F.col("kind") == "hex", 2).otherwise(3).alias("at"), "kind", "end", "value_hash", "n_repos", "n_owners", (F.col("n_owners") <= LIVE_OWNERS).alias("live"))
     judged = one.join(frequency, "value_hash").filter((F.col("kind") != "opaque") | (F.col("n_owners") <= LIVE_OWNERS))
     by_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("sorted"))

@@ -37,6 +37,10 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
     return rows.select("vec_id", F.transform("x", lambda c: F.floor(F.lit(float(scale)) * c).cast("long")).alias("v"))
 
 
+class ScoreRange(ValueError):
+    """A score, or a bound of one, that a 64-bit number cannot hold."""
+
+
 def matrix(lists: pa.Array, dim: int | None = None) -> np.ndarray:
     """Rows of a list column; shorter vectors are filled with zeros, which add nothing."""
     sizes = np.asarray(lists.value_lengths())
@@ -58,7 +62,12 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     top = float(np.abs(a).max()) * float(np.abs(b).max()) * d
     if top < 2**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T if top < 2**62 else (a.astype(object) @ b.T.astype(object)).astype(np.int64)
+    if top < 2**62:
+        return a @ b.T
+    out = a.astype(object) @ b.T.astype(object)
+    if max(out.max(), -out.min()) >= 2**62:
+        raise ScoreRange("scores beyond 62 bits: take a smaller scale or smaller components")
+    return out.astype(np.int64)
 
 
 class Best:
@@ -109,7 +118,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int =
     ``is_query`` is a condition on column ``vec_id``. Rows with a null id, a null vector, or a null or non-finite
     component take no part. Repeated rows are rows of their own: each is searched for and can be found, only the
     query's own row is left out. Ties go to the smaller id. Vectors of other lengths are filled with zeros. An empty
-    table or query set gives an empty result; other columns are not read.
+    table or query set gives an empty result; other columns are not read. Components times ``scale`` must fit 64 bits,
+    and scores and bounds 62: else the query fails with ``ScoreRange``.
     """
     spark = vectors.sparkSession
     path = shared_path(spark, "vectors")
