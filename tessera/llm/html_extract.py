@@ -35,8 +35,9 @@ IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "
 #: Elements whose text is never the article's.
 CHROME = frozenset("head nav footer header aside form button select menu dialog search fieldset noscript input".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-#: Words in class and id values that mark what is around an article.
-CHROME_WORDS = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|gdpr|popup|modal|overlay|nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|footer|masthead|site-?header|page-?header|comments?|commentlist|disqus|respond|replies|share|sharing|social|related|recommend\w*|subscribe|newsletter|signup|login|widget|toolbar|pagination|pager|skip|hidden)(?=$|[\s_-]|\d)", re.I)
+#: Class and id names that mark what is around an article: one of these words, alone or with words that tell of a place or a shape.
+CHROME_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice notices gdpr popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead comment comments commentlist disqus respond replies share sharing social related recommend recommended recommendations subscribe newsletter signup login widget widgets toolbar pagination pager skip hidden".split())
+PLACES = frozenset("site page global main top bottom left right primary secondary header footer box area list lists wrapper wrap container content inner outer section block bar links link items item buttons button icons form post posts articles thread panel slot unit text title menu row col column".split())
 ARTICLE = frozenset(("article", "main"))
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -63,13 +64,24 @@ def hidden(tag: str, attributes: str) -> bool:
     return False
 
 
+def names_chrome(value: str) -> bool:
+    """Whether one of the names in a class or id value is a chrome word, or such words and words of places alone."""
+    for name in value.lower().split():
+        words = [w for w in re.split(r"[_\W\d]+", name) if w]
+        if any(w in CHROME_NAMES for w in words) and all(w in CHROME_NAMES or w in PLACES for w in words) and (len(words) < 3 or words[0] != words[-1]):
+            return True
+        if words in (["site", "header"], ["page", "header"]):
+            return True
+    return False
+
+
 def marked(tag: str, attributes: str) -> bool:
     """Whether a class, an id or a role calls an element chrome."""
     if tag in ARTICLE or tag in ("body", "html"):
         return False
     for name, value in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name == "role" and value.lower() in CHROME_ROLES or name in ("class", "id") and CHROME_WORDS.search(value):
+        if name == "role" and value.lower() in CHROME_ROLES or name in ("class", "id") and names_chrome(value):
             return True
     return False
 

@@ -1,5 +1,13 @@
 """Path scores decide on every page; marks only weigh."""
 
+import math
+import random
+import re
+import time
+
+import pyarrow.parquet as pq
+import pytest
+
 from tessera.llm import html_extract
 
 LONG = "Some long prose, with commas, and more of it. It goes on for a while, does it not? "
@@ -21,3 +29,64 @@ def test_short_paths_inside_main_are_under_the_threshold():
     page = f"<main><h1>Title</h1><p>{LONG * 4}</p><p>{LONG * 3}</p><p>{LONG * 3}</p><p>{LONG * 3}</p><ul class=talk><li>me too<li>ok<li>nice<li>yes<li>first<li>hm</ul></main>"
     text = html_extract.main_text(page)
     assert LONG.strip() in text and "nice" not in text
+
+
+def slow_scores(found):
+    """The fused ratios by their definition: sums of each path, a Gaussian mean over neighbours, block by block."""
+
+    def of(b):
+        return b[0], b[3], b[4]
+
+    text, marks, free = [], [], []
+    for b in found:
+        own = [c for c in found if of(c) == of(b)]
+        text.append(sum(len(c[1]) for c in own) / len(own))
+        marks.append(sum(len(html_extract.PUNCTUATION.findall(c[1])) for c in own) / len(own))
+        free.append(1 - sum(min(c[2], len(c[1])) for c in own) / sum(len(c[1]) for c in own))
+
+    def mean(x, i):
+        near = [(math.exp(-((i - j) ** 2) / (2 * html_extract.SIGMA**2)), x[j]) for j in range(len(x)) if abs(i - j) <= 3 * html_extract.SIGMA]
+        return sum(w * v for w, v in near) / sum(w for w, _ in near)
+
+    return [mean(text, i) * (1 + mean(marks, i)) * free[i] for i in range(len(found))]
+
+
+def pages():
+    return pq.read_table("/root/testdata/sf0.001/pages.parquet")["html"].to_pylist()
+
+
+def test_ratios_against_their_definition():
+    rng = random.Random(4)
+    tags = ["<div>", "</div>", "<p>", "</p>", "<b>", "</b>", "<a href=x>", "</a>", "words, and. ", "more! ", "<li>", "<ul>", "</ul>", "<article>", "</article>", "<h2>", "</h2>"]
+    made = ["".join(rng.choice(tags) for _ in range(60)) for _ in range(200)]
+    for page in [p for p in pages()[:40] if p] + made:
+        found = html_extract.blocks(page)
+        if found:
+            assert html_extract.scores(found).tolist() == pytest.approx(slow_scores(found), rel=1e-9, abs=1e-9)
+
+
+def test_without_the_marks_the_ratios_find_the_article():
+    wrong = total = 0
+    for page in filter(None, pages()):
+        plain = re.sub(r"(?i)(</?)(?:article|main)\b", r"\1div", page)
+        want, got = html_extract.main_text(page), html_extract.main_text(plain)
+        total += len(want)
+        wrong += abs(len(want) - len(got)) + (want not in got and got not in want) * len(want)
+    assert wrong <= 0.01 * total
+
+
+@pytest.mark.parametrize("name", ["side-by-side", "social-policy", "article-comments-enabled"])
+def test_names_that_hold_a_chrome_word_are_no_chrome(name):
+    page = f"<article><h1>Head</h1><p>{LONG * 2}</p><div class='{name}' id='{name}'><p>Kept here. {LONG}</p></div></article>"
+    assert "Kept here." in html_extract.main_text(page)
+    assert "x=1" in html_extract.main_text(f"<article><p>{LONG}</p><p>{LONG} so <math><mi>x=1</mi></math></p></article>")
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "<div>x", "<a \"'<b '", "<p>x", "</x>", "<i><b></i>"])
+def test_broken_pages_take_linear_time(part):
+    took = []
+    for n in (50_000, 400_000):
+        began = time.process_time()
+        html_extract.main_text(part * (n // len(part)))
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.02)
