@@ -146,13 +146,15 @@ def split_pattern(spec: dict):
     return regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}")).findall
 
 
-def lowered(text: str) -> str:
-    """Lower case where that is safe before the tokenizer's own normalisation (Latin-1: no marks to compose)."""
+def lowered(text: str, hints: set[str]) -> str:
+    """Lower case where that is safe before the tokenizer's own normalisation: Latin-1 (no marks to compose), and no
+    spelling that lower case might turn into a special token, which the raw text alone can hold."""
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
         return text
-    return text.lower()
+    low = text.lower()
+    return text if any(h in low for h in hints) else low
 
 
 class BpeCodec:
@@ -195,7 +197,7 @@ class BpeCodec:
         return tuple(chain.from_iterable(map(self.memo.__getitem__, words)))
 
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.memo.__getitem__, lowered(text).replace("\n", " ").split(" "))))
+        return list(chain.from_iterable(map(self.memo.__getitem__, lowered(text, self.hints).replace("\n", " ").split(" "))))
 
     def decode(self, ids: list[int]) -> str:
         """Labels joined by blanks: what a tokenizer file without a decoder prescribes."""

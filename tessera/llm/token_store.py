@@ -93,7 +93,7 @@ class LibraryEncoder:
         rows, unknown = [], set()
         seen = self.memo.get
         for t in texts:
-            chunks = lowered(t).replace("\n", " ").split(" ")
+            chunks = lowered(t, self.hints).replace("\n", " ").split(" ")
             got = list(map(seen, chunks))
             holes = [i for i, g in enumerate(got) if g is None]
             unknown.update(map(chunks.__getitem__, holes))

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -72,6 +73,34 @@ def test_secret_query_on_a_table(spark):
         assert set(spans.split(",") if spans else []) <= set(got[i]["spans"].split(","))
 
 
+def test_secrets_of_a_long_text_in_linear_time():
+    part = "password=abc123456 " + "a1b2c3d4e5f6g7h8i9j0k1l2 "
+    took = []
+    for n in (500, 8000):
+        began = time.process_time()
+        assert len(secret_scan.candidates(part * n)) == 2 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 64 * max(took[0], 0.005)
+
+
+def test_overlap_with_base_spans_against_every_pair():
+    rng = random.Random(21)
+    for _ in range(300):
+        text = "".join(rng.choice(["token=", "AKIA", "QRSTUVWXYZ234567", "0123456789abcdef", "a1B2c3D4", " ", "/", "x"]) for _ in range(25))
+        found = secret_scan.candidates(text)
+        base = [(a, e) for a, k, e, _ in found if k < 3]
+        want = [(m.start(), m.end()) for m in secret_scan.OPAQUE.finditer(text) if any(map(str.isdigit, m[0])) and any(map(str.isalpha, m[0])) and secret_scan.entropy(m[0]) >= secret_scan.OPAQUE_BITS and not any(a < m.end() and m.start() < e for a, e in base)]
+        assert [(a, e) for a, k, e, _ in found if k == 3] == want
+
+
+def test_repositories_and_owners_are_counted_apart(spark):
+    secret = "password=hunter2hunter2"
+    rows = [(i, secret, repo, owner) for i, (repo, owner) in enumerate([("r1", "a"), ("r1", "b"), ("r1", "b"), ("r2", "b"), (None, "c"), (None, None)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, repo string, who string")
+    span = secret_scan.scan(docs, repo_col="repo", owner_col="who").first()["spans"][0]
+    assert (span["n_repos"], span["n_owners"], span["live"]) == (3, 4, False)
+
+
 # -- pages
 
 
@@ -303,3 +332,10 @@ def test_leaks_of_a_table(spark):
     want = {(d["doc_id"], i) for d in table(spark, SF, "documents").collect() for i, t in items if t in d["text"]}
     got = {(r["doc_id"], r["item_id"]) for r in queries.op10_decontam(spark, SF).collect()}
     assert want <= got and len(got) <= len(want) + 3
+
+
+def test_scores_out_of_range_have_a_named_error():
+    big = np.array([[2**40]], dtype=np.int64)
+    with pytest.raises(topk.ScoreRange):
+        topk.product(big, big)
+    assert topk.product(np.array([[2**30]]), np.array([[2**31 - 1]])).tolist() == [[2**30 * (2**31 - 1)]]

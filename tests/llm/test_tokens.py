@@ -22,7 +22,7 @@ def fuzz(n, letters=LETTERS, seed=1, longest=60):
     return ["".join(rng.choice(letters) for _ in range(rng.randint(0, longest))) for _ in range(n)]
 
 
-ODD = ["", " ", "\n", "x<|endoftext|>y <|startoftext|>", "<|endoftext|", "It's we'RE they'll I'd", *("a" * n for n in range(1, 50)), "!" * 300, "ab" * 20_000, "J̌ǰ", "ªº µ"]
+ODD = ["", " ", "\n", "x<|endoftext|>y <|startoftext|>", "A <|EndOfText|> B<|ENDOFTEXT|>c <|endoftext|>", "É<|EndOfText|>", "<|endoftext|", "It's we'RE they'll I'd", *("a" * n for n in range(1, 50)), "!" * 300, "ab" * 20_000, "J̌ǰ", "ªº µ"]
 
 
 @pytest.fixture(scope="module")
@@ -166,3 +166,39 @@ def test_counts_of_the_public_vocabulary(spark):
     assert got == {i: (len(t.encode(x or "", add_special_tokens=False).ids), len(x or "")) for i, x in rows}
     whole = {r["doc_id"]: r["n_tokens"] for r in queries.op6_token_count(spark, SF).collect()}
     assert whole == {r["doc_id"]: len(t.encode(r["text"] or "", add_special_tokens=False).ids) for r in table(spark, SF, "documents").collect()}
+
+
+def test_count_cases(spark):
+    pieces = token_count.unigram_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    t = unigram(pieces)
+    rows = [(1, "a word", 5), (1, "a word", 5), (None, "another one", 6), (None, None, 7), (2, "x" * 50_000 + " tail", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
+    got = [(r["doc_id"], r["n_tokens"], r["n_chars"]) for r in token_count.token_counts(docs, pieces).collect()]
+    assert sorted(got, key=repr) == sorted(((d, len(t.encode(x or "", add_special_tokens=False).ids), len(x or "")) for d, x, _ in rows), key=repr)
+    assert token_count.token_counts(docs.limit(0), pieces).count() == 0
+
+
+def test_token_files_allow_selective_reads(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    path = shared_path(spark, "store")
+    rows = [(i, " ".join(fuzz(400, seed=i))) for i in range(40)]
+    token_store.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, WORDS, row_group_mb=1, page_kb=4, parts=1)
+    (file,) = glob.glob(path.removeprefix("file://") + "/tokens/*.parquet")
+    meta = pq.ParquetFile(file).metadata
+    assert meta.format_version.startswith("2")
+    seen = 0
+    for g in range(meta.num_row_groups):
+        for c in range(meta.num_columns):
+            column = meta.row_group(g).column(c)
+            assert "DELTA_BINARY_PACKED" in column.encodings and column.has_column_index and column.has_offset_index
+            seen += column.path_in_schema.startswith("ids")
+        assert meta.row_group(g).total_byte_size <= 3 << 20
+    assert seen == meta.num_row_groups >= 1
+    # counts are read without the ids, and rows of one document without the others' row groups
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "ids" not in plan(token_store.read_tokens(spark, path, "doc_id", "n_tokens")).split("ReadSchema")[1]
+    one = token_store.read_tokens(spark, path).filter("doc_id = 7")
+    assert "EqualTo(doc_id,7)" in plan(one) and one.count() == 1
