@@ -442,6 +442,65 @@ def within(a: str, b: str, tau: int) -> bool:
     return score <= tau
 
 
+#: The widest band that fits a machine word, and pairs that are measured side by side.
+WORD_TAU, ABREAST = 31, 2048
+
+
+def coded(texts: list[str], width: int) -> np.ndarray:
+    """Rows of code points, zeros behind."""
+    sizes = np.array([len(t) for t in texts])
+    out = np.zeros((len(texts), width), np.uint32)
+    out[np.arange(width) < sizes[:, None]] = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1)
+    return out
+
+
+def within_all(pairs: list[tuple[str, str]], taus: list[int]) -> list[bool]:
+    """``within`` for many pairs: the same recurrence for all of them at once, where a band fits a machine word."""
+    out = [False] * len(pairs)
+    narrow = []
+    for i, ((a, b), tau) in enumerate(zip(pairs, taus)):
+        if abs(len(a) - len(b)) <= tau:
+            if tau <= WORD_TAU:
+                narrow.append(i)
+            else:
+                out[i] = within(a, b, tau)
+    narrow.sort(key=lambda i: max(map(len, pairs[i])))
+    for start in range(0, len(narrow), ABREAST):
+        some = narrow[start : start + ABREAST]
+        for i, d in zip(some, banded([sorted(pairs[i], key=len) for i in some], max(taus[i] for i in some)).tolist()):
+            out[i] = d <= taus[i]
+    return out
+
+
+def banded(pairs: list[list[str]], tau: int) -> np.ndarray:
+    """The edit distance of each (shorter, longer) pair if it is at most ``tau`` (31 or less), else something greater."""
+    one, width = np.uint64(1), 2 * tau + 1
+    n_b, n_a = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    columns = int(n_b.max(initial=0))
+    a = np.zeros((len(pairs), tau + max(int(n_a.max(initial=0)), columns) + tau + 1), np.uint32)
+    a[:, tau : tau + int(n_a.max(initial=0))] = coded([p[1] for p in pairs], int(n_a.max(initial=0)))
+    b = np.ascontiguousarray(coded([p[0] for p in pairs], columns).T)
+    mask = np.uint64((1 << width) - 1)
+    bottom = np.uint64(1 << (width - 1))
+    vp = np.full(len(pairs), int(mask) & ~((1 << tau) - 1), np.uint64)
+    low = np.minimum(n_a, tau)  # the last row, or the band's lower end above it
+    vn, row, score = np.zeros_like(vp), one << (low + tau).astype(np.uint64), low
+    same = np.zeros((len(pairs), 64), bool)
+    for column in range(columns):
+        now = b[column]
+        np.equal(a[:, column : column + width], now[:, None], out=same[:, :width])
+        pm = np.packbits(same, axis=1, bitorder="little").view("<u8")[:, 0]
+        d0 = (((pm & vp) + vp) ^ vp | pm | vn) & mask
+        hp, hn = (vn | ~(d0 | vp)) & mask, d0 & vp
+        left = column + 1 + tau > n_a  # the last row has left the band's lower end
+        row = np.where(left, row >> one, row)
+        step = np.where(left, ((hp & row) != 0).astype(np.int64) - ((hn & row) != 0), (d0 & bottom) == 0)
+        score = score + np.where(column < n_b, step, 0)
+        slid = d0 >> one
+        vp, vn = (hn | ~(slid | hp)) & mask, slid & hp
+    return score
+
+
 def letters(line: str) -> np.ndarray:
     """How often a line has the letters of each of 64 kinds."""
     return np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) & 63, minlength=64).astype(np.int32)
@@ -471,7 +530,8 @@ def agreeing(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, budget: Bu
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [may_agree(x, y, t) and within(x, y, t) for x, y, t in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)))]
+            x, y, most = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            keep = within_all(list(zip(x, y)), most)
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(pa.array(keep, pa.bool_())) for i in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
@@ -522,12 +582,17 @@ def block_checker(budget: Budget):
             most = budget.of(np.minimum(size_a[:, None], size_b[None, :]))
             rows, columns = np.nonzero(np.abs(size_a[:, None] - size_b[None, :]) <= most)
             counts_a, counts_b = (np.stack([letters(t) for t in side]) for side in (a, b))
-            for start in range(0, len(rows), 16_384):
-                i, j = rows[start : start + 16_384], columns[start : start + 16_384]
-                near = letters_allow(counts_a[i], counts_b[j], most[i, j])
-                for x, y in zip(i[near].tolist(), j[near].tolist()):
-                    if apart(x, y) and within(a[x], b[y], int(most[x, y])):
-                        yield x, y
+            off = np.concatenate([np.zeros(0, np.int64), *(np.abs(counts_a[rows[s : s + 16_384]] - counts_b[columns[s : s + 16_384]]).sum(1) for s in range(0, len(rows), 16_384))])
+            order = np.argsort(off, kind="stable")  # likely links first: each spares the pairs that it connects
+            rows, columns, off = rows[order], columns[order], off[order]
+            likely = off <= 2 * most[rows, columns]
+            waiting = list(zip(rows[likely].tolist(), columns[likely].tolist()))
+            at, step = 0, 64
+            while at < len(waiting):
+                some = [(i, j) for i, j in waiting[at : at + step] if apart(i, j)]
+                at, step = at + step, min(2 * step, ABREAST)
+                fits = within_all([(a[i], b[j]) for i, j in some], [int(most[i, j]) for i, j in some])
+                yield from (p for p, fit in zip(some, fits) if fit)
 
         return (lambda text: text), linked
 

@@ -87,34 +87,36 @@ def open_groups(buckets: DataFrame, components: DataFrame) -> DataFrame:
     return with_sizes(materialise(members.drop("main"), "members"), 3)
 
 
-def dealt_blocks(groups: DataFrame, carried: DataFrame, column: str) -> DataFrame:
-    """(hub, x, y, side, node, component, column): members outside (side 0) against all members (side 1), in blocks.
+def dealt_blocks(groups: DataFrame, carried: DataFrame, *columns: str) -> DataFrame:
+    """(hub, x, y, side, node, component, columns...): members outside (side 0) against all members (side 1), in blocks.
 
     A hub's outside members and its members are dealt into shares of bounded size; each pair of shares is a block.
+    ``columns`` are those of ``groups`` or of ``carried(node, ...)``.
     """
     ceil = lambda x, n: F.ceil(F.col(x) / n).cast("int")
     sized = groups.withColumn("o", ceil("n_outside", BLOCK_OUTSIDE)).withColumn("m", ceil("n_members", BLOCK_MEMBERS))
     share = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    outside = sized.filter("outside").select("hub", share("o").alias("x"), every("m").alias("y"), F.lit(0).alias("side"), "node", "component")
-    members = sized.select("hub", every("o").alias("x"), share("m").alias("y"), F.lit(1).alias("side"), "node", "component")
-    rows = outside.unionByName(members).join(carried.select("node", column), "node").select("hub", "x", "y", "side", "node", "component", column)
-    return rows.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "side")
+    own = ["node", "component", *(c for c in columns if c in groups.columns)]
+    outside = sized.filter("outside").select("hub", share("o").alias("x"), every("m").alias("y"), F.lit(0).alias("side"), *own)
+    members = sized.select("hub", every("o").alias("x"), share("m").alias("y"), F.lit(1).alias("side"), *own)
+    rows = outside.unionByName(members).join(carried.select("node", *(c for c in columns if c not in groups.columns)), "node")
+    return rows.select("hub", "x", "y", "side", "node", "component", *columns).repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "side")
 
 
 Side = tuple[list[int], list[int], list]
 
 
 def each_block(batches: Iterator[pa.RecordBatch], read: Callable) -> Iterator[tuple[int, Side, Side]]:
-    """(hub, outside members, members) of every block, each side as nodes, components and what was read of them."""
+    """(hub, outside members, members) of every block, each side as nodes, components and what was read of their columns."""
     at, sides = None, (([], [], []), ([], [], []))
     for batch in batches:
-        for hub, x, y, side, node, component, value in zip(*(c.to_pylist() for c in batch.columns)):
+        for hub, x, y, side, node, component, *values in zip(*(c.to_pylist() for c in batch.columns)):
             if at != (hub, x, y):
                 if sides[0][0] and sides[1][0]:
                     yield at[0], *sides
                 at, sides = (hub, x, y), (([], [], []), ([], [], []))
-            for to, v in zip(sides[side], (node, component, read(value))):
+            for to, v in zip(sides[side], (node, component, read(*values))):
                 to.append(v)
     if sides[0][0] and sides[1][0]:
         yield at[0], *sides
@@ -148,17 +150,24 @@ def block_links(groups: DataFrame, texts: DataFrame, make: Callable[[], tuple[Ca
     """Links (a, b) that connect components of ``open_groups``: members outside with all members, in blocks.
 
     ``make()`` runs once per task and gives ``read(text)``, what is kept of a member, and ``linked(xs, ys, apart)``,
-    which yields linked (i, j) of two lists of those; it asks ``apart(i, j)`` before work that a connection saves.
+    which yields linked (i, j) of two lists of those; it asks ``apart(i, j)`` before work that a connection saves. Two
+    members may share many hubs: their pair belongs to the least of those alone, so it is checked once.
     """
+    groups = materialise(groups, "open")
+    hubs = groups.groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # a node has as many as it has keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, linked = make()
-        for _, (nodes_a, groups_a, a), (nodes_b, groups_b, b) in each_block(batches, lambda text: read(text or "")):
-            links = joining(nodes_a, groups_a, nodes_b, groups_b, lambda apart: linked(a, b, apart))
+        for hub, (nodes_a, groups_a, a), (nodes_b, groups_b, b) in each_block(batches, lambda outside, hubs, text: (outside, frozenset(hubs), read(text or ""))):
+
+            def mine(i: int, j: int) -> bool:
+                return (nodes_a[i] < nodes_b[j] or not b[j][0]) and min(a[i][1] & b[j][1]) == hub
+
+            links = joining(nodes_a, groups_a, nodes_b, groups_b, lambda apart: linked([m[2] for m in a], [m[2] for m in b], lambda i, j: apart(i, j) and mine(i, j)))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return dealt_blocks(groups, texts, "text").mapInArrow(run, "a long, b long").distinct()
+    return dealt_blocks(groups, hubs.join(texts, "node"), "outside", "hubs", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def joining(nodes_a: list[int], groups_a: list[int], nodes_b: list[int], groups_b: list[int], linked: Callable) -> list[tuple[int, int]]:

@@ -63,6 +63,17 @@ def test_banded_distance_against_levenshtein():
         assert d > tau or L.may_agree(a, b, tau)
 
 
+def test_pairs_measured_side_by_side_against_levenshtein():
+    rng = random.Random(3)
+    pairs, taus = [], []
+    for _ in range(2000):
+        a = "".join(rng.choice("abcdé") for _ in range(rng.choice((0, 1, 5, 20, 40, 70))))
+        pairs.append((a, mutated(rng, a, rng.randint(0, 9))))
+        taus.append(rng.choice((0, 1, 2, 5, 9, 31, 40)))
+    assert L.within_all(pairs, taus) == [levenshtein(a, b) <= t for (a, b), t in zip(pairs, taus)]
+    assert L.within_all([], []) == []
+
+
 FLAT = L.Budget(share=0, slack=0, tau=2, least=24)
 
 
