@@ -2,40 +2,64 @@
 
     python -m tessera.cli --root DIR data list | data build --source a,b [--limit N] | data smoke QUERY [-n N]
     python -m tessera.cli --root DIR kg add FILE | kg query ENTITY | kg stats | kg path A B | kg who RELATION OBJECT
+    python -m tessera.cli --root DIR kg build --source NAME [--limit N] | kg predict ENTITY [-k N]
+    python -m tessera.cli --root DIR bootstrap IDEA | analyze TOPIC | look IMAGE [--occasion O] | vision
     python -m tessera.cli route QUERY | info
+
+A model is named by --model MODULE:NAME, an object with ``complete(prompt, system)``; without one, replies are empty.
 """
 
 from __future__ import annotations
 
 import argparse
+import importlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import phrases
-from tessera.operators import context, graph, ingest, retrieval
+from tessera.operators import capabilities, context, graph, ingest, knowledge, models, perception, retrieval
 from tessera.operators import triples as T
 from tessera.session import session
 from tessera.sources import files, sinks
+from tessera.sources.storage import exists
 
 
-def documents(spark: SparkSession, root: str, names: list[str], limit: int | None) -> DataFrame:
-    """The named sources' documents with their source as a column, each cut at ``limit`` before cleaning."""
+def documents(spark: SparkSession, root: str, names: list[str], limit: int | None, *kept: str) -> DataFrame:
+    """The named sources' documents with their source (and other metadata) as columns, each cut at ``limit`` before cleaning."""
     out = None
     for name in names:
         folder, read = files.source(name)
-        rows = read(spark, f"{root}/raw/{folder}").select(F.monotonically_increasing_id().alias("ord"), "text", F.col("metadata")["source"].alias("source"))
+        rows = read(spark, f"{root}/raw/{folder}").select(F.monotonically_increasing_id().alias("ord"), "text", *(F.col("metadata")[k].alias(k) for k in ("source", *kept)))
         rows = ingest.first_n(rows, limit) if limit else rows
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
+def named_model(name: str | None) -> models.LanguageModel:
+    if not name:
+        return models.EchoModel()
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def eyes(spark: SparkSession, root: str) -> perception.Stack:
+    """The parts under ``root``: an index, a scorer's head, prototypes of movements and of runway shows; what is not there is missing."""
+    table = lambda name: lambda _: files.visual_index(spark, f"{root}/{name}") if name == "index" else sinks.read_vectors(spark, f"{root}/{name}")
+    return perception.build_stack({"index": ((), table("index")), "head": ((), lambda _: sinks.read_head(spark, f"{root}/head")), "movements": ((), table("movements")), "runway": ((), table("runway"))})
+
+
 def main(argv: list[str] | None = None) -> list[str]:
     p = argparse.ArgumentParser(prog="tessera")
     p.add_argument("--root", default="data")
+    p.add_argument("--model")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("info")
     sub.add_parser("route").add_argument("query")
+    sub.add_parser("vision")
+    for name in ("bootstrap", "analyze", "look"):
+        sub.add_parser(name).add_argument("request")
+    sub.choices["look"].add_argument("--occasion", default="")
     data = sub.add_parser("data").add_subparsers(dest="action", required=True)
     data.add_parser("list")
     build = data.add_parser("build")
@@ -48,6 +72,12 @@ def main(argv: list[str] | None = None) -> list[str]:
     kg.add_parser("add").add_argument("file")
     kg.add_parser("query").add_argument("entity")
     kg.add_parser("stats")
+    made = kg.add_parser("build")
+    made.add_argument("--source", required=True)
+    made.add_argument("--limit", type=int, default=15)
+    predict = kg.add_parser("predict")
+    predict.add_argument("entity")
+    predict.add_argument("-k", type=int, default=5)
     for name, first, second in (("path", "src", "dst"), ("who", "relation", "object")):
         q = kg.add_parser(name)
         q.add_argument(first)
@@ -56,11 +86,22 @@ def main(argv: list[str] | None = None) -> list[str]:
     spark = session("tessera")
     chunks, triples = f"{a.root}/chunks", f"{a.root}/triples"
     encoder = retrieval.hashing_encoder()
+    model = named_model(a.model)
     match a.command, getattr(a, "action", None):
         case "info", _:
             lines = [f"root: {a.root}", f"sources: {', '.join(sorted(files.SOURCES))}", f"chunks: {ingest.CHUNK_SIZE}/{ingest.CHUNK_OVERLAP}"]
         case "route", _:
             lines = [context.classify(spark.createDataFrame([(a.query,)], "q string"), "q").first()["intent"]]
+        case "vision", _:
+            lines = [f"{n}: {'there' if part is not None else 'missing'}" for n, part in eyes(spark, a.root).parts.items()]
+        case ("bootstrap" | "analyze" | "look") as name, _:
+            request: object = a.request
+            if name == "look":
+                request = {"image": spark.read.format("binaryFile").load(a.request).first()["content"], "occasion": a.occasion}
+            store = sinks.read_rows(spark, chunks) if exists(spark, chunks) else None
+            known = capabilities.Knowledge(store, sinks.open_triples(spark, triples), encoder)
+            result = capabilities.standard(model, known, eyes(spark, a.root))[{"look": "style"}.get(name, name)].run(spark, request)
+            lines = [result.text, *(f"source: {x}" for x in result.sources)]
         case "data", "list":
             lines = [f"{n}: {folder}" for n, (folder, _) in sorted(files.SOURCES.items())]
         case "data", "build":
@@ -70,11 +111,21 @@ def main(argv: list[str] | None = None) -> list[str]:
             stats = ingest.run_stats(raw, ingest.clean_documents(raw), store).orderBy("source").collect()
             lines = [f"{r['source']}: raw {r['raw']}, kept {r['kept']}, chunks {r['chunks']}" for r in stats]
         case "data", "smoke":
-            hits = retrieval.retrieve(spark.read.parquet(chunks), spark.createDataFrame([(0, a.query)], "id long, query string"), encoder, a.n)
+            hits = retrieval.retrieve(sinks.read_rows(spark, chunks), spark.createDataFrame([(0, a.query)], "id long, query string"), encoder, a.n)
             lines = [f"{r['distance']:.4f} [{r['source']}] {r['document'][:120]}" for r in hits.orderBy("rank").collect()]
         case "kg", "add":
             raw = spark.read.schema("ord long, subject string, relation string, object string, subject_type string, object_type string, source string").json(a.file).fillna("")
             lines = [f"added {sinks.append_triples(T.canonical_triples(raw), triples)}"]
+        case "kg", "build":
+            docs = documents(spark, a.root, [a.source], None, "title")
+            new, per = knowledge.build_graph(docs, model, sinks.open_triples(spark, triples), limit=a.limit)
+            told = per.orderBy("ord").collect()  # a.limit documents
+            sinks.append_triples(new, triples)
+            lines = [f"{r['title']}: +{r['added']}" for r in told] + [f"docs {len(told)}, triples {sum(r['added'] for r in told)}"]
+        case "kg", "predict":
+            names = spark.createDataFrame([(0, a.entity)], "ord long, entity string")
+            found = knowledge.predict_links(names, sinks.open_triples(spark, triples), model, a.k)
+            lines = [r["fact"] for r in found.orderBy("rank").select(phrases.fact_text(F.col("subject"), F.col("relation"), F.col("object")).alias("fact")).collect()]
         case "kg", "query":
             lines = [r["fact"] for r in T.facts(spark.read.parquet(triples), a.entity, 50).collect()]
         case "kg", "stats":

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import phrases
+from tessera.sources.storage import shared_path
 
 #: The words that speak for an intent, in the intents' order of declaration.
 INTENTS = {
@@ -52,7 +53,7 @@ def matched_entities(queries: DataFrame, entities: DataFrame, id_col: str, text_
     kind = dict(queries.dtypes)[id_col]
     rows = queries.select(F.col(id_col).alias("id"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
     names = entities.filter(F.coalesce(F.col("entity"), F.lit("")) != "").toLocalIterator()
-    found, block = None, []
+    block: list[str] = []
 
     def search(block: list[str]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
@@ -74,14 +75,20 @@ def matched_entities(queries: DataFrame, entities: DataFrame, id_col: str, text_
 
         return rows.mapInArrow(run, f"id {kind}, entity string")
 
+    path = None  # further blocks go to storage one after another, so that one block at a time is broadcast
     for r in names:
         block.append(r["entity"])
         if len(block) == bound:
-            found = search(block) if found is None else found.unionByName(search(block))
+            path = path or shared_path(spark, "matches")
+            search(block).write.mode("append").parquet(path)
             block = []
-    if block:
-        found = search(block) if found is None else found.unionByName(search(block))
-    if found is None:
+    if path is not None:
+        if block:
+            search(block).write.mode("append").parquet(path)
+        found = spark.read.schema(f"id {kind}, entity string").parquet(path)
+    elif block:
+        found = search(block)
+    else:
         return spark.createDataFrame([], f"id {kind}, entity string, place int")
     place = F.row_number().over(W.partitionBy("id").orderBy(F.desc(F.length("entity")), "entity"))
     return found.withColumn("place", place).filter(F.col("place") <= most)
@@ -99,9 +106,15 @@ def entity_facts(matched: DataFrame, triples: DataFrame, per_entity: int = 25, m
 
 
 def within_budget(passages: DataFrame, by: str, order: str, line_col: str, budget: int = 2000) -> DataFrame:
-    """Passages in order while the running length of their lines stays within the budget."""
-    running = F.sum(F.length(line_col)).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
-    return passages.withColumn("running", running).filter(F.col("running") <= budget)
+    """Passages in order while the running length of their lines stays within the budget.
+
+    Each line takes a character at least, so ``budget`` lines of a group can fit; Spark keeps those by each task before
+    the shuffle, and a group of any size meets as that many rows.
+    """
+    nth = F.row_number().over(W.partitionBy(by).orderBy(order))
+    few = passages.filter(F.length(line_col) > 0).withColumn("__nth", nth).filter(F.col("__nth") <= budget)
+    running = F.sum(F.length(line_col)).over(W.partitionBy(by).orderBy("__nth").rowsBetween(W.unboundedPreceding, 0))
+    return few.withColumn("running", running).filter(F.col("running") <= budget).drop("__nth")
 
 
 def answer_sources(hits: DataFrame, by: str, title_col: str, source_col: str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -12,11 +11,31 @@ def hash_order(key: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(key.cast("string"), F.lit(f":{seed}")).cast("binary"))
 
 
+#: Leading hex digits of a hash by which keys are counted.
+HASH_DIGITS = 4
+
+
+def first_in_order(keys: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """The first ``n`` rows of ``keys(key)`` in hash order, without sorting them all in one place.
+
+    Rows are counted by the first digits of their hash (16 ** ``HASH_DIGITS`` counts at most); the digits at which the
+    n-th row lies split them, and only the rows that share those digits are ordered.
+    """
+    hashed = keys.select("key", hash_order(F.col("key"), seed).alias("h"))
+    head = F.substring("h", 1, HASH_DIGITS)
+    left = n
+    for r in sorted(hashed.groupBy(head.alias("head")).agg(F.count("*").alias("n")).collect()):
+        if r["n"] >= left:
+            last = hashed.filter(head == r["head"]).orderBy("h", "key").limit(left)
+            return hashed.filter(head < r["head"]).unionByName(last).select("key")
+        left -= r["n"]
+    return keys.select("key")
+
+
 def held_out_keys(rows: DataFrame, key: Column, frac: float, seed: int = 42) -> DataFrame:
-    """(key): the first max(1, floor(n * frac)) distinct keys in hash order, by TakeOrdered rather than a global window."""
+    """(key): the first max(1, floor(n * frac)) distinct keys in hash order."""
     keys = rows.select(key.cast("string").alias("key")).filter(F.col("key").isNotNull()).distinct()
-    n = max(1, int(keys.count() * frac))
-    return keys.orderBy(hash_order(F.col("key"), seed), "key").limit(n)
+    return first_in_order(keys, max(1, int(keys.count() * frac)), seed)
 
 
 def split(rows: DataFrame, key: Column, frac: float = 0.2, seed: int = 42) -> DataFrame:
@@ -25,24 +44,35 @@ def split(rows: DataFrame, key: Column, frac: float = 0.2, seed: int = 42) -> Da
     return rows.join(held, key.cast("string") == F.col("__key"), "left").withColumn("held_out", F.coalesce("__held", F.lit(False))).drop("__held", "__key")
 
 
+def three_way(rows: DataFrame, key: Column, valid: float = 0.15, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """``rows`` with ``part`` train, valid or test; all rows of a key on one side, the test keys first in hash order, then the valid ones."""
+    keys = rows.select(key.cast("string").alias("key")).filter(F.col("key").isNotNull()).distinct()
+    n = keys.count()
+    n_test, n_valid = max(1, int(n * test)), max(1, int(n * valid))
+    tested = first_in_order(keys, n_test, seed).select(F.col("key").alias("__t"))
+    either = first_in_order(keys, n_test + n_valid, seed).select(F.col("key").alias("__e"))
+    marked = rows.join(tested, key.cast("string") == F.col("__t"), "left").join(either, key.cast("string") == F.col("__e"), "left")
+    part = F.when(F.col("__t").isNotNull(), "test").when(F.col("__e").isNotNull(), "valid").otherwise("train")
+    return marked.withColumn("part", part).drop("__t", "__e")
+
+
 def bootstrap_ci(hits: DataFrame, hit: Column, iterations: int = 2000, seed: int = 42) -> DataFrame:
-    """One row (lo, hi): 2.5 and 97.5 percentiles of resampled means, rounded to 3 places.
+    """One row (lo, hi): 2.5 and 97.5 percentiles of resampled shares of hits, rounded to 3 places.
 
-    A resample draws, for each place, a row by md5 of (iteration, place, seed). Draws are counted, not listed: the
-    hits' places are joined to the draws of each iteration.
+    A resample draws n rows by md5 of (iteration, draw, seed). Which rows are hits matters only by their number, so
+    the rows are counted once and the draws, numbered by a distributed range, need no join.
     """
-    n = hits.count()
     spark = hits.sparkSession
+    n, won = hits.agg(F.count("*"), F.coalesce(F.sum(hit.cast("long")), F.lit(0))).first()
     if not n:
         return spark.createDataFrame([(0.0, 0.0)], "lo double, hi double")
-    placed = hits.select(hit.cast("double").alias("hit"), (F.row_number().over(W.orderBy("id")) - 1).alias("place"))
-    drawn = spark.range(iterations).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("j"))
+    drawn = spark.range(iterations * n).select(F.expr(f"id div {n}").alias("i"), (F.col("id") % n).alias("j"))
     at = F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", "i", "j", F.lit(seed)).cast("binary")), 1, 8), 16, 10).cast("long"), F.lit(n))
-    means = drawn.select("i", at.alias("place")).join(placed, "place").groupBy("i").agg(F.avg("hit").alias("m"))
+    means = drawn.groupBy("i").agg(F.avg((at < won).cast("double")).alias("m"))
     return means.agg(F.round(F.percentile("m", 0.025), 3).alias("lo"), F.round(F.percentile("m", 0.975), 3).alias("hi"))
 
 
-def lift(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: mean of each arm to 3 places, their difference, wins, ties and losses of ``a``."""
+def lift(rows: DataFrame, a: str, b: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Mean of each arm to 3 places, their difference, wins and ties of ``a``: one row, or one for each group."""
     better = F.sum((F.col(a) > F.col(b)).cast("int"))
-    return rows.agg(F.round(F.avg(a), 3).alias("mean_a"), F.round(F.avg(b), 3).alias("mean_b"), F.round(F.avg(a) - F.avg(b), 3).alias("lift"), better.alias("wins"), F.sum((F.col(a) == F.col(b)).cast("int")).alias("ties"), F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(F.round(F.avg(a), 3).alias("mean_a"), F.round(F.avg(b), 3).alias("mean_b"), F.round(F.avg(a) - F.avg(b), 3).alias("lift"), better.alias("wins"), F.sum((F.col(a) == F.col(b)).cast("int")).alias("ties"), F.count("*").alias("n"))

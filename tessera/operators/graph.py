@@ -19,7 +19,7 @@ def directed(triples: DataFrame) -> DataFrame:
 
 
 def edges(triples: DataFrame) -> DataFrame:
-    """Multigraph view on surface names."""
+    """(src, dst, relation): the multigraph on surface names, one row for each triple."""
     return triples.select(F.col("subject").alias("src"), F.col("object").alias("dst"), "relation")
 
 
@@ -67,6 +67,32 @@ def shortest_paths(triples: DataFrame, src: str, dst: str, max_hops: int = 3) ->
     return found
 
 
+def paths_between(triples: DataFrame, pairs: DataFrame, max_hops: int = 3) -> DataFrame:
+    """(src, dst, trail, start, path array<struct<relation, to>>, hops) of ``pairs(src, dst)`` of keys, as ``shortest_paths`` has them.
+
+    All sources walk at once: a level is one join of their frontiers with the edges, and a node is reached once for
+    each source. Pairs of one key have no path.
+    """
+    step = "array<struct<relation:string,to:string>>"
+    steps = directed(triples)
+    wanted = materialise(pairs.filter("src <> dst").distinct(), "wanted")
+    frontier = wanted.select("src").distinct().select("src", F.col("src").alias("node"), F.array().cast("array<bigint>").alias("trail"), F.array().cast(step).alias("path"), F.lit(None).cast("string").alias("start"))
+    seen = frontier.select("src", "node")
+    found = None
+    for hop in range(1, max_hops + 1):
+        moves = frontier.join(steps, F.col("node") == F.col("at")).select("src", "to", F.concat("trail", F.array("ord")).alias("trail"), F.coalesce("start", "from_name").alias("start"), F.concat("path", F.array(F.struct("relation", F.col("to_name").alias("to")))).alias("path"))
+        moves = materialise(moves, "moves")
+        hits = materialise(moves.join(wanted.withColumnRenamed("dst", "to"), ["src", "to"]).select("src", F.col("to").alias("dst"), "trail", "start", "path", F.lit(hop).alias("hops")), "hits")
+        found = hits if found is None else found.unionByName(hits)
+        if hop == max_hops:
+            break
+        wanted = materialise(wanted.join(hits.select("src", "dst").distinct(), ["src", "dst"], "left_anti"), "wanted")
+        best = moves.join(seen.withColumnRenamed("node", "to"), ["src", "to"], "left_anti").groupBy("src", "to").agg(F.min(F.struct("trail", "start", "path")).alias("m"))
+        frontier = materialise(best.select("src", F.col("to").alias("node"), "m.trail", "m.path", "m.start"), "frontier")
+        seen = seen.unionByName(frontier.select("src", "node"))
+    return found
+
+
 def hop_distances(triples: DataFrame, src: str, max_hops: int = 3) -> DataFrame:
     """(node, hops) of every node within ``max_hops`` of the source."""
     spark = triples.sparkSession

@@ -7,7 +7,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -21,32 +21,44 @@ def pair_metrics(pairs: DataFrame, winner: str, loser: str) -> DataFrame:
     return pairs.agg(F.avg(F.log1p(F.exp(-d))).alias("loss"), F.avg((d > 0).cast("int")).alias("accuracy"))
 
 
-def info_nce(pairs: DataFrame, scale: float = 100.0) -> DataFrame:
-    """One row (loss): symmetric InfoNCE of a batch of (id, image, text) vectors; all pairs of one batch meet."""
-    a = pairs.select(F.col("id").alias("i"), V.normalized(F.col("image")).alias("x"))
-    b = pairs.select(F.col("id").alias("j"), V.normalized(F.col("text")).alias("y"))
-    logit = a.crossJoin(b).select("i", "j", (scale * V.dot(F.col("x"), F.col("y"))).alias("s"))
+def info_nce(pairs: DataFrame, scale: float = 100.0, batch: Column | None = None) -> DataFrame:
+    """One row (loss): symmetric InfoNCE of (id, image, text) vectors, averaged over batches; the pairs of a batch meet.
 
-    def one_way(by: str) -> DataFrame:
-        top = F.max("s").over(W.partitionBy(by))
-        return logit.withColumn("top", top).groupBy(by).agg((F.max("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top"))))).alias("lse"), F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("own")).agg(F.avg(F.col("lse") - F.col("own")).alias("loss"))
+    Without ``batch`` all rows are one batch, as a training step's are.
+    """
+    by = F.lit(0) if batch is None else batch
+    a = pairs.select(by.alias("batch"), F.col("id").alias("i"), V.normalized(F.col("image")).alias("x"))
+    b = pairs.select(by.alias("batch"), F.col("id").alias("j"), V.normalized(F.col("text")).alias("y"))
+    logit = a.join(b, "batch").select("batch", "i", "j", (scale * V.dot(F.col("x"), F.col("y"))).alias("s"))
+
+    def one_way(side: str) -> DataFrame:
+        top = F.max("s").over(W.partitionBy("batch", side))
+        lse = logit.withColumn("top", top).groupBy("batch", side).agg((F.max("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top"))))).alias("lse"), F.max(F.when(F.col("i") == F.col("j"), F.col("s"))).alias("own"))
+        return lse.groupBy("batch").agg(F.avg(F.col("lse") - F.col("own")).alias(side))
 
-    x, y = one_way("i"), one_way("j").withColumnRenamed("loss", "other")
-    return x.crossJoin(y).select(((F.col("loss") + F.col("other")) / 2).alias("loss"))  # two single rows
+    return one_way("i").join(one_way("j"), "batch").agg(F.avg((F.col("i") + F.col("j")) / 2).alias("loss"))
 
 
-def supervised_contrastive(rows: DataFrame, weights: DataFrame, temperature: float = 0.1) -> DataFrame:
-    """One row (loss): weighted contrastive loss of a batch (id, label, v); ``weights(a, b, weight)`` between labels.
+def supervised_contrastive(rows: DataFrame, weights: DataFrame, temperature: float = 0.1, batch: Column | None = None) -> DataFrame:
+    """One row (loss): weighted contrastive loss of (id, label, v), averaged over batches; ``weights(a, b, weight)`` between labels.
 
     A row's own pair is masked; its weights are scaled to sum to one; rows without weight are left out.
     """
-    a = rows.select(F.col("id").alias("i"), F.col("label").alias("a"), V.normalized(F.col("v")).alias("x"))
-    b = rows.select(F.col("id").alias("j"), F.col("label").alias("b"), V.normalized(F.col("v")).alias("y"))
-    s = a.join(b, F.col("i") != F.col("j")).select("i", "j", "a", "b", (V.dot(F.col("x"), F.col("y")) / temperature).alias("s"))
-    s = s.withColumn("top", F.max("s").over(W.partitionBy("i")))
-    s = s.withColumn("lse", F.col("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top"))).over(W.partitionBy("i"))))
-    w = s.join(weights, ["a", "b"]).groupBy("i").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * (F.col("s") - F.col("lse"))).alias("t"))
-    return w.filter("w > 0").agg(F.avg(-F.col("t") / F.col("w")).alias("loss"))
+    by = F.lit(0) if batch is None else batch
+    a = rows.select(by.alias("batch"), F.col("id").alias("i"), F.col("label").alias("a"), V.normalized(F.col("v")).alias("x"))
+    b = rows.select(by.alias("batch"), F.col("id").alias("j"), F.col("label").alias("b"), V.normalized(F.col("v")).alias("y"))
+    s = a.join(b, "batch").filter("i <> j").select("batch", "i", "j", "a", "b", (V.dot(F.col("x"), F.col("y")) / temperature).alias("s"))
+    s = s.withColumn("top", F.max("s").over(W.partitionBy("batch", "i")))
+    s = s.withColumn("lse", F.col("top") + F.log(F.sum(F.exp(F.col("s") - F.col("top"))).over(W.partitionBy("batch", "i"))))
+    w = s.join(weights, ["a", "b"]).groupBy("batch", "i").agg(F.sum("weight").alias("w"), F.sum(F.col("weight") * (F.col("s") - F.col("lse"))).alias("t"))
+    return w.filter("w > 0").groupBy("batch").agg(F.avg(-F.col("t") / F.col("w")).alias("loss")).agg(F.avg("loss").alias("loss"))
+
+
+def paired(pairs: DataFrame, items: DataFrame, id_col: str, *columns: str) -> DataFrame:
+    """``pairs(winner, loser)`` with the items' columns as ``winner_{c}`` and ``loser_{c}``; pairs of unknown items go."""
+    for side in ("winner", "loser"):
+        pairs = pairs.join(items.select(F.col(id_col).alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)), side)
+    return pairs
 
 
 def fit_preference_head(pairs: DataFrame, winner: str, loser: str, iterations: int = 200, rate: float = 0.5, l2: float = 1e-3) -> np.ndarray:
@@ -114,17 +126,30 @@ class EchoModel:
         return next((v for k, v in self.rules.items() if k in prompt), self.default)
 
 
-def completed(rows: DataFrame, prompt_col: str, model: LanguageModel, out_col: str = "reply", system: str = "") -> DataFrame:
+def chatted(rows: DataFrame, messages_col: str, model: LanguageModel, out_col: str = "reply") -> DataFrame:
+    """``rows`` with the model's reply to ``messages_col`` (array<struct<role, content>>); the messages go.
+
+    The system's messages are the model's system text, all others its prompt.
+    """
+    of = lambda system: F.array_join(F.transform(F.filter(messages_col, lambda m: (m["role"] == "system") if system else (m["role"] != "system")), lambda m: m["content"]), "\n\n")
+    kept = [c for c in rows.columns if c != messages_col]
+    asked = rows.select(*kept, of(False).alias("__prompt"), of(True).alias("__system"))
+    return completed(asked, "__prompt", model, out_col, system_col="__system").drop("__prompt", "__system")
+
+
+def completed(rows: DataFrame, prompt_col: str, model: LanguageModel, out_col: str = "reply", system: str = "", system_col: str | None = None) -> DataFrame:
     """``rows`` with the model's reply; a failing call gives an empty reply, as the callers degrade."""
     schema = StructType([*rows.schema.fields, StructField(out_col, StringType())])
     at = rows.columns.index(prompt_col)
+    system_at = rows.columns.index(system_col) if system_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             replies = []
-            for p in b.column(at).to_pylist():
+            systems = [system] * b.num_rows if system_at is None else b.column(system_at).to_pylist()
+            for p, s in zip(b.column(at).to_pylist(), systems):
                 try:
-                    replies.append(model.complete(p or "", system))
+                    replies.append(model.complete(p or "", s or ""))
                 except Exception:  # noqa: BLE001  any failure of an outside service
                     replies.append("")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(replies, pa.string())], names=[*b.schema.names, out_col])

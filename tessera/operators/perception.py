@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Protocol
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +16,8 @@ from tessera.functions import naming
 GARMENTS = ("Hat", "Upper-clothes", "Skirt", "Pants", "Dress", "Belt", "Left-shoe", "Right-shoe", "Bag", "Scarf", "Sunglasses")
 MIN_AREA = 0.02
 LOOK_LISTS = ("silhouettes", "materials", "aesthetics", "garments", "palette")
+#: Triples of one reply that keep their order.
+PER_REPLY = 10_000
 TRIPLE_JSON = "array<struct<subject:string,subject_type:string,relation:string,object:string,object_type:string>>"
 
 
@@ -24,7 +31,7 @@ def parse_triples(replies: DataFrame, raw_col: str, source_col: str) -> DataFram
     parsed = F.from_json(F.when(block != "", block), TRIPLE_JSON)
     rows = replies.select(F.col("ord").alias("reply"), F.col(source_col).alias("source"), F.posexplode(parsed).alias("i", "t")).filter("t IS NOT NULL")
     text = lambda name: F.trim(F.coalesce(F.col(f"t.{name}"), F.lit("")))
-    out = rows.select((F.col("reply") * 10_000 + F.col("i")).alias("ord"), text("subject").alias("subject"), naming.canonical_relation(text("relation")).alias("relation"), text("object").alias("object"), F.lower(text("subject_type")).alias("subject_type"), F.lower(text("object_type")).alias("object_type"), "source")
+    out = rows.select((F.col("reply") * PER_REPLY + F.col("i")).alias("ord"), text("subject").alias("subject"), naming.canonical_relation(text("relation")).alias("relation"), text("object").alias("object"), F.lower(text("subject_type")).alias("subject_type"), F.lower(text("object_type")).alias("object_type"), "source")
     return out.filter("relation <> ''")
 
 
@@ -65,3 +72,53 @@ def regions(pixels: DataFrame, by: str = "image", labels: tuple[str, ...] = GARM
     area = F.col("n") / F.sum("n").over(W.partitionBy(by))
     kept = counts.withColumn("area", area).filter(F.col("label").isin(*labels) & (F.col("area") >= min_area))
     return kept.withColumn("place", F.row_number().over(W.partitionBy(by).orderBy(F.desc("area"), "label"))).drop("n")
+
+
+class Segmenter(Protocol):
+    """What tells an image's pixels apart; it runs on the executors, so it must be picklable."""
+
+    def segment(self, image: bytes) -> list[list[str]]: ...
+
+
+def pixel_labels(images: DataFrame, segmenter: Segmenter, id_col: str = "image", content_col: str = "content") -> DataFrame:
+    """(image, y, x, label) of a segmenter's label maps; an image it cannot read has no pixels."""
+    kind = dict(images.dtypes)[id_col]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, content in zip(*(b.column(c).to_pylist() for c in (0, 1))):
+                try:
+                    grid = segmenter.segment(content)
+                except Exception:  # noqa: BLE001  any failure of a model
+                    continue
+                rows += [(i, y, x, label) for y, line in enumerate(grid) for x, label in enumerate(line)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in enumerate((b.schema.types[0], pa.int64(), pa.int64(), pa.string()))], names=["image", "y", "x", "label"])
+
+    return images.select(id_col, content_col).mapInArrow(run, f"image {kind}, y long, x long, label string")
+
+
+@dataclass
+class Stack:
+    """The parts that look at images; each may be missing, and what needs it then does without."""
+
+    parts: dict[str, object] = field(default_factory=dict)
+    notes: list[str] = field(default_factory=list)
+
+    def __getattr__(self, name: str) -> object | None:
+        return self.__dict__.get("parts", {}).get(name)
+
+
+def build_stack(loaders: dict[str, tuple[tuple[str, ...], Callable[[Stack], object]]]) -> Stack:
+    """Loads parts in the order given: name -> (parts it needs, loader). A part that fails or lacks one it needs is None, with a note."""
+    stack = Stack()
+    for name, (needs, load) in loaders.items():
+        missing = [n for n in needs if stack.parts.get(n) is None]
+        try:
+            stack.parts[name] = None if missing else load(stack)
+        except Exception as e:  # noqa: BLE001  a part that cannot be loaded is done without
+            stack.parts[name] = None
+            stack.notes.append(f"{name} unavailable: {e}")
+        if missing:
+            stack.notes.append(f"{name} needs {', '.join(missing)}")
+    return stack

@@ -16,16 +16,24 @@ COLUMNS = ("ord", "subject", "relation", "object", "subject_type", "object_type"
 KEY = ("subject_key", "relation", "object_key")
 
 
-def with_keys(raw: DataFrame, unaccent: bool = True) -> DataFrame:
-    """Adds canonical keys; relations are mapped to the vocabulary (empty if unknown), types to lower case."""
-    typed = raw.withColumns({"relation": naming.canonical_relation(F.col("relation")), "subject_type": F.lower(F.trim("subject_type")), "object_type": F.lower(F.trim("object_type"))})
-    return typed.withColumns({"subject_key": naming.canonical_entity(F.col("subject"), unaccent), "object_key": naming.canonical_entity(F.col("object"), unaccent)})
+def canonical_names(names: DataFrame, unaccent: bool = True) -> DataFrame:
+    """(name, key, fine) of ``names(name)``: canonical key, and whether a triple may have the name."""
+    plain = names.select("name", naming.normalize_entity(F.col("name"), unaccent).alias("plain"))
+    return plain.select("name", naming.canonical_key(F.col("plain")).alias("key"), ((F.trim("name") != "") & naming.is_plausible(F.col("plain"))).alias("fine"))
 
 
-def is_valid(unaccent: bool = True) -> Column:
-    """Names that are not blank and plausible, a known relation, no loop."""
-    subject, obj = naming.normalize_entity(F.col("subject"), unaccent), naming.normalize_entity(F.col("object"), unaccent)
-    return (F.trim("subject") != "") & (F.trim("object") != "") & F.col("relation").isin(*naming.RELATIONS) & (F.col("subject_key") != F.col("object_key")) & naming.is_plausible(subject) & naming.is_plausible(obj)
+def with_keys(raw: DataFrame, unaccent: bool = True) -> DataFrame:
+    """Adds canonical keys and ``valid``; relations are mapped to the vocabulary (empty if unknown), types to lower case.
+
+    Names are canonicalised once each and joined, for triples are many and names few. A triple is valid if its names
+    are plausible and not blank, its relation is known and it is no loop.
+    """
+    typed = raw.withColumns({"relation": naming.canonical_relation(F.col("relation")), "subject_type": F.lower(F.trim("subject_type")), "object_type": F.lower(F.trim("object_type"))})
+    names = canonical_names(raw.select(F.col("subject").alias("name")).union(raw.select("object")).distinct(), unaccent)
+    for side in ("subject", "object"):
+        typed = typed.join(names.select(F.col("name").alias(side), F.col("key").alias(f"{side}_key"), F.col("fine").alias(f"{side}_fine")), side, "left")
+    valid = F.col("subject_fine") & F.col("object_fine") & F.col("relation").isin(*naming.RELATIONS) & (F.col("subject_key") != F.col("object_key"))
+    return typed.withColumn("valid", F.coalesce(valid, F.lit(False))).drop("subject_fine", "object_fine")
 
 
 def first_per_key(triples: DataFrame) -> DataFrame:
@@ -37,7 +45,7 @@ def first_per_key(triples: DataFrame) -> DataFrame:
 
 def canonical_triples(raw: DataFrame, unaccent: bool = True) -> DataFrame:
     """Raw (ord, subject, relation, object, subject_type, object_type, source) as a valid, distinct triple table."""
-    return first_per_key(with_keys(raw, unaccent).filter(is_valid(unaccent)))
+    return first_per_key(with_keys(raw, unaccent).filter("valid").drop("valid"))
 
 
 def insert_new(stored: DataFrame, new: DataFrame) -> DataFrame:

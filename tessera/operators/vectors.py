@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.sources.storage import shared_path
 
 #: Queries that go to the executors in one block.
 QUERY_BLOCK = 4_096
@@ -27,11 +28,13 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col:
     after ranking on 10.
     """
     kinds, query_kinds = dict(rows.dtypes), dict(queries.dtypes)
-    base = rows.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("row_id"), V.normalized(F.col(vector_col)).alias("v"))
+    whole = {"tinyint", "smallint", "int", "bigint"}
+    asked = F.col(id_col).cast("long") if query_kinds[id_col] in whole else F.col(id_col)  # narrow ids travel as long
+    base = rows.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), V.normalized(F.col(vector_col)).alias("v"))
     spark = rows.sparkSession
-    it = queries.filter(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("q"), V.normalized(F.col(vector_col)).alias("v")).toLocalIterator()
-    parts, block = [], []
-    schema = f"query_id {query_kinds[id_col]}, row_id {kinds[id_col]}, sim double"
+    it = queries.filter(F.col(vector_col).isNotNull()).select(asked.alias("q"), V.normalized(F.col(vector_col)).alias("v")).toLocalIterator()
+    block: list = []
+    schema = f"query_id {'long' if query_kinds[id_col] in whole else query_kinds[id_col]}, row_id long, sim double"
 
     def search(block: list) -> DataFrame:
         shared = spark.sparkContext.broadcast((pa.array([r["q"] for r in block]), np.array([r["v"] for r in block], dtype=np.float64)))
@@ -55,17 +58,20 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, id_col: str, vector_col:
 
         return base.mapInArrow(run, schema)
 
+    path = None  # further blocks go to storage one after another, so that one block at a time is broadcast
     for r in it:
         block.append(r)
         if len(block) == QUERY_BLOCK:
-            parts.append(search(block))
+            path = path or shared_path(spark, "hits")
+            search(block).write.mode("append").parquet(path)
             block = []
-    parts.append(search(block) if block or not parts else None)
-    found = None
-    for p in parts:
-        found = p if found is None else found if p is None else found.unionByName(p)
+    found = search(block) if block or path is None else None
+    if path is not None:
+        if found is not None:
+            found.write.mode("append").parquet(path)
+        found = spark.read.schema(schema).parquet(path)
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "row_id"))
-    out = found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    out = found.withColumn("rank", rank).filter(F.col("rank") <= k).withColumns({"query_id": F.col("query_id").cast(query_kinds[id_col]), "row_id": F.col("row_id").cast(kinds[id_col])})
     if query_cols:
         out = out.join(queries.select(F.col(id_col).alias("query_id"), *query_cols), "query_id")
     if row_cols:
@@ -101,13 +107,41 @@ def nearest_prototypes(rows: DataFrame, prototypes: DataFrame, id_col: str, vect
     """
     if prototypes.limit(most + 1).count() > most:
         raise ValueError(f"more than {most} prototypes: use top_k")
-    pairs = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).crossJoin(F.broadcast(prototypes))
-    sim = F.round(V.cosine(F.col("v"), F.col("centroid")), 10)
-    ranked = pairs.select("id", "label", sim.alias("sim")).withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("sim"), "label")))
-    return ranked.filter(F.col("rank") <= k).select("id", "rank", "label", F.round("sim", 4).alias("score"))
+    kind = dict(prototypes.dtypes)["label"]
+    told = prototypes.agg(F.sort_array(F.collect_list(F.struct("label", "centroid"))).alias("all"))  # one row, checked above
+    sims = F.transform("all", lambda p: F.struct((-F.round(V.cosine(F.col("v"), p["centroid"]), 10)).alias("off"), p["label"].alias("label")))
+    best = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).crossJoin(F.broadcast(told)).select("id", F.posexplode(F.slice(F.array_sort(sims), 1, k)).alias("at", "b"))
+    return best.select("id", (F.col("at") + 1).alias("rank"), F.col("b.label").cast(kind).alias("label"), F.round(-F.col("b.off"), 4).alias("score"))
 
 
 def top_k_accuracy(voted: DataFrame, truth: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """One row: top{k} share of queries whose label is among the first k voted, n_test. ``truth(query_id, true_label)``."""
     place = truth.join(voted, (truth["query_id"] == voted["query_id"]) & (F.col("true_label") == F.col("label")), "left").select(truth["query_id"], F.coalesce("place", F.lit(1 << 30)).alias("place"))
     return place.agg(*(F.round(F.avg((F.col("place") <= k).cast("int")), 3).alias(f"top{k}") for k in ks), F.count("*").alias("n_test"))
+
+
+def query_hits(voted: DataFrame, truth: DataFrame) -> DataFrame:
+    """(query_id, hit1) of every query of ``truth(query_id, true_label)``: whether its first voted label is the true one."""
+    first = voted.filter("place = 1").select("query_id", "label")
+    return truth.join(first, "query_id", "left").select("query_id", F.coalesce((F.col("label") == F.col("true_label")).cast("int"), F.lit(0)).alias("hit1"))
+
+
+#: Rows below which an accuracy says nothing.
+LEAST_ROWS = 5
+
+
+def accuracy_report(rows: DataFrame, held_out: Column, id_col: str, label_col: str, vector_col: str, neighbours: int = 10, split_by: str = "row", iterations: int | None = None) -> DataFrame:
+    """One row: top1, top3, top5, n_test, n_labels, random_top1, split_by (and lo, hi): labels of held-out rows voted by the others.
+
+    ``held_out`` is a boolean column of ``rows``; ValueError for fewer than ``LEAST_ROWS`` rows.
+    """
+    from tessera.operators.evaluation import bootstrap_ci
+
+    n, labels = rows.agg(F.count("*"), F.countDistinct(F.col(label_col))).first()
+    if n < LEAST_ROWS:
+        raise ValueError(f"{n} rows are too few to evaluate")
+    held, known = rows.filter(held_out), rows.filter(~held_out)
+    truth = held.select(F.col(id_col).alias("query_id"), F.col(label_col).cast("string").alias("true_label"))
+    voted = votes(top_k(held, known, neighbours, id_col, vector_col, row_cols=(label_col,)), F.col(label_col), round_first=False)
+    out = top_k_accuracy(voted, truth).withColumns({"n_labels": F.lit(labels).cast("long"), "random_top1": F.round(F.lit(1.0) / F.lit(labels), 3), "split_by": F.lit(split_by)})
+    return out.crossJoin(bootstrap_ci(query_hits(voted, truth), F.col("hit1") == 1, iterations)) if iterations else out  # two single rows

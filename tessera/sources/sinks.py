@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.operators import ingest
 from tessera.operators import triples as T
+from tessera.sources.storage import materialise
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
@@ -18,22 +23,74 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+TRIPLES = "ord long, subject string, relation string, object string, subject_type string, object_type string, source string, subject_key string, object_key string"
+#: Folders that an upsert store is dealt into by a hash of the key.
+BUCKETS = 64
+
+
+def open_triples(spark: SparkSession, path: str) -> DataFrame:
+    """The stored triples; an empty table where nothing is stored yet."""
+    got = _stored(spark, path)
+    return spark.createDataFrame([], TRIPLES) if got is None else got
+
+
 def append_triples(triples: DataFrame, path: str) -> int:
-    """Appends what is not stored yet; returns how many rows that were. Running it again adds nothing."""
+    """Appends what is not stored yet; returns how many rows that were. Running it again adds nothing.
+
+    One writer at a time: two that run at once may both add a triple.
+    """
     stored = _stored(triples.sparkSession, path)
-    before = stored.count() if stored is not None else 0
     new = T.first_per_key(triples) if stored is None else T.insert_new(stored, triples)
-    new.write.mode("append").parquet(path)
-    return triples.sparkSession.read.parquet(path).count() - before
+    told = Observation()
+    new.observe(told, F.count("*").alias("n")).write.mode("append").parquet(path)
+    return told.get["n"]
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of an upsert store; FileNotFoundError if there is none."""
+    got = _stored(spark, path)
+    if got is None:
+        raise FileNotFoundError(path)
+    return got.drop("bucket")
 
 
 def upsert_rows(new: DataFrame, path: str, key: str = "id") -> None:
-    """Replaces rows by key and adds the others: a new version of the table is written beside it, then swapped in."""
+    """Replaces rows by key and adds the others.
+
+    Rows lie in folders by a hash of the key; only the folders that ``new`` has keys of are read and written. What
+    goes in is complete in shared storage before any folder is replaced.
+    """
     spark = new.sparkSession
     stored = _stored(spark, path)
-    merged = new if stored is None else stored.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
-    merged.write.mode("overwrite").parquet(f"{path}.next")
-    spark.read.parquet(f"{path}.next").write.mode("overwrite").parquet(path)
+    new = materialise(new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")), "upsert")
+    if stored is None:
+        merged = new
+    else:
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # BUCKETS at most
+        old = stored.filter(F.col("bucket").isin(touched))
+        merged = materialise(old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True), "merged")
+    merged.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+
+
+def add_annotations(annotations: DataFrame, path: str, encoder: Callable[[Column], Column]) -> None:
+    """Experts' annotations (element, season, year, context, ...) as passages of the chunk store at ``path``."""
+    text = ingest.annotation_text(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("element", "season", "year", "context")))
+    rows = annotations.select(text.alias("chunk"), F.lit("expert").alias("source"), F.lit(0).alias("i"))
+    rows = rows.withColumn("id", F.concat(F.lit("expert_"), F.md5(F.col("chunk").cast("binary")))).dropDuplicates(["id"])
+    upsert_rows(rows.withColumn("embedding", encoder(F.col("chunk"))), path)
+
+
+def write_head(spark: SparkSession, path: str, **arrays: np.ndarray) -> None:
+    """A model's arrays as a table (name, shape, x)."""
+    rows = [(k, [int(n) for n in np.shape(a)], [float(x) for x in np.ravel(a)]) for k, a in arrays.items()]
+    spark.createDataFrame(rows, "name string, shape array<int>, x array<double>").write.mode("overwrite").parquet(path)
+
+
+def read_head(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    got = _stored(spark, path)
+    if got is None:
+        raise FileNotFoundError(f"{path}: train the head first")
+    return {r["name"]: np.array(r["x"]).reshape(r["shape"]) for r in got.collect()}  # a model's few arrays
 
 
 def write_split(examples: DataFrame, path: str) -> None:
@@ -72,6 +129,9 @@ class Memory:
         if rows:
             self.spark.createDataFrame(rows, "ord long, namespace string, key string, value string").write.mode("append").parquet(self.path)
 
+    def update(self, namespace: str, values: dict[str, object]) -> None:
+        self.remember(namespace, **values)
+
     def snapshot(self, namespace: str) -> dict[str, str]:
         stored = _stored(self.spark, self.path)
         if stored is None:

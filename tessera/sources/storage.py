@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stamp(spark: SparkSession, *paths: str) -> tuple:
+    """What tells versions of files apart: the length and time of each path's files."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    out = []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out += [(str(f.getPath()), f.getLen(), f.getModificationTime()) for f in at.getFileSystem(conf).listStatus(at)]
+    return tuple(out)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(at)
+
+
+#: Tables built in this session: (application, name, stamp of what they are built from) -> path.
+_built: dict[tuple, str] = {}
+
+
+def built_once(spark: SparkSession, name: str, sources: tuple[str, ...], build: Callable[[], DataFrame], order: str | None = None) -> DataFrame:
+    """A table that is written to shared storage the first time and read from there while its sources stay the same.
+
+    ``order`` lays the rows out by that column, so that look-ups of a value read few row groups.
+    """
+    key = (spark.sparkContext.applicationId, name, stamp(spark, *sources))
+    path = _built.get(key)
+    if path is None or not exists(spark, f"{path}/_SUCCESS"):
+        rows, path = build(), shared_path(spark, name)
+        (rows.repartitionByRange(order).sortWithinPartitions(order) if order else rows).write.parquet(path)
+        _built[key] = path
+    return spark.read.parquet(path)

@@ -99,7 +99,7 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("b", 1)], "id string, v int")
     sinks.upsert_rows(rows, str(tmp_path / "u"))
     sinks.upsert_rows(rows.filter("id = 'b'").withColumn("v", F.lit(2)), str(tmp_path / "u"))
-    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "u")).collect())) == [("a", 1), ("b", 2)]
+    assert sorted(map(tuple, sinks.read_rows(spark, str(tmp_path / "u")).collect())) == [("a", 1), ("b", 2)]
     memory = sinks.Memory(spark, str(tmp_path / "m"))
     assert memory.recall("brand", "tier", "none") == "none"
     memory.remember("brand", tier="luxury", name="x")
