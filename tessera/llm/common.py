@@ -28,20 +28,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share (``spark.checkpoint.dir``); a local one only if that is unset."""
+    """A fresh path in the folder all executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder serves a local session; a cluster has no such folder, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def file_system(spark: SparkSession, path: str):
+    """Hadoop's (file system, path) of a path."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to shared storage and reads it back: cuts the lineage, survives lost executors."""
+    """Writes ``df`` to shared storage and reads it back: cuts the lineage, survives lost executors.
+
+    The files go when the session's JVM ends, or by :func:`discard` before.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes what :func:`materialise` wrote; call it where no plan reads it any more."""
+    fs, at = file_system(df.sparkSession, df.written)
+    fs.delete(at, True)
 
 
 #: Plan nodes under which a row of a file stays one row.

@@ -220,29 +220,33 @@ def runs(parts: list[tuple[int, int, str]], sizes: np.ndarray, classes: np.ndarr
     return mixed(h[at] ^ np.uint64(number)) >> np.uint64(16), line[of], tag, np.minimum(place, LAST_PLACE).astype(np.uint16)
 
 
-#: Bytes of a packed row: step from the key before, node, tag and place. The first key stands in front.
-ROW = 16
+#: Bytes of a packed row: step from the key before (32 bits, or 48 where keys are few), node, tag and place. The first key stands in front.
+ROW, WIDE_ROW, WIDE, DENSE = 16, 18, 1 << 63, 400_000
 
 
 def packed(key: np.ndarray, node: np.ndarray, tag: np.ndarray, place: np.ndarray, cuts: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    """(part, blob) of sorted keys, where ``cuts`` holds the end of each part; a step over 32 bits starts another blob."""
+    """(part, blob) of sorted keys, where ``cuts`` holds the end of each part; of many keys, a rare step over 32 bits starts another blob."""
+    wide = len(key) < DENSE
     steps = np.diff(key, prepend=key[:1])
-    ends = np.unique(np.concatenate([cuts, np.nonzero(steps >> np.uint64(32))[0], [len(key)]]))
+    ends = np.unique(np.concatenate([cuts, [] if wide else np.nonzero(steps >> np.uint64(32))[0], [len(key)]]).astype(np.int64))
     starts = np.concatenate([[0], ends[:-1]])
     parts = np.searchsorted(cuts, starts, "right")
-    steps, node, tag, place = steps.astype("<u4"), node.astype("<i8"), tag.astype("<u2"), place.astype("<u2")
+    low, high = (steps & np.uint64(0xFFFFFFFF)).astype("<u4"), (steps >> np.uint64(32)).astype("<u2")
+    node, tag, place = node.astype("<i8"), tag.astype("<u2"), place.astype("<u2")
     for a, b, p in zip(starts.tolist(), ends.tolist(), parts.tolist()):
         if b > a:
-            yield p, b"".join((int(key[a]).to_bytes(8, "little"), steps[a:b].tobytes(), node[a:b].tobytes(), tag[a:b].tobytes(), place[a:b].tobytes()))
+            yield p, b"".join(((int(key[a]) | (WIDE if wide else 0)).to_bytes(8, "little"), low[a:b].tobytes(), node[a:b].tobytes(), tag[a:b].tobytes(), place[a:b].tobytes(), high[a:b].tobytes() if wide else b""))
 
 
 def unpacked(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint16), np.zeros(0, np.uint16))]
     for blob in blobs:
-        n = len(blob) // ROW
-        steps = np.frombuffer(blob, "<u4", n, 8).astype(np.uint64)
-        steps[0] = int.from_bytes(blob[:8], "little")
-        at = 8 + 4 * n
+        first = int.from_bytes(blob[:8], "little")
+        n = (len(blob) - 8) // (WIDE_ROW if first & WIDE else ROW)
+        steps, at = np.frombuffer(blob, "<u4", n, 8).astype(np.uint64), 8 + 4 * n
+        if first & WIDE:
+            steps |= np.frombuffer(blob, "<u2", n, 8 + 16 * n).astype(np.uint64) << np.uint64(32)
+        steps[0] = first & ~WIDE
         out.append((np.cumsum(steps, dtype=np.uint64), np.frombuffer(blob, "<i8", n, at), np.frombuffer(blob, "<u2", n, at + 8 * n), np.frombuffer(blob, "<u2", n, at + 10 * n)))
     return tuple(np.concatenate(x) for x in zip(*out))
 
@@ -363,7 +367,7 @@ def meeting_lines(packs: DataFrame, budget: Budget) -> DataFrame:
                     held.append(blob)
         key, node, tag, place = unpacked(held)
         held.clear()
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         key = key[order]
         same = key[1:] == key[:-1]
         met = np.zeros(len(key), bool)
@@ -518,9 +522,9 @@ def agreeing(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, budget: Bu
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u4").reshape(-1, 33).astype(np.int64) for i in (2, 3))
-                most = budget.of(np.minimum(x[:, 0], y[:, 0]))
-                keep = pa.array((np.abs(x[:, 0] - y[:, 0]) <= most) & letters_allow(x[:, 1:], y[:, 1:], most))
+                (size_a, x), (size_b, y) = (read_sketches(batch.column(i).to_pylist()) for i in (2, 3))
+                most = budget.of(np.minimum(size_a, size_b))
+                keep = pa.array((np.abs(size_a - size_b) <= most) & letters_allow(x, y, most))
                 yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
     told = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").select("a", "b", "x", "y")
@@ -538,16 +542,22 @@ def agreeing(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, budget: Bu
 
 
 def sketched(texts: DataFrame) -> DataFrame:
-    """(node, sketch): a line's length and how often it has the letters of each of 32 kinds."""
+    """(node, sketch): a line's length and how often it has the letters of each of 32 kinds, 255 at most (a cut never adds to a difference)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [np.concatenate([[len(t)], letters(t).reshape(2, 32).sum(0)]).astype("<u4").tobytes() for t in b.column(1).to_pylist()]
+            rows = [len(t).to_bytes(4, "little") + np.minimum(letters(t).reshape(2, 32).sum(0), 255).astype(np.uint8).tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, sketch binary")
 
 
+def read_sketches(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and counts [line, kind]."""
+    rows = np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, 36)
+    return np.ascontiguousarray(rows[:, :4]).view("<u4")[:, 0].astype(np.int64), rows[:, 4:].astype(np.int16)
+
+
 def letters_allow(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
     """Whether letter counts leave room for ``most`` edits, pair by pair."""
     off = a - b
@@ -559,13 +569,13 @@ def block_filter(budget: Budget):
 
     def make():
         def may_link(a: list[bytes], b: list[bytes]) -> np.ndarray:
-            x, y = (np.frombuffer(b"".join(side), "<u4").reshape(-1, 33).astype(np.int64) for side in (a, b))
-            most = budget.of(np.minimum(x[:, None, 0], y[None, :, 0]))
-            out = np.abs(x[:, None, 0] - y[None, :, 0]) <= most
+            (size_a, x), (size_b, y) = read_sketches(a), read_sketches(b)
+            most = budget.of(np.minimum(size_a[:, None], size_b[None, :]))
+            out = np.abs(size_a[:, None] - size_b[None, :]) <= most
             i, j = np.nonzero(out)
             for start in range(0, len(i), 16_384):
                 p, q = i[start : start + 16_384], j[start : start + 16_384]
-                out[p, q] = letters_allow(x[p, 1:], y[q, 1:], most[p, q])
+                out[p, q] = letters_allow(x[p], y[q], most[p, q])
             return out
 
         return may_link
@@ -577,24 +587,20 @@ def block_checker(budget: Budget):
     """What ``linking.block_links`` needs to tell lines within their budget."""
 
     def make():
-        def linked(a: list[str], b: list[str], apart) -> Iterator[tuple[int, int]]:
+        def candidates(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             size_a, size_b = (np.array([len(t) for t in side]) for side in (a, b))
             most = budget.of(np.minimum(size_a[:, None], size_b[None, :]))
             rows, columns = np.nonzero(np.abs(size_a[:, None] - size_b[None, :]) <= most)
             counts_a, counts_b = (np.stack([letters(t) for t in side]) for side in (a, b))
             off = np.concatenate([np.zeros(0, np.int64), *(np.abs(counts_a[rows[s : s + 16_384]] - counts_b[columns[s : s + 16_384]]).sum(1) for s in range(0, len(rows), 16_384))])
-            order = np.argsort(off, kind="stable")  # likely links first: each spares the pairs that it connects
-            rows, columns, off = rows[order], columns[order], off[order]
-            likely = off <= 2 * most[rows, columns]
-            waiting = list(zip(rows[likely].tolist(), columns[likely].tolist()))
-            at, step = 0, 64
-            while at < len(waiting):
-                some = [(i, j) for i, j in waiting[at : at + step] if apart(i, j)]
-                at, step = at + step, min(2 * step, ABREAST)
-                fits = within_all([(a[i], b[j]) for i, j in some], [int(most[i, j]) for i, j in some])
-                yield from (p for p, fit in zip(some, fits) if fit)
-
-        return (lambda text: text), linked
+            likely = np.nonzero(off <= 2 * most[rows, columns])[0]
+            order = likely[np.argsort(off[likely], kind="stable")]
+            return list(zip(rows[order].tolist(), columns[order].tolist()))
+
+        def check(pairs: list[tuple[str, str]]) -> list[bool]:
+            return within_all(pairs, budget.of([min(len(x), len(y)) for x, y in pairs]).tolist())
+
+        return (lambda text: text), candidates, check
 
     return make
 

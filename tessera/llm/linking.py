@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialise
+from tessera.llm.common import discard, materialise
 
 Pairs = Callable[[DataFrame], DataFrame]
 
@@ -45,7 +45,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # small star: a node and its lower neighbours point to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("low"))
         small = large.join(least.withColumnRenamed("a", "u"), F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("low").alias("b")).unionByName(least.select("a", F.col("low").alias("b")))
-        now = materialise(small.filter("a <> b").distinct(), "edges")
+        before, now = now, materialise(small.filter("a <> b").distinct(), "edges")
+        discard(before)
         got = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if got == state:
             break
@@ -146,48 +147,75 @@ def promising(groups: DataFrame, sketches: DataFrame, make: Callable[[], Callabl
     return with_sizes(materialise(members, "members"))
 
 
-def block_links(groups: DataFrame, texts: DataFrame, make: Callable[[], tuple[Callable, Callable]]) -> DataFrame:
+#: Pairs of small blocks that are checked together, and the pairs up to which a block is small.
+CHECKED, SMALL = 2048, 512
+
+
+def block_links(groups: DataFrame, texts: DataFrame, make: Callable[[], tuple[Callable, Callable, Callable]]) -> DataFrame:
     """Links (a, b) that connect components of ``open_groups``: members outside with all members, in blocks.
 
-    ``make()`` runs once per task and gives ``read(text)``, what is kept of a member, and ``linked(xs, ys, apart)``,
-    which yields linked (i, j) of two lists of those; it asks ``apart(i, j)`` before work that a connection saves. Two
-    members may share many hubs: their pair belongs to the least of those alone, so it is checked once.
+    ``make()`` runs once per task and gives ``read(text)``, what is kept of a member; ``candidates(xs, ys)``, the
+    (i, j) of two lists of those that may be linked, likely ones first; and ``check(pairs)``, whether each pair (x, y)
+    is. Two members may share many hubs: their pair belongs to the least of those alone, so it is checked once. Of a
+    large block, pairs that links found so far connect are left out.
     """
     groups = materialise(groups, "open")
     hubs = groups.groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # a node has as many as it has keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        read, linked = make()
-        for hub, (nodes_a, groups_a, a), (nodes_b, groups_b, b) in each_block(batches, lambda outside, hubs, text: (outside, frozenset(hubs), read(text or ""))):
+        read, candidates, check = make()
+        waiting: list[tuple[Joining, list]] = []
 
-            def mine(i: int, j: int) -> bool:
-                return (nodes_a[i] < nodes_b[j] or not b[j][0]) and min(a[i][1] & b[j][1]) == hub
+        def links_of(blocks: list[tuple[Joining, list]]) -> list[tuple[int, int]]:
+            fits = iter(check([(block.a[i], block.b[j]) for block, some in blocks for i, j in some]))
+            return [link for block, some in blocks for i, j in some if next(fits) and (link := block.join(i, j))]
 
-            links = joining(nodes_a, groups_a, nodes_b, groups_b, lambda apart: linked([m[2] for m in a], [m[2] for m in b], lambda i, j: apart(i, j) and mine(i, j)))
+        def batch_of(links: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
+        for hub, (nodes_a, groups_a, a), (nodes_b, groups_b, b) in each_block(batches, lambda outside, hubs, text: (outside, frozenset(hubs), read(text or ""))):
+            block = Joining(nodes_a, groups_a, [m[2] for m in a], nodes_b, groups_b, [m[2] for m in b])
+            some = [(i, j) for i, j in candidates(block.a, block.b) if groups_a[i] != groups_b[j] and (nodes_a[i] < nodes_b[j] or not b[j][0]) and min(a[i][1] & b[j][1]) == hub]
+            if len(some) <= SMALL:
+                waiting.append((block, some))
+                if sum(len(x) for _, x in waiting) >= CHECKED or len(waiting) >= CHECKED:
+                    yield from batch_of(links_of(waiting))
+                    waiting = []
+                continue
+            at, step = 0, 64
+            while at < len(some):
+                left = [(i, j) for i, j in some[at : at + step] if block.apart(i, j)]
+                at, step = at + step, min(2 * step, CHECKED)
+                yield from batch_of(links_of([(block, left)]))
+        yield from batch_of(links_of(waiting))
+
     return dealt_blocks(groups, hubs.join(texts, "node"), "outside", "hubs", "text").mapInArrow(run, "a long, b long").distinct()
 
 
-def joining(nodes_a: list[int], groups_a: list[int], nodes_b: list[int], groups_b: list[int], linked: Callable) -> list[tuple[int, int]]:
-    """Links between two sides that connect groups which nothing found so far connects; ``linked(apart)`` yields (i, j)."""
-    parent: dict[int, int] = {}
+class Joining:
+    """Two sides of a block and the components that links found in it have joined."""
+
+    def __init__(self, nodes_a: list[int], groups_a: list[int], a: list, nodes_b: list[int], groups_b: list[int], b: list):
+        self.nodes_a, self.groups_a, self.a, self.nodes_b, self.groups_b, self.b = nodes_a, groups_a, a, nodes_b, groups_b, b
+        self.parent: dict[int, int] = {}
 
-    def root(x: int) -> int:
+    def root(self, x: int) -> int:
+        parent = self.parent
         while parent.setdefault(x, x) != x:
             parent[x] = x = parent[parent[x]]
         return x
 
-    def apart(i: int, j: int) -> bool:
-        return root(groups_a[i]) != root(groups_b[j])
+    def apart(self, i: int, j: int) -> bool:
+        return self.root(self.groups_a[i]) != self.root(self.groups_b[j])
 
-    out = []
-    for i, j in linked(apart):
-        if apart(i, j):
-            parent[root(groups_a[i])] = root(groups_b[j])
-            out.append((min(nodes_a[i], nodes_b[j]), max(nodes_a[i], nodes_b[j])))
-    return out
+    def join(self, i: int, j: int) -> tuple[int, int] | None:
+        """The link, if it connects what was apart."""
+        x, y = self.root(self.groups_a[i]), self.root(self.groups_b[j])
+        if x == y:
+            return None
+        self.parent[x] = y
+        return min(self.nodes_a[i], self.nodes_b[j]), max(self.nodes_a[i], self.nodes_b[j])
 
 
 def near_classes(buckets: DataFrame, check: Pairs, rest: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -190,12 +190,13 @@ def block_counter(words: int, threshold: int):
     def make():
         shingler = resource(f"shingler:{words}", lambda: Shingler(words))
 
-        def linked(a: list[np.ndarray], b: list[np.ndarray], apart) -> Iterator[tuple[int, int]]:
-            both = common_counts(a, b)
+        def candidates(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+            both = common_counts(a, b)  # the full sets are counted at once: what comes out is linked
             sizes_a, sizes_b = (np.array([len(s) for s in side], dtype=np.int64) for side in (a, b))
-            yield from zip(*np.nonzero((both > 0) & (100 * both >= threshold * (sizes_a[:, None] + sizes_b[None, :] - both))))
+            at = np.nonzero((both > 0) & (100 * both >= threshold * (sizes_a[:, None] + sizes_b[None, :] - both)))
+            return zip(*(x.tolist() for x in at))
 
-        return shingler.hashes, linked
+        return shingler.hashes, candidates, lambda pairs: [True] * len(pairs)
 
     return make
 

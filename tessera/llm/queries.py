@@ -104,6 +104,53 @@ SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id, s.doc_id =
 FROM sets s JOIN (SELECT doc_id, min(c) AS c FROM reach GROUP BY 1) r USING (doc_id)
 """
 
+#: DuckDB measures bytes: the accented letters of the documents' four languages stand as single control characters.
+ACCENTS = "óñÓíÑÍÊéèêçÈÉÇößäüÖÜÄ"
+_AS_BYTES = "translate(line, '" + ACCENTS + "', " + " || ".join(f"chr({i})" for i in [*range(1, 9), *range(14, 27)]) + ")"
+_TRIMMED = "trim(string_split(text, chr(10))[i], " + " || ".join(f"chr({ord(c)})" for c in line_dedup.WHITE) + ")"
+
+#: Letters are counted first, so that few pairs are measured; classes as in OP1_SQL.
+OP2_SQL = f"""
+WITH RECURSIVE places AS (SELECT doc_id, text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL),
+lines AS (SELECT * FROM (SELECT doc_id, i - 1 AS line_no, {_TRIMMED} AS line FROM places) WHERE line <> ''),
+nodes AS MATERIALIZED (
+  SELECT line, length(line) AS n, (length(line) + 30) // 50 AS most, {_AS_BYTES} AS t, min(doc_id * 1000000 + line_no) AS p,
+    list_transform(['a', 'd', 'e', 'h', 'i', 'n', 'o', 'r', 's', 't', 'u', ' ', ',', '.', 'c', 'l'], lambda c: length(line) - length(replace(line, c, ''))) AS k FROM lines GROUP BY line),
+links AS MATERIALIZED (
+  SELECT a.p AS x, b.p AS y FROM nodes a JOIN nodes b ON b.n >= a.n AND b.n <= a.n + a.most AND (b.n > a.n OR b.p > a.p)
+  WHERE a.most > 0 AND CASE WHEN list_sum(list_transform(list_zip(a.k, b.k), lambda z: greatest(z[1] - z[2], 0))) <= a.most AND list_sum(list_transform(list_zip(a.k, b.k), lambda z: greatest(z[2] - z[1], 0))) <= a.most
+    THEN levenshtein(a.t, b.t) <= a.most ELSE false END),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT p, p AS c FROM nodes UNION SELECT b.y, r.c FROM reach r JOIN both_ways b ON b.x = r.p WHERE r.c < b.y),
+firsts AS (SELECT line, c FROM nodes JOIN (SELECT p, min(c) AS c FROM reach GROUP BY 1) USING (p))
+SELECT doc_id, line_no::INTEGER AS line_no, c // 1000000 AS class_doc, (c % 1000000)::INTEGER AS class_line, doc_id * 1000000 + line_no = c AS kept FROM lines JOIN firsts USING (line)
+"""
+
+def _found(k: int, kind: str, pattern: str, group: int, holds: str) -> str:
+    """Spans of one kind: the texts between the matches give the places."""
+    p = "'" + pattern.replace("'", "''") + "'"
+    begin = "list_sum(list_transform(s[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)"
+    return f"""SELECT doc_id, source, {k} AS k, '{kind}' AS kind, f.a::BIGINT AS a, (f.a + length(f.m))::BIGINT AS e, f.v AS v FROM (
+      SELECT doc_id, source, unnest(list_transform(range(1, len(m) + 1), lambda i: {{'a': {begin}, 'm': m[i], 'v': v[i]}})) AS f FROM (
+        SELECT doc_id, source, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, {group}) AS v, string_split_regex(text, {p}) AS s FROM docs)) WHERE {holds}"""
+
+
+_ENTROPY = "list_sum(list_transform(map_values(list_histogram(string_split(f.v, ''))), lambda c: -(c / length(f.v)) * log2(c / length(f.v))))"
+
+OP3_SQL = f"""
+WITH docs AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+base AS MATERIALIZED (
+  {_found(0, "assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 1, "length(f.v) >= 6")}
+  UNION ALL {_found(1, "access", "AKIA[A-Z0-9]+", 0, "length(f.v) >= 20")}
+  UNION ALL {_found(2, "hex", "[0-9a-f]+", 0, "length(f.v) >= 24")}),
+opaque AS ({_found(3, "opaque", "[A-Za-z0-9+/_=-]" + "{20,}", 0, "regexp_matches(f.v, '[0-9]') AND regexp_matches(f.v, '[A-Za-z]') AND " + _ENTROPY + " >= 3.0")}),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM opaque o WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.a < o.e AND o.a < b.e)),
+owners AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS n FROM spans GROUP BY v),
+told AS (SELECT spans.*, n <= 2 AS live, kind || ':' || a || ':' || e AS t FROM spans JOIN owners USING (v) WHERE k < 3 OR n <= 2),
+rows AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, coalesce(string_agg(t, ',' ORDER BY a, k) FILTER (k < 3), '') AS base, string_agg(t, ',' ORDER BY a, k) AS spans, count(*) FILTER (live) AS n_live FROM told GROUP BY 1)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live FROM docs LEFT JOIN rows USING (doc_id)
+"""
+
 OP9_SQL = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q FROM embeddings
@@ -117,4 +164,4 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op9_topk": OP9_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op9_topk": OP9_SQL}

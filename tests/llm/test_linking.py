@@ -63,6 +63,18 @@ def test_banded_distance_against_levenshtein():
         assert d > tau or L.may_agree(a, b, tau)
 
 
+@pytest.mark.parametrize("dense", [L.DENSE, 0])
+def test_packed_keys_come_out_as_they_went_in(monkeypatch, dense):
+    monkeypatch.setattr(L, "DENSE", dense)
+    rng = np.random.default_rng(4)
+    key = np.sort(rng.integers(0, 1 << 48, 3000).astype(np.uint64))
+    columns = [rng.integers(-(1 << 62), 1 << 62, 3000), rng.integers(0, 1 << 16, 3000).astype(np.uint16), rng.integers(0, 1 << 16, 3000).astype(np.uint16)]
+    cuts = np.searchsorted(key, np.array([1 << 46, 1 << 47], dtype=np.uint64))
+    blobs = list(L.packed(key, *columns, cuts))
+    assert all((x == y).all() for x, y in zip(L.unpacked([b for _, b in blobs]), [key, *columns]))
+    assert {p for p, _ in blobs} == {0, 1, 2} and all(((k >> np.uint64(46)) == 0).all() for p, b in blobs if p == 0 for k in L.unpacked([b])[:1])
+
+
 def test_pairs_measured_side_by_side_against_levenshtein():
     rng = random.Random(3)
     pairs, taus = [], []
@@ -232,8 +244,9 @@ def test_blocks_count_and_join_as_sets_do():
     b = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype(np.uint64)) for _ in range(20)]
     got = minhash.common_counts(a, b)
     assert all(got[i, j] == len(np.intersect1d(x, y)) for i, x in enumerate(a) for j, y in enumerate(b))
-    _, linked = minhash.block_counter(3, 50)()
-    links = linking.joining(list(range(30)), list(range(30)), list(range(100, 120)), list(range(100, 120)), lambda apart: linked(a, b, apart))
+    _, candidates, _ = minhash.block_counter(3, 50)()
+    block = linking.Joining(list(range(30)), list(range(30)), a, list(range(100, 120)), list(range(100, 120)), b)
+    links = [link for i, j in candidates(a, b) if (link := block.join(i, j))]
     full = [(i, 100 + j) for i, x in enumerate(a) for j, y in enumerate(b) if got[i, j] * 100 >= 50 * len(np.union1d(x, y))]
     nodes = {*range(30), *range(100, 120)}
     assert components(nodes, links) == components(nodes, full) and len(links) < len(nodes)
