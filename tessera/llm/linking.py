@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "edges")
     state = None
-    while True:
+    while not (state is None and now.isEmpty()):  # without edges there is nothing to walk
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("u"), F.least("a", "low").alias("low"))
         # large star: neighbours above a node point to the least node it sees
@@ -160,6 +160,8 @@ def block_links(groups: DataFrame, texts: DataFrame, make: Callable[[], tuple[Ca
     large block, pairs that links found so far connect are left out.
     """
     groups = materialise(groups, "open")
+    if groups.isEmpty():
+        return groups.select(F.col("hub").alias("a"), F.col("node").alias("b"))
     hubs = groups.groupBy("node").agg(F.collect_set("hub").alias("hubs"))  # a node has as many as it has keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,5 +227,12 @@ def near_classes(buckets: DataFrame, check: Pairs, rest: Callable[[DataFrame], D
     members of ``open_groups``. The links connect every component; they are not all links.
     """
     links = materialise(check(buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"))), "links")
-    links = materialise(links.unionByName(rest(open_groups(buckets, connected_components(links)))), "links")
+    found = connected_components(links)
+    groups = open_groups(buckets, found)
+    if groups.isEmpty():
+        return found, links
+    more = materialise(rest(groups), "links")
+    if more.isEmpty():
+        return found, links
+    links = links.unionByName(more)
     return connected_components(links), links
