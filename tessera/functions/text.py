@@ -34,12 +34,17 @@ def squeezed(c: Column) -> Column:
 
 
 def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
+    return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+
+
+def beyond_ascii(c: Column) -> Column:
+    """The text where it has other than ASCII characters, else null: what goes to Python and what stays in the JVM."""
+    return F.when(F.octet_length(c) != F.length(c), c)
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility composition. Spark has no such function; the texts go to Python in Arrow batches."""
-    return F.pandas_udf(_nfkc, "string")(c)
+    """Compatibility composition. Spark has no such function; texts beyond ASCII go to Python in Arrow batches."""
+    return F.coalesce(F.pandas_udf(_nfkc, "string")(beyond_ascii(c)), c)
 
 
 def normalize_whitespace(c: Column) -> Column:
