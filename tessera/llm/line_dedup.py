@@ -61,8 +61,9 @@ GRAM, SEGMENT, LONGEST = 16, 96, 1 << 20
 RUN, LAST_PLACE = 48, (1 << 16) - 1
 #: Characters that one step of the key maker takes (they stay in the processor's cache), and those of a line's piece.
 STEP_CHARS, PIECE_CHARS = 65_536, 1 << 20
-#: Key rows that a batch packs at once; lines of one batch under a key from which on it is hot.
-PACKED, HOT = 500_000, 64
+#: Key rows that a batch packs at once. A key is hot, and its lines are spread, if it has HOT lines in a batch or more
+#: and more than FULL times a partition's share of the batch's rows: below that a partition holds it like any other.
+PACKED, HOT, FULL = 500_000, 64, 1
 #: Bits of the filter that finds the texts of lines that met: what is broadcast has this size however many there are.
 FILTER_BITS = 1 << 25
 
@@ -288,7 +289,8 @@ def packed_keys(texts: DataFrame, budget: Budget, parts: int) -> DataFrame:
             order = np.argsort(key)
             key, node, tag, place = key[order], node[order], tag[order], place[order]
             edge = np.concatenate([[True], key[1:] != key[:-1]])
-            hot = np.repeat(np.diff(np.append(np.nonzero(edge)[0], len(key))) >= HOT, np.diff(np.append(np.nonzero(edge)[0], len(key))))
+            times = np.diff(np.append(np.nonzero(edge)[0], len(key)))
+            hot = np.repeat(times >= max(HOT, FULL * len(key) // parts), times)
             rows = []
             if hot.any():
                 away = [x[hot] for x in (key, node, tag, place)]

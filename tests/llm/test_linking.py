@@ -161,6 +161,7 @@ def test_rows_of_files_are_told_apart(spark, tmp_path):
 def test_a_hot_segment_of_unrelated_lines(spark, monkeypatch):
     """One passage in thousands of lines that differ otherwise, and chains of near copies among them."""
     monkeypatch.setattr(L, "HOT", 8)
+    monkeypatch.setattr(L, "FULL", 0)
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 9)))
     passage = " ".join(word() for _ in range(20))
