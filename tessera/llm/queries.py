@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, decontam, html_extract, langid, line_dedup, minhash, secret_scan, token_count, token_store, topk
+from tessera.llm import bpe, centroids, decontam, html_extract, langid, line_dedup, minhash, secret_scan, token_count, token_store, topk
 from tessera.llm.common import shared_path, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,8 +77,12 @@ def op10_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.inline("hits"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_minhash, op2_line_dedup, op3_secret_scan, op4_html_extract, op5_bpe, op6_token_count, op7_token_output, op8_langid, op9_topk, op10_decontam)
+    found = (op1_minhash, op2_line_dedup, op3_secret_scan, op4_html_extract, op5_bpe, op6_token_count, op7_token_output, op8_langid, op9_topk, op10_decontam, op11_centroids)
     return {f.__name__: f for f in found}
 
 
@@ -163,5 +167,22 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
 """
 
 
+def op11_sql(rounds: int = 10) -> str:
+    """Each round's assignment and centroids as tables; DuckDB's // cuts towards zero, so floors are written out."""
+    nearest = "SELECT v.id, v.q, arg_min(c.n, (list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, c.n)) AS n FROM v, c{0} c GROUP BY v.id, v.q"
+    parts = ["""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        "c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS n, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v ORDER BY h LIMIT 8))"]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({nearest.format(r)})")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.n, coalesce(m.q, c.q) AS q FROM c{r} c LEFT JOIN (
+    SELECT n, list((s - ((s % k) + k) % k) // k ORDER BY i) AS q FROM (SELECT n, i, sum(x)::BIGINT AS s, count(*) AS k FROM (SELECT n, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r}) GROUP BY n, i) GROUP BY n) m USING (n))""")
+    parts.append(f"last AS MATERIALIZED ({nearest.format(rounds)})")
+    parts.append(f"d AS (SELECT v.vec_id, c.n, list_sum(list_transform(list_zip(v.q, c.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d, sha256(array_to_string(c.q, ',')) AS h FROM last JOIN v USING (id) JOIN c{rounds} c ON c.n = last.n)")
+    return "WITH " + ",\n".join(parts) + "\nSELECT vec_id, n::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY n))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256 FROM d"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op9_topk": OP9_SQL}
+    return {"op1_minhash": OP1_SQL, "op2_line_dedup": OP2_SQL, "op3_secret_scan": OP3_SQL, "op9_topk": OP9_SQL, "op11_centroids": op11_sql()}
