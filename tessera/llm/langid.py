@@ -1,9 +1,11 @@
 """Language identification by cross-parsing entropy.
 
 For each language a suffix automaton of labelled text gives the longest match that starts at a position. A text is
-parsed greedily into longest matches (a character that the language never has is a phrase of its own). The number of
-phrases times the logarithm of the sample's size estimates the cross entropy; the language where it is least wins, so
-that a language with a larger sample, whose matches are longer, has no start over another. Texts are folded to
+parsed greedily into longest matches (a character that the language never has is a phrase of its own). A phrase says
+where in the sample it stands, or which letter it is: of a sample of n characters and a joint alphabet of a letters, it
+costs log2(n + a) bits, as if every sample began with one copy of the alphabet. The language where the phrases cost least
+wins: a larger sample has longer matches and dearer phrases, and a tiny one, whose phrases are single letters, pays for
+each what any letter costs. Letters that no sample has cost the same in every language and are left out. Texts are folded to
 lower-case letters with single blanks, so that markup and digits carry no weight, and parsed whole: all texts of a
 batch and all languages advance by one character at a time.
 """
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import map_text, release
 
-#: Bounds of what a model is fitted on: rows and characters for each language, and characters of one row.
+#: Default bounds of what a model is fitted on: rows and characters for each language, and characters of one row.
 SAMPLE_ROWS, SAMPLE_CHARS, ROW_CHARS = 200, 24_000, 2_400
 #: Cells of the transition table that a worker holds; larger automata look their arcs up by bisection.
 DENSE_CELLS = 32_000_000
@@ -99,9 +101,9 @@ class CrossParser:
         self.letters = letter_table()
         folded = {lang: points for lang in sorted(samples) if len(points := self.fold(samples[lang])[0])}
         self.langs = list(folded)
-        #: What a phrase weighs in each language.
-        self.weight = np.log2([1 + len(p) for p in folded.values()])
         known = [int(p) for p in np.unique(np.concatenate([np.zeros(0, np.uint32), *folded.values()])) if p != 32]
+        #: What a phrase weighs in each language: a place in its sample, or a letter of any.
+        self.weight = np.log2([len(p) + len(known) + 1 for p in folded.values()])
         #: Codes of all letters seen: 0 pads, 1 letter of no sample, 2 blank.
         self.codes = np.ones(0x110000, dtype=np.int32)
         self.codes[32] = 2
@@ -130,7 +132,7 @@ class CrossParser:
         return np.concatenate([np.full(1, 32, np.uint32), points[keep]]) if letters.any() else points[:0], int(letters.sum())
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases [text, language], characters parsed and letters of each text."""
+        """Phrases [text, language] but for letters of no sample, characters parsed and letters of each text."""
         folded = [self.fold(t) for t in texts]
         sizes = np.array([len(p) for p, _ in folded], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")  # texts that go on stand in front
@@ -151,7 +153,7 @@ class CrossParser:
             for row in np.ascontiguousarray(grid.T):
                 to = find(now * width + row)
                 stuck = to < 0
-                told += (stuck | (now == roots)) & (row > 0)
+                told += (stuck | (now == roots)) & (row > 1)
                 now = np.where(stuck, again[:, row], to).astype(np.int64)
             state[:, :m] = now
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
@@ -169,42 +171,42 @@ class CrossParser:
         order = np.argsort(cost, axis=1, kind="stable")
         best = cost[np.arange(len(texts)), order[:, 0]]
         second = cost[np.arange(len(texts)), order[:, min(1, len(self.langs) - 1)]]
-        score = np.where(letters > 0, 1 - best / np.maximum(second, 1e-9), 0.0) if len(self.langs) > 1 else (letters > 0).astype(float)
+        score = np.where((letters > 0) & (second > 0), 1 - best / np.maximum(second, 1e-9), 0.0) if len(self.langs) > 1 else (letters > 0).astype(float)
         return [self.langs[o] if n else UNDETERMINED for o, n in zip(order[:, 0], letters)], score.tolist()
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> CrossParser:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS, row_chars: int = ROW_CHARS) -> CrossParser:
     """Fits on a bounded sample of rows with a language and a text: the first of each language in hash order of (id, text).
 
     Every label found is a language. Rows without an id and rows that share one are sampled like all others.
 
-    Two scans: one finds the hash below which about ``SAMPLE_ROWS`` rows of a language lie, one reads those rows. What
-    the driver gets is bounded by languages x 2 ``SAMPLE_ROWS`` texts of ``ROW_CHARS`` characters, of which the model
-    takes ``SAMPLE_CHARS`` for each language.
+    Two scans: one finds the hash below which about ``sample_rows`` rows of a language lie, one reads those rows. What
+    the driver gets is bounded by languages x 2 ``sample_rows`` texts of ``row_chars`` characters, of which the model
+    takes ``sample_chars`` for each language.
     """
     buckets = 1 << 30
     at = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(buckets))
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = labelled.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"), F.min(at).alias("least")).collect()
-    below = {r["l"]: max(r["least"] + 1, SAMPLE_ROWS * buckets // r["n"] + 1) for r in sizes}
+    below = {r["l"]: max(r["least"] + 1, sample_rows * buckets // r["n"] + 1) for r in sizes}
     rows = []
     if sizes:
         bounds = docs.sparkSession.createDataFrame(list(below.items()), f"__l {dict(docs.dtypes)[lang_col]}, __below long")
-        chosen = labelled.select(F.col(lang_col).alias("lang"), at.alias("at"), F.substring(F.col(text_col), 1, ROW_CHARS).alias("sample"))
+        chosen = labelled.select(F.col(lang_col).alias("lang"), at.alias("at"), F.substring(F.col(text_col), 1, row_chars).alias("sample"))
         chosen = chosen.join(F.broadcast(bounds), F.col("lang") == F.col("__l")).filter(F.col("at") < F.col("__below"))
         place = F.row_number().over(W.partitionBy("lang").orderBy("at", "sample"))
-        rows = chosen.withColumn("place", place).filter(F.col("place") <= 2 * SAMPLE_ROWS).select("lang", "at", "sample").collect()
+        rows = chosen.withColumn("place", place).filter(F.col("place") <= 2 * sample_rows).select("lang", "at", "sample").collect()
     samples: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r["at"], r["sample"])):
-        samples[r["lang"]] = (samples.get(r["lang"], "") + "\n" + r["sample"])[:SAMPLE_CHARS]
+        samples[r["lang"]] = (samples.get(r["lang"], "") + "\n" + r["sample"])[:sample_chars]
     return CrossParser(samples)
 
 
 def identify(docs: DataFrame, model: CrossParser, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, keep..., lang_pred, score 0..1) for every input row; only the text is looked at.
 
-    ``und`` with score 0 for null texts and texts without letters. Ties go to the first language in alphabetic
-    order. Long texts are parsed whole. Repeated rows give repeated rows, an empty table an empty result; columns
+    ``und`` with score 0 for null texts and texts without letters. Ties, texts of letters that no sample has among
+    them, go to the first language in alphabetic order. Long texts are parsed whole. Repeated rows give repeated rows, an empty table an empty result; columns
     outside ``keep`` are not read, so their names cannot clash.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
