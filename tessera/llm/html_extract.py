@@ -8,6 +8,11 @@ spread (the root mean square of its scores) are content, on every page. Tags tha
 hidden elements are left out before. Marks only weigh: a path inside ``article`` or ``main`` and a heading need a lower
 score, and each element around a path that a class, an id or a role calls chrome takes a factor off its score, so that
 a mark that lies around the whole page decides nothing.
+
+A path may score low and yet belong to the article: lists, tables, captions, its title. So the content paths tell where
+the article is, the lowest element that holds four fifths of their text (or the ``article`` or ``main`` around it), and
+what stands in there is kept: every block but those that a mark inside it calls chrome and those of an inner element
+that is links for the most part. How long the rest of the article is does not matter for that.
 """
 
 from __future__ import annotations
@@ -33,11 +38,11 @@ CLOSES_P = frozenset("address article aside blockquote details dialog div dl fie
 IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"thead", "tbody", "tr", "td", "th"}, {"table"})}
 
 #: Elements whose text is never the article's.
-CHROME = frozenset("head nav footer header aside form button select menu dialog search fieldset noscript input".split())
+CHROME = frozenset("head nav footer aside form button select menu dialog search fieldset noscript input".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Class and id names that mark what is around an article: one of these words, alone or with words that tell of a place or a shape.
-CHROME_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice notices gdpr popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead comment comments commentlist disqus respond replies share sharing social related recommend recommended recommendations subscribe newsletter signup login widget widgets toolbar pagination pager skip hidden".split())
-PLACES = frozenset("site page global main top bottom left right primary secondary header footer box area list lists wrapper wrap container content inner outer section block bar links link items item buttons button icons form post posts articles thread panel slot unit text title menu row col column".split())
+CHROME_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner cookie cookies consent notice notices gdpr popup modal overlay nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside footer masthead comment comments commentlist remark remarks reaction reactions reply feedback discussion disqus respond replies share sharing social related recommend recommended recommendations subscribe newsletter signup login widget widgets toolbar pagination pager skip hidden".split())
+PLACES = frozenset("user users reader readers visitor visitors site page global main top bottom left right primary secondary header footer box area list lists wrapper wrap container content inner outer section block bar links link items item buttons button icons form post posts articles thread panel slot unit text title menu row col column".split())
 ARTICLE = frozenset(("article", "main"))
 
 NAME = re.compile(r"[a-zA-Z][^\s/>]*")
@@ -46,14 +51,16 @@ ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*("[
 PUNCTUATION = re.compile(r"[.,;:!?…。，、؛؟]")
 #: Spread of the smoothing in blocks, and the share of the page's spread that content paths reach.
 SIGMA, SHARE = 1.0, 0.5
+#: The share of the content paths' text that the article's element holds, and the share of links from which an inner element is a list of them.
+HELD, LINKS = 0.8, 0.5
 #: Weights of paths inside an article, of headings and of each chrome mark around a path.
 IN_ARTICLE, HEADING, MARKED = 2.0, 4.0, 0.05
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
-def hidden(tag: str, attributes: str) -> bool:
-    """Whether an element's text is never shown or never an article's."""
-    if tag in CHROME:
+def hidden(tag: str, attributes: str, article: bool = False) -> bool:
+    """Whether an element's text is never shown or never an article's; a header is the article's own inside of one."""
+    if tag in CHROME or tag == "header" and not article:
         return True
     if tag in ("body", "html"):
         return False
@@ -174,18 +181,21 @@ class Open:
     marks: int
     gone: bool
     block: int
+    number: int
 
 
-Block = tuple[int, str, int, bool, int, bool, str]
+Block = tuple[int, str, int, bool, int, bool, str, int]
 
 
-def blocks(page: str) -> list[Block]:
-    """(path, text, characters in links, inside an article, chrome marks around, hidden, block tag) of every text block in page order.
+def blocks(page: str) -> tuple[list[Block], list[tuple[int, str]]]:
+    """(path, text, characters in links, inside an article, chrome marks around, hidden, block tag, element) of every text block in page order.
 
-    Paths of block tags are numbered: one number for each path from the root.
+    Paths of block tags are numbered: one number for each path from the root. So are the elements of block tags, which
+    come as (element around it, tag); 0 is the page.
     """
     out: list[Block] = []
-    root = Open("", 0, False, 0, False, -1)
+    elements: list[tuple[int, str]] = [(-1, "")]
+    root = Open("", 0, False, 0, False, -1, 0)
     stack: list[Open] = []
     paths: dict[tuple[int, str], int] = {}
     at: dict[str, list[int]] = defaultdict(list)  # of each tag: its places on the stack
@@ -197,7 +207,7 @@ def blocks(page: str) -> list[Block]:
         text = " ".join(entities.unescape("".join(held)).split())
         if text:
             top = stack[-1] if stack else root
-            out.append((top.path, text, linked, top.article, top.marks, top.gone, stack[top.block].tag if top.block >= 0 else ""))
+            out.append((top.path, text, linked, top.article, top.marks, top.gone, stack[top.block].tag if top.block >= 0 else "", top.number))
         held.clear()
         linked = 0
 
@@ -241,10 +251,13 @@ def blocks(page: str) -> list[Block]:
             if not inline:
                 flush()
             path = around.path if inline else paths.setdefault((around.path, tag), len(paths) + 1)
+            if not inline:
+                elements.append((around.number, tag))
             at[tag].append(len(stack))
-            stack.append(Open(tag, path, around.article or tag in ARTICLE, around.marks + marked(tag, attributes), around.gone or hidden(tag, attributes), around.block if inline else len(stack)))
+            gone = around.gone or hidden(tag, attributes, around.article)
+            stack.append(Open(tag, path, around.article or tag in ARTICLE, around.marks + marked(tag, attributes), gone, around.block if inline else len(stack), around.number if inline else len(elements) - 1))
     flush()
-    return out
+    return out, elements
 
 
 def scores(found: list[Block]) -> np.ndarray:
@@ -270,19 +283,64 @@ def scores(found: list[Block]) -> np.ndarray:
     return smooth(text) * (1 + smooth(marks)) * free
 
 
-def main_text(page: str) -> str:
-    """The article's blocks in page order, joined by one space; empty if there are none."""
-    found = [b for b in blocks(page) if not b[5]]
-    if not found:
-        return ""
+def content(found: list[Block]) -> list[bool]:
+    """Whether a block's path reaches the threshold, under its weights."""
     score = scores(found) * np.array([MARKED ** b[4] for b in found])
     limit = SHARE * math.sqrt(float(np.mean(score**2)))
     best: dict[tuple, float] = defaultdict(float)
     for b, s in zip(found, score):
         s *= (IN_ARTICLE if b[3] else 1) * (HEADING if b[6] in HEADINGS else 1)
         best[b[0], b[3], b[4]] = max(best[b[0], b[3], b[4]], s)
-    wanted = [0 < best[b[0], b[3], b[4]] >= limit and (b[3] or b[2] < 0.5 * len(b[1])) for b in found]
-    return " ".join(b[1] for b, w in zip(found, wanted) if w)
+    return [0 < best[b[0], b[3], b[4]] >= limit and (b[3] or b[2] < 0.5 * len(b[1])) for b in found]
+
+
+def article_blocks(found: list[Block], elements: list[tuple[int, str]], wanted: list[bool]) -> list[bool]:
+    """Whether a block stands in the element that holds the content paths' text, outside chrome and lists of links.
+
+    Where that is the page's body, between the first and the last block of content.
+    """
+    n = len(elements)
+    text, links, held, times = (np.zeros(n, dtype=np.int64) for _ in range(4))
+    marks = np.full(n, 1 << 30, dtype=np.int64)
+    for b, w in zip(found, wanted):
+        e = b[7]
+        text[e] += len(b[1])
+        links[e] += min(b[2], len(b[1]))
+        times[e] += 1
+        held[e] += len(b[1]) * w
+        marks[e] = min(marks[e], b[4])
+    for e in range(n - 1, 0, -1):  # an element comes after the one around it
+        up = elements[e][0]
+        for sums in (text, links, held, times):
+            sums[up] += sums[e]
+        marks[up] = min(marks[up], marks[e])
+    most, home = held[0], 0
+    for e in range(1, n):
+        if elements[e][0] == home and held[e] >= HELD * most:
+            home = e
+    e = home
+    while e > 0 and elements[e][1] not in ARTICLE:
+        e = elements[e][0]
+    home = e if e > 0 else home
+    body = elements[home][1] in ("", "html", "body")
+    inside, linked = [False] * n, [False] * n
+    for e in range(n):
+        up = elements[e][0]
+        inside[e] = e == home or up >= 0 and inside[up]
+        linked[e] = up >= 0 and linked[up] or inside[e] and e != home and times[e] > 1 and links[e] >= LINKS * text[e]
+    first, last = wanted.index(True), len(wanted) - wanted[::-1].index(True)
+    return [inside[b[7]] and not linked[b[7]] and b[4] <= marks[home] and (not body or first <= i < last) for i, b in enumerate(found)]
+
+
+def main_text(page: str) -> str:
+    """The article's blocks in page order, joined by one space; empty if there are none."""
+    every, elements = blocks(page)
+    found = [b for b in every if not b[5]]
+    wanted = content(found) if found else []
+    if not any(wanted):
+        return ""
+    whole = article_blocks(found, elements, wanted)
+    return " ".join(b[1] for b, w, x in zip(found, wanted, whole) if w or x)
 
 
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
