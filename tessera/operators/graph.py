@@ -70,23 +70,35 @@ def shortest_paths(triples: DataFrame, src: str, dst: str, max_hops: int = 3) ->
 def paths_between(triples: DataFrame, pairs: DataFrame, max_hops: int = 3) -> DataFrame:
     """(src, dst, trail, start, path array<struct<relation, to>>, hops) of ``pairs(src, dst)`` of keys, as ``shortest_paths`` has them.
 
-    All sources walk at once: a level is one join of their frontiers with the edges, and a node is reached once for
-    each source. Pairs of one key have no path.
+    All sources walk at once, and a node is reached once for each source. A level ends at the edges that lead into a
+    wanted target, so the last one never lists what else its nodes are tied to; the level before it goes to nodes next
+    to a wanted target only. What is left out lies on no shortest path, so the paths are the same, and a hub is expanded
+    towards its targets' neighbours instead of to all it is tied to. Pairs of one key have no path.
     """
     step = "array<struct<relation:string,to:string>>"
     steps = directed(triples)
+    moved = [F.concat("trail", F.array("ord")).alias("trail"), F.coalesce("start", "from_name").alias("start"), F.concat("path", F.array(F.struct("relation", F.col("to_name").alias("to")))).alias("path")]
     wanted = materialise(pairs.filter("src <> dst").distinct(), "wanted")
+    into = materialise(steps.join(wanted.select(F.col("dst").alias("to")).distinct(), "to", "left_semi"), "into")  # edges that lead into a target
     frontier = wanted.select("src").distinct().select("src", F.col("src").alias("node"), F.array().cast("array<bigint>").alias("trail"), F.array().cast(step).alias("path"), F.lit(None).cast("string").alias("start"))
     seen = frontier.select("src", "node")
     found = None
     for hop in range(1, max_hops + 1):
-        moves = frontier.join(steps, F.col("node") == F.col("at")).select("src", "to", F.concat("trail", F.array("ord")).alias("trail"), F.coalesce("start", "from_name").alias("start"), F.concat("path", F.array(F.struct("relation", F.col("to_name").alias("to")))).alias("path"))
-        moves = materialise(moves, "moves")
-        hits = materialise(moves.join(wanted.withColumnRenamed("dst", "to"), ["src", "to"]).select("src", F.col("to").alias("dst"), "trail", "start", "path", F.lit(hop).alias("hops")), "hits")
+        last = into.join(wanted.withColumnRenamed("dst", "to"), "to").withColumnRenamed("at", "node")  # of each source: the edges that would end its walk
+        hits = frontier.join(last, ["src", "node"]).select("src", F.col("to").alias("dst"), *moved, F.lit(hop).alias("hops"))
+        hits = materialise(hits, "hits")
         found = hits if found is None else found.unionByName(hits)
         if hop == max_hops:
             break
         wanted = materialise(wanted.join(hits.select("src", "dst").distinct(), ["src", "dst"], "left_anti"), "wanted")
+        walked = frontier.join(wanted.select("src").distinct(), "src", "left_semi")  # sources with nothing left to find stop
+        towards = steps
+        if hop == max_hops - 1:  # the next node must be next to a target that its source still wants
+            near = materialise(into.join(wanted.withColumnRenamed("dst", "to"), "to").select("src", F.col("at").alias("near")).distinct(), "near")
+            towards = steps.join(near.select(F.col("near").alias("to")).distinct(), "to", "left_semi")
+        moves = walked.join(towards, F.col("node") == F.col("at")).select("src", "to", *moved)
+        if hop == max_hops - 1:
+            moves = moves.join(near.withColumnRenamed("near", "to"), ["src", "to"], "left_semi")
         best = moves.join(seen.withColumnRenamed("node", "to"), ["src", "to"], "left_anti").groupBy("src", "to").agg(F.min(F.struct("trail", "start", "path")).alias("m"))
         frontier = materialise(best.select("src", F.col("to").alias("node"), "m.trail", "m.path", "m.start"), "frontier")
         seen = seen.unionByName(frontier.select("src", "node"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,60 +34,71 @@ def first_n(docs: DataFrame, n: int, order: str = "ord") -> DataFrame:
     return docs.orderBy(order).limit(n)
 
 
-def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+def split_recursive(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, separators: tuple[str, ...] = SEPARATORS) -> Iterator[str]:
     """Splits by the first separator that occurs and merges pieces up to ``size`` characters, ``overlap`` of them shared.
 
-    Pieces that are too long are split by the next separators; a word longer than ``size`` stays whole.
+    Pieces that are too long are split by the next separators; a word longer than ``size`` stays whole. Chunks come one
+    by one: what is held is one merge of pieces, not all chunks of a text.
     """
     at = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
     sep, finer = separators[at], separators[at + 1 :]
-    pieces = [p for p in _keep_separator(text, sep) if p]
-    out: list[str] = []
     fitting: list[str] = []
-    for p in pieces:
+    for p in _keep_separator(text, sep):
+        if not p:
+            continue
         if len(p) < size:
             fitting.append(p)
             continue
-        out += _merged(fitting, size, overlap)
+        yield from _merged(fitting, size, overlap)
         fitting = []
-        out += split_recursive(p, size, overlap, finer) if finer else [p]
-    return out + _merged(fitting, size, overlap)
+        if finer:
+            yield from split_recursive(p, size, overlap, finer)
+        else:
+            yield p
+    yield from _merged(fitting, size, overlap)
 
 
 def _keep_separator(text: str, sep: str) -> Iterator[str]:
     """Pieces that begin with the separator before them."""
-    first, *rest = text.split(sep)
-    yield first
-    for p in rest:
-        yield sep + p
+    start, at = 0, text.find(sep)
+    while at >= 0:
+        yield text[start:at]
+        start, at = at, text.find(sep, at + len(sep))
+    yield text[start:]
 
 
-def _merged(pieces: list[str], size: int, overlap: int) -> list[str]:
-    out: list[str] = []
-    held: list[str] = []
+def _merged(pieces: list[str], size: int, overlap: int) -> Iterator[str]:
+    held: deque[str] = deque()
     total = 0
     for p in pieces:
         if held and total + len(p) > size:
             if chunk := "".join(held).strip():
-                out.append(chunk)
+                yield chunk
             while held and (total > overlap or total + len(p) > size):
-                total -= len(held.pop(0))
+                total -= len(held.popleft())
         held.append(p)
         total += len(p)
     if chunk := "".join(held).strip():
-        out.append(chunk)
-    return out
+        yield chunk
 
 
 def chunks(docs: DataFrame, text_col: str = "text", size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """``docs`` without the text, with (i, chunk): the recursive splitter in Arrow batches (Spark has no such function)."""
+    """``docs`` without the text, with (i, chunk): the recursive splitter as a table function that yields a text's chunks.
+
+    Chunks come back as rows, ``i`` from 0 in each text, as they are made. Null and empty texts have no chunks; repeated
+    rows give repeated chunks.
+    """
 
-    @F.pandas_udf("array<string>")
-    def split(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: split_recursive(t, size, overlap) if t else [])
+    class Splitter:
+        def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple[int, str]]:
+            yield from enumerate(split_recursive(text, size, overlap) if text else ())
 
+    split = F.udtf(Splitter, returnType="i int, chunk string")
     rest = [c for c in docs.columns if c != text_col]
-    return docs.select(*rest, F.posexplode(split(F.col(text_col))).alias("i", "chunk"))
+    # the laterally joined function sees its row's text only, so other columns' names cannot clash with its own
+    rows = docs.select(F.struct(F.lit(0).alias("__"), *rest).alias("__rest"), F.col(text_col).alias("__text"))
+    told = rows.lateralJoin(split(F.col("__text").outer(), F.lit(size), F.lit(overlap)))
+    return told.select(*(F.col(f"__rest.`{c}`").alias(c) for c in rest), "i", "chunk")
 
 
 def chunk_id(source: Column, i: Column, chunk: Column) -> Column:

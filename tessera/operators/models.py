@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions import vectors as V
+from tessera.sources.storage import materialise
 
 
 def pair_metrics(pairs: DataFrame, winner: str, loser: str) -> DataFrame:
@@ -61,29 +62,27 @@ def paired(pairs: DataFrame, items: DataFrame, id_col: str, *columns: str) -> Da
     return pairs
 
 
-def fit_preference_head(pairs: DataFrame, winner: str, loser: str, iterations: int = 200, rate: float = 0.5, l2: float = 1e-3) -> np.ndarray:
-    """Linear Bradley-Terry head by gradient descent: each step is one aggregation over the pairs' difference vectors."""
-    diff = pairs.select(F.zip_with(V.doubles(F.col(winner)), V.doubles(F.col(loser)), lambda a, b: a - b).alias("d")).persist()
-    n = diff.count()
-    first = diff.first()
-    w = np.zeros(len(first["d"]) if first else 0)
-    for _ in range(iterations if n else 0):
-        at = F.array(*(F.lit(float(x)) for x in w))
-        push = 1 / (1 + F.exp(V.dot(F.col("d"), at)))
-        got = diff.select(push.alias("p"), F.posexplode("d").alias("i", "x")).groupBy("i").agg((F.sum(F.col("p") * F.col("x")) / n).alias("g")).collect()
-        g = np.zeros_like(w)
-        for r in got:
-            g[r["i"]] = r["g"]
-        step = rate * (g - l2 * w)
-        w += step
-        if np.abs(step).max(initial=0) < 1e-6:
-            break
-    diff.unpersist()
-    return w
+def recurrent_scores(spread: np.ndarray, params: dict[str, np.ndarray]) -> np.ndarray:
+    """Scores of nodes from their neighbourhoods' features [time, node, feature]: GRU and attention over time, logistic head."""
+    logistic: Callable = lambda x: 1 / (1 + np.exp(-x))
+    p, states = params, []
+    h = np.zeros((spread.shape[1], p["uz"].shape[0]))
+    for x in spread:
+        x = np.maximum(x @ p["wg"] + p["bg"], 0)
+        z = logistic(x @ p["wz"] + h @ p["uz"] + p["bz"])
+        r = logistic(x @ p["wr"] + h @ p["ur"] + p["br"])
+        h = (1 - z) * np.tanh(x @ p["wh"] + (r * h) @ p["uh"] + p["bh"]) + z * h
+        states.append(h)
+    s = np.stack(states, axis=1)  # node, time, hidden
+    q, k, v = s @ p["wq"], s @ p["wk"], s @ p["wv"]
+    e = q[:, -1:] @ k.transpose(0, 2, 1) / np.sqrt(q.shape[-1])  # the last season looks back
+    e = np.exp(e - e.max(-1, keepdims=True))
+    out = (e / e.sum(-1, keepdims=True) @ v)[:, 0]
+    return logistic(np.maximum(out @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]).ravel()
 
 
 def temporal_forward(adjacency: np.ndarray, snapshots: np.ndarray, params: dict[str, np.ndarray]) -> np.ndarray:
-    """Trend scores of a small temporal graph network: graph convolution, GRU and attention over time, logistic head.
+    """Trend scores of a small temporal graph network held in memory: graph convolution, GRU and attention over time, logistic head.
 
     ``snapshots`` [time, node, feature]; params hold wg, bg (convolution), wz uz bz, wr ur br, wh uh bh (GRU),
     wq wk wv (attention), w1 b1 w2 b2 (head).
@@ -92,22 +91,45 @@ def temporal_forward(adjacency: np.ndarray, snapshots: np.ndarray, params: dict[
         raise ValueError(f"shapes do not fit: {adjacency.shape}, {snapshots.shape}")
     a = adjacency + np.eye(len(adjacency))
     d = 1 / np.sqrt(a.sum(1))
-    a = a * d[:, None] * d[None, :]
-    logistic: Callable = lambda x: 1 / (1 + np.exp(-x))
-    p, states = params, []
-    h = np.zeros((snapshots.shape[1], p["uz"].shape[0]))
-    for x in snapshots:
-        x = np.maximum(a @ x @ p["wg"] + p["bg"], 0)
-        z = logistic(x @ p["wz"] + h @ p["uz"] + p["bz"])
-        r = logistic(x @ p["wr"] + h @ p["ur"] + p["br"])
-        h = (1 - z) * np.tanh(x @ p["wh"] + (r * h) @ p["uh"] + p["bh"]) + z * h
-        states.append(h)
-    s = np.stack(states, axis=1)  # node, time, hidden
-    q, k, v = s @ p["wq"], s @ p["wk"], s @ p["wv"]
-    e = q @ k.transpose(0, 2, 1) / np.sqrt(q.shape[-1])
-    e = np.exp(e - e.max(-1, keepdims=True))
-    out = (e / e.sum(-1, keepdims=True) @ v)[:, -1]
-    return logistic(np.maximum(out @ p["w1"] + p["b1"], 0) @ p["w2"] + p["b2"]).ravel()
+    return recurrent_scores(np.stack([a * d[:, None] * d[None, :] @ x for x in snapshots]), params)
+
+
+def temporal_scores(snapshots: DataFrame, links: DataFrame, params: dict[str, np.ndarray]) -> DataFrame:
+    """(node, score) of ``temporal_forward``, over tables: ``snapshots(t, node, x array<double>)``, ``links(src, dst)`` directed.
+
+    Each season's features spread over the links by joins and sums; a node's seasons then meet in one row, ordered, and
+    recurrence and attention run over many nodes' rows at once. Nodes, edges and seasons are dealt out; the weights
+    alone go to every task. A node without a row in a season has features of zero there; nodes of links alone are
+    nodes, too. Of several rows of a node and season the greatest features count. Null nodes, seasons and features are
+    left out; no snapshots, no scores. ValueError if features are not as long as the first weights ask.
+    """
+    told = snapshots.filter("t IS NOT NULL AND node IS NOT NULL AND x IS NOT NULL").groupBy("t", "node").agg(F.max("x").alias("x"))
+    told = materialise(told, "snapshots")
+    width = len(params["wg"])
+    wrong = told.filter(F.size("x") != width).select(F.size("x").alias("n")).first()
+    if wrong:
+        raise ValueError(f"{wrong['n']} features where the weights take {width}")
+    pairs = links.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
+    nodes = told.select("node").unionByName(pairs.select(F.col("src").alias("node"))).unionByName(pairs.select(F.col("dst").alias("node"))).distinct()
+    seasons = told.select("t").distinct()
+    loops = pairs.filter("src <> dst").unionByName(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")))
+    degree = loops.groupBy(F.col("dst").alias("of")).agg(F.count("*").alias("d"))
+    weighed = loops.join(degree.select(F.col("of").alias("src"), F.col("d").alias("ds")), "src").join(degree.select(F.col("of").alias("dst"), F.col("d").alias("dd")), "dst")
+    weighed = weighed.select("src", "dst", (1 / F.sqrt(F.col("ds") * F.col("dd"))).alias("w"))
+    spread = told.join(weighed, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node"), "t").agg(*(F.sum(F.col("w") * F.element_at("x", i + 1)).alias(f"x{i}") for i in range(width)))
+    spread = spread.select("node", F.struct("t", F.array(*(f"x{i}" for i in range(width))).alias("x")).alias("s"))
+    by_node = nodes.join(spread, "node", "left").groupBy("node").agg(F.sort_array(F.collect_list("s")).alias("s"))  # as long as there are seasons
+    order = F.broadcast(seasons.agg(F.sort_array(F.collect_list("t")).alias("ts")))  # a row of one entry a season
+    zero = F.array_repeat(F.lit(0.0), width)
+    rows = by_node.withColumn("s", F.map_from_entries("s")).crossJoin(order).filter(F.size("ts") > 0).select("node", F.transform("ts", lambda t: F.coalesce(F.element_at("s", t), zero)).alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.asarray(b.column(1).flatten().flatten()).reshape(b.num_rows, -1, width).transpose(1, 0, 2)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(recurrent_scores(x, params))], names=["node", "score"])
+
+    return rows.mapInArrow(run, f"node {dict(snapshots.dtypes)['node']}, score double")
 
 
 class LanguageModel(Protocol):

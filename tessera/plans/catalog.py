@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,10 +12,11 @@ from pyspark.sql import functions as F
 from tessera.functions import naming, phrases, prompts
 from tessera.functions import text as X
 from tessera.functions import vectors as V
-from tessera.operators import context, evaluation, fusion, graph, ingest, knowledge, models, perception, supervision, trends
+from tessera.operators import cells, context, encoders, evaluation, fusion, graph, ingest, knowledge, models, overlaps, perception, supervision, training, trends
 from tessera.operators import triples as T
 from tessera.operators import vectors as S
-from tessera.sources.storage import built_once, materialise
+from tessera.sources import files
+from tessera.sources.storage import built_once, materialise, shared_path, stamp
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,7 +113,63 @@ def doc_page_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", F.sha1(X.clean_page(F.col("text")).cast("binary")).alias("h"))
 
 
-@query(None)
+#: The recursive splitter: texts are cut by the first separator they hold, pieces that are too long again by the finer ones
+#: (node); runs of pieces that fit (fit) are folded into chunks with an overlap (merged); places put a text's chunks in order.
+_CHUNKS = f"""node AS (
+  SELECT doc_id, []::INTEGER[] AS path, text, 1 AS k FROM documents WHERE text IS NOT NULL
+  UNION ALL
+  SELECT doc_id, list_append(path, j), piece, sp + 1 FROM (
+    SELECT doc_id, path, sp, unnest(range(1, len(pieces) + 1))::INTEGER AS j, unnest(pieces) AS piece FROM (
+      SELECT doc_id, path, sp, list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN i > 1 THEN seps[sp] ELSE '' END || parts[i]) AS pieces, text FROM (
+        SELECT *, string_split(text, seps[sp]) AS parts FROM (
+          SELECT *, coalesce(list_min(list_filter(range(k, 5), lambda s: contains(text, seps[s]))), 4) AS sp FROM (SELECT *, [chr(10) || chr(10), chr(10), '. ', ' '] AS seps FROM node)))))
+  WHERE length(piece) >= {ingest.CHUNK_SIZE} AND sp < 4),
+piece AS (
+  SELECT doc_id, path, sp, j, piece FROM (
+    SELECT doc_id, path, sp, unnest(range(1, len(parts) + 1))::INTEGER AS j, unnest(list_transform(range(1, len(parts) + 1), lambda i: CASE WHEN i > 1 THEN seps[sp] ELSE '' END || parts[i])) AS piece FROM (
+      SELECT *, string_split(text, seps[sp]) AS parts FROM (
+        SELECT *, coalesce(list_min(list_filter(range(k, 5), lambda s: contains(text, seps[s]))), 4) AS sp FROM (SELECT *, [chr(10) || chr(10), chr(10), '. ', ' '] AS seps FROM node)))) WHERE piece <> ''),
+fit AS (
+  SELECT doc_id, path, g, list_append(path, min(j)) AS place, list({{'c': []::VARCHAR[], 'h': [piece], 't': length(piece)}} ORDER BY j) AS p FROM (
+    SELECT *, count(*) FILTER (length(piece) >= {ingest.CHUNK_SIZE}) OVER (PARTITION BY doc_id, path ORDER BY j) AS g FROM piece) WHERE length(piece) < {ingest.CHUNK_SIZE} GROUP BY doc_id, path, g),
+merged AS (
+  SELECT doc_id, place, list_reduce(p, lambda a, x: CASE WHEN a.t + x.t > {ingest.CHUNK_SIZE} THEN
+    list_transform([list_min(list_filter(range(0, len(a.h) + 1), lambda k: k = len(a.h) OR (a.t - coalesce(list_sum(list_transform(a.h[1:k], lambda y: length(y))), 0) <= {ingest.CHUNK_OVERLAP} AND a.t - coalesce(list_sum(list_transform(a.h[1:k], lambda y: length(y))), 0) + x.t <= {ingest.CHUNK_SIZE})))],
+      lambda k: {{'c': list_append(a.c, array_to_string(a.h, '')), 'h': list_append(a.h[k + 1:], x.h[1]), 't': (a.t - coalesce(list_sum(list_transform(a.h[1:k], lambda y: length(y))), 0) + x.t)::BIGINT}})[1]
+    ELSE {{'c': a.c, 'h': list_append(a.h, x.h[1]), 't': (a.t + x.t)::BIGINT}} END) AS m FROM fit),
+told AS (
+  SELECT doc_id, place, unnest(range(1, len(c) + 1)) AS n, trim(unnest(c), ' ' || chr(10) || chr(9) || chr(13) || chr(11) || chr(12)) AS chunk FROM (SELECT doc_id, place, list_append(m.c, array_to_string(m.h, '')) AS c FROM merged)
+  UNION ALL SELECT doc_id, list_append(path, j), 1, piece FROM piece WHERE length(piece) >= {ingest.CHUNK_SIZE} AND sp = 4),
+chunks AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY place, n) - 1)::INTEGER AS i, chunk FROM told WHERE chunk <> '')"""
+
+
+_WORD = "lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g'))"
+_TFIDF = f"""t AS (SELECT doc_id, ('0x' || substr(md5(w), 1, 8))::BIGINT % 262144 AS f, count(*) AS tf FROM (SELECT doc_id, unnest(string_split({_WORD}, ' ')) AS w FROM documents WHERE doc_id IS NOT NULL) WHERE w <> '' GROUP BY 1, 2),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM documents), i AS (SELECT f, ln((any_value(n.n) + 1) / (count(*) + 1)) AS idf FROM t, n GROUP BY 1),
+x AS (SELECT doc_id, f, tf * idf AS x FROM t JOIN i USING (f) WHERE tf * idf <> 0), v AS (SELECT doc_id, f, x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) AS w FROM x)"""
+
+
+@query(f"WITH {_TFIDF} SELECT d.doc_id, count(f) AS n_features, coalesce(round(max(w), 6), 0) AS greatest, coalesce(round(sum(w), 5), 0) AS total FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL) d LEFT JOIN v ON v.doc_id = d.doc_id GROUP BY 1")
+def tfidf_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    told = encoders.fit_tfidf(docs).encode(docs)
+    weight = F.transform("vector", lambda s: s["weight"])
+    total = F.aggregate(weight, F.lit(0.0), lambda a, x: a + x)
+    return told.select(F.col("id").alias("doc_id"), F.size("vector").cast("long").alias("n_features"), F.coalesce(F.round(F.array_max(weight), 6), F.lit(0.0)).alias("greatest"), F.round(total, 5).alias("total"))
+
+
+@query(f"WITH {_TFIDF}, s AS (SELECT a.doc_id AS query_id, b.doc_id AS row_id, round(sum(a.w * b.w), 8) AS sim FROM v a JOIN v b ON a.f = b.f AND a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0 GROUP BY 1, 2) SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, row_id)::INTEGER AS rank, row_id, round(sim, 4) AS score FROM s QUALIFY rank <= 5")
+def tfidf_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth document's five nearest others by their TF-IDF vectors."""
+    docs = table(spark, sf_dir, "documents")
+    told = materialise(encoders.fit_tfidf(docs).encode(docs), "tfidf")
+    return encoders.nearest_texts(told.filter("id % 50 = 0"), told, 5, exclude_self=True)
+
+
+@query(
+    f"""WITH RECURSIVE {_CHUNKS}, k AS (SELECT md5(concat_ws('_', source, i, substr(chunk, 1, 64))) AS id, source, doc_id, i, length(chunk)::INTEGER AS n FROM chunks JOIN documents USING (doc_id))
+    SELECT id, source, doc_id, i, n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY doc_id DESC, i DESC) AS r FROM k) WHERE r = 1"""
+)
 def doc_chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunked = ingest.chunks(documents(spark, sf_dir).select("ord", "doc_id", "source", "text"))
     return ingest.upsert(chunked, "ord").select("id", "source", "doc_id", "i", F.length("chunk").alias("n"))
@@ -133,8 +191,7 @@ def window_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT * FROM a UNION ALL SELECT * FROM b"""
 )
 def doc_limit_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    parts = [ingest.first_n(docs.filter(F.col("lang") == lang), 40) for lang in ("en", "de")]
+    parts = [files.first_rows(spark, f"{sf_dir}/documents.parquet", 40, F.col("lang") == lang) for lang in ("en", "de")]
     return parts[0].unionByName(parts[1]).select("doc_id", "source")
 
 
@@ -531,7 +588,12 @@ j AS (SELECT a.owner AS a, b.owner AS b, count(*) / (any_value(x.n) + any_value(
 
 @query(f"WITH {_JACCARD} SELECT a, b, round(jaccard, 6) AS jaccard FROM j")
 def jaccard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return supervision.jaccard_pairs(supervision.concepts(star_triples(spark, sf_dir))).withColumn("jaccard", F.round("jaccard", 6))
+    return overlaps.jaccard_pairs(supervision.concepts(star_triples(spark, sf_dir))).withColumn("jaccard", F.round("jaccard", 6))
+
+
+@query(f"WITH {_JACCARD} SELECT a, b, round(jaccard, 6) AS jaccard FROM j WHERE jaccard >= 0.8")
+def jaccard_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps.similar_owners(supervision.concepts(star_triples(spark, sf_dir)), 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
 @query(
@@ -644,6 +706,34 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits(spark, sf_dir).select("query_id", "rank", "row_id", "score")
 
 
+def cell_index(spark: SparkSession, sf_dir: str) -> cells.CellIndex:
+    """The table's index: built once a session while the table stays the same."""
+    key = (spark.sparkContext.applicationId, stamp(spark, f"{sf_dir}/embeddings.parquet"))
+    if key not in _indexes:
+        _indexes[key] = cells.build_index(embeddings(spark, sf_dir), shared_path(spark, "cells"))
+    return _indexes[key]
+
+
+_indexes: dict[tuple, cells.CellIndex] = {}
+
+
+@query(None)
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector's ten nearest others by the cell index, with the rows it was scored against."""
+    asked, index = embeddings(spark, sf_dir).filter("vec_id % 50 = 0"), cell_index(spark, sf_dir)
+    return cells.search(index, asked, 10, exclude_self=True).join(cells.candidates(index, asked), "query_id").select("query_id", "rank", "row_id", "score", "candidates")
+
+
+@query(f"WITH {VEC.replace('% 10', '% 50').replace('<= 12', '<= 10')} SELECT count(DISTINCT q) AS queries, count(*) AS wanted, true AS recall_90, true AS fewer_rows FROM hits")
+def ann_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index against exact search: whether 0.9 of the true neighbours are found among fewer rows than there are."""
+    rows, index = embeddings(spark, sf_dir), cell_index(spark, sf_dir)
+    asked = rows.filter("vec_id % 50 = 0")
+    told = cells.recall(cells.search(index, asked, 10, exclude_self=True), S.top_k(asked, rows, 10, "vec_id", "embedding", exclude_self=True))
+    scored = cells.candidates(index, asked).agg(F.avg("candidates").alias("c")).crossJoin(index.cells().agg(F.sum("n").alias("n")))  # single rows
+    return told.crossJoin(scored).select("queries", "wanted", (F.col("recall") >= 0.9).alias("recall_90"), (F.col("c") < F.col("n")).alias("fewer_rows"))
+
+
 @query(f"WITH {VEC}, s AS (SELECT q, rl::VARCHAR AS label, round(sum(round(sim, 4)), 6) AS raw FROM hits GROUP BY 1, 2) SELECT q AS query_id, label, round(raw, 3) AS score, row_number() OVER (PARTITION BY q ORDER BY raw DESC, label)::INTEGER AS place FROM s")
 def knn_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.votes(hits(spark, sf_dir), F.col("label")).select("query_id", "label", "score", "place")
@@ -694,13 +784,15 @@ def topk_accuracy_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _accuracy(spark, sf_dir, F.concat_ws("|", F.col("label").cast("string"), (F.col("vec_id") % 7).cast("string")))
 
 
-@query(
-    """WITH h AS (SELECT count(*) AS n, sum((vec_id % 3 = 0)::INTEGER) AS won FROM embeddings),
-    d AS (SELECT i, ('0x' || substr(md5(i::VARCHAR || ':' || j::VARCHAR || ':42'), 1, 8))::BIGINT % n < won AS hit FROM range(0, 200) a(i), h, LATERAL (SELECT unnest(range(0, n)) AS j)),
-    m AS (SELECT i, avg(hit::INTEGER) AS m FROM d GROUP BY 1) SELECT round(quantile_cont(m, 0.025), 3) AS lo, round(quantile_cont(m, 0.975), 3) AS hi FROM m"""
-)
+#: Hits of resamples by the inverse binomial distribution, from h(n, won).
+_RESAMPLED = """pmf AS (SELECT k, n, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(won / n) + (n - k) * ln(1 - won / n)) AS p FROM h, LATERAL (SELECT unnest(range(0, n + 1)) AS k) WHERE won > 0 AND won < n),
+cdf AS MATERIALIZED (SELECT k, n, sum(p) OVER (ORDER BY k) AS c FROM pmf), u AS (SELECT ('0x' || substr(md5(i::VARCHAR || ':42'), 1, 12))::BIGINT / 281474976710656 AS u FROM range(0, {0}) t(i)),
+m AS (SELECT min(k) / any_value(n) AS m FROM (SELECT row_number() OVER () AS i, u FROM u) JOIN cdf ON c >= u GROUP BY i)"""
+
+
+@query(f"WITH h AS (SELECT count(*) AS n, sum((vec_id % 3 = 0)::INTEGER) AS won FROM embeddings), {_RESAMPLED.format(2000)} SELECT round(quantile_cont(m, 0.025), 3) AS lo, round(quantile_cont(m, 0.975), 3) AS hi FROM m")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap_ci(embeddings(spark, sf_dir), F.col("vec_id") % 3 == 0, iterations=200)
+    return evaluation.bootstrap_ci(embeddings(spark, sf_dir), F.col("vec_id") % 3 == 0)
 
 
 @query(
@@ -749,10 +841,14 @@ def link_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("facts", F.array_join("facts", "; "))
 
 
-@query(f"WITH {VEC}, " + _ACCURACY.format(held=_ROWS_HELD.format("vec_id"), held_a=_ROWS_HELD.format("a.vec_id"), held_b=_ROWS_HELD.format("b.vec_id")).replace("count(*) AS n_test FROM h", "count(*) AS n_test, (SELECT count(DISTINCT label) FROM v) AS n_labels, round(1.0 / (SELECT count(DISTINCT label) FROM v), 3) AS random_top1, 'row' AS split_by FROM h"))
+_REPORT = _ACCURACY.format(held=_ROWS_HELD.format("vec_id"), held_a=_ROWS_HELD.format("a.vec_id"), held_b=_ROWS_HELD.format("b.vec_id")).replace("h AS (SELECT t.q", "w AS MATERIALIZED (SELECT t.q").replace("FROM h", "FROM w").replace("count(*) AS n_test", "count(*) AS n_test, (SELECT count(DISTINCT label) FROM v) AS n_labels, round(1.0 / (SELECT count(DISTINCT label) FROM v), 3) AS random_top1, 'row' AS split_by")
+_REPORT, _TOPS = _REPORT[: _REPORT.rindex("SELECT round(avg")], _REPORT[_REPORT.rindex("SELECT round(avg") :]
+
+
+@query(f"WITH {VEC}, {_REPORT}, h AS (SELECT count(*) AS n, sum((place <= 1)::INTEGER) AS won FROM w), {_RESAMPLED.format(2000)}, i AS (SELECT round(quantile_cont(m, 0.025), 3) AS lo, round(quantile_cont(m, 0.975), 3) AS hi FROM m) SELECT r.*, lo, hi FROM ({_TOPS}) r, i")
 def accuracy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = evaluation.split(embeddings(spark, sf_dir), F.col("vec_id"), 0.2)
-    return S.accuracy_report(rows, F.col("held_out"), "vec_id", "label", "embedding", 12)
+    return S.accuracy_report(rows, F.col("held_out"), "vec_id", "label", "embedding", 12, iterations=2000)
 
 
 @query(
@@ -807,6 +903,24 @@ def supcon_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.supervised_contrastive(rows, w, batch=batch_of()).withColumn("loss", F.round("loss", 6))
 
 
+@query("SELECT count(*) AS n_rows, count(DISTINCT label) AS n_labels, true AS loss_fell, true AS top1_rose FROM embeddings WHERE label IS NOT NULL")
+def projection_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A projection trained on all labelled vectors: whether its loss falls and more of them lie nearest to a vector of their own label."""
+    rows = embeddings(spark, sf_dir).filter("label IS NOT NULL")
+    w = supervision.weights(rows.select(F.col("label").alias("owner"), F.lit("").alias("concept")).distinct(), "labels")
+    fitted, _ = training.train_projection(rows, w, None, "vec_id", "label", "embedding", epochs=25, rate=0.01)
+    before, after = (training.projection_loss(rows, w, p, "vec_id", "label", "embedding") for p in (np.eye(len(fitted)), fitted))
+
+    def top1(v) -> float:
+        told = rows.select("vec_id", "label", v.alias("v"))
+        first = S.top_k(told, told, 1, "vec_id", "v", exclude_self=True, query_cols=("label",), row_cols=("vec_id",))
+        own = told.select(F.col("vec_id").alias("row_id"), F.col("label").alias("row_label"))
+        return first.join(own, "row_id").agg(F.avg((F.col("label") == F.col("row_label")).cast("int"))).first()[0]
+
+    rose = top1(V.project(F.col("embedding"), V.matrix(fitted.tolist()))) > top1(F.col("embedding"))
+    return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("label").alias("n_labels")).select("*", F.lit(after < before).alias("loss_fell"), F.lit(bool(rose)).alias("top1_rose"))
+
+
 # -- pairs, trends, regions --------------------------------------------------------------------------------------
 
 
@@ -861,19 +975,57 @@ def gcn_propagate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.propagate(features, links).withColumn("x", F.round("x", 6))
 
 
-@query(None)
+#: Hidden units of the network below, and its weights: any fixed numbers.
+_UNITS = 2
+
+
+def network() -> dict[str, np.ndarray]:
+    rng, h = np.random.default_rng(26), _UNITS
+    shape = {"wg": (2, h), "bg": (h,), "w1": (h, h), "b1": (h,), "w2": (h, 1), "b2": (1,)} | {f"w{k}": (h, h) for k in "zrhqkv"} | {f"u{k}": (h, h) for k in "zrh"} | {f"b{k}": (h,) for k in "zrh"}
+    return {k: rng.normal(0, 1, s) for k, s in shape.items()}
+
+
+def _layer(x: str, w: str, f: str = "{0}", more: str = "", bias: str | None = None) -> str:
+    """SQL of f(x * w + bias + more) unit by unit; ``x`` and ``more`` are lists."""
+    p = network()
+    units = []
+    for i in range(p[w].shape[1]):
+        column = "[" + ", ".join(repr(float(v)) for v in p[w][:, i]) + "]::DOUBLE[]"
+        parts = [f"list_dot_product({x}, {column})"] + ([f"({more})[{i + 1}]"] if more else []) + ([repr(float(p[bias][i]))] if bias else [])
+        units.append(f.format(" + ".join(f"({v})" for v in parts)))
+    return "[" + ", ".join(units) + "]"
+
+
+_SIGMOID = "(1 / (1 + exp(-({0}))))"
+_LINKS = "l AS (SELECT DISTINCT a.user_id AS src, b.user_id AS dst FROM events a JOIN events b ON b.event_id = a.event_id + 1 AND a.event_type = 'purchase' AND b.event_type = 'purchase' WHERE a.user_id IS NOT NULL AND b.user_id IS NOT NULL), e AS (SELECT src, dst FROM l UNION SELECT dst, src FROM l)"
+
+
+@query(
+    f"""WITH RECURSIVE {_LINKS}, f AS (SELECT user_id AS node, day(ts) AS t, [sum(value) / 100, count(*) / 10]::DOUBLE[] AS x FROM events GROUP BY 1, 2),
+    nodes AS (SELECT node FROM f UNION SELECT src FROM e), a AS (SELECT src, dst FROM e WHERE src <> dst UNION ALL SELECT node, node FROM nodes), d AS (SELECT dst AS k, count(*) AS d FROM a GROUP BY 1),
+    s AS (SELECT a.dst AS node, f.t, [sum(f.x[1] / sqrt(p.d * q.d)), sum(f.x[2] / sqrt(p.d * q.d))]::DOUBLE[] AS x FROM a JOIN d p ON p.k = a.src JOIN d q ON q.k = a.dst JOIN f ON f.node = a.src GROUP BY 1, 2),
+    seasons AS (SELECT t, row_number() OVER (ORDER BY t) AS i FROM (SELECT DISTINCT t FROM f)),
+    g AS (SELECT nodes.node, i, {_layer("coalesce(s.x, [0, 0]::DOUBLE[])", "wg", "greatest({0}, 0)", bias="bg")}::DOUBLE[] AS x FROM nodes CROSS JOIN seasons LEFT JOIN s ON s.node = nodes.node AND s.t = seasons.t),
+    r AS (SELECT node, 0::BIGINT AS i, [0, 0]::DOUBLE[] AS h, []::DOUBLE[][] AS states FROM nodes
+      UNION ALL SELECT node, i, n, list_append(states, n) FROM (
+        SELECT node, i, states, list_transform(range(1, {_UNITS + 1}), lambda k: (1 - z[k]) * y[k] + z[k] * h[k])::DOUBLE[] AS n FROM (
+          SELECT *, {_layer("x", "wh", "((exp(2 * ({0})) - 1) / (exp(2 * ({0})) + 1))", more=_layer("list_transform(range(1, %d), lambda k: o[k] * h[k])::DOUBLE[]" % (_UNITS + 1), "uh"), bias="bh")}::DOUBLE[] AS y FROM (
+            SELECT r.node, g.i, r.states, r.h, g.x, {_layer("g.x", "wz", _SIGMOID, more=_layer("r.h", "uz"), bias="bz")}::DOUBLE[] AS z, {_layer("g.x", "wr", _SIGMOID, more=_layer("r.h", "ur"), bias="br")}::DOUBLE[] AS o
+            FROM r JOIN g ON g.node = r.node AND g.i = r.i + 1)))),
+    last AS (SELECT node, states, {_layer("h", "wq")}::DOUBLE[] AS q FROM r WHERE i = (SELECT max(i) FROM seasons)),
+    w AS (SELECT node, states, list_transform(states, lambda c: exp(list_dot_product(q, {_layer("c", "wk")}::DOUBLE[]) / sqrt({_UNITS}))) AS w FROM last),
+    o AS (SELECT node, {_layer("list_transform(range(1, %d), lambda k: list_sum(list_transform(range(1, len(w) + 1), lambda j: w[j] * (%s)[k])) / list_sum(w))::DOUBLE[]" % (_UNITS + 1, _layer("states[j]", "wv")), "w1", "greatest({0}, 0)", bias="b1")}::DOUBLE[] AS v FROM w)
+    SELECT node, round({_layer("v", "w2", _SIGMOID, bias="b2")}[1], 6) AS score FROM o"""
+)
 def temporal_gnn_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward pass over the daily snapshots of the few event types, with fixed weights."""
-    import numpy as np
-
-    rows = trends.snapshot_vectors(annotations(spark, sf_dir)).orderBy("year").collect()  # one short vector a day
-    x = np.array([r["scores"] for r in rows])[:, :, None]
-    rng, n, h = np.random.default_rng(7), x.shape[1], 4
-    shape = {"wg": (1, h), "bg": (h,), "w1": (h, h), "b1": (h,), "w2": (h, 1), "b2": (1,)} | {f"w{k}": (h, h) for k in "zrhqkv"} | {f"u{k}": (h, h) for k in "zrh"} | {f"b{k}": (h,) for k in "zrh"}
-    params = {k: rng.normal(0, 0.3, s) for k, s in shape.items()}
-    scores = models.temporal_forward(np.ones((n, n)) - np.eye(n), x / max(float(x.max()), 1e-9), params)
-    names = trends.elements(annotations(spark, sf_dir))
-    return names.join(spark.createDataFrame([(i, float(s)) for i, s in enumerate(scores)], "i int, score double"), "i").select("element", "score")
+    """Every user's score from the days' activity: users whose purchases follow each other are linked."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", F.dayofmonth("ts").alias("t"), "value", "event_type")
+    days = events.groupBy("t", F.col("user_id").alias("node")).agg(F.array(F.sum("value") / 100, F.count("*") / 10).alias("x"))
+    bought = events.filter("event_type = 'purchase'")
+    then = bought.select((F.col("event_id") - 1).alias("event_id"), F.col("user_id").alias("dst"))
+    one_way = bought.select("event_id", F.col("user_id").alias("src")).join(then, "event_id").select("src", "dst")
+    links = one_way.unionByName(one_way.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return models.temporal_scores(days, links, network()).select("node", F.round("score", 6).alias("score"))
 
 
 @query(

@@ -44,12 +44,12 @@ def test_pages(spark):
 
 def test_recursive_splitter():
     text = "\n\n".join("sentence number %d is here. and more of it" % i for i in range(60))
-    chunks = ingest.split_recursive(text)
+    chunks = list(ingest.split_recursive(text))
     assert all(len(c) <= 512 for c in chunks) and len(chunks) > 4
     assert all(any(c in d for d in (text,)) for c in chunks)
     assert chunks[0][-40:] in chunks[1] or chunks[1][:20] in chunks[0]
-    assert ingest.split_recursive("w" * 900) == ["w" * 900]
-    assert ingest.split_recursive("") == []
+    assert list(ingest.split_recursive("w" * 900)) == ["w" * 900]
+    assert list(ingest.split_recursive("")) == []
 
 
 def test_upsert_keeps_the_last(spark):
