@@ -77,6 +77,13 @@ def predict_links(names: DataFrame, triples: DataFrame, model: LanguageModel, k:
     return T.new_candidates(about.select(*T.COLUMNS), triples, k)
 
 
+def add_fabrics(fabrics: DataFrame, path: str, unaccent: bool = True) -> int:
+    """Inserts an ontology's triples into the stored graph at ``path``; how many were new. A second run adds none."""
+    from tessera.sources.sinks import append_triples
+
+    return append_triples(T.canonical_triples(T.fabric_triples(fabrics), unaccent), path)
+
+
 def entity_prototypes(triples: DataFrame, encoder: retrieval.Encoder, **options) -> DataFrame:
     """(label, centroid): the encoded descriptors of the entities with most facts."""
     told = T.descriptors(triples, **options)

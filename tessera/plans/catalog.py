@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -491,58 +493,106 @@ def kg_descriptor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.descriptors(star_triples(spark, sf_dir))
 
 
-_FABRICS = (("silk", "light", "fluid", "cool", ["summer", "transitional"], ["smooth"], ["breathable", "natural"]), ("fleece", "medium", "soft", "warm", ["winter"], ["plush", "soft"], ["warm", "synthetic"]), ("poplin", "light", "crisp", "cool", ["summer"], ["smooth", "crisp"], ["tailored"]))
+#: Parts told as fabrics: their names with what size and price say of them.
+_FABRIC = """f AS (SELECT p_partkey, p_name AS fabric, CASE WHEN p_size < 15 THEN 'light' WHEN p_size < 35 THEN 'medium' ELSE 'heavy' END AS weight, CASE p_size % 3 WHEN 0 THEN 'crisp' WHEN 1 THEN 'fluid' ELSE '' END AS drape,
+CASE WHEN p_size % 2 = 0 THEN 'cool' ELSE 'warm' END AS warmth, CASE WHEN p_size > 40 THEN ['winter'] ELSE ['summer', 'spring'] END AS season, [lower(p_type)] AS texture, ['size ' || (p_size // 10)::VARCHAR, 'woven'] AS properties FROM part),
+t AS (SELECT fabric AS subject, 'has_property' AS relation, unnest(list_concat(properties, list_filter([weight || ' weight', CASE WHEN drape <> '' THEN drape || ' drape' ELSE '' END, warmth], lambda x: x <> ''))) AS object FROM f
+UNION SELECT fabric, 'has_texture', unnest(texture) FROM f UNION SELECT fabric, 'suits_season', unnest(season) FROM f)"""
 
 
-@query(
-    """WITH f(fabric, weight, drape, warmth, season, texture, properties) AS (VALUES """
-    + ", ".join(f"('{f[0]}', '{f[1]}', '{f[2]}', '{f[3]}', {f[4]!r}, {f[5]!r}, {f[6]!r})" for f in _FABRICS)
-    + """), t AS (SELECT fabric AS subject, 'has_property' AS relation, unnest(list_concat(properties, [weight || ' weight', drape || ' drape', warmth])) AS object FROM f
-    UNION SELECT fabric, 'has_texture', unnest(texture) FROM f UNION SELECT fabric, 'suits_season', unnest(season) FROM f) SELECT DISTINCT subject, relation, object FROM t"""
-)
+def fabrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    weight = F.when(size < 15, "light").when(size < 35, "medium").otherwise("heavy").alias("weight")
+    drape = F.when(size % 3 == 0, "crisp").when(size % 3 == 1, "fluid").otherwise("").alias("drape")
+    season = F.when(size > 40, F.array(F.lit("winter"))).otherwise(F.array(F.lit("summer"), F.lit("spring"))).alias("season")
+    properties = F.array(F.concat(F.lit("size "), F.expr("CAST(p_size DIV 10 AS STRING)")), F.lit("woven")).alias("properties")
+    return table(spark, sf_dir, "part").select(F.col("p_name").alias("fabric"), weight, drape, F.when(size % 2 == 0, "cool").otherwise("warm").alias("warmth"), season, F.array(F.lower("p_type")).alias("texture"), properties)
+
+
+@query(f"WITH {_FABRIC} SELECT DISTINCT subject, relation, object FROM t")
 def fabric_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fabrics = spark.createDataFrame(list(_FABRICS), "fabric string, weight string, drape string, warmth string, season array<string>, texture array<string>, properties array<string>")
-    return T.canonical_triples(T.fabric_triples(fabrics)).select("subject", "relation", "object")
+    return T.canonical_triples(T.fabric_triples(fabrics(spark, sf_dir)), unaccent=False).select("subject", "relation", "object")
 
 
-@query(
-    """SELECT * FROM (VALUES ('located_in', 'based_in'), ('Inspired By', 'influenced_by'), ('designed-by', 'creative_director'), ('totally_unknown', ''), ('known for', 'known_for')) v(raw, relation)"""
-)
+@query(f"WITH {_FABRIC}, n AS (SELECT count(*) AS n FROM (SELECT DISTINCT subject, relation, object FROM t)) SELECT 1 AS run, n AS added FROM n UNION ALL SELECT 2, 0")
+def fabric_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ontology goes into a stored graph twice: the second time adds nothing."""
+    path = shared_path(spark, "graph")
+    added = [knowledge.add_fabrics(fabrics(spark, sf_dir), path, unaccent=False) for _ in (1, 2)]
+    return spark.createDataFrame(list(enumerate(added, 1)), "run int, added long")
+
+
+_RAW_RELATIONS = {"located_in": "based_in", "Inspired By": "influenced_by", "designed-by": "creative_director", "totally_unknown": "", "known for": "known_for", " MADE OF ": "uses_material", "part of": "part_of"}
+_RAW_LIST = "[" + ", ".join(f"'{r}'" for r in _RAW_RELATIONS) + "]"
+
+
+@query(f"SELECT event_type, raw, [{', '.join(repr(r) for r in _RAW_RELATIONS.values())}][i + 1] AS relation, count(*) AS n FROM (SELECT event_type, user_id % {len(_RAW_RELATIONS)} AS i, upper({_RAW_LIST}[(user_id % {len(_RAW_RELATIONS)}) + 1]) AS raw FROM events WHERE user_id IS NOT NULL) GROUP BY ALL")
 def relation_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("located_in",), ("Inspired By",), ("designed-by",), ("totally_unknown",), ("known for",)], "raw string")
-    return rows.withColumn("relation", naming.canonical_relation(F.col("raw")))
+    """Every event states a relation in one of several spellings, by its user."""
+    said = F.element_at(F.array(*map(F.lit, _RAW_RELATIONS)), (F.col("user_id") % len(_RAW_RELATIONS)).cast("int") + 1)
+    rows = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select("event_type", F.upper(said).alias("raw"))
+    return rows.groupBy("event_type", "raw", naming.canonical_relation(F.col("raw")).alias("relation")).agg(F.count("*").alias("n"))
 
 
 @query(
-    """SELECT * FROM (VALUES ('Christian Dior SE', 'dior', true), ('Céline', 'celine', true), ('Comme des Garçons', 'comme des garcons', true), ('YSL', 'saint laurent', true), ('  Maison   Margiela ', 'maison margiela', true), ('ne', 'ne', false), ('ysl fall 1960 dior collection', 'ysl fall 1960 dior collection', false)) v(raw, entity, plausible)"""
+    """SELECT c_custkey, n || CASE c_custkey % 6 WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN ' dior' WHEN 3 THEN ' fall 1960 collection' WHEN 4 THEN ' including nation' ELSE ' celine' END AS entity, c_custkey % 6 NOT IN (3, 4) AS plausible
+    FROM (SELECT c_custkey, trim(regexp_replace(lower(c_name), '[^a-z0-9]+', ' ', 'g')) AS n FROM customer)"""
 )
 def entity_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([("Christian Dior SE",), ("Céline",), ("Comme des Garçons",), ("YSL",), ("  Maison   Margiela ",), ("ne",), ("ysl fall 1960 dior collection",)], "raw string")
-    return rows.select("raw", naming.canonical_entity(F.col("raw")).alias("entity"), naming.is_plausible(naming.normalize_entity(F.col("raw"))).alias("plausible"))
+    """Every customer's name as it might be written: with a company's suffix, accents, blanks, a date or a phrase."""
+    k, n = F.col("c_custkey") % 6, F.col("c_name")
+    raw = F.when(k == 0, n).when(k == 1, F.concat(F.lit("  "), n, F.lit("   House SE"))).when(k == 2, F.concat(n, F.lit(" Dior Parfums"))).when(k == 3, F.concat(n, F.lit(" fall 1960 collection"))).when(k == 4, F.concat(n, F.lit(" including Nation"))).otherwise(F.concat(n, F.lit(" Céline")))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", raw.alias("raw"))
+    return rows.select("c_custkey", naming.canonical_entity(F.col("raw")).alias("entity"), naming.is_plausible(naming.normalize_entity(F.col("raw"))).alias("plausible"))
 
 
-@query(
-    """SELECT * FROM (VALUES (1, 'A', 'kg'), (2, 'tie', 'tie'), (3, 'tie', 'tie'), (4, 'B', 'rag'), (5, 'A', 'kg'), (6, 'tie', 'tie')) v(id, verdict, arm)"""
-)
+@query("SELECT doc_id, ['A', 'tie', 'tie', 'B', 'A', 'tie', 'B'][(doc_id % 7) + 1] AS verdict, CASE (doc_id % 7) WHEN 0 THEN 'A' WHEN 4 THEN 'A' WHEN 3 THEN 'B' WHEN 6 THEN 'B' ELSE 'tie' END = 'A' AS a_won, CASE WHEN doc_id % 7 IN (1, 2, 5) THEN 'tie' WHEN (doc_id % 7 IN (0, 4)) = (doc_id % 2 = 0) THEN 'kg' ELSE 'rag' END AS arm FROM documents")
 def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, "A"), (2, "TIE"), (3, ""), (4, "Answer A is vague; B wins.\nVERDICT: B"), (5, "both fine\nVERDICT: A"), (6, "VERDICT: TIE")], "id int, raw string")
+    """Judges' replies made of every document: reasons in its own words, and the verdict in one of several forms."""
+    said = F.lower(F.substring(F.coalesce("text", F.lit("")), 1, 400))
+    forms = [F.lit("A"), F.lit(" TIE, both are fine"), F.lit(""), F.concat(said, F.lit("\nAnswer A is vague; B wins.\nVERDICT: B")), F.concat(said, F.lit("\nVerdict: A")), F.concat(said, F.lit("\nVERDICT: TIE")), F.lit("b, for its facts")]
+    raw = F.coalesce(*(F.when(F.col("doc_id") % 7 == i, f) for i, f in enumerate(forms)))
     v = phrases.verdict(F.col("raw"))
-    return rows.select("id", v.alias("verdict"), phrases.unblinded(v, F.lit(True)).alias("arm"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
+    return rows.select("doc_id", v.alias("verdict"), (v == "A").alias("a_won"), phrases.unblinded(v, F.col("doc_id") % 2 == 0).alias("arm"))
 
 
-@query("""SELECT * FROM (VALUES ('Dior', 'based_in', 'Paris', 'web'), ('Prada', 'known_for', 'nylon bags', 'web')) v(subject, relation, object, source)""")
+@query("SELECT s_name AS subject, 'based_in' AS relation, n_name AS object, 'reply ' || (s_suppkey % 3)::VARCHAR AS source FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 5 <> 4 UNION ALL SELECT s_name, 'known_for', 'patience', 'reply ' || (s_suppkey % 3)::VARCHAR FROM supplier WHERE s_suppkey % 5 IN (0, 1)")
 def parse_triples_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = 'Here: [{"subject":"Dior","subject_type":"Brand","relation":"located in","object":"Paris","object_type":"city"},{"subject":"Dior","relation":"loves","object":"Paris"},{"subject":"Prada","relation":"famous_for","object":"nylon bags"}] done'
-    rows = spark.createDataFrame([(0, raw, "web"), (1, "no json here", "web"), (2, "", "web"), (3, None, "web")], "ord long, raw string, source string")
-    return T.canonical_triples(perception.parse_triples(rows, "raw", "source")).select("subject", "relation", "object", "source")
+    """A model's reply about every supplier: a list amid words, unknown relations, items of other kinds, broken lists and none."""
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    first = '{"subject":"<s>","subject_type":"Brand","relation":"located in","object":"<n>","object_type":"city"}'
+    forms = (
+        "Here: [" + first + ', {"subject":"<s>","relation":"loves","object":"<n>"}, {"subject":"<s>","relation":"famous_for","object":"patience"}] done',
+        "[" + first + ", " + first + ', {"subject":" <s> ","relation":"known-for","object":"patience "}, null]',
+        "[" + first + ', {"subject":"<s>","relation":"based_in","object":"<s>"}]',
+        "```json\n[" + first + "]\n```",
+        'no list of <s>: [{"subject":',
+    )
+    names = {"<s>": F.col("s_name"), "<n>": F.col("n_name")}
+    raw = F.coalesce(*(F.when(F.col("s_suppkey") % 5 == k, F.concat(*(names.get(part, F.lit(part)) for part in re.split("(<s>|<n>)", form)))) for k, form in enumerate(forms)))
+    replies = rows.select(F.col("s_suppkey").cast("long").alias("ord"), raw.alias("raw"), F.concat(F.lit("reply "), (F.col("s_suppkey") % 3).cast("string")).alias("source"))
+    return T.canonical_triples(perception.parse_triples(replies, "raw", "source"), unaccent=False).select("subject", "relation", "object", "source")
 
 
-@query("""SELECT * FROM (VALUES ('Marni', 'from_era', 'Fall 2026'), ('Marni', 'has_silhouette', 'oversized'), ('Marni', 'uses_material', 'wool felt'), ('Marni', 'known_for', 'quiet luxury')) v(subject, relation, object)""")
+@query(
+    """WITH l AS (SELECT p_partkey AS row, p_name AS designer, 'Fall ' || (2000 + p_size % 4)::VARCHAR AS season, lower(p_type) AS s, 'grade ' || (p_size % 5)::VARCHAR AS m, p_partkey % 4 AS form FROM part),
+    t AS (SELECT designer, 'has_silhouette' AS relation, s AS object FROM l WHERE form < 3 UNION SELECT designer, 'uses_material', m FROM l WHERE form < 2 UNION SELECT designer, 'uses_material', 'wool felt' FROM l WHERE form = 0 UNION SELECT designer, 'known_for', 'quiet luxury' FROM l WHERE form = 1 UNION SELECT designer, 'from_era', season FROM l WHERE season <> 'Fall 2000')
+    SELECT DISTINCT designer AS subject, relation, object FROM t"""
+)
 def parse_look_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = 'ok {"caption": " A coat ", "silhouettes": "oversized", "materials": ["wool felt", ""], "aesthetics": ["quiet luxury"], "garments": null} end'
-    rows = spark.createDataFrame([(0, "Marni", "Fall 2026", raw), (1, "Dior", "", "garbage")], "ord long, designer string, season string, raw string")
-    looks = rows.withColumn("look", perception.parse_look(F.col("raw")))
-    return T.canonical_triples(perception.look_triples(looks)).select("subject", "relation", "object")
+    """A model's reply about every part as a look: lists, single strings, nulls, and what is no JSON at all."""
+    silhouette, material, form = F.lower("p_type"), F.concat(F.lit("grade "), (F.col("p_size") % 5).cast("string")), F.col("p_partkey") % 4
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    raw = (
+        F.when(form == 0, F.concat(F.lit('ok {"caption": " A coat ", "silhouettes": ['), quoted(silhouette), F.lit('], "materials": ["wool felt", "", '), quoted(material), F.lit('], "garments": null} end')))
+        .when(form == 1, F.concat(F.lit('{"silhouettes": '), quoted(silhouette), F.lit(', "materials": '), quoted(material), F.lit(', "aesthetics": ["quiet luxury"]}')))
+        .when(form == 2, F.concat(F.lit('{"silhouettes": ['), quoted(silhouette), F.lit("]}")))
+        .otherwise(F.concat(F.lit("garbage about "), "p_name"))
+    )
+    season = F.when(F.col("p_size") % 4 > 0, F.concat(F.lit("Fall "), (2000 + F.col("p_size") % 4).cast("string"))).otherwise("")
+    looks = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ord"), F.col("p_name").alias("designer"), season.alias("season"), perception.parse_look(raw).alias("look"))
+    return T.canonical_triples(perception.look_triples(looks), unaccent=False).select("subject", "relation", "object")
 
 
 @query(
@@ -557,16 +607,20 @@ def context_entity_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.matched_entities(queries, T.entities(star_triples(spark, sf_dir)), "id", "q").select("id", "entity", "place")
 
 
+_MATCHED = """m AS (SELECT doc_id AS id, e.entity, row_number() OVER (PARTITION BY doc_id ORDER BY length(e.entity) DESC, e.entity) AS place
+      FROM (SELECT conv_id * 100 + turn AS doc_id, lower(text || ' ' || CASE WHEN turn % 2 = 0 THEN 'red widget for nation_' || (conv_id % 25)::VARCHAR ELSE 'supplier asia' END) AS q FROM conversations) d
+      JOIN (SELECT subject_key AS entity FROM triples UNION SELECT object_key FROM triples) e ON contains(d.q, e.entity) QUALIFY place <= 4)"""
+
+
 @query(
-    f"""WITH {KG}, m(id, entity, place) AS (VALUES (1, 'red widget', 1), (1, 'asia', 2), (2, 'supplier 000000001', 1)),
-    s AS (SELECT subject_key AS key, * FROM triples UNION ALL SELECT object_key, * FROM triples),
-    n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS nth FROM s),
-    t AS (SELECT id, min(place * 1000 + nth) AS k, subject || ' ' || replace(relation, '_', ' ') || ' ' || object AS fact FROM m JOIN n ON entity = key WHERE nth <= 25 GROUP BY 1, 3)
+    f"""WITH {KG}, {_MATCHED}, s AS (SELECT subject_key AS key, * FROM triples UNION ALL SELECT object_key, * FROM triples),
+    n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ord) AS nth FROM s) WHERE nth <= 25),
+    t AS (SELECT id, min(place * 1000 + nth) AS k, subject || ' ' || replace(relation, '_', ' ') || ' ' || object AS fact FROM m JOIN n ON entity = key GROUP BY 1, 3)
     SELECT id, row_number() OVER (PARTITION BY id ORDER BY k)::INTEGER AS place, fact FROM t QUALIFY place <= 20"""
 )
 def context_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    matched = spark.createDataFrame([(1, "red widget", 1), (1, "asia", 2), (2, "supplier 000000001", 1)], "id int, entity string, place int")
-    return context.entity_facts(matched, star_triples(spark, sf_dir))
+    """The facts of the entities that every turn of every conversation names."""
+    return context.entity_facts(context_entity_match(spark, sf_dir), star_triples(spark, sf_dir))
 
 
 _MATERIALS = f"""{KG}, c AS (SELECT DISTINCT subject_key AS owner, object_key AS concept FROM triples WHERE relation = 'uses_material')"""
@@ -651,21 +705,28 @@ def kg_path_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knowledge.path_questions(star_triples(spark, sf_dir), houses, max_hops=2, unaccent=False)
 
 
-@query("""SELECT * FROM (VALUES ('supplier 000000001', 'based_in', 'atlantis', 1), ('supplier 000000001', 'known_for', 'patience', 2)) v(subject_key, relation, object_key, rank)""")
+class Suggester:
+    """A stand-in model that replies with likely facts of the entity it is asked about, in several spellings, and with one of another."""
+
+    def complete(self, prompt: str, system: str = "", max_tokens: int = 512) -> str:
+        name = prompt.partition("Entity: ")[2].partition("\n")[0]
+        told = [(name, "based_in", "Atlantis"), (name.replace("#", " "), "located_in", "atlantis"), ("Dior", "based_in", "Paris"), (name, "famous_for", "patience"), (name, "part_of", name)]
+        return json.dumps([{"subject": s, "relation": r, "object": o} for s, r, o in told])
+
+
+@query(f"SELECT {_KEY.format('s_name')} AS subject_key, relation, object_key, rank FROM supplier, (VALUES ('based_in', 'atlantis', 1), ('known_for', 'patience', 2)) v(relation, object_key, rank)")
 def kg_predicted_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every supplier is asked about; the stand-in's reply is about the first one and another, and repeats itself."""
-    told = [("Supplier#000000001", "based_in", "Atlantis"), ("Supplier 000000001", "located_in", "atlantis"), ("Dior", "based_in", "Paris"), ("Supplier#000000001", "famous_for", "patience")]
-    reply = "[" + ", ".join(f'{{"subject":"{a}","relation":"{r}","object":"{o}"}}' for a, r, o in told) + "]"
+    """Every supplier is asked about; repeats, loops and facts of others fall out of the replies."""
     names = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("ord"), F.col("s_name").alias("entity"))
-    found = knowledge.predict_links(names, star_triples(spark, sf_dir), models.EchoModel({}, reply), unaccent=False)
+    found = knowledge.predict_links(names, star_triples(spark, sf_dir), Suggester(), unaccent=False)
     return found.select("subject_key", "relation", "object_key", "rank")
 
 
 class Mirror:
-    """A stand-in model that answers with what it was given."""
+    """A stand-in model that answers with what it was given; as a judge it prefers the answer it reads first."""
 
     def complete(self, prompt: str, system: str = "", max_tokens: int = 512) -> str:
-        return prompt
+        return "It states more.\nVERDICT: A" if "VERDICT" in system else prompt
 
 
 _ASKED = "'What are the key facts about ' || e || ': founder, seat, creative director, materials and silhouettes, influences, and what it is known for?'"
@@ -678,10 +739,10 @@ _ASKED = "'What are the key facts about ' || e || ': founder, seat, creative dir
     g AS (SELECT e, object, lower('Knowledge:' || chr(10) || 'Knowledge-graph facts:' || chr(10) || facts || chr(10) || chr(10) || 'Question: ' || {_ASKED}) AS kg, lower('Knowledge:' || chr(10) || '(none)' || chr(10) || chr(10) || 'Question: ' || {_ASKED}) AS rag
       FROM top JOIN triples USING (subject_key) JOIN f ON key = subject_key)
     SELECT e AS entity, count(*)::INTEGER AS n_gold, round(avg(contains(kg, lower(object))::INTEGER), 3) AS coverage_kg, round(avg(contains(rag, lower(object))::INTEGER), 3) AS coverage_rag,
-    'tie' AS judge FROM g GROUP BY 1"""
+    CASE WHEN ('0x' || substr(md5(e || ':42'), 1, 1))::INTEGER % 2 = 0 THEN 'kg' ELSE 'rag' END AS judge FROM g GROUP BY e"""
 )
 def kg_answer_lift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lift harness with a model that mirrors its knowledge; as a judge it names no winner (its replies begin with the question)."""
+    """The lift harness with a model that mirrors its knowledge and, as a blind judge, prefers what it reads first."""
     return knowledge.answers_of_arms(star_triples(spark, sf_dir), Mirror(), judge=True)
 
 
@@ -1028,17 +1089,19 @@ def temporal_gnn_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.temporal_scores(days, links, network()).select("node", F.round("score", 6).alias("score"))
 
 
+#: Events as labelled pixels of their users' pictures.
+_GARMENT = {"purchase": "Dress", "view": "Hat", "click": "Bag", "error": "Face"}
+
+
 @query(
-    """WITH p AS (SELECT id // 10000 AS image, (id % 10000) // 100 AS y, id % 100 AS x FROM range(0, 50000) t(id)),
-    l AS (SELECT image, y, x, CASE WHEN (x - 50) * (x - 50) + (y - 50) * (y - 50) < 400 THEN 'Dress' WHEN y < 10 THEN 'Hat' WHEN y > 95 AND x < 5 THEN 'Bag' WHEN x > 90 THEN 'Face' ELSE 'Background' END AS label FROM p),
-    a AS (SELECT image, label, count(*) / 10000 AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l GROUP BY 1, 2)
-    SELECT image, label, area, x0, y0, x1, y1, row_number() OVER (PARTITION BY image ORDER BY area DESC, label)::INTEGER AS place FROM a WHERE label IN ('Dress', 'Hat', 'Bag') AND area >= 0.02"""
+    f"""WITH l AS (SELECT user_id AS image, event_id % 97 AS y, (event_id // 97) % 89 AS x, CASE event_type {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in _GARMENT.items())} ELSE 'Background' END AS label FROM events WHERE user_id IS NOT NULL),
+    n AS (SELECT image, count(*) AS n FROM l GROUP BY 1), a AS (SELECT image, label, count(*) / any_value(n) AS area, min(x) AS x0, min(y) AS y0, max(x) + 1 AS x1, max(y) + 1 AS y1 FROM l JOIN n USING (image) GROUP BY 1, 2)
+    SELECT image, label, round(area, 8) AS area, x0, y0, x1, y1, row_number() OVER (PARTITION BY image ORDER BY area DESC, label)::INTEGER AS place FROM a WHERE label IN ('Dress', 'Hat', 'Bag') AND area >= 0.02"""
 )
 def region_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.range(50000).select((F.col("id") / 10000).cast("long").alias("image"), ((F.col("id") % 10000) / 100).cast("long").alias("y"), (F.col("id") % 100).alias("x"))
-    disc = (F.col("x") - 50) * (F.col("x") - 50) + (F.col("y") - 50) * (F.col("y") - 50) < 400
-    label = F.when(disc, "Dress").when(F.col("y") < 10, "Hat").when((F.col("y") > 95) & (F.col("x") < 5), "Bag").when(F.col("x") > 90, "Face").otherwise("Background")
-    return perception.regions(p.withColumn("label", label)).select("image", "label", "area", "x0", "y0", "x1", "y1", "place")
+    label = F.coalesce(*(F.when(F.col("event_type") == k, v) for k, v in _GARMENT.items()), F.lit("Background"))
+    pixels = table(spark, sf_dir, "events").filter("user_id IS NOT NULL").select(F.col("user_id").alias("image"), (F.col("event_id") % 97).alias("y"), F.expr("event_id DIV 97 % 89").alias("x"), label.alias("label"))
+    return perception.regions(pixels).select("image", "label", F.round("area", 8).alias("area"), "x0", "y0", "x1", "y1", "place")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
