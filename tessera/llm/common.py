@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import gc
 import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +12,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.storage import file_system, shared_path
+
 #: Batches are cut so that one holds about this many bytes of text (a longer text is a batch of its own).
 BATCH_CHARS = 2_000_000
 
@@ -27,26 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder all executors share, ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary folder serves a local session; a cluster has no such folder, so there it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def file_system(spark: SparkSession, path: str):
-    """Hadoop's (file system, path) of a path."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), at
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to shared storage and reads it back: cuts the lineage, survives lost executors.
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import map_text, resource
+from tessera.llm.common import discard, map_text, materialise, resource
 
 #: Edits for each character of an item.
 BUDGET = 0.06
@@ -147,8 +147,8 @@ def contaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET, id_c
     ``end`` is where the match ends in the folded document. Null and empty documents have no hits; null, empty and
     id-less items are never found; items that occur twice are found twice. Long documents are searched whole.
     Repeated rows give repeated rows, an empty table an empty result; columns outside ``keep`` are not read. The items are the
-    stated query set: they go to the executors in blocks of ``at_once`` characters, one pass over the documents
-    carrying the hits of the blocks before.
+    stated query set: they go to the executors in blocks of ``at_once`` characters, one pass over the documents a block,
+    written out in between, so that one block and one automaton a worker are held at a time.
     """
     spark = docs.sparkSession
     kinds, item_kind = dict(docs.dtypes), dict(items.dtypes)[item_id_col]
@@ -160,7 +160,7 @@ def contaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET, id_c
     rows = docs.select(F.col(id_col), F.col(text_col), F.array().cast(hits_type), *(F.col(f"`{k}`") for k in keep)).toDF(*names)
     schema = ", ".join(f"{n} {t}" for n, t in zip(names, (kinds[id_col], "string", hits_type, *(kinds[k] for k in keep))))
     blocks = item_blocks(items, item_id_col, item_text_col, at_once)
-    block = next(blocks, None)
+    block, written = next(blocks, None), None
     while block:
         shared, key, block = spark.sparkContext.broadcast(block), f"matcher:{uuid.uuid4().hex}", next(blocks, None)
         last = block is None  # the last pass hands no text on
@@ -175,5 +175,11 @@ def contaminated(docs: DataFrame, items: DataFrame, budget: float = BUDGET, id_c
             return f
 
         rows = map_text(rows, make, schema, 1)
+        if not last:
+            before, rows = written, materialise(rows, "hits")
+            written = rows
+            shared.destroy()
+            if before is not None:
+                discard(before)
     kept = [F.col(n).alias(k) for n, k in zip(names[3:], keep)]
     return rows.select(F.col("__id").alias("doc_id"), *kept, F.array_sort("__hits").alias("hits"))

@@ -327,7 +327,7 @@ def article_blocks(found: list[Block], elements: list[tuple[int, str]], wanted:
     for e in range(n):
         up = elements[e][0]
         inside[e] = e == home or up >= 0 and inside[up]
-        linked[e] = up >= 0 and linked[up] or inside[e] and e != home and times[e] > 1 and links[e] >= LINKS * text[e]
+        linked[e] = up >= 0 and linked[up] or inside[e] and e != home and (times[e] > 1 or elements[e][1] == "header") and links[e] >= LINKS * max(text[e], 1)
     first, last = wanted.index(True), len(wanted) - wanted[::-1].index(True)
     return [inside[b[7]] and not linked[b[7]] and b[4] <= marks[home] and (not body or first <= i < last) for i, b in enumerate(found)]
 

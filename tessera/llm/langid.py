@@ -132,7 +132,7 @@ class CrossParser:
         return np.concatenate([np.full(1, 32, np.uint32), points[keep]]) if letters.any() else points[:0], int(letters.sum())
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases [text, language] but for letters of no sample, characters parsed and letters of each text."""
+        """Phrases [text, language] but for letters of no sample, characters parsed and letters of each text; none where no sample has a letter of the text."""
         folded = [self.fold(t) for t in texts]
         sizes = np.array([len(p) for p, _ in folded], dtype=np.int64)
         order = np.argsort(-sizes, kind="stable")  # texts that go on stand in front
@@ -158,6 +158,7 @@ class CrossParser:
             state[:, :m] = now
         out = np.zeros((len(texts), len(self.langs)), dtype=np.int64)
         out[order] = counts.T
+        out[[not (self.codes[p] > 2).any() for p, _ in folded]] = 0  # blanks alone tell nothing
         return out, sizes, np.array([n for _, n in folded], dtype=np.int64)
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:

@@ -66,7 +66,7 @@ def test_predictions_against_their_definition():
                         size += 1
                     phrases += flat[at] in known or flat[at] == " "
                     at += size
-                cost[lang] = phrases * math.log2(len(sample) + len(known) + 1)
+                cost[lang] = bool(set(flat) & known) * phrases * math.log2(len(sample) + len(known) + 1)
         got, score = parser.predict([text])
         if not cost:
             assert got == ["und"] and score == [0.0]
@@ -83,3 +83,16 @@ def test_a_stray_label_changes_no_other_document(spark):
     plain = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
     with_stray = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_language(spark, docs.unionByName(stray), "").collect()}
     assert {i for i in plain if plain[i] != with_stray[i]} == set() and with_stray[900000] == "xx"
+
+
+def test_blocks_of_items_are_separate_passes(spark):
+    """However many blocks of items there are, a stage holds one block's automaton."""
+    from tessera.llm import decontam
+
+    docs = spark.createDataFrame([(i, f"some words before number {i} of the items and some after {i}") for i in range(30)] + [(None, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"number {i} of the items") for i in range(12)], "item_id long, text string")
+    whole = decontam.contaminated(docs, items)
+    cut = decontam.contaminated(docs, items, at_once=40)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, whole.collect()))
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
