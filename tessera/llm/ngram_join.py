@@ -4,9 +4,9 @@ The matrix has a row for each distinct set and a column for each n-gram. What co
 multiplied; every bound is exact, so no link is lost:
 
 * Columns are ordered by how many documents hold them, rare ones first. Two sets that are alike enough share one of the
-  first columns of both, as many as their size lets differ, so only those columns put documents together; a column that
-  one document alone holds puts none. The order comes from counters of hashed n-grams over all documents, summed over
-  tasks; their number is fixed, and columns that share a counter only stand later than they could.
+  first columns of both, as many as their size lets differ, so only those columns put documents together. The order
+  comes from counters of hashed n-grams over all documents, summed over tasks; their number is fixed, and columns that
+  share a counter only stand later than they could.
 * Two sizes bound the overlap; the sizes of a row's column blocks, kept as small counts, bound it closer: the sum of the
   lesser counts. Pairs below what their sizes ask for are discarded before any text is read.
 * What is left is multiplied by blocks: rows of documents that share a column, n-grams a block of columns at a time.
@@ -32,7 +32,7 @@ from tessera.llm.linking import block_links, hub_members, near_classes, promisin
 from tessera.llm.minhash import BLOCK_SHINGLES, Shingler, confirmed
 
 #: Counters of the column order, and those of a row that carries them between tasks.
-COUNTERS, SEGMENT = 1 << 22, 1 << 12
+COUNTERS, SEGMENT = 1 << 24, 1 << 14
 #: Columns of a row that share a small count, about.
 CELL = 4
 
@@ -136,7 +136,7 @@ def sketches_and_counts(docs: DataFrame, id_col: str, text_col: str, words: int)
             for x, y in slices(lengths):
                 part = batch.slice(x, y - x)
                 sets = [shingler.hashes(t or "") for t in part.column(1).to_pylist()]
-                np.add.at(counters, (np.concatenate(sets) >> np.uint64(42)).astype(np.int64), np.uint32(1))
+                np.add.at(counters, (np.concatenate(sets) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64), np.uint32(1))
                 columns = [part.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None for h in sets], pa.binary()), pa.array([block_sizes(h) if len(h) else None for h in sets], pa.binary()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         each = counters.reshape(-1, SEGMENT)
@@ -148,28 +148,27 @@ def sketches_and_counts(docs: DataFrame, id_col: str, text_col: str, words: int)
 
 
 def column_order(counts: DataFrame) -> np.ndarray:
-    """The counters summed over tasks: COUNTERS numbers, whatever the table's size."""
+    """The counters summed over tasks, as bytes of 8 * log2: COUNTERS of them, whatever the table's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 sums.setdefault(segment, np.zeros(SEGMENT, dtype=np.uint64))[:] += np.frombuffer(c, dtype=f"u{len(c) // SEGMENT}")
-        top = [np.minimum(s, 2**32 - 1).astype(np.uint32).tobytes() for s in sums.values()]
+        top = [np.minimum(8 * np.log2(np.maximum(s, 1)), 255).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(top, pa.binary())], names=["segment", "counts"])
 
-    out = np.zeros((COUNTERS // SEGMENT, SEGMENT), dtype=np.uint32)
+    out = np.zeros((COUNTERS // SEGMENT, SEGMENT), dtype=np.uint8)
     for segment, c in counts.repartition("segment").mapInArrow(run, "segment int, counts binary").toLocalIterator():
-        out[segment] = np.frombuffer(c, dtype=np.uint32)
+        out[segment] = np.frombuffer(c, dtype=np.uint8)
     return out.ravel()
 
 
 def first_columns(hashes: np.ndarray, order: np.ndarray, threshold: int) -> np.ndarray:
-    """Of a set's columns in order, rare ones first, those of which a linked set holds one; without columns of one document."""
+    """Of a set's columns in order, rare ones first, those of which a linked set holds one."""
     n = len(hashes)
-    held = order[(hashes >> np.uint64(42)).astype(np.int64)]
-    first = np.lexsort((hashes, held))[: n + (-threshold * n // 100) + 1]
-    return hashes[first[held[first] > 1]]
+    held = order[(hashes >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)]
+    return hashes[np.lexsort((hashes, held))[: n + (-threshold * n // 100) + 1]]
 
 
 def similar_sets(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

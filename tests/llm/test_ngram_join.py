@@ -80,7 +80,7 @@ def test_bounds_never_rule_out_a_link():
             assert reach[i, j] == J.may_reach(*a, *b, 80)
             assert reach[i, j] or (i, j) not in linked
     assert reach.sum() < 0.5 * reach.size
-    order = rng.integers(2, 50, J.COUNTERS).astype(np.uint32)
+    order = rng.integers(1, 50, J.COUNTERS).astype(np.uint8)
     firsts = [set(J.first_columns(s, order, 80).tolist()) for s in sets]
     assert all(firsts[i] & firsts[j] for i, j in linked)
 
