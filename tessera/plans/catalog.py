@@ -17,7 +17,8 @@ from tessera.functions import vectors as V
 from tessera.operators import cells, context, encoders, evaluation, fusion, graph, ingest, knowledge, models, overlaps, perception, supervision, training, trends
 from tessera.operators import triples as T
 from tessera.operators import vectors as S
-from tessera.sources import files
+from tessera.sources import files, keyed_store, sinks
+from tessera.sources.lines import read_lines
 from tessera.sources.storage import built_once, materialise, shared_path, stamp
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -650,16 +651,28 @@ def jaccard_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps.similar_owners(supervision.concepts(star_triples(spark, sf_dir)), 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
+@query(
+    f"""WITH {_MATERIALS}, l AS (SELECT c_custkey AS row, CASE WHEN c_custkey % 9 = 0 THEN c_name ELSE 'Supplier#' || lpad((c_custkey % 60)::VARCHAR, 9, '0') END AS designer, c_mktsegment AS g FROM customer), s AS (SELECT owner, list_sort(list(concept)) AS concepts FROM c GROUP BY 1)
+    SELECT row, designer, g AS "group", coalesce(concepts, []) AS concepts FROM l LEFT JOIN s ON owner = {_KEY.format('designer')}"""
+)
+def look_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every customer as a look by a supplier (or by a house that the graph does not know), with that house's concepts."""
+    house = F.when(F.col("c_custkey") % 9 == 0, F.col("c_name")).otherwise(F.concat(F.lit("Supplier#"), F.lpad((F.col("c_custkey") % 60).cast("string"), 9, "0")))
+    looks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"), house.alias("designer"), F.col("c_mktsegment").alias("group"))
+    return supervision.look_records(looks, supervision.concepts(star_triples(spark, sf_dir)), unaccent=False)
+
+
 @query(
     f"""WITH {_JACCARD}, l AS (SELECT s_suppkey AS row, {_KEY.format('s_name')} AS designer, s_nationkey::VARCHAR AS show FROM supplier),
     k AS (SELECT concept, count(*) AS k FROM c WHERE owner IN (SELECT designer FROM l) GROUP BY 1)
     SELECT (SELECT count(*) FROM l) AS n_images, (SELECT count(DISTINCT designer) FROM l) AS n_designers, (SELECT count(*) FROM k) AS unique_concepts, (SELECT sum((k > 1)::INTEGER) FROM k)::BIGINT AS shared_concepts,
-    (SELECT round(sum((k > 1)::INTEGER) / count(*), 3) FROM k) AS shared_fraction, (SELECT round(sum(jaccard) / (count(DISTINCT designer) * (count(DISTINCT designer) - 1) / 2), 3) FROM (SELECT sum(jaccard) AS jaccard FROM j), l) * 0 + round((SELECT sum(jaccard) FROM j) / (SELECT count(DISTINCT designer) * (count(DISTINCT designer) - 1) / 2 FROM l), 3) AS mean_jaccard"""
+    (SELECT round(sum((k > 1)::INTEGER) / count(*), 3) FROM k) AS shared_fraction, (SELECT round(sum(jaccard) / (count(DISTINCT designer) * (count(DISTINCT designer) - 1) / 2), 3) FROM (SELECT sum(jaccard) AS jaccard FROM j), l) * 0 + round((SELECT sum(jaccard) FROM j) / (SELECT count(DISTINCT designer) * (count(DISTINCT designer) - 1) / 2 FROM l), 3) AS mean_jaccard,
+    (SELECT count(DISTINCT designer || '|' || l."show") FROM l) AS n_collections, (SELECT count(*) FROM l WHERE designer NOT IN (SELECT owner FROM c))::BIGINT AS images_without_concepts"""
 )
 def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     looks = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("row"), naming.canonical_entity(F.col("s_name"), unaccent=False).alias("designer"), F.col("s_nationkey").cast("string").alias("show"))
     report = supervision.signal_report(looks, supervision.concepts(star_triples(spark, sf_dir)))
-    return report.select("n_images", "n_designers", "unique_concepts", "shared_concepts", "shared_fraction", "mean_jaccard")
+    return report.select("n_images", "n_designers", "unique_concepts", "shared_concepts", "shared_fraction", "mean_jaccard", "n_collections", "images_without_concepts")
 
 
 @query(
@@ -969,19 +982,130 @@ def projection_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A projection trained on all labelled vectors: whether its loss falls and more of them lie nearest to a vector of their own label."""
     rows = embeddings(spark, sf_dir).filter("label IS NOT NULL")
     w = supervision.weights(rows.select(F.col("label").alias("owner"), F.lit("").alias("concept")).distinct(), "labels")
-    fitted, _ = training.train_projection(rows, w, None, "vec_id", "label", "embedding", epochs=25, rate=0.01)
-    before, after = (training.projection_loss(rows, w, p, "vec_id", "label", "embedding") for p in (np.eye(len(fitted)), fitted))
-
-    def top1(v) -> float:
-        told = rows.select("vec_id", "label", v.alias("v"))
-        first = S.top_k(told, told, 1, "vec_id", "v", exclude_self=True, query_cols=("label",), row_cols=("vec_id",))
-        own = told.select(F.col("vec_id").alias("row_id"), F.col("label").alias("row_label"))
+    fitted, _ = training.train_projection(rows, w, None, "vec_id", "label", "embedding", epochs=5, rate=0.03)
+    plain = np.eye(len(fitted))
+    before, after = training.projection_losses(rows, w, [plain, fitted], "vec_id", "label", "embedding")
+
+    def top1(projection: np.ndarray) -> float:
+        told = materialise(training.projected(rows, projection, "vec_id", "embedding").join(rows.select(F.col("vec_id").alias("id"), "label"), "id"), "projected")
+        first = S.top_k(told, told, 1, "id", "v", exclude_self=True, query_cols=("label",))
+        own = told.select(F.col("id").alias("row_id"), F.col("label").alias("row_label"))
         return first.join(own, "row_id").agg(F.avg((F.col("label") == F.col("row_label")).cast("int"))).first()[0]
 
-    rose = top1(V.project(F.col("embedding"), V.matrix(fitted.tolist()))) > top1(F.col("embedding"))
+    rose = top1(fitted) > top1(plain)
     return rows.agg(F.count("*").alias("n_rows"), F.countDistinct("label").alias("n_labels")).select("*", F.lit(after < before).alias("loss_fell"), F.lit(bool(rose)).alias("top1_rose"))
 
 
+# -- sources and sinks: given tables written, read back and compared ---------------------------------------------
+
+
+@query(f"WITH {VEC} SELECT vec_id, label, round(e[1]::FLOAT::DOUBLE, 5) AS x1, round(e[64]::FLOAT::DOUBLE, 5) AS x64, round(list_dot_product(e, e), 4) AS norm FROM v")
+def sink_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector index: written normalised, opened again."""
+    path = shared_path(spark, "vectors")
+    sinks.write_vectors(embeddings(spark, sf_dir), path)
+    v = F.col("embedding")
+    at = lambda i: F.round(F.element_at(v, i).cast("double"), 5).alias(f"x{i}")
+    return sinks.read_vectors(spark, path).select("vec_id", "label", at(1), at(64), F.round(V.dot(v, v), 4).alias("norm"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN 'changed' ELSE event_type END AS kind, value FROM events UNION ALL SELECT event_id + 10000000, 'added', value FROM events WHERE event_id % 7 = 0")
+def sink_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An upsert store: all events, then a third of them changed and some more added."""
+    path = shared_path(spark, "store")
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), "value")
+    sinks.upsert_rows(rows, path)
+    changed = rows.filter("id % 3 = 0").withColumn("kind", F.lit("changed"))
+    added = rows.filter("id % 7 = 0").select((F.col("id") + 10_000_000).alias("id"), F.lit("added").alias("kind"), "value")
+    sinks.upsert_rows(changed.unionByName(added), path)
+    return sinks.read_rows(spark, path)
+
+
+@query(f"WITH {KG}, n AS (SELECT count(*) AS n, count(*) FILTER (relation = 'based_in') AS b FROM triples) SELECT 1 AS run, b AS added, b AS stored, true AS read_less FROM n UNION ALL SELECT 2, n - b, n, true FROM n UNION ALL SELECT 3, 0, n, true FROM n")
+def sink_keyed_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triples into a keyed store: those of one relation, then all, then all again; new keys read fewer pieces than there are."""
+    store, every = keyed_store.triple_store(spark, shared_path(spark, "triples")), materialise(star_triples(spark, sf_dir), "star")
+    runs = []
+    for i, rows in enumerate((every.filter("relation = 'based_in'"), every, every), 1):
+        pieces = store.filters().count()
+        added, read = store.insert(rows)
+        runs.append((i, added, store.rows().count(), read <= pieces))
+    return spark.createDataFrame(runs, "run int, added long, stored long, read_less boolean")
+
+
+@query(
+    f"""WITH {_TURNS}, e AS (SELECT conv_id * 1000 + turn AS ord, i AS u, o FROM turns WHERE i <> '' AND o <> ''), d AS (SELECT u, min(ord) AS ord FROM e GROUP BY u), n AS (SELECT greatest(1, floor(count(*) * 0.1)::BIGINT) AS n FROM d),
+    v AS (SELECT *, row_number() OVER (ORDER BY md5(u || ':42'), u) AS r FROM d) SELECT v.ord, CASE WHEN r <= n THEN 'valid' ELSE 'train' END AS part, sha1(v.u) AS user_sha1, sha1(e.o) AS reply_sha1 FROM v JOIN e USING (ord), n"""
+)
+def sink_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chat examples as JSON lines, train and valid apart, read back with their messages."""
+    rows = turns(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.trim("input").alias("user"), F.trim("completion").alias("assistant")).filter("user <> '' AND assistant <> ''")
+    told = supervision.train_valid(supervision.first_per_user_turn(rows, "ord"), F.col("user"))
+    path = shared_path(spark, "split")
+    sinks.write_split(told.select("ord", "part", supervision.chat(F.col("user"), F.col("assistant")).alias("messages")), path)
+    got = spark.read.schema("ord long, part string, messages array<struct<role string, content string>>").json(path)
+    said = lambda i: F.sha1(F.element_at("messages", i)["content"].cast("binary"))
+    return got.select("ord", "part", said(2).alias("user_sha1"), said(3).alias("reply_sha1"))
+
+
+@query("SELECT role AS designer, 2 * count(*) AS captions, sum(length(trim(text)))::BIGINT * 2 AS characters FROM conversations WHERE coalesce(trim(text), '') <> '' GROUP BY 1")
+def sink_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captions are appended: two runs leave each non-empty one twice."""
+    path = shared_path(spark, "captions")
+    for _ in (1, 2):
+        sinks.append_captions(table(spark, sf_dir, "conversations").select(F.col("role").alias("designer"), F.trim("text").alias("caption")), path)
+    got = spark.read.schema("designer string, caption string").json(path)
+    return got.groupBy("designer").agg(F.count("*").alias("captions"), F.sum(F.length("caption")).alias("characters"))
+
+
+@query("SELECT count(DISTINCT (event_type, day(ts), user_id)) AS passages, count(DISTINCT event_type) AS elements FROM events WHERE event_type IS NOT NULL AND user_id IS NOT NULL")
+def sink_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Experts' annotations go into the chunk store once, however often they are sent."""
+    path = shared_path(spark, "annotations")
+    rows = table(spark, sf_dir, "events").filter("event_type IS NOT NULL AND user_id IS NOT NULL").select(F.col("event_type").alias("element"), F.lit("day").alias("season"), F.dayofmonth("ts").alias("year"), F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("context"))
+    for _ in (1, 2):
+        sinks.add_annotations(rows, path, lambda c: F.array(F.length(c).cast("double")))
+    got = sinks.read_rows(spark, path)
+    return got.agg(F.count("*").alias("passages"), F.countDistinct(F.regexp_extract("chunk", "analysis: ([a-z]+) in", 1)).alias("elements"))
+
+
+@query("SELECT p_name || '. articleType: ' || lower(p_type) || '; season: ' || CASE WHEN p_size > 25 THEN 'Winter' ELSE 'Summer' END AS text, p_name AS title, lower(p_type) AS category, count(*) AS n FROM part GROUP BY ALL")
+def source_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalogue in Parquet and in CSV files, with the name under different columns, read as documents."""
+    root, rows = shared_path(spark, "catalogue"), table(spark, sf_dir, "part")
+    kept = [F.lower("p_type").alias("articleType"), F.when(F.col("p_size") > 25, "Winter").otherwise("Summer").alias("season")]
+    rows.filter("p_partkey % 2 = 0").select(F.col("p_name").alias("productDisplayName"), *kept).write.parquet(f"{root}/a")
+    rows.filter("p_partkey % 2 = 1").select(*kept, F.col("p_name").alias("title")).write.option("header", "true").csv(f"{root}/b")
+    meta = F.col("metadata")
+    return files.fashion_products(spark, root).groupBy("text", meta["title"].alias("title"), meta["category"].alias("category")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {_TURNS} SELECT sha1('Styling example. Profile: ' || i || '. Occasion: . Advice: ' || o) AS h, count(*) AS n FROM turns WHERE o <> '' GROUP BY 1")
+def source_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction records from Parquet files with the answer under either name."""
+    root, rows = shared_path(spark, "instructions"), turns(spark, sf_dir)
+    rows.filter("conv_id % 2 = 0").select("input", "completion").write.parquet(f"{root}/a")
+    rows.filter("conv_id % 2 = 1").select("input", F.col("completion").alias("response")).write.parquet(f"{root}/b")
+    return files.style_instructions(spark, root).groupBy(F.sha1(F.col("text").cast("binary")).alias("h")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type AS element, day(ts)::INTEGER AS year, count(*) AS n, round(sum(value), 2) AS total FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2")
+def source_trends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trend annotations from CSV files with a header."""
+    path = shared_path(spark, "trends")
+    annotations(spark, sf_dir).filter("element IS NOT NULL").select("element", F.lit("x, \"y\"").alias("context"), "year", "trend_score").write.option("header", "true").option("escape", '"').csv(path)
+    return files.trend_annotations(spark, path).groupBy("element", "year").agg(F.count("*").alias("n"), F.round(F.sum("trend_score"), 2).alias("total"))
+
+
+@query("SELECT count(*) AS lines, sum(length(text) - length(replace(text, chr(10), '')))::BIGINT AS breaks FROM (SELECT replace(replace(text, chr(13), ' '), chr(10), ' ') AS text FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)")
+def source_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as text files, a line each, read by the data source of lines."""
+    path = shared_path(spark, "lines")
+    flat = F.regexp_replace("text", r"[\r\n]", " ")
+    table(spark, sf_dir, "documents").filter("text IS NOT NULL AND doc_id IS NOT NULL").select(flat.alias("value")).write.text(path)
+    return read_lines(spark, path).agg(F.count("*").alias("lines"), F.sum(F.length("value") - F.length(F.replace("value", F.lit("\n"), F.lit("")))).alias("breaks"))
+
+
 # -- pairs, trends, regions --------------------------------------------------------------------------------------
 
 

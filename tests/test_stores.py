@@ -129,8 +129,11 @@ def test_projection_learns_and_loss_falls(spark):
     rows = spark.createDataFrame([(i, f"l{i % 4}", [*(2.0 * (np.arange(4) == i % 4) + 0.4 * rng.normal(size=4)).tolist(), *(3 * rng.normal(size=4)).tolist()]) for i in range(300)], "id long, label string, v array<double>")
     weights = spark.createDataFrame([(f"l{i}", f"l{i}", 1.0) for i in range(4)], "a string, b string, weight double")
     w, best = training.train_projection(rows, weights, None, "id", "label", "v", batch=100, epochs=15, rate=0.05)
-    before, after = (training.projection_loss(rows, weights, p, "id", "label", "v", batch=100) for p in (np.eye(8), w))
+    before, after = training.projection_losses(rows, weights, [np.eye(8), w], "id", "label", "v", batch=100)
     assert after < before and best == pytest.approx(-after)
+    one = training.projected(rows.filter("id = 7"), w, "id", "v").first()
+    x = w @ np.array(rows.filter("id = 7").first()["v"])
+    assert one["v"] == pytest.approx((x / np.linalg.norm(x)).tolist())
     with pytest.raises(ValueError):
         training.train_projection(rows.limit(0), weights, None, "id", "label", "v")
 
