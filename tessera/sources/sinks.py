@@ -98,6 +98,16 @@ def write_split(examples: DataFrame, path: str) -> None:
     examples.write.mode("overwrite").partitionBy("part").json(path)
 
 
+def stored_json(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The rows of JSON lines at ``path``; None where nothing is stored yet."""
+    try:
+        return spark.read.schema(schema).json(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def append_captions(captions: DataFrame, path: str) -> None:
     captions.filter(F.coalesce(F.trim("caption"), F.lit("")) != "").write.mode("append").json(path)
 
