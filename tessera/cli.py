@@ -2,11 +2,13 @@
 
     python -m tessera.cli --root DIR data list | data build --source a,b [--limit N] | data smoke QUERY [-n N]
     python -m tessera.cli --root DIR kg add FILE | kg query ENTITY | kg stats | kg path A B | kg who RELATION OBJECT
-    python -m tessera.cli --root DIR kg build --source NAME [--limit N] | kg predict ENTITY [-k N]
-    python -m tessera.cli --root DIR bootstrap IDEA | analyze TOPIC | look IMAGE [--occasion O] | vision
-    python -m tessera.cli route QUERY | info
+    python -m tessera.cli --root DIR kg build --source NAME [--limit N] | kg predict ENTITY [-k N] | kg add-fabrics FILE | kg eval [-n N]
+    python -m tessera.cli --root DIR bootstrap IDEA | analyze TOPIC | look IMAGE [--occasion O] | route QUERY | info
+    python -m tessera.cli --root DIR vision status | vision build | build-runway | build-textures | eval-runway | extract-runway [--per-collection N] [--limit N]
 
-A model is named by --model MODULE:NAME, an object with ``complete(prompt, system)``; without one, replies are empty.
+A model is named by --model MODULE:NAME, an object with ``complete(prompt, system)``; without one, the environment's
+settings name it (see ``settings``). What looks at pictures is named by --eye MODULE:NAME: for the builds a function of
+bytes to a vector, for extract-runway one of (picture, prompt, system) to a reply.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import phrases
-from tessera.operators import capabilities, context, graph, ingest, knowledge, models, perception, retrieval
+from tessera import settings
+from tessera.operators import capabilities, context, graph, ingest, knowledge, models, perception, retrieval, runway, vectors
 from tessera.operators import triples as T
 from tessera.session import session
 from tessera.sources import files, sinks
@@ -36,13 +39,46 @@ def documents(spark: SparkSession, root: str, names: list[str], limit: int | Non
     return out
 
 
-def named_model(name: str | None) -> models.LanguageModel:
-    if not name:
-        return models.EchoModel()
+def named(name: str) -> object:
     module, _, attribute = name.partition(":")
     return getattr(importlib.import_module(module), attribute)
 
 
+def named_model(name: str | None) -> models.LanguageModel:
+    return named(name) if name else settings.model_of(settings.Settings.from_env())
+
+
+def vision(spark: SparkSession, root: str, action: str, eye: str | None, per_collection: int, limit: int | None) -> list[str]:
+    """Index builds over ``raw/``, their check, and the captioning run."""
+    if action == "status":
+        return [f"{n}: {'there' if part is not None else 'missing'}" for n, part in eyes(spark, root).parts.items()]
+    if action == "eval-runway":
+        r = runway.recognition(sinks.read_vectors(spark, f"{root}/runway_index").withColumn("look", F.monotonically_increasing_id())).first()
+        return [f"{k}: {r[k]}" for k in ("top1", "top3", "top5", "lo", "hi", "n_test", "n_labels", "random_top1")]
+    if not eye:
+        raise SystemExit(f"vision {action} needs --eye MODULE:NAME")
+    seen = named(eye)
+    if action == "build":
+        tables = files.tabular_files(spark, f"{root}/raw/fashion-products")
+        if not tables:
+            raise FileNotFoundError(f"no tables under {root}/raw/fashion-products")
+        rows = runway.embedded(files.product_images(tables[0].drop("__path"), limit), seen)
+        sinks.write_vectors(rows, f"{root}/index")
+        return [f"index: {sinks.read_vectors(spark, f'{root}/index').count()}"]
+    looks = files.runway_looks(spark, f"{root}/raw/runway") if action != "build-textures" else None
+    if action == "build-runway":
+        sinks.write_vectors(runway.embedded(looks, seen), f"{root}/runway_index")
+        houses = vectors.centroids(sinks.read_vectors(spark, f"{root}/runway_index"), "designer", "embedding")
+        houses.write.mode("overwrite").parquet(f"{root}/runway")
+        return [f"looks: {sinks.read_vectors(spark, f'{root}/runway_index').count()}, houses: {spark.read.parquet(f'{root}/runway').count()}"]
+    if action == "build-textures":
+        swatches = runway.embedded(files.fabric_swatches(spark, f"{root}/raw/textures"), seen)
+        vectors.centroids(swatches, "fabric", "embedding").write.mode("overwrite").parquet(f"{root}/textures")
+        return [f"fabrics: {spark.read.parquet(f'{root}/textures').count()}"]
+    told = runway.extract(looks.withColumn("look", F.sha1("image")), seen, f"{root}/captions", f"{root}/triples", per_collection, limit).orderBy("designer").collect()
+    return [f"{r['designer']}: looks {r['looks']}, captions {r['captions']}, triples {r['triples_added']}" for r in told] or ["nothing left"]
+
+
 def eyes(spark: SparkSession, root: str) -> perception.Stack:
     """The parts under ``root``: an index, a scorer's head, prototypes of movements and of runway shows; what is not there is missing."""
     table = lambda name: lambda _: files.visual_index(spark, f"{root}/{name}") if name == "index" else sinks.read_vectors(spark, f"{root}/{name}")
@@ -56,7 +92,11 @@ def main(argv: list[str] | None = None) -> list[str]:
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("info")
     sub.add_parser("route").add_argument("query")
-    sub.add_parser("vision")
+    v = sub.add_parser("vision")
+    v.add_argument("action", nargs="?", default="status", choices=("status", "build", "build-runway", "build-textures", "eval-runway", "extract-runway"))
+    v.add_argument("--eye")
+    v.add_argument("--per-collection", type=int, default=3)
+    v.add_argument("--limit", type=int)
     for name in ("bootstrap", "analyze", "look"):
         sub.add_parser(name).add_argument("request")
     sub.choices["look"].add_argument("--occasion", default="")
@@ -70,11 +110,14 @@ def main(argv: list[str] | None = None) -> list[str]:
     smoke.add_argument("-n", type=int, default=5)
     kg = sub.add_parser("kg").add_subparsers(dest="action", required=True)
     kg.add_parser("add").add_argument("file")
+    kg.add_parser("add-fabrics").add_argument("file")
+    kg.add_parser("eval").add_argument("-n", type=int, default=8)
     kg.add_parser("query").add_argument("entity")
     kg.add_parser("stats")
     made = kg.add_parser("build")
     made.add_argument("--source", required=True)
     made.add_argument("--limit", type=int, default=15)
+    made.add_argument("--windows", type=int, default=4, help="windows of each document, 0 for all")
     predict = kg.add_parser("predict")
     predict.add_argument("entity")
     predict.add_argument("-k", type=int, default=5)
@@ -91,9 +134,15 @@ def main(argv: list[str] | None = None) -> list[str]:
         case "info", _:
             lines = [f"root: {a.root}", f"sources: {', '.join(sorted(files.SOURCES))}", f"chunks: {ingest.CHUNK_SIZE}/{ingest.CHUNK_OVERLAP}"]
         case "route", _:
-            lines = [context.classify(spark.createDataFrame([(a.query,)], "q string"), "q").first()["intent"]]
-        case "vision", _:
-            lines = [f"{n}: {'there' if part is not None else 'missing'}" for n, part in eyes(spark, a.root).parts.items()]
+            intent = context.classify(spark.createDataFrame([(a.query,)], "q string"), "q").first()["intent"]
+            store = sinks.read_rows(spark, chunks) if exists(spark, chunks) else None
+            able = capabilities.standard(model, capabilities.Knowledge(store, sinks.open_triples(spark, triples), encoder), eyes(spark, a.root))
+            lines = [intent]
+            if intent in able and intent != "style":  # a look needs its picture
+                result = able[intent].run(spark, a.query)
+                lines += [result.text, *(f"source: {x}" for x in result.sources)]
+        case "vision", action:
+            lines = vision(spark, a.root, action, a.eye, a.per_collection, a.limit)
         case ("bootstrap" | "analyze" | "look") as name, _:
             request: object = a.request
             if name == "look":
@@ -116,9 +165,16 @@ def main(argv: list[str] | None = None) -> list[str]:
         case "kg", "add":
             raw = spark.read.schema("ord long, subject string, relation string, object string, subject_type string, object_type string, source string").json(a.file).fillna("")
             lines = [f"added {sinks.append_triples(T.canonical_triples(raw), triples)}"]
+        case "kg", "add-fabrics":
+            fabrics = spark.read.schema("fabric string, weight string, drape string, warmth string, season array<string>, texture array<string>, properties array<string>").json(a.file)
+            lines = [f"added {knowledge.add_fabrics(fabrics, triples)}"]
+        case "kg", "eval":
+            store = sinks.read_rows(spark, chunks) if exists(spark, chunks) else None
+            told = knowledge.lift_summary(knowledge.answers_of_arms(spark.read.parquet(triples), model, store, encoder, a.n, judge=True)).first()
+            lines = [f"{k}: {told[k]}" for k in told.asDict()]
         case "kg", "build":
             docs = documents(spark, a.root, [a.source], None, "title")
-            new, per = knowledge.build_graph(docs, model, sinks.open_triples(spark, triples), limit=a.limit)
+            new, per = knowledge.build_graph(docs, model, sinks.open_triples(spark, triples), a.windows or None, a.limit)
             told = per.orderBy("ord").collect()  # a.limit documents
             sinks.append_triples(new, triples)
             lines = [f"{r['title']}: +{r['added']}" for r in told] + [f"docs {len(told)}, triples {sum(r['added'] for r in told)}"]

@@ -62,5 +62,34 @@ def test_command_line(spark, tmp_path):
     assert cli.main([*at, "kg", "path", "Miu Miu", "Milan"]) == ["Miu Miu —part_of→ Prada —based_in→ Milan"]
     assert cli.main([*at, "kg", "who", "based_in", "Milan"]) == ["Prada"]
     assert "triples: 2" in cli.main([*at, "kg", "stats"])
-    assert cli.main(["route", "start a brand from scratch"]) == ["bootstrap"]
+    assert cli.main([*at, "route", "start a brand from scratch"])[:2] == ["bootstrap", ""]  # the echoing model has nothing to say
+    assert cli.main([*at, "route", "the weather is nice"]) == ["unknown"]
+    (tmp_path / "f.json").write_text(json.dumps({"fabric": "loden", "weight": "heavy", "drape": "", "warmth": "warm", "season": ["winter"], "texture": ["felted"], "properties": ["dense"]}))
+    assert cli.main([*at, "kg", "add-fabrics", str(tmp_path / "f.json")]) == ["added 5"]
+    assert cli.main([*at, "kg", "add-fabrics", str(tmp_path / "f.json")]) == ["added 0"]
+    assert "judge_tie: 2" in cli.main([*at, "kg", "eval", "-n", "2"])
     assert len(cli.main(["data", "list"])) == 3 and cli.main(["info"])
+
+
+def test_vision_commands(spark, tmp_path):
+    (tmp_path / "eye_for_tests.py").write_text("def embed(image):\n    return [1.0, 0.0] if image[0] == 97 else [0.0, 1.0]\n\n\ndef tell(image, prompt, system):\n    return '{\"caption\": \"a look\", \"materials\": [\"wool felt\"]}'\n")
+    shows = tmp_path / "raw/runway"
+    for house, first in (("Marni", b"a"), ("Prada", b"zz")):
+        for n in range(6):
+            folder = shows / house / f"show{n % 3}"
+            folder.mkdir(parents=True, exist_ok=True)
+            (folder / f"{n}.json").write_text(json.dumps({"designer": house, "show": f"show{n % 3}", "season": "Fall 2026"}))
+            (folder / f"{n}.png").write_bytes(first * (3 if house == "Marni" else 30) + str(n).encode())
+    swatches = tmp_path / "raw/textures/Wool"
+    swatches.mkdir(parents=True)
+    (swatches / "1.png").write_bytes(b"abc")
+    at = ["--root", str(tmp_path), "vision"]
+    spark.sparkContext.addPyFile(str(tmp_path / "eye_for_tests.py"))
+    assert cli.main([*at, "build-runway", "--eye", "eye_for_tests:embed"]) == ["looks: 12, houses: 2"]
+    assert "top1: 1.0" in cli.main([*at, "eval-runway"])
+    assert cli.main([*at, "build-textures", "--eye", "eye_for_tests:embed"]) == ["fabrics: 1"]
+    assert cli.main([*at, "extract-runway", "--eye", "eye_for_tests:tell", "--per-collection", "1"]) == ["Marni: looks 3, captions 3, triples 2", "Prada: looks 3, captions 3, triples 2"]
+    assert cli.main([*at, "extract-runway", "--eye", "eye_for_tests:tell", "--per-collection", "1"]) == ["nothing left"]
+    assert "runway: there" in cli.main(at)
+    with pytest.raises(SystemExit):
+        cli.main([*at, "build"])
