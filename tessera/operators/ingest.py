@@ -10,22 +10,30 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as X
 from tessera.functions.phrases import filled
+from tessera.sources.storage import materialise
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 CHUNK_SIZE, CHUNK_OVERLAP = 512, 64
 
 
 def dedup_first(docs: DataFrame, text_col: str = "text", scope: tuple[str, ...] = ("source",), order: str = "ord") -> DataFrame:
-    """The first row of each content hash within its scope (one source). Hot hashes are reduced before the shuffle."""
-    keyed = docs.withColumn("__hash", X.content_hash(F.col(text_col)))
-    rest = [c for c in docs.columns if c not in scope and c != order]
-    best = keyed.groupBy(*scope, "__hash").agg(F.min(F.struct(order, *rest)).alias("r"))
-    return best.select(*(F.col(c) if c in scope else F.col(f"r.{c}").alias(c) for c in docs.columns))
+    """The first row of each content hash within its scope (one source); ``order`` tells rows apart.
+
+    Hashes alone are aggregated, and combined before the shuffle; texts move once, to meet the places that stay, and not
+    at all where the caller asks for other columns only.
+    """
+    hashed = docs.select(*scope, order, X.content_hash(F.col(text_col)).alias("__hash"))
+    firsts = hashed.groupBy(*scope, "__hash").agg(F.min(order).alias("__first")).select("__first")
+    return docs.join(firsts, F.col(order) == F.col("__first"), "left_semi")
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", min_chars: int = X.MIN_CHARS, min_words: int = X.MIN_WORDS, scope: tuple[str, ...] = ("source",), order: str = "ord", compose: bool = True) -> DataFrame:
-    """Cleaned text, quality gate, dedup; all other columns stay."""
-    cleaned = docs.withColumn(text_col, X.clean_text(F.col(text_col), compose))
+    """Cleaned text, quality gate, dedup; all other columns stay.
+
+    Texts are cleaned once: the gate and the hash look at what is written out, where a filter that Spark moves below the
+    cleaning would do it again for each of its terms.
+    """
+    cleaned = materialise(docs.withColumn(text_col, X.clean_text(F.col(text_col), compose)), "cleaned")
     return dedup_first(cleaned.filter(~X.is_low_quality(F.col(text_col), min_chars, min_words)), text_col, scope, order)
 
 
