@@ -22,11 +22,21 @@ def pair_metrics(pairs: DataFrame, winner: str, loser: str) -> DataFrame:
     return pairs.agg(F.avg(F.log1p(F.exp(-d))).alias("loss"), F.avg((d > 0).cast("int")).alias("accuracy"))
 
 
+#: Rows that may meet in one batch: each meets each.
+BATCH_ROWS = 8192
+
+
+def _one_batch(rows: DataFrame, batch: Column | None) -> None:
+    if batch is None and rows.limit(BATCH_ROWS + 1).count() > BATCH_ROWS:
+        raise ValueError(f"more than {BATCH_ROWS} rows: deal them into batches")
+
+
 def info_nce(pairs: DataFrame, scale: float = 100.0, batch: Column | None = None) -> DataFrame:
     """One row (loss): symmetric InfoNCE of (id, image, text) vectors, averaged over batches; the pairs of a batch meet.
 
-    Without ``batch`` all rows are one batch, as a training step's are.
+    Without ``batch`` all rows are one batch, as a training step's are; ValueError if they are more than ``BATCH_ROWS``.
     """
+    _one_batch(pairs, batch)
     by = F.lit(0) if batch is None else batch
     a = pairs.select(by.alias("batch"), F.col("id").alias("i"), V.normalized(F.col("image")).alias("x"))
     b = pairs.select(by.alias("batch"), F.col("id").alias("j"), V.normalized(F.col("text")).alias("y"))
@@ -43,8 +53,10 @@ def info_nce(pairs: DataFrame, scale: float = 100.0, batch: Column | None = None
 def supervised_contrastive(rows: DataFrame, weights: DataFrame, temperature: float = 0.1, batch: Column | None = None) -> DataFrame:
     """One row (loss): weighted contrastive loss of (id, label, v), averaged over batches; ``weights(a, b, weight)`` between labels.
 
-    A row's own pair is masked; its weights are scaled to sum to one; rows without weight are left out.
+    A row's own pair is masked; its weights are scaled to sum to one; rows without weight are left out. Without ``batch``
+    all rows are one, ``BATCH_ROWS`` at most.
     """
+    _one_batch(rows, batch)
     by = F.lit(0) if batch is None else batch
     a = rows.select(by.alias("batch"), F.col("id").alias("i"), F.col("label").alias("a"), V.normalized(F.col("v")).alias("x"))
     b = rows.select(by.alias("batch"), F.col("id").alias("j"), F.col("label").alias("b"), V.normalized(F.col("v")).alias("y"))

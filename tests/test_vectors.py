@@ -99,3 +99,11 @@ def test_language_model_interface(spark):
 
     got = {r["id"]: r["reply"] for r in models.completed(rows, "p", Failing({"hi": "hello"}, "?")).collect()}
     assert got == {1: "hello", 2: "", 3: "?"}
+
+
+def test_losses_refuse_one_batch_of_everything(spark, monkeypatch):
+    monkeypatch.setattr(models, "BATCH_ROWS", 3)
+    rows = spark.createDataFrame([(i, [1.0, float(i)], [1.0, float(i)]) for i in range(5)], "id int, image array<double>, text array<double>")
+    with pytest.raises(ValueError):
+        models.info_nce(rows)
+    assert models.info_nce(rows, batch=F.col("id") % 2).first()["loss"] >= 0
