@@ -201,7 +201,7 @@ def cluster(vectors: DataFrame, k: int = 8, rounds: int = 10, scale: int = 1024,
     state = materialise(rows.mapInArrow(start, STATE), "clusters")
     for _ in range(rounds):
         each = state.select(F.posexplode("sums").alias("at", "x")).groupBy("at").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x"))
-        sums = dict(each.toLocalIterator())  # k sums of ``size`` components
+        sums = dict(map(tuple, each.collect()))  # k sums of ``size`` components
         total = [[int(sums[c * (size + 1) + i]) for i in range(size + 1)] for c in range(k)]
         new = np.array([[x // t[-1] for x in t[:-1]] if t[-1] else list(centroids[c]) for c, t in enumerate(total)], dtype=np.int64)
         drift = np.sqrt(((new - centroids) ** 2).sum(1).astype(np.float64))

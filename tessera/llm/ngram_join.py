@@ -159,7 +159,7 @@ def column_order(counts: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(top, pa.binary())], names=["segment", "counts"])
 
     out = np.zeros((COUNTERS // SEGMENT, SEGMENT), dtype=np.uint8)
-    for segment, c in counts.repartition("segment").mapInArrow(run, "segment int, counts binary").toLocalIterator():
+    for segment, c in counts.repartition("segment").mapInArrow(run, "segment int, counts binary").collect():
         out[segment] = np.frombuffer(c, dtype=np.uint8)
     return out.ravel()
 
