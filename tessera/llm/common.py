@@ -48,6 +48,10 @@ def discard(df: DataFrame) -> None:
     fs.delete(at, True)
 
 
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 #: Plan nodes under which a row of a file stays one row.
 PLAIN = re.compile(r"(?:Project|Filter|SubqueryAlias|Relation|LogicalRelation)\b")
 

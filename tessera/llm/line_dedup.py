@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import located, materialise, release, slices
+from tessera.llm.common import located, materialise, release, shuffle_partitions, slices
 from tessera.llm.linking import block_links, hub_members, near_classes, promising
 
 #: Unicode's white space without the line feed.
@@ -524,14 +524,16 @@ def agreeing(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, budget: Bu
     def possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                (size_a, x), (size_b, y) = (read_sketches(batch.column(i).to_pylist()) for i in (2, 3))
+                (size_a, x), (size_b, y) = (sketch_column(batch.column(i)) for i in (2, 3))
                 most = budget.of(np.minimum(size_a, size_b))
-                keep = pa.array((np.abs(size_a - size_b) <= most) & letters_allow(x, y, most))
-                yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
+                near = np.nonzero(np.abs(size_a - size_b) <= most)[0]
+                keep = pa.array(near[letters_allow(x, y, near, near, most[near])])
+                yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in (0, 1)], names=["a", "b"])
 
-    told = pairs.join(sketches.toDF("a", "x"), "a").join(sketches.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    parts = shuffle_partitions(pairs)  # rows are few bytes and much work: Spark is not to lower the number of tasks
+    told = pairs.join(sketches.toDF("a", "x"), "a").repartition(parts, "b").join(sketches.toDF("b", "y"), "b").select("a", "b", "x", "y")
     pairs = materialise(told.mapInArrow(possible, "a long, b long"), "possible")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").repartition(parts, "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     both = both.select("a", "b", "x", "y", budget.column(F.least(F.length("x"), F.length("y"))).alias("most"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -560,24 +562,44 @@ def read_sketches(sketches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(rows[:, :4]).view("<u4")[:, 0].astype(np.int64), rows[:, 4:].astype(np.int16)
 
 
-def letters_allow(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-    """Whether letter counts leave room for ``most`` edits, pair by pair."""
-    off = a - b
-    return np.maximum(np.where(off > 0, off, 0).sum(1), -np.where(off < 0, off, 0).sum(1)) <= most
+def sketch_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """``read_sketches`` of an Arrow column without nulls, from its buffer."""
+    start, data = np.frombuffer(column.buffers()[1], np.int32, 1, 4 * column.offset)[0], column.buffers()[2]
+    return read_sketches([memoryview(data)[start : start + 36 * len(column)]] if len(column) else [])
+
+
+#: Pairs whose letters are compared at once; kinds of letters are compared in so many joint ones first.
+COMPARED, JOINT = 16_384, 8
+
+
+def letters_allow(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Whether letter counts leave room for ``most`` edits, for each pair of a row ``p`` of ``a`` and a row ``q`` of ``b``.
+
+    Sums over joint kinds differ by no more than the kinds do, so they rule pairs out first.
+    """
+    out = np.zeros(len(p), bool)
+    joint_a, joint_b = (np.ascontiguousarray(x.reshape(len(x), JOINT, -1).sum(2, dtype=np.int16)) for x in (a, b))
+    total_a, total_b = (x.sum(1, dtype=np.int64) for x in (a, b))
+    for start in range(0, len(p), COMPARED):
+        at = np.arange(start, min(start + COMPARED, len(p)))
+        more = np.abs(total_a[p[at]] - total_b[q[at]])  # of two sides' surplus the greater is half of both and their difference
+        for x, y in ((joint_a, joint_b), (a, b)):
+            left = np.abs(x[p[at]] - y[q[at]]).sum(1, dtype=np.int64) + more <= 2 * most[at]
+            at, more = at[left], more[left]
+        out[at] = True
+    return out
 
 
 def block_filter(budget: Budget):
     """What ``linking.promising`` needs to rule out lines by their sketches."""
 
     def make():
-        def may_link(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        def may_link(a: list[bytes], b: list[bytes], asked: np.ndarray) -> np.ndarray:
             (size_a, x), (size_b, y) = read_sketches(a), read_sketches(b)
             most = budget.of(np.minimum(size_a[:, None], size_b[None, :]))
-            out = np.abs(size_a[:, None] - size_b[None, :]) <= most
+            out = asked & (np.abs(size_a[:, None] - size_b[None, :]) <= most)
             i, j = np.nonzero(out)
-            for start in range(0, len(i), 16_384):
-                p, q = i[start : start + 16_384], j[start : start + 16_384]
-                out[p, q] = letters_allow(x[p], y[q], most[p, q])
+            out[i, j] = letters_allow(x, y, i, j, most[i, j])
             return out
 
         return may_link

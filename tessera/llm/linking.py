@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import discard, materialise
+from tessera.llm.common import discard, materialise, shuffle_partitions
 
 Pairs = Callable[[DataFrame], DataFrame]
 
@@ -92,7 +92,8 @@ def dealt_blocks(groups: DataFrame, carried: DataFrame, *columns: str) -> DataFr
     """(hub, x, y, side, node, component, columns...): members outside (side 0) against all members (side 1), in blocks.
 
     A hub's outside members and its members are dealt into shares of bounded size; each pair of shares is a block.
-    ``columns`` are those of ``groups`` or of ``carried(node, ...)``.
+    ``columns`` are those of ``groups`` or of ``carried(node, ...)``. A block is much work for few bytes, so the number
+    of partitions is a given one, which Spark does not lower by their size.
     """
     ceil = lambda x, n: F.ceil(F.col(x) / n).cast("int")
     sized = groups.withColumn("o", ceil("n_outside", BLOCK_OUTSIDE)).withColumn("m", ceil("n_members", BLOCK_MEMBERS))
@@ -102,7 +103,7 @@ def dealt_blocks(groups: DataFrame, carried: DataFrame, *columns: str) -> DataFr
     outside = sized.filter("outside").select("hub", share("o").alias("x"), every("m").alias("y"), F.lit(0).alias("side"), *own)
     members = sized.select("hub", every("o").alias("x"), share("m").alias("y"), F.lit(1).alias("side"), *own)
     rows = outside.unionByName(members).join(carried.select("node", *(c for c in columns if c not in groups.columns)), "node")
-    return rows.select("hub", "x", "y", "side", "node", "component", *columns).repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y", "side")
+    return rows.select("hub", "x", "y", "side", "node", "component", *columns).repartition(shuffle_partitions(rows), "hub", "x", "y").sortWithinPartitions("hub", "x", "y", "side")
 
 
 Side = tuple[list[int], list[int], list]
@@ -126,14 +127,16 @@ def each_block(batches: Iterator[pa.RecordBatch], read: Callable) -> Iterator[tu
 def promising(groups: DataFrame, sketches: DataFrame, make: Callable[[], Callable]) -> DataFrame:
     """``groups`` without the members whose sketch rules out a link to any other member of another component.
 
-    ``make()`` runs once per task and gives ``may_link(a, b)``: two lists of sketches to a matrix of booleans.
+    ``make()`` runs once per task and gives ``may_link(a, b, asked)``: two lists of sketches to a matrix of booleans,
+    of which only those ``asked`` for count.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may_link = make()
         hubs, nodes = [], []
         for hub, (nodes_a, groups_a, a), (nodes_b, groups_b, b) in each_block(batches, lambda value: value):
-            open_ = may_link(a, b) & (np.array(groups_a)[:, None] != np.array(groups_b)[None, :]) & (np.array(nodes_b) != hub)[None, :]
+            asked = (np.array(groups_a)[:, None] != np.array(groups_b)[None, :]) & (np.array(nodes_b) != hub)[None, :]
+            open_ = may_link(a, b, asked) & asked
             found = [nodes_a[i] for i in np.nonzero(open_.any(1))[0]] + [nodes_b[j] for j in np.nonzero(open_.any(0))[0]]
             nodes += found
             hubs += [hub] * len(found)

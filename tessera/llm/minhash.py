@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Memo, map_text, materialise, resource
+from tessera.llm.common import Memo, map_text, materialise, resource, shuffle_partitions
 from tessera.llm.linking import block_links, hub_members, near_classes, promising
 
 #: Registers, base and rate of the sketch; bands of ROWS registers. A pair at 0.85 misses all 32 bands of 4 with a
@@ -125,7 +125,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, threshold: int) ->
     hubs = shares.join(texts, F.col("a") == F.col("node")).select("a", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(None).cast("long").alias("b"), "text")
     members = pairs.join(shares, "a").join(texts, F.col("b") == F.col("node"))
     members = members.select("a", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int").alias("share"), "b", "text")
-    rows = hubs.unionByName(members).repartition("a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
+    rows = hubs.unionByName(members).repartition(shuffle_partitions(pairs), "a", "share").sortWithinPartitions("a", "share", F.col("b").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = resource(f"shingler:{words}", lambda: Shingler(words))
@@ -172,11 +172,13 @@ def block_estimator(least: float):
     """What ``linking.promising`` needs to rule out sets by their sketches (n as 8 bytes, then the registers)."""
 
     def make():
-        def may_link(a: list[bytes], b: list[bytes]) -> np.ndarray:
+        def may_link(a: list[bytes], b: list[bytes], asked: np.ndarray) -> np.ndarray:
             (n_a, x), (n_b, y) = ((np.array([int.from_bytes(s[:8], "big") for s in side]), np.frombuffer(b"".join(s[8:] for s in side), dtype=np.uint16).reshape(-1, M)) for side in (a, b))
             out = np.zeros((len(a), len(b)), dtype=bool)
             for i in range(len(a)):  # a row of the block at a time bounds its memory
-                out[i] = estimate(np.broadcast_to(x[i], y.shape), y, np.full(len(b), n_a[i]), n_b) >= least
+                j = np.nonzero(asked[i])[0]
+                if len(j):
+                    out[i, j] = estimate(np.broadcast_to(x[i], (len(j), M)), y[j], np.full(len(j), n_a[i]), n_b[j]) >= least
             return out
 
         return may_link

@@ -219,7 +219,7 @@ def similar_sets(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: s
         return confirmed(materialise(likely, "likely"), texts, words, threshold)
 
     def bounds():
-        return lambda a, b: may_reach_all([(int.from_bytes(s[:8], "big"), s[8:]) for s in a], [(int.from_bytes(s[:8], "big"), s[8:]) for s in b], threshold)
+        return lambda a, b, asked: may_reach_all([(int.from_bytes(s[:8], "big"), s[8:]) for s in a], [(int.from_bytes(s[:8], "big"), s[8:]) for s in b], threshold)
 
     def product():
         shingler = shingler_of(words)

@@ -266,3 +266,25 @@ def test_estimates_follow_the_similarity():
             got = minhash.estimate(minhash.registers(a)[None], minhash.registers(b)[None], np.array([1000]), np.array([1000]))[0]
             errors.append(got - true)
         assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < minhash.MARGIN
+
+
+def test_letters_allow_as_sums_of_surplus_do(monkeypatch):
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(L, "COMPARED", 1000)
+    a, b = (rng.integers(0, 9, (60, 32)).astype(np.int16) for _ in range(2))
+    b[:20] = a[:20] + rng.integers(0, 2, (20, 32))
+    p, q = (x.ravel() for x in np.mgrid[0:60, 0:60])
+    most = rng.integers(0, 60, len(p))
+    off = (a[p] - b[q]).astype(int)
+    want = np.maximum(np.where(off > 0, off, 0).sum(1), np.where(off < 0, -off, 0).sum(1)) <= most
+    assert 0 < want.sum() < len(p) and L.letters_allow(a, b, p, q, most).tolist() == want.tolist()
+
+
+def test_blocks_and_pairs_keep_the_number_of_partitions(spark):
+    """Few bytes are much work here: adaptive execution must not put all blocks, or all pairs, into one task."""
+    groups = spark.range(64).selectExpr("id % 8 AS hub", "0 AS salt", "id AS node", "id AS component", "true AS outside", "8L AS n_outside", "8L AS n_members")
+    dealt = linking.dealt_blocks(groups, spark.range(64).selectExpr("id AS node", "'x' AS text"), "outside", "text")
+    texts = spark.range(64).selectExpr("id AS node", "concat('the line of number ', id) AS text")
+    near = L.agreeing(spark.range(32).selectExpr("id AS a", "id + 32 AS b"), texts, L.sketched(texts), L.BUDGET)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert n > 1 and [df.rdd.getNumPartitions() for df in (dealt, near)] == [n, n]
