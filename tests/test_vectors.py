@@ -107,3 +107,33 @@ def test_losses_refuse_one_batch_of_everything(spark, monkeypatch):
     with pytest.raises(ValueError):
         models.info_nce(rows)
     assert models.info_nce(rows, batch=F.col("id") % 2).first()["loss"] >= 0
+
+
+def test_best_of_tiles_with_ties_and_gaps():
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.normal(size=(7, 60)), 1)  # many ties
+    scores[0, :57], scores[1, :], scores[2, 5] = -np.inf, np.nan, np.nan
+    ids = rng.permutation(60)
+    best = S.Best(7, 4)
+    for start in range(0, 60, 11):
+        for first in (0, 3, 6):
+            best.add(scores[first : first + 3, start : start + 11], ids[start : start + 11], first)
+    got = sorted(zip(best.query.tolist(), (-best.score).tolist(), best.row.tolist()))
+    want = [sorted((q, -s, i) for s, i in zip(scores[q].tolist(), ids.tolist()) if s > -np.inf)[:4] for q in range(7)]
+    assert got == [x for some in want for x in some]
+
+
+def test_a_block_of_queries_takes_little_memory(spark):
+    """Before, a full block met a batch of 10,000 rows in matrices of 330 MB each."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    q, m, best = rng.normal(size=(S.QUERY_BLOCK, 8)), rng.normal(size=(10_000, 8)), S.Best(S.QUERY_BLOCK, 12)
+    tracemalloc.start()
+    for start in range(0, len(m), S.TILE[1]):
+        for first in range(0, len(q), S.TILE[0]):
+            part = m[start : start + S.TILE[1]]
+            best.add(np.round(q[first : first + S.TILE[0]] @ part.T, 10), np.arange(start, start + len(part)), first)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert len(best.row) == 12 * len(q)
