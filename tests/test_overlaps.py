@@ -144,3 +144,17 @@ def test_blocks_of_cells_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, cells.search(index, df, 5).collect())) == whole
     empty = cells.build_index(df.limit(0), shared_path(spark, "cells"))
     assert cells.search(empty, df, 5).collect() == [] and cells.candidates(empty, df).collect() == []
+
+
+def test_owners_of_equal_sets_are_one_class(spark, monkeypatch):
+    """Nearly all owners have one set here: only classes are compared, and every pair of owners comes out once."""
+    monkeypatch.setattr(overlaps, "SHARE", 7)
+    sets = {f"o{i:03}": "abcdefghij" if i % 20 else "abcdefghi" if i % 40 else "xyz" for i in range(120)}
+    owned = spark.createDataFrame([(o, c) for o, s in sets.items() for c in s], "owner string, concept string")
+    members, firsts = overlaps.classes(owned)
+    assert members.count() == 120 and sorted(r["owner"] for r in firsts.select("owner").distinct().collect()) == ["o000", "o001", "o020"]
+    want = {(a, b): len(set(x) & set(y)) / len(set(x) | set(y)) for a, x in sets.items() for b, y in sets.items() if a < b and set(x) & set(y)}
+    for found in (overlaps.jaccard_pairs(owned), overlaps.similar_owners(owned, 0.8)):
+        rows = found.collect()
+        assert len(rows) == len(want) and {(r["a"], r["b"]): round(r["jaccard"], 9) for r in rows} == {k: round(v, 9) for k, v in want.items()}
+    assert overlaps.jaccard_total(owned).first()["j"] == pytest.approx(sum(want.values()))
