@@ -186,3 +186,28 @@ def test_a_hub_is_expanded_towards_its_targets_only(spark, monkeypatch):
     asked = spark.createDataFrame([("n1", "n2")], "src string, dst string")
     assert graph.paths_between(graph_of(spark, edges), asked, 3).count() == 1
     assert sum(sizes) <= 2
+
+
+def test_near_texts_against_brute_force_without_a_join_of_pairs(spark):
+    """Texts that share words with all others: pairs are scored where the rows are, and no row for a pair is shuffled."""
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(f"t{i:02}", " ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(0, 30)))) for i in range(60)] + [("t07", "a second row b"), ("t61", None)], "doc_id string, text string").repartition(3)
+    told = encoders.fit_tfidf(docs).encode(docs).cache()
+    near = encoders.nearest_texts(told.filter("id < 't20'"), told, 4, exclude_self=True)
+    assert "Join" not in near._jdf.queryExecution().toString()
+    vectors = {r["id"]: {s["feature"]: s["weight"] for s in r["vector"]} for r in told.collect()}
+    want = []
+    for q in sorted(x for x in vectors if x < "t20"):
+        sims = sorted((-round(sum(w * vectors[o].get(f, 0.0) for f, w in vectors[q].items()), 8), o) for o in vectors if o != q and set(vectors[q]) & set(vectors[o]))
+        want += [(q, i, o, round(-s, 4)) for i, (s, o) in enumerate(sims[:4], 1)]
+    assert sorted((r["query_id"], r["rank"], r["row_id"], round(r["score"], 4)) for r in near.collect()) == want
+    assert len(vectors["t07"]) >= 2 and vectors["t61"] == {}
+
+
+def test_shares_of_queries_hold_a_bounded_table(monkeypatch):
+    monkeypatch.setattr(encoders, "ABREAST", 8)
+    monkeypatch.setattr(encoders, "TABLE", 40)
+    ends = np.arange(0, 101, 5)  # 20 queries of 5 features each, none in common
+    cuts = encoders.shares(ends, np.arange(100))
+    assert [c[0] for c in cuts[1:]] == [c[1] for c in cuts[:-1]] and (cuts[0][0], cuts[-1][1]) == (0, 20)
+    assert all((b - a) ** 2 * 5 <= 40 for a, b in cuts)
