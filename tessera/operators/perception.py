@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import naming
+from tessera.operators.triples import said_once
 
 #: Garment labels that are kept, and the least share of the picture.
 GARMENTS = ("Hat", "Upper-clothes", "Skirt", "Pants", "Dress", "Belt", "Left-shoe", "Right-shoe", "Bag", "Scarf", "Sunglasses")
@@ -52,7 +53,7 @@ def parse_look(raw: Column) -> Column:
 
 
 def look_triples(looks: DataFrame, look_col: str = "look") -> DataFrame:
-    """Raw triples of (ord, designer, season, look struct): silhouettes, materials, aesthetics and the season."""
+    """Raw triples of (ord, designer, season, look struct): silhouettes, materials, aesthetics and the season, each fact once."""
     fields = (("has_silhouette", "silhouettes", "silhouette"), ("uses_material", "materials", "material"), ("known_for", "aesthetics", "aesthetic"))
 
     def told(relation: str, name: str, kind: str) -> Column:
@@ -61,7 +62,7 @@ def look_triples(looks: DataFrame, look_col: str = "look") -> DataFrame:
     parts = [told(*f) for f in fields]
     era = F.when(F.coalesce(F.col("season"), F.lit("")) != "", F.array(F.struct(F.lit("from_era").alias("relation"), F.col("season").alias("object"), F.lit("era").alias("object_type")))).otherwise(F.array().cast("array<struct<relation:string,object:string,object_type:string>>"))
     rows = looks.select("ord", F.col("designer").alias("subject"), F.posexplode(F.concat(*parts, era)).alias("i", "t"))
-    return rows.select((F.col("ord") * 100 + F.col("i")).alias("ord"), "subject", "t.relation", "t.object", F.lit("designer").alias("subject_type"), "t.object_type", F.lit("vlm_runway").alias("source"))
+    return said_once(rows.select((F.col("ord") * 100 + F.col("i")).alias("ord"), "subject", "t.relation", "t.object", F.lit("designer").alias("subject_type"), "t.object_type", F.lit("vlm_runway").alias("source")))
 
 
 def regions(pixels: DataFrame, by: str = "image", labels: tuple[str, ...] = GARMENTS, min_area: float = MIN_AREA) -> DataFrame:

@@ -43,6 +43,14 @@ def first_per_key(triples: DataFrame) -> DataFrame:
     return best.select("ord", *(F.col(f"r.{c}").alias(c) for c in rest), *KEY).select(*[c for c in COLUMNS if c in {"ord", *rest, *KEY}])
 
 
+def said_once(raw: DataFrame) -> DataFrame:
+    """Rows that differ in ``ord`` alone as the first of them: the hash aggregate leaves each task as few rows as there are facts.
+
+    ``first_per_key`` keeps the same rows, but it sorts all that it gets in every task.
+    """
+    return raw.groupBy(*(c for c in raw.columns if c != "ord")).agg(F.min("ord").alias("ord")).select(*raw.columns)
+
+
 def canonical_triples(raw: DataFrame, unaccent: bool = True) -> DataFrame:
     """Raw (ord, subject, relation, object, subject_type, object_type, source) as a valid, distinct triple table."""
     return first_per_key(with_keys(raw, unaccent).filter("valid").drop("valid"))
@@ -119,7 +127,7 @@ def descriptors(triples: DataFrame, relations: tuple[str, ...] = ("known_for", "
 
 
 def fabric_triples(fabrics: DataFrame) -> DataFrame:
-    """Triples of an ontology (fabric, weight, drape, warmth, season, texture, properties): raw rows for canonical_triples."""
+    """Triples of an ontology (fabric, weight, drape, warmth, season, texture, properties): raw rows for canonical_triples, each fact once."""
     said = F.concat(
         F.coalesce("properties", F.array().cast("array<string>")),
         F.array_compact(F.array(F.when(F.col("weight") != "", F.concat("weight", F.lit(" weight"))), F.when(F.col("drape") != "", F.concat("drape", F.lit(" drape"))), F.when(F.col("warmth") != "", F.col("warmth")))),
@@ -127,4 +135,4 @@ def fabric_triples(fabrics: DataFrame) -> DataFrame:
     parts = [(said, "has_property", "property"), (F.col("texture"), "has_texture", "texture"), (F.col("season"), "suits_season", "season")]
     rows = [fabrics.select(F.col("fabric").alias("subject"), F.lit(r).alias("relation"), F.posexplode(v).alias("i", "object"), F.lit("material").alias("subject_type"), F.lit(t).alias("object_type"), F.lit("fabric_ontology").alias("source"), F.lit(n).alias("part")) for n, (v, r, t) in enumerate(parts)]
     out = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    return out.withColumn("ord", F.xxhash64("subject", "part", "i")).drop("i", "part")
+    return said_once(out.withColumn("ord", F.xxhash64("subject", "part", "i")).drop("i", "part"))

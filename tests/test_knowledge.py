@@ -61,6 +61,15 @@ def test_descriptors_and_fabrics(spark):
     assert texts(T.canonical_triples(T.fabric_triples(fabrics)), "relation", "object") == [("has_property", "fluid drape"), ("has_property", "light weight"), ("has_texture", "smooth"), ("suits_season", "summer")]
 
 
+def test_repeated_fabrics_and_looks_are_few_rows_before_they_are_keyed(spark):
+    fabrics = spark.range(300).selectExpr("concat('cloth ', id % 3) AS fabric", "'light' AS weight", "'' AS drape", "'warm' AS warmth", "array('summer') AS season", "array('soft') AS texture", "array('woven') AS properties")
+    assert T.fabric_triples(fabrics).count() == 3 * 5
+    looks = spark.range(300).selectExpr("id AS ord", "concat('house ', id % 3) AS designer", "'Fall' AS season", "named_struct('silhouettes', array('slim'), 'materials', array('wool', 'felt'), 'aesthetics', array('calm')) AS look")
+    told = perception.look_triples(looks)
+    assert told.count() == 3 * 5 and told.agg(F.max("ord")).first()[0] == 204
+    assert T.canonical_triples(told).count() == 15
+
+
 def test_context(spark):
     t = store(spark, ("Prada", "based_in", "Milan"), ("Miu Miu", "part_of", "Prada"))
     queries = spark.createDataFrame([(1, "Tell me about PRADA in Milan"), (2, "something unrelated"), (3, None)], "id int, q string")
