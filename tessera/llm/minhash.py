@@ -29,6 +29,8 @@ M, BASE, RATE, ROWS = 128, 1.001, 20.0, 4
 MARGIN = 0.18
 #: Members that are checked against one copy of their hub's text.
 HUB_SHARE = 256
+#: Bits of the filter that finds the texts of documents that met: what is broadcast has 2^19 rows of 64 at most, however many there are.
+FILTER_BITS = 1 << 25
 #: Shingles that one step of a block's count takes: bounds its memory.
 BLOCK_SHINGLES = 16_384
 
@@ -168,6 +170,18 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def texts_for(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``texts(node, text)`` without most of the rows that are not in ``nodes(node)``; none that is in it gets lost.
+
+    A filter of ``FILTER_BITS`` bits goes to the tasks that read the texts, so that no text is shuffled to be left out.
+    Nodes that share a bit pass with one another, and the joins that follow tell them apart.
+    """
+    place = F.pmod("node", F.lit(FILTER_BITS))
+    bit = F.expr("shiftleft(1L, CAST(pmod(node, 64L) AS INT))")
+    words = nodes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return texts.join(F.broadcast(words), F.shiftright(place, 6) == F.col("word")).filter(F.col("bits").bitwiseAND(bit) != 0).select("node", "text")
+
+
 def block_estimator(least: float):
     """What ``linking.promising`` needs to rule out sets by their sketches (n as 8 bytes, then the registers)."""
 
@@ -217,9 +231,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: int = 80, id_col
     sets = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets")
     band = [F.struct(F.xxhash64(F.lit(i), F.substring("sig", 2 * ROWS * i + 1, 2 * ROWS)).alias("key")) for i in range(M // ROWS)]
     buckets = materialise(hub_members(sets.select("node", F.inline(F.array(*band)))), "buckets")
-    wanted = buckets.select("node").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    texts = materialise(texts.join(wanted, "node", "left_semi"), "texts")
+    texts = materialise(texts_for(texts, buckets.select("node")), "texts")
     least = threshold / 100 - MARGIN
     # a long as 8 bytes, most significant first
     carried = sets.select("node", F.concat(F.to_binary(F.lpad(F.hex("n"), 16, "0"), F.lit("hex")), "sig").alias("sketch"))

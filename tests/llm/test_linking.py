@@ -268,6 +268,23 @@ def test_estimates_follow_the_similarity():
         assert abs(np.mean(errors)) < 0.02 and np.max(np.abs(errors)) < minhash.MARGIN
 
 
+def test_texts_of_documents_that_met_are_found_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FILTER_BITS", 256)
+    ids = [-(1 << 63), -257, -1, 0, 1, 63, 64, 65, 255, 256, 1000, (1 << 63) - 1]
+    texts = spark.createDataFrame([(i, f"text {i}") for i in ids] + [(None, "no id"), (64, "text 64")], "node long, text string")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large to be sent to every task
+    try:
+        for wanted in (ids[::2], ids[1::3], []):
+            found = minhash.texts_for(texts, spark.createDataFrame([(i,) for i in wanted * 2], "node long"))
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+            bits = {i % 256 for i in wanted}
+            assert sorted(r["node"] for r in found.collect()) == sorted(i for i in [*ids, 64] if i % 256 in bits)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
 def test_letters_allow_as_sums_of_surplus_do(monkeypatch):
     rng = np.random.default_rng(5)
     monkeypatch.setattr(L, "COMPARED", 1000)
