@@ -12,7 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.storage import file_system, shared_path
+from tessera.sources.storage import file_system, shared_path, shuffle_partitions  # noqa: F401  (the operators import it from here)
 
 #: Batches are cut so that one holds about this many bytes of text (a longer text is a batch of its own).
 BATCH_CHARS = 2_000_000
@@ -48,10 +48,6 @@ def discard(df: DataFrame) -> None:
     fs.delete(at, True)
 
 
-def shuffle_partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 #: Plan nodes under which a row of a file stays one row.
 PLAIN = re.compile(r"(?:Project|Filter|SubqueryAlias|Relation|LogicalRelation)\b")
 

@@ -122,3 +122,20 @@ def test_products(spark):
     rows = spark.createDataFrame([("Nike Court Sneakers", "Men", "White"), ("", None, None), (None, "Men", "nan"), ("Bag", "", None)], "name string, gender string, baseColour string")
     got = rows.select(phrases.describe_product(F.col("name"), {c: F.col(c) for c in ("gender", "baseColour")}).alias("d")).collect()
     assert [r["d"] for r in got] == ["Nike Court Sneakers. gender: Men; baseColour: White", "", "Fashion product. gender: Men", "Bag"]
+
+
+def test_star_facts_are_told_once_and_as_the_sql_has_them(spark):
+    """Parts share names: what they repeat is combined before it is keyed, and the triples stay the same."""
+    import duckdb
+
+    from tessera.plans import catalog
+
+    at = "/root/testdata/sf0.001"
+    facts = [c for c in catalog.raw_triples(spark, at).columns if c != "ord"]
+    raw = catalog.raw_triples(spark, at).select(*facts)
+    assert raw.count() == raw.distinct().count()
+    con = duckdb.connect()
+    for n in catalog.STAR:
+        con.execute(f"CREATE VIEW {n} AS SELECT * FROM '{at}/{n}.parquet'")
+    wanted = con.execute(f"WITH {catalog.KG} SELECT ord, subject, relation, object, subject_key, object_key FROM triples").fetchall()
+    assert sorted(map(tuple, catalog.kg_build_triples(spark, at).collect())) == sorted(wanted)
