@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,8 +35,23 @@ def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, SPACE, " "))
 
 
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: t if t is None else unicodedata.normalize("NFKC", t))
+#: Bytes of text that are Python strings at a time (a longer text is so by itself).
+COMPOSED_BYTES = 1_000_000
+
+
+def _nfkc(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for texts in batches:
+        start = held = 0
+        for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+            if held and held + n > COMPOSED_BYTES:
+                yield _composed(texts.slice(start, i - start))
+                start, held = i, 0
+            held += n
+        yield _composed(texts.slice(start))
+
+
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([t if t is None else unicodedata.normalize("NFKC", t) for t in texts.to_pylist()], texts.type)
 
 
 def beyond_ascii(c: Column) -> Column:
@@ -43,8 +60,11 @@ def beyond_ascii(c: Column) -> Column:
 
 
 def nfkc(c: Column) -> Column:
-    """Compatibility composition. Spark has no such function; texts beyond ASCII go to Python in Arrow batches."""
-    return F.coalesce(F.pandas_udf(_nfkc, "string")(beyond_ascii(c)), c)
+    """Compatibility composition. Spark has no such function; texts beyond ASCII go to Python in Arrow batches.
+
+    A batch, 64 MB at most as Spark has it, stays in Arrow's form; a slice of it at a time is composed and sent back.
+    """
+    return F.coalesce(F.arrow_udf(_nfkc, "string")(beyond_ascii(c)), c)
 
 
 def normalize_whitespace(c: Column) -> Column:
