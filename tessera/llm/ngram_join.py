@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import discard, map_text, materialise, resource, slices
 from tessera.llm.linking import block_links, hub_members, near_classes, promising
-from tessera.llm.minhash import BLOCK_SHINGLES, Shingler, confirmed
+from tessera.llm.minhash import BLOCK_SHINGLES, Shingler, confirmed, texts_for
 
 #: Counters of the column order, and those of a row that carries them between tasks.
 COUNTERS, SEGMENT = 1 << 24, 1 << 14
@@ -125,6 +125,15 @@ def shingler_of(words: int) -> Shingler:
     return resource(f"shingler:{words}", lambda: Shingler(words))
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """A segment's counters by zstd, after their width: a task's are mostly zeros and ones."""
+    return bytes([counts.itemsize]) + pa.Codec("zstd").compress(counts.tobytes(), asbytes=True)
+
+
+def unpacked(counts: bytes) -> np.ndarray:
+    return np.frombuffer(pa.Codec("zstd").decompress(counts[1:], SEGMENT * counts[0], asbytes=True), dtype=f"u{counts[0]}")
+
+
 def sketches_and_counts(docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
     """(doc_id, n, digest, sizes) of every row, and the task's counters as (segment, counts); segment tells them apart."""
 
@@ -141,7 +150,7 @@ def sketches_and_counts(docs: DataFrame, id_col: str, text_col: str, words: int)
                 yield pa.RecordBatch.from_arrays(columns, names=names)
         each = counters.reshape(-1, SEGMENT)
         some = np.nonzero(each.any(1))[0]
-        counts = [c.astype(np.min_scalar_type(int(c.max()))).tobytes() for c in each[some]]
+        counts = [packed(c.astype(np.min_scalar_type(int(c.max())))) for c in each[some]]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())] + [pa.array(some.astype(np.int32)), pa.array(counts, pa.binary())], names=names)
 
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, digest binary, sizes binary, segment int, counts binary")
@@ -154,7 +163,7 @@ def column_order(counts: DataFrame) -> np.ndarray:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for segment, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sums.setdefault(segment, np.zeros(SEGMENT, dtype=np.uint64))[:] += np.frombuffer(c, dtype=f"u{len(c) // SEGMENT}")
+                sums.setdefault(segment, np.zeros(SEGMENT, dtype=np.uint64))[:] += unpacked(c)
         top = [np.minimum(8 * np.log2(np.maximum(s, 1)), 255).astype(np.uint8).tobytes() for s in sums.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(top, pa.binary())], names=["segment", "counts"])
 
@@ -187,7 +196,6 @@ def similar_sets(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: s
     sets = materialise(usable.groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sizes").alias("sizes")), "sets")
     order = spark.sparkContext.broadcast(column_order(found.filter("segment IS NOT NULL").select("segment", "counts")))
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    texts = materialise(texts.join(sets.select("node").distinct(), "node", "left_semi"), "texts")
 
     def make():
         shingler = shingler_of(words)
@@ -199,10 +207,13 @@ def similar_sets(docs: DataFrame, words: int = 5, threshold: int = 80, id_col: s
 
         return f
 
-    keys = map_text(texts.select("node", "text"), make, "node long, keys array<long>", 1).select("node", F.explode("keys").alias("key"))
+    # a text's columns move to meet the sets' nodes, not the text
+    keys = map_text(texts_for(texts, sets.select("node")), make, "node long, keys array<long>", 1)
+    keys = keys.join(sets.select("node").distinct(), "node", "left_semi").select("node", F.explode("keys").alias("key"))
     members = materialise(keys, "keys")
     buckets = materialise(hub_members(members), "buckets")
     discard(members)
+    texts = materialise(texts_for(texts, buckets.select("node")), "texts")
 
     def check(pairs: DataFrame) -> DataFrame:
         side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sizes").alias(f"sizes_{x}"))
