@@ -11,7 +11,6 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from struct import pack
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import byte_symbols, lowered, read_spec, split_pattern
-from tessera.llm.common import map_text, resource
+from tessera.llm.common import Memo, map_text, resource
 
 
 #: Chunks a worker's memo holds at most.
@@ -46,9 +45,7 @@ class LibraryEncoder:
         self.tokenize = self.tokenizer.model.tokenize
         self.find, self.symbols = split_pattern(json.loads(spec)), byte_symbols()
         self.hints = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
-        #: Chunks seen lately and those seen before: what comes back moves over, so frequent chunks stay.
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.memo = Memo(self._chunk, MEMO_ENTRIES)
 
     def _whole(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -56,8 +53,7 @@ class LibraryEncoder:
     def _word(self, word: str) -> bytes:
         if not (word.isascii() and word.isprintable()):  # else its bytes stand for themselves
             word = "".join(map(self.symbols.__getitem__, word.encode()))
-        ids = [t.id for t in self.tokenize(word)]
-        return pack(f"<{len(ids)}I", *ids)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenize(word)])
 
     def _chunk(self, chunk: str) -> bytes:
         if chunk.isascii():
@@ -66,44 +62,26 @@ class LibraryEncoder:
             fixed = chunk == chunk.lower()
         else:
             fixed = max(chunk) < "\u0100" and chunk == chunk.lower()
-        if not fixed or any(h in chunk for h in self.hints):
+        if not fixed:
             return self._whole(chunk)
-        parts = []
+        for h in self.hints:
+            if h in chunk:
+                return self._whole(chunk)
+        memo, parts = self.memo, []
         for word in self.find(chunk):
-            ids = self.memo.get(word) or self.older.get(word)
+            ids = memo.get(word) or memo.older.get(word)
             if ids is None:
                 ids = self._word(word)
                 if word != chunk:
-                    self.memo[word] = ids
+                    memo[word] = ids
             parts.append(ids)
         return b"".join(parts)
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Encodes chunks that are not in the memo, which has them all then; it starts anew when it is full."""
-        if len(self.memo) + len(chunks) > MEMO_ENTRIES // 2:
-            self.memo, self.older = {}, self.memo
-        memo, older, encode = self.memo, self.older.get, self._chunk
-        for c in chunks:
-            memo[c] = older(c) or encode(c)
-        return memo
-
     def encode(self, texts: list[str], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (with the end of the last)."""
         end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
-        rows, unknown = [], set()
-        seen = self.memo.get
-        for t in texts:
-            chunks = lowered(t, self.hints).replace("\n", " ").split(" ")
-            got = list(map(seen, chunks))
-            holes = [i for i, g in enumerate(got) if g is None]
-            unknown.update(map(chunks.__getitem__, holes))
-            rows.append((chunks, got, holes))
-        memo, out = self._learn(unknown), []
-        for chunks, got, holes in rows:
-            for i in holes:
-                got[i] = memo[chunks[i]]
-            got.append(end)
-            out.append(b"".join(got))
+        ids = self.memo.__getitem__  # encodes what it does not have
+        out = [b"".join(map(ids, lowered(t, self.hints).replace("\n", " ").split(" "))) + end for t in texts]
         ends = np.cumsum([0, *map(len, out)], dtype=np.int64) // 4
         return np.frombuffer(b"".join(out), dtype="<u4"), ends
 
