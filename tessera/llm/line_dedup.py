@@ -1,12 +1,13 @@
 """Near-duplicate lines by a segment-partition edit join.
 
 Two lines may differ by the edits that a :class:`Budget` allows the shorter one, t. The shorter line is split into
-t + 1 segments of nearly equal length, of which one at least is in the longer line unchanged, at most t places away.
-The longer line probes every substring of a segment's length. Segments and substrings are looked up by their
-minimizer: the least hash of the k-grams in them. Equal strings have equal minimizers, and neighbouring substrings
-mostly share theirs, so a line gives one key for each run of substrings with one minimizer instead of t times t
-probes. Each key says whether a segment starts in its run (the index) and carries the classes of the line's length
-and of the place, so that only lines of about one length meet, at about one place.
+t + 1 segments of nearly equal length, of which one at least is in the longer line unchanged: the j-th at most j places
+away, and at most t - j seen from the end. The longer line probes the substrings of a segment's length at those places.
+Segments and substrings are looked up by their minimizer: the least hash of the k-grams in them. Equal strings have
+equal minimizers, and neighbouring substrings mostly share theirs, so a line gives one key for each run of substrings
+with one minimizer that is probed instead of t times t probes. Each key says whether a segment starts in its run (the
+index) and carries the classes of the line's length and of the place, so that only lines of about one length meet, at
+about one place.
 
 Keys travel packed by partition; a key that many lines of one batch share leaves the batch once, its lines go on
 spread out. Lines that meet are classed by hubs and blocks (:mod:`tessera.llm.linking`); letter counts leave out most
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import located, materialise, release, shuffle_partitions, slices
 from tessera.llm.linking import block_links, hub_members, near_classes, promising
+from tessera.llm.minhash import rows_for, texts_for
 
 #: Unicode's white space without the line feed.
 WHITE = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -47,6 +49,11 @@ class Budget:
         n = np.asarray(n)
         return np.where(n >= self.least, np.maximum(self.tau, (n + self.slack) * self.share // 1000), 0)
 
+    def shortest(self, t: np.ndarray) -> np.ndarray:
+        """The least length at which ``t`` edits or more are allowed; beyond any length, if none is."""
+        grown = -(-np.asarray(t) * 1000 // self.share) - self.slack if self.share else np.full(np.shape(t), 1 << 62)
+        return np.maximum(self.least, np.where(np.asarray(t) <= self.tau, 0, grown))
+
     def column(self, n: Column) -> Column:
         grown = F.floor((n + F.lit(self.slack)) * F.lit(self.share) / F.lit(1000)).cast("int")
         return F.when(n >= self.least, F.greatest(F.lit(self.tau), grown)).otherwise(0)
@@ -61,10 +68,12 @@ GRAM, SEGMENT, LONGEST = 16, 96, 1 << 20
 RUN, LAST_PLACE = 48, (1 << 16) - 1
 #: Characters that one step of the key maker takes (they stay in the processor's cache), and those of a line's piece.
 STEP_CHARS, PIECE_CHARS = 65_536, 1 << 20
+#: Characters whose letters are counted at once.
+SKETCHED = 65_536
 #: Key rows that a batch packs at once. A key is hot, and its lines are spread, if it has HOT lines in a batch or more
 #: and more than FULL times a partition's share of the batch's rows: below that a partition holds it like any other.
 PACKED, HOT, FULL = 500_000, 64, 1
-#: Bits of the filter that finds the texts of lines that met: what is broadcast has this size however many there are.
+#: Bits of the filter that finds the lines that met: what is broadcast has this size however many there are.
 FILTER_BITS = 1 << 25
 
 
@@ -183,6 +192,50 @@ def line_keys(lines: list[str], budget: Budget) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
+def each_segment(most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the line, number of the segment) of all segments of lines with ``most`` edits each; -1: none."""
+    k = np.maximum(most + 1, 0)
+    return np.repeat(np.arange(len(k)), k), np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
+
+
+def segment_starts(n: np.ndarray, most: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Where the segment ``j`` of a line of ``n`` characters starts, as :func:`segments` has it."""
+    k = most + 1
+    return j * (n // k) + np.maximum(0, j - (k - n % k))
+
+
+def probes(sizes: np.ndarray, budget: Budget, level: Level) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(number of the line, least and last place) where a line of these ``sizes`` may have a segment of a shorter line of the level.
+
+    Of t + 1 segments one at least, the j-th, is unchanged with j edits before it and t - j or fewer behind: edits less
+    segments goes from 0 to -1 or less in steps of -1 or more, so it first comes to -1 by a segment without an edit, from 0.
+    So that segment has moved by j places at most, and the rest of the line behind it by t - j. Lengths m of shorter
+    lines with one budget are taken together: a segment's place grows with m, its distance from the end does too.
+    """
+    top = np.minimum(sizes, level.high - 1)
+    at_most = budget.of(top)
+    least = np.maximum(1, budget.of(np.maximum(level.low, sizes - budget.of(sizes))))
+    for less in range(int((at_most - least).max(initial=-1)) + 1):
+        t = at_most - less
+        shortest = np.maximum.reduce([budget.shortest(t), sizes - t, np.full(len(t), level.low)])
+        longest = np.minimum(top, budget.shortest(t + 1) - 1)
+        some = np.nonzero((t >= least) & (shortest <= longest))[0]
+        i, j = each_segment(t[some])
+        i = some[i]
+        near, far = segment_starts(shortest[i], t[i], j), segment_starts(longest[i], t[i], j)
+        low = np.maximum(near - j, far + sizes[i] - longest[i] - (t[i] - j))
+        high = np.minimum(far + j, near + sizes[i] - shortest[i] + (t[i] - j))
+        yield i, low, high
+
+
+def covered(owner: np.ndarray, low: np.ndarray, high: np.ndarray, first: np.ndarray, last: np.ndarray, start: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which of the runs that begin ``at`` hold a place of ``low`` to ``high`` of their part, parts having ``last`` + 1 places from ``first`` on."""
+    low, high = np.maximum(low - first[owner], 0), np.minimum(high - first[owner], last[owner])
+    some = low <= high
+    a, b = (np.searchsorted(at, start[owner[some]] + x[some], "right") for x in (low, high))
+    return np.cumsum(np.bincount(a - 1, minlength=len(at) + 1) - np.bincount(b, minlength=len(at) + 1))[: len(at)] > 0
+
+
 def runs(parts: list[tuple[int, int, str]], sizes: np.ndarray, classes: np.ndarray, budget: Budget, level: Level, number: int) -> tuple:
     """The runs of one minimizer in (line, start, text) parts, of ``RUN`` substrings at most."""
     reach = level.k + level.w - 1
@@ -207,17 +260,17 @@ def runs(parts: list[tuple[int, int, str]], sizes: np.ndarray, classes: np.ndarr
         at = np.nonzero(new)[0]
         of = np.searchsorted(start, at, "right") - 1
     place = first[of] + at - start[of]
-    # segments of lines of this level mark the runs they start in
+    # segments of lines of this level mark the runs they start in; runs without a mark stay only where a shorter line's segment may be
     most = np.where(sizes[line] < level.high, budget.of(sizes[line]), -1)
-    k = most + 1
-    j = np.arange(int(k.sum())) - np.repeat(np.cumsum(k) - k, k)
-    n, k = np.repeat(sizes[line], k), np.repeat(k, k)
-    begins = j * (n // np.maximum(k, 1)) + np.maximum(0, j - (k - n % np.maximum(k, 1)))
-    here = begins - np.repeat(first, most + 1)
-    inside = (here >= 0) & (here <= np.repeat(size, most + 1) - reach)
-    marks = (np.repeat(start, most + 1) + here)[inside]
+    owner, j = each_segment(most)
+    begins = segment_starts(sizes[line][owner], most[owner], j)
+    marked = covered(owner, begins, begins, first, size - reach, start, at)
+    probed = marked.copy()
+    for owner, low, high in probes(sizes[line], budget, level):
+        probed |= covered(owner, low, high, first, size - reach, start, at)
     tag = classes[line[of]].astype(np.uint16)
-    tag[np.unique(np.searchsorted(at, marks, "right") - 1)] |= np.uint16(INDEXED)
+    tag[marked] |= np.uint16(INDEXED)
+    at, of, tag, place = (x[probed] for x in (at, of, tag, place))
     return mixed(h[at] ^ np.uint64(number)) >> np.uint64(16), line[of], tag, np.minimum(place, LAST_PLACE).astype(np.uint16)
 
 
@@ -387,11 +440,10 @@ def meeting_lines(packs: DataFrame, budget: Budget) -> DataFrame:
     return packs.mapInArrow(run, "key long, hub long, node long")
 
 
-def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, h2, text) of the lines whose hash is in ``nodes(node)``.
+def met_lines(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, sketch, text) of the lines whose hash is in ``nodes(node)``, and of some others; a line of many batches comes in many rows.
 
-    A filter of ``FILTER_BITS`` bits goes to the tasks that read the texts, so that few other lines are shuffled; with
-    very many nodes it lets all lines pass, and the join does the work.
+    A filter of ``FILTER_BITS`` bits goes to the tasks that read the texts, so that few other lines are written.
     """
     words = nodes.selectExpr(f"shiftright(pmod(node, {FILTER_BITS}L), 6) AS word", "shiftleft(1L, CAST(pmod(node, 64L) AS INT)) AS bits")
     words = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -407,10 +459,24 @@ def texts_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
             found = np.array([line_node(t) for t in lines], dtype=np.int64)
             at = found.view(np.uint64) % np.uint64(FILTER_BITS)
             keep = np.nonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)[0]
-            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array([lines[i] for i in keep.tolist()], pa.string())], names=["node", "text"])
+            kept = [lines[i] for i in keep.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found[keep]), pa.array(sketches_of(kept), pa.binary()), pa.array(kept, pa.string())], names=["node", "sketch", "text"])
+
+    return texts.mapInArrow(run, "node long, sketch binary, text string")
+
+
+def one_each(lines: DataFrame, column: str) -> DataFrame:
+    """(node, h2, column), one row a node, of ``lines(node, h2, column)``: of lines with one hash always the same counts."""
+    return lines.groupBy("node").agg(F.min("h2").alias("h2"), F.min_by(column, "h2").alias(column))
+
 
-    lines = texts.mapInArrow(run, "node long, text string").join(nodes, "node", "left_semi")
-    return lines.groupBy("node").agg(F.min("text").alias("text")).select("node", F.xxhash64(F.lit(1), "text").alias("h2"), "text")
+def texts_of(lines: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text), one row a node, of those in ``nodes(node)`` and some others: a filter lets few other texts be shuffled."""
+    return one_each(texts_for(lines, nodes).withColumn("h2", second_hash()), "text").select("node", "text")
+
+
+def second_hash() -> Column:
+    return F.xxhash64(F.lit(1), "text")
 
 
 def within(a: str, b: str, tau: int) -> bool:
@@ -533,6 +599,7 @@ def agreeing(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, budget: Bu
     parts = shuffle_partitions(pairs)  # rows are few bytes and much work: Spark is not to lower the number of tasks
     told = pairs.join(sketches.toDF("a", "x"), "a").repartition(parts, "b").join(sketches.toDF("b", "y"), "b").select("a", "b", "x", "y")
     pairs = materialise(told.mapInArrow(possible, "a long, b long"), "possible")
+    texts = materialise(texts_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("node"))), "texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a").repartition(parts, "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
     both = both.select("a", "b", "x", "y", budget.column(F.least(F.length("x"), F.length("y"))).alias("most"))
 
@@ -545,13 +612,25 @@ def agreeing(pairs: DataFrame, texts: DataFrame, sketches: DataFrame, budget: Bu
     return both.mapInArrow(run, "a long, b long")
 
 
+def sketches_of(lines: list[str]) -> list[bytes]:
+    """Each line's length and how often it has the letters of each of 32 kinds, 255 at most (a cut never adds to a difference)."""
+    sizes = np.array([len(t) for t in lines], dtype=np.int64)
+    out = np.zeros((len(lines), 36), np.uint8)
+    out[:, :4] = sizes.astype("<u4").view(np.uint8).reshape(-1, 4)
+    for a, b in slices(sizes.tolist(), SKETCHED):
+        kinds = np.frombuffer("".join(lines[a:b]).encode("utf-32-le", "surrogatepass"), np.uint32) & 31
+        at = np.repeat(np.arange(b - a), sizes[a:b]) << 5
+        out[a:b, 4:] = np.minimum(np.bincount(at + kinds, minlength=(b - a) << 5), 255).reshape(-1, 32)
+    data = out.tobytes()
+    return [data[i : i + 36] for i in range(0, len(data), 36)]
+
+
 def sketched(texts: DataFrame) -> DataFrame:
-    """(node, sketch): a line's length and how often it has the letters of each of 32 kinds, 255 at most (a cut never adds to a difference)."""
+    """(node, sketch) of ``texts(node, text)``, sketches as ``sketches_of`` has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [len(t).to_bytes(4, "little") + np.minimum(letters(t).reshape(2, 32).sum(0), 255).astype(np.uint8).tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.binary())], names=["node", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sketches_of(b.column(1).to_pylist()), pa.binary())], names=["node", "sketch"])
 
     return texts.select("node", "text").mapInArrow(run, "node long, sketch binary")
 
@@ -645,14 +724,22 @@ def classed_lines(docs: DataFrame, budget: Budget, id_col: str, text_col: str) -
     packs = packed_keys(texts, budget, parts).repartitionById(parts, "part")
     met = materialise(meeting_lines(packs, budget), "met")
     buckets = materialise(met.filter("hub IS NOT NULL").select("hub", "node").unionByName(hub_members(met.filter("hub IS NULL"))).distinct(), "buckets")
-    known = materialise(texts_of(texts, buckets.select("node").distinct()), "texts")
-    sketches = materialise(sketched(known), "sketches")
+    known = materialise(met_lines(texts, buckets.select("node").distinct()).withColumn("h2", second_hash()), "met_lines")
+    told = materialise(one_each(known.select("node", "h2", "sketch"), "sketch"), "sketches")
+    sketches, lines = told.select("node", "sketch"), known.select("node", "text")
+
+    def rest(groups: DataFrame) -> DataFrame:
+        left = materialise(promising(groups, sketches, block_filter(budget)), "left")
+        return block_links(left, materialise(texts_of(lines, left.select("node")), "texts"), block_checker(budget))
 
-    components, _ = near_classes(buckets, lambda pairs: agreeing(pairs, known, sketches, budget), lambda groups: block_links(promising(groups, sketches, block_filter(budget)), known, block_checker(budget)))
+    components, _ = near_classes(buckets, lambda pairs: agreeing(pairs, lines, sketches, budget), rest)
     # complements are in reverse order and leave nulls least, so the greatest place is the first and rows without an id come last
     place = F.struct(*(F.bitwise_not(F.col(c)).alias(c) for c in ("doc_id", "file", "row", "line_no")))
     firsts = here.groupBy("h1", "h2").agg(F.max(place).alias("first"))
-    moved = components.join(known.select("node", "h2"), "node").join(firsts.withColumnRenamed("h1", "node"), ["node", "h2"])
+    linked = materialise(components.join(told.select("node", "h2"), "node"), "linked")
+    # few lines have a link to another one: of the rest no row is shuffled
+    some = rows_for(here.withColumnRenamed("h1", "node"), linked).groupBy("node", "h2").agg(F.max(place).alias("first"))
+    moved = linked.join(some, ["node", "h2"])
     moved = materialise(moved.select("node", "h2", "component", "first"), "moved")
     leads = moved.groupBy("component").agg(F.max("first").alias("lead"))
     moved = moved.join(leads, "component").select(F.col("node").alias("h1"), "h2", "lead")

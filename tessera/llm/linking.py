@@ -23,8 +23,8 @@ from tessera.llm.common import discard, materialise, shuffle_partitions
 
 Pairs = Callable[[DataFrame], DataFrame]
 
-#: Shares that a hub's members are dealt into before they meet what is known of the hub.
-SALTS = 32
+#: Shares that the members of a hub of many are dealt into before they meet what is known of the hub, and how many are many.
+SALTS, MANY = 32, 1024
 #: Sides of a block: members outside the hub's component, and members, that one task checks at once.
 BLOCK_OUTSIDE, BLOCK_MEMBERS = 256, 512
 
@@ -60,32 +60,34 @@ def hub_members(members: DataFrame) -> DataFrame:
     return members.select("key", "node").join(hubs, "key").select("hub", "node").distinct()
 
 
-def salted(n: int = SALTS):
-    return F.pmod(F.xxhash64("node"), F.lit(n)).cast("int").alias("salt")
-
-
-def each_salt(n: int = SALTS):
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt")
+def each_salt():
+    return F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")
 
 
 def with_sizes(members: DataFrame, least: int = 1) -> DataFrame:
-    """``members(hub, salt, node, component, outside)`` with the sizes of their hubs' groups, of those with outside members and ``least`` members."""
-    sizes = members.groupBy("hub").agg(F.sum(F.col("outside").cast("long")).alias("n_outside"), F.count("*").alias("n_members")).filter(f"n_outside > 0 AND n_members >= {least}")
+    """``members(hub, salts, salt, node, component, outside)`` with the sizes of their hubs' groups, of those with outside members and ``least`` members."""
+    sizes = members.groupBy("hub").agg(F.max("salts").alias("salts"), F.sum(F.col("outside").cast("long")).alias("n_outside"), F.count("*").alias("n_members")).filter(f"n_outside > 0 AND n_members >= {least}")
     return members.join(sizes.select("hub", "n_outside", "n_members", each_salt()), ["hub", "salt"])
 
 
 def open_groups(buckets: DataFrame, components: DataFrame) -> DataFrame:
-    """(hub, salt, node, component, outside, n_outside, n_members) of the hubs whose members may hold links not yet found.
+    """(hub, salts, salt, node, component, outside, n_outside, n_members) of the hubs whose members may hold links not yet found.
 
     Members that share a bucket share its hub, so the pairs of all buckets are among those of the hubs' groups, and
     there each comes once for a hub instead of once for a bucket. What is left is between members outside the hub's
     component and others; the hub itself was checked against all.
     """
     of = components.select(F.col("node").alias("of"), "component")
-    members = buckets.join(of, F.col("node") == F.col("of"), "left").select("hub", "node", F.coalesce("component", "node").alias("component"), salted())
-    hubs = buckets.filter("hub = node").select("hub").join(of, F.col("hub") == F.col("of"), "left").select("hub", F.coalesce("component", "hub").alias("main"))
+    large = F.broadcast(buckets.groupBy("hub").agg(F.count("*").alias("n")).filter(f"n >= {MANY}").select("hub", F.lit(SALTS).alias("many")))  # one row for MANY or more
+    salts = F.coalesce("many", F.lit(1)).alias("salts")
+    members = buckets.join(of, F.col("node") == F.col("of"), "left").join(large, "hub", "left").select("hub", "node", F.coalesce("component", "node").alias("component"), salts)
+    members = members.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
+    hubs = buckets.filter("hub = node").select("hub").join(of, F.col("hub") == F.col("of"), "left").join(large, "hub", "left").select("hub", F.coalesce("component", "hub").alias("main"), salts)
     members = members.join(hubs.select("hub", "main", each_salt()), ["hub", "salt"]).withColumn("outside", F.col("component") != F.col("main"))
-    return with_sizes(materialise(members.drop("main"), "members"), 3)
+    members = materialise(members.drop("main"), "members")
+    groups = materialise(with_sizes(members, 3), "groups")
+    discard(members)
+    return groups
 
 
 def dealt_blocks(groups: DataFrame, carried: DataFrame, *columns: str) -> DataFrame:

@@ -170,16 +170,21 @@ def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def texts_for(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``texts(node, text)`` without most of the rows that are not in ``nodes(node)``; none that is in it gets lost.
+def rows_for(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows(node, ...)`` without most of the rows that are not in ``nodes(node)``; none that is in it gets lost.
 
-    A filter of ``FILTER_BITS`` bits goes to the tasks that read the texts, so that no text is shuffled to be left out.
+    A filter of ``FILTER_BITS`` bits goes to the tasks that read the rows, so that no row is shuffled to be left out.
     Nodes that share a bit pass with one another, and the joins that follow tell them apart.
     """
     place = F.pmod("node", F.lit(FILTER_BITS))
     bit = F.expr("shiftleft(1L, CAST(pmod(node, 64L) AS INT))")
     words = nodes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
-    return texts.join(F.broadcast(words), F.shiftright(place, 6) == F.col("word")).filter(F.col("bits").bitwiseAND(bit) != 0).select("node", "text")
+    return rows.join(F.broadcast(words), F.shiftright(place, 6) == F.col("word")).filter(F.col("bits").bitwiseAND(bit) != 0).select(*rows.columns)
+
+
+def texts_for(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``texts(node, text)`` without most of the rows that are not in ``nodes(node)``, as :func:`rows_for` has it."""
+    return rows_for(texts.select("node", "text"), nodes)
 
 
 def block_estimator(least: float):
