@@ -511,11 +511,24 @@ def within(a: str, b: str, tau: int) -> bool:
             row >>= 1
             score += bool(hp & row) - bool(hn & row)
         vp, vn = (hn | ~(d0 >> 1 | hp)) & mask, d0 >> 1 & hp
+        if not col % LOOK_WIDE and col + tau <= len(a) and column_least(score, vp, vn, width) > tau:
+            return False
     return score <= tau
 
 
+def column_least(score: int, vp: int, vn: int, width: int) -> int:
+    """The least distance in a column of the band, from its lower end's and the steps up from there; the end's distance is no less."""
+    least = score
+    for r in range(width - 2, -1, -1):
+        score += (vn >> r & 1) - (vp >> r & 1)
+        least = min(least, score)
+    return least
+
+
 #: The widest band that fits a machine word, and pairs that are measured side by side.
 WORD_TAU, ABREAST = 31, 2048
+#: Columns after which pairs that can no longer be within their budget are given up, of narrow and of wide bands.
+LOOK, LOOK_WIDE = 16, 64
 
 
 def coded(texts: list[str], width: int) -> np.ndarray:
@@ -539,13 +552,16 @@ def within_all(pairs: list[tuple[str, str]], taus: list[int]) -> list[bool]:
     narrow.sort(key=lambda i: max(map(len, pairs[i])))
     for start in range(0, len(narrow), ABREAST):
         some = narrow[start : start + ABREAST]
-        for i, d in zip(some, banded([sorted(pairs[i], key=len) for i in some], max(taus[i] for i in some)).tolist()):
-            out[i] = d <= taus[i]
+        most = np.array([taus[i] for i in some])
+        for i, fits in zip(some, (banded([sorted(pairs[i], key=len) for i in some], int(most.max()), most) <= most).tolist()):
+            out[i] = fits
     return out
 
 
-def banded(pairs: list[list[str]], tau: int) -> np.ndarray:
-    """The edit distance of each (shorter, longer) pair if it is at most ``tau`` (31 or less), else something greater."""
+def banded(pairs: list[list[str]], tau: int, most: np.ndarray | None = None) -> np.ndarray:
+    """The edit distance of each (shorter, longer) pair if it is at most ``tau`` (31 or less), else something greater; likewise beyond a pair's ``most``."""
+    most = np.full(len(pairs), tau) if most is None else most
+    out, lanes = np.full(len(pairs), tau + 1), np.arange(len(pairs))
     one, width = np.uint64(1), 2 * tau + 1
     n_b, n_a = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
     columns = int(n_b.max(initial=0))
@@ -558,7 +574,20 @@ def banded(pairs: list[list[str]], tau: int) -> np.ndarray:
     low = np.minimum(n_a, tau)  # the last row, or the band's lower end above it
     vn, row, score = np.zeros_like(vp), one << (low + tau).astype(np.uint64), low
     same = np.zeros((len(pairs), 64), bool)
+    steps = np.arange(width - 2, -1, -1).astype(np.uint64)
     for column in range(columns):
+        if column and not column % LOOK:
+            # the least distance in the column, from the lower end's and the steps up from there
+            up = ((vp[:, None] >> steps) & one).astype(np.int8) - ((vn[:, None] >> steps) & one).astype(np.int8)
+            least = score - np.maximum(np.cumsum(up, axis=1, dtype=np.int16).max(1, initial=0), 0)
+            over = column >= n_b
+            keep = ~over & ((least <= most) | (column + tau > n_a))
+            if keep.sum() < 0.75 * len(keep):
+                out[lanes[over]] = score[over]
+                lanes, most, n_a, n_b, vp, vn, row, score, same, a = (x[keep] for x in (lanes, most, n_a, n_b, vp, vn, row, score, same, a))
+                b = np.ascontiguousarray(b[:, keep])
+                if not len(lanes):
+                    return out
         now = b[column]
         np.equal(a[:, column : column + width], now[:, None], out=same[:, :width])
         pm = np.packbits(same, axis=1, bitorder="little").view("<u8")[:, 0]
@@ -570,7 +599,8 @@ def banded(pairs: list[list[str]], tau: int) -> np.ndarray:
         score = score + np.where(column < n_b, step, 0)
         slid = d0 >> one
         vp, vn = (hn | ~(slid | hp)) & mask, slid & hp
-    return score
+    out[lanes] = score
+    return out
 
 
 def letters(line: str) -> np.ndarray:

@@ -126,6 +126,30 @@ def each_block(batches: Iterator[pa.RecordBatch], read: Callable) -> Iterator[tu
         yield at[0], *sides
 
 
+#: Pairs of sides up to which small blocks are looked at together.
+TOGETHER = 16_384
+
+
+def joint_blocks(blocks: Iterator[tuple[int, Side, Side]], most: int) -> Iterator[tuple]:
+    """(hub, number of the block, node, component of each, and what was read) of both sides of several blocks, one side behind the other."""
+
+    def side(held: list, k: int) -> list:
+        sizes = [len(x[k][0]) for x in held]
+        each = lambda i: [v for x in held for v in x[k][i]]
+        return [np.repeat([x[0] for x in held], sizes), np.repeat(np.arange(len(held)), sizes), np.array(each(0)), np.array(each(1)), each(2)]
+
+    held, n_a, n_b = [], 0, 0
+    for block in blocks:
+        x, y = len(block[1][0]), len(block[2][0])
+        if held and (n_a + x) * (n_b + y) > most:
+            yield (*side(held, 1), *side(held, 2))
+            held, n_a, n_b = [], 0, 0
+        held.append(block)
+        n_a, n_b = n_a + x, n_b + y
+    if held:
+        yield (*side(held, 1), *side(held, 2))
+
+
 def promising(groups: DataFrame, sketches: DataFrame, make: Callable[[], Callable]) -> DataFrame:
     """``groups`` without the members whose sketch rules out a link to any other member of another component.
 
@@ -136,12 +160,13 @@ def promising(groups: DataFrame, sketches: DataFrame, make: Callable[[], Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         may_link = make()
         hubs, nodes = [], []
-        for hub, (nodes_a, groups_a, a), (nodes_b, groups_b, b) in each_block(batches, lambda value: value):
-            asked = (np.array(groups_a)[:, None] != np.array(groups_b)[None, :]) & (np.array(nodes_b) != hub)[None, :]
+        for found in joint_blocks(each_block(batches, lambda value: value), TOGETHER):
+            hub_a, at_a, nodes_a, groups_a, a, hub_b, at_b, nodes_b, groups_b, b = found
+            asked = (at_a[:, None] == at_b[None, :]) & (groups_a[:, None] != groups_b[None, :]) & (nodes_b != hub_b)[None, :]
             open_ = may_link(a, b, asked) & asked
-            found = [nodes_a[i] for i in np.nonzero(open_.any(1))[0]] + [nodes_b[j] for j in np.nonzero(open_.any(0))[0]]
-            nodes += found
-            hubs += [hub] * len(found)
+            for hub, node, left in ((hub_a, nodes_a, open_.any(1)), (hub_b, nodes_b, open_.any(0))):
+                hubs += hub[left].tolist()
+                nodes += node[left].tolist()
             if len(nodes) >= 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(nodes, pa.int64())], names=["hub", "node"])
                 hubs, nodes = [], []

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from test_linking import FLAT
+from test_linking import FLAT, levenshtein, mutated
 
 from tessera.llm import line_dedup as L
 from tessera.llm import linking
@@ -93,3 +93,37 @@ def test_small_hubs_are_one_share(spark, monkeypatch):
     assert {r["salt"] for r in rows if r["hub"] < 3} == {0} and len({r["salt"] for r in rows if r["hub"] == 1000}) > 10
     sizes = {(r["hub"], r["n_outside"], r["n_members"]) for r in rows}
     assert sizes == {(0, 9, 11), (1, 10, 11), (2, 10, 11), (1000, 199, 200)} and len(rows) == 233
+
+
+def test_pairs_beyond_their_budget_are_given_up_without_losing_one(monkeypatch):
+    rng = random.Random(2)
+    pairs, taus = [], []
+    for _ in range(300):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.choice((20, 40, 90, 150))))
+        t = rng.randrange(1, 9)
+        pairs.append((a, mutated(rng, a, rng.choice((0, 1, t, t, t + 1, 2 * t, 40)), "abcdx")))
+        taus.append(t)
+    want = [levenshtein(a, b) <= t for (a, b), t in zip(pairs, taus)]
+    assert 50 < sum(want) < 250
+    for look in (1, 5, 16, 1000):
+        monkeypatch.setattr(L, "LOOK", look)
+        monkeypatch.setattr(L, "LOOK_WIDE", look)
+        assert L.within_all(pairs, taus) == want == [L.within(a, b, t) for (a, b), t in zip(pairs, taus)]
+
+
+def test_unlike_lines_are_given_up_early(monkeypatch):
+    """A pair of unlike long lines took a step for every column."""
+    seen = []
+    real = np.packbits
+    monkeypatch.setattr(L.np, "packbits", lambda x, **how: (seen.append(len(x)), real(x, **how))[1])
+    rng = random.Random(4)
+    lines = ["".join(rng.choice("abcdefgh") for _ in range(1000)) for _ in range(20)]
+    assert not any(L.within_all(list(zip(lines[::2], lines[1::2])), [20] * 10)) and len(seen) < 200
+
+
+def test_small_blocks_are_looked_at_together():
+    block = lambda hub, x, y: (hub, ([hub + i for i in range(x)], [1] * x, ["a"] * x), ([hub + i for i in range(y)], [2] * y, ["b"] * y))
+    joint = list(linking.joint_blocks(iter([block(10, 2, 3), block(20, 1, 2), block(30, 5, 40), block(70, 1, 1)]), 60))
+    assert [(x[0].tolist(), x[1].tolist(), x[7].tolist(), x[9]) for x in joint] == [
+        ([10, 10, 20], [0, 0, 1], [10, 11, 12, 20, 21], ["b"] * 5), ([30] * 5, [0] * 5, list(range(30, 70)), ["b"] * 40), ([70], [0], [70], ["b"]),
+    ]
