@@ -181,7 +181,7 @@ def line_keys(lines: list[str], budget: Budget) -> tuple[np.ndarray, np.ndarray,
         parts: list[tuple[int, int, str]] = []
         held = 0
         for i in chosen.tolist():
-            for a, part in pieces(lines[i], level.k + level.w - 1):
+            for a, part in pieces(lines[i], level.k + level.w - 1) if len(lines[i]) > PIECE_CHARS else ((0, lines[i]),):
                 parts.append((i, a, part))
                 held += len(part)
                 if held >= STEP_CHARS:
