@@ -158,3 +158,15 @@ def test_owners_of_equal_sets_are_one_class(spark, monkeypatch):
         rows = found.collect()
         assert len(rows) == len(want) and {(r["a"], r["b"]): round(r["jaccard"], 9) for r in rows} == {k: round(v, 9) for k, v in want.items()}
     assert overlaps.jaccard_total(owned).first()["j"] == pytest.approx(sum(want.values()))
+
+
+@pytest.mark.parametrize("find", [overlaps.jaccard_pairs, overlaps.similar_owners])
+def test_values_are_rounded_once_for_two_classes_and_few_pairs_wait_in_memory(spark, find):
+    """Two sets of 45 owners each: rounded before the owners are paired, whose pairs come in small shares."""
+    owned = spark.createDataFrame([(f"o{i:03}", c) for i in range(90) for c in ("abcdef", "abcdefg")[i % 2]], "owner string, concept string")
+    found = find(owned, digits=3)
+    assert {(r["jaccard"], r["n"]) for r in found.groupBy("jaccard").agg(F.count("*").alias("n")).collect()} == {(0.857, 45 * 45), (1.0, 45 * 44)}
+    tree = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    at = [i for i, line in enumerate(tree) if "Generate explode(left" in line]
+    assert at and all(i > at[0] for i, line in enumerate(tree) if "round(" in line)
+    assert overlaps.SHARE**2 <= 1 << 16
