@@ -211,3 +211,26 @@ def test_shares_of_queries_hold_a_bounded_table(monkeypatch):
     cuts = encoders.shares(ends, np.arange(100))
     assert [c[0] for c in cuts[1:]] == [c[1] for c in cuts[:-1]] and (cuts[0][0], cuts[-1][1]) == (0, 20)
     assert all((b - a) ** 2 * 5 <= 40 for a, b in cuts)
+
+
+@pytest.mark.parametrize("dense", [0, 1 << 30])  # no tile is dense, every one is
+def test_near_texts_sum_few_pairs_and_miss_none(monkeypatch, dense):
+    """Common words are summed for pairs within reach only, or for all of a tile; the best are those of brute force."""
+    for name, value in (("COMMON", 12), ("GROUPS", 4), ("ABREAST", 7), ("PAIRS", 5), ("DENSE", dense)):
+        monkeypatch.setattr(encoders, name, value)
+    rng = np.random.default_rng(4)
+    chance = 1 / (2 + np.arange(200))
+    rows = (rng.random((400, 200)) < chance) * rng.random((400, 200)) * -np.log(chance)
+    rows[5] = 0
+    rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-9)
+    asked, told = rows[:20], lambda m: ((m > 0).sum(1), np.nonzero(m)[1], m[m > 0])
+    size, found, weight = told(asked)
+    block, best, scored = encoders.Asked(np.concatenate([[0], np.cumsum(size)]), found, weight), encoders.Best(20, 3), 0
+    for at in range(0, 400, 40):
+        for first, s in block.scores(*told(rows[at : at + 40]), best.least):
+            scored += int(np.isfinite(s).sum())
+            best.add(s, np.arange(at, at + len(s[0])), first)
+    sims = np.round(asked @ rows.T, 8)
+    want = [(q, r) for q in range(20) for r in np.lexsort((np.arange(400), -sims[q]))[:3] if sims[q, r] > 0]
+    assert list(zip(best.query.tolist(), best.row.tolist())) == want and 5 not in best.query
+    assert dense or scored < 0.5 * (sims > 0).sum()
