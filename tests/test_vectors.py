@@ -137,3 +137,21 @@ def test_a_block_of_queries_takes_little_memory(spark):
     assert tracemalloc.get_traced_memory()[1] < 100e6
     tracemalloc.stop()
     assert len(best.row) == 12 * len(q)
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_best_rounds_what_it_keeps_and_own_rows_are_found_by_order(k):
+    """Scores that differ after the tenth place are ties, which go to the smaller id, in whatever tile it comes."""
+    rng = np.random.default_rng(k)
+    scores = rng.choice([0.5, 0.5 + 3e-12, 0.5 - 3e-11, 0.4, np.nan, -np.inf], (6, 90)) + 0.0
+    scores[5], ids, best = np.nan, rng.permutation(90), S.Best(6, k)
+    for at in range(0, 90, 30):
+        best.add(scores[:, at : at + 30].copy(), ids[at : at + 30], 0, 10)
+    want = []
+    for q in range(5):
+        told = np.nan_to_num(np.round(scores[q], 10), nan=-np.inf)
+        want += [(q, int(ids[i]), told[i]) for i in np.lexsort((ids, -told))[:k]]
+    assert list(zip(best.query.tolist(), best.row.tolist(), best.score.tolist())) == want
+    a, b = rng.integers(0, 9, 12), rng.integers(0, 9, 15)
+    found = list(zip(*(x.tolist() for x in S.same_ids(a, b))))
+    assert sorted(found) == [(i, j) for i in range(12) for j in range(15) if a[i] == b[j]]
